@@ -51,70 +51,111 @@ INDEX_KEYS = ("date", "dateLabel", "headline", "storyCount", "moveCount", "tags"
 ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
+class J:
+    """A JSON value inside a variant column: the column plus a path.
+
+    Paths compose (``J(doc)["headline"]["ko"]`` reads ``$.headline.ko``) so a
+    rule extracts each leaf once instead of copying every enclosing object.
+    """
+
+    def __init__(self, base: Column, path: str = "$"):
+        self.base, self.path = base, path
+
+    def __getitem__(self, key: str) -> "J":
+        return J(self.base, f"{self.path}.{key}")
+
+    def at(self, i: int) -> "J":
+        return J(self.base, f"{self.path}[{i}]")
+
+    @property
+    def v(self) -> Column:
+        return self.base if self.path == "$" else F.variant_get(self.base, self.path, "variant")
+
+    def text(self) -> Column:
+        return F.variant_get(self.base, self.path, "string")
+
+
+def _j(x) -> J:
+    return x if isinstance(x, J) else J(x)
+
+
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it in ``fn`` (a lambda variable); keeps the
+    optimizer from pasting a costly definition into every reference."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _b(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def get(v: Column, key: str) -> Column:
-    """Child variant (NULL when the key is absent or ``v`` is not an object)."""
-    return F.variant_get(v, f"$.{key}", "variant")
+def get(v, key: str) -> J:
+    """Child value (absent key or non-object parent -> NULL variant)."""
+    return _j(v)[key]
 
 
-def vtype(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def vtype(v) -> Column:
+    return F.schema_of_variant(_j(v).v)
 
 
-def has_key(v: Column, key: str) -> Column:
+def has_key(v, key: str) -> Column:
     """``key in v`` for an object: present, even when its value is null."""
-    return _b(get(v, key).isNotNull())
+    return _b(_j(v)[key].v.isNotNull())
 
 
-def is_string(v: Column) -> Column:
+def is_string(v) -> Column:
     return _b(vtype(v) == F.lit("STRING"))
 
 
-def is_boolean(v: Column) -> Column:
+def is_boolean(v) -> Column:
     return _b(vtype(v) == F.lit("BOOLEAN"))
 
 
-def is_number(v: Column) -> Column:
+def is_number(v) -> Column:
     t = vtype(v)
     return _b(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
               | t.startswith("DECIMAL"))
 
 
-def is_array(v: Column) -> Column:
+def is_array(v) -> Column:
     return _b(vtype(v).startswith("ARRAY"))
 
 
-def is_object_like(v: Column) -> Column:
+def is_object_like(v) -> Column:
     """Non-null object or array (an array passes, then fails field by field)."""
     t = vtype(v)
     return _b(t.startswith("OBJECT") | t.startswith("ARRAY"))
 
 
-def as_text(v: Column) -> Column:
-    return F.variant_get(v, "$", "string")
+def as_text(v) -> Column:
+    return _j(v).text()
 
 
-def as_array(v: Column) -> Column:
-    return v.try_cast("array<variant>")
+def as_array(v) -> Column:
+    return _j(v).v.try_cast("array<variant>")
 
 
-def is_nonempty(v: Column) -> Column:
+def is_nonempty(v) -> Column:
     """A JSON string with at least one non-space character."""
-    return is_string(v) & _b(~is_blank(as_text(v)))
+    j = _j(v)
+    return is_string(j) & _b(~is_blank(j.text()))
+
+
+def is_bilingual(v) -> Column:
+    j = _j(v)
+    return is_nonempty(j["ko"]) & is_nonempty(j["en"])
 
 
-def is_bilingual(v: Column) -> Column:
-    return is_nonempty(get(v, "ko")) & is_nonempty(get(v, "en"))
+def _all_nonempty(arr: Column) -> Column:
+    return F.forall(arr, lambda e: is_nonempty(J(e)))
 
 
-def is_bilingual_list(v: Column) -> Column:
-    ko, en = as_array(get(v, "ko")), as_array(get(v, "en"))
+def is_bilingual_list(v) -> Column:
+    j = _j(v)
+    ko, en = as_array(j["ko"]), as_array(j["en"])
     return _b(
         (F.size(ko) > 0) & (F.size(en) > 0) & (F.size(ko) == F.size(en))
-        & F.forall(ko, is_nonempty) & F.forall(en, is_nonempty)
+        & _all_nonempty(ko) & _all_nonempty(en)
     )
 
 
@@ -123,45 +164,48 @@ def _errors(*pairs: tuple[Column, str]) -> Column:
                     lambda e: e.isNotNull())
 
 
-def _guarded(v: Column, not_object_msg: str, rules: Column) -> Column:
+def _guarded(v, not_object_msg: str, rules: Column) -> Column:
     return F.when(~is_object_like(v), F.array(F.lit(not_object_msg))).otherwise(rules)
 
 
-def story_errors(s: Column) -> Column:
-    tags = as_array(get(s, "tags"))
-    tags_ok = _b((F.size(tags) > 0) & F.forall(tags, is_nonempty))
-    url = get(s, "url")
+def story_errors(s) -> Column:
+    s = _j(s)
+    tags = as_array(s["tags"])
+    tags_ok = _b((F.size(tags) > 0) & _all_nonempty(tags))
     return _guarded(s, MSG_STORY_NOT_OBJECT, _errors(
-        (~is_nonempty(get(s, "icon")), MSG_STORY_ICON),
-        (~is_nonempty(get(s, "status")), MSG_STORY_STATUS),
+        (~is_nonempty(s["icon"]), MSG_STORY_ICON),
+        (~is_nonempty(s["status"]), MSG_STORY_STATUS),
         (~tags_ok, MSG_STORY_TAGS),
-        (~is_bilingual(get(s, "title")), MSG_STORY_TITLE),
-        (~is_bilingual_list(get(s, "facts")), MSG_STORY_FACTS),
-        (~is_bilingual(get(s, "interp")), MSG_STORY_INTERP),
-        (has_key(s, "url") & ~is_nonempty(url), MSG_STORY_URL),
+        (~is_bilingual(s["title"]), MSG_STORY_TITLE),
+        (~is_bilingual_list(s["facts"]), MSG_STORY_FACTS),
+        (~is_bilingual(s["interp"]), MSG_STORY_INTERP),
+        (has_key(s, "url") & ~is_nonempty(s["url"]), MSG_STORY_URL),
     ))
 
 
-def injury_errors(r: Column) -> Column:
+def injury_errors(r) -> Column:
+    r = _j(r)
     return _guarded(r, MSG_INJURY_NOT_OBJECT, _errors(
-        (~is_bilingual(get(r, "player")), MSG_INJURY_PLAYER),
-        (~is_bilingual(get(r, "issue")), MSG_INJURY_ISSUE),
-        (~is_bilingual(get(r, "status")), MSG_INJURY_STATUS),
-        (has_key(r, "watch") & ~is_boolean(get(r, "watch")), MSG_INJURY_WATCH),
+        (~is_bilingual(r["player"]), MSG_INJURY_PLAYER),
+        (~is_bilingual(r["issue"]), MSG_INJURY_ISSUE),
+        (~is_bilingual(r["status"]), MSG_INJURY_STATUS),
+        (has_key(r, "watch") & ~is_boolean(r["watch"]), MSG_INJURY_WATCH),
     ))
 
 
-def move_errors(r: Column) -> Column:
+def move_errors(r) -> Column:
+    r = _j(r)
     return _guarded(r, MSG_MOVE_NOT_OBJECT, _errors(
-        (~is_nonempty(get(r, "date")), MSG_MOVE_DATE),
-        (~is_bilingual(get(r, "text")), MSG_MOVE_TEXT),
+        (~is_nonempty(r["date"]), MSG_MOVE_DATE),
+        (~is_bilingual(r["text"]), MSG_MOVE_TEXT),
     ))
 
 
-def schedule_errors(r: Column) -> Column:
+def schedule_errors(r) -> Column:
+    r = _j(r)
     return _guarded(r, MSG_SCHEDULE_NOT_OBJECT, _errors(
-        (~is_bilingual(get(r, "date")), MSG_SCHEDULE_DATE),
-        (~is_bilingual(get(r, "text")), MSG_SCHEDULE_TEXT),
+        (~is_bilingual(r["date"]), MSG_SCHEDULE_DATE),
+        (~is_bilingual(r["text"]), MSG_SCHEDULE_TEXT),
     ))
 
 
@@ -177,34 +221,38 @@ def prefixed_child_errors(arr: Column, name: str) -> Column:
     """``name[i]: message`` for every error of every element, in element order."""
     rule = ROW_RULES[name]
     return F.flatten(F.transform(
-        as_array(arr),
-        lambda x, i: F.transform(rule(x), lambda e: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]: "), e)),
+        arr,
+        lambda x, i: F.transform(rule(J(x)), lambda e: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]: "), e)),
     ))
 
 
-def day_errors(d: Column) -> Column:
-    """All errors of a day document, in the reference's order."""
-    date = get(d, "date")
-    date_ok = is_nonempty(date) & _b(as_text(date).rlike(ISO_DATE_PATTERN))
-    stories = get(d, "stories")
+def _day_rules(d: J) -> Column:
+    date = d["date"]
+    date_ok = is_nonempty(date) & _b(date.text().rlike(ISO_DATE_PATTERN))
+    stories = d["stories"]
     stories_ok = is_array(stories) & _b(F.size(as_array(stories)) > 0)
 
     def section(name: str, ok: Column, msg: str) -> Column:
-        return F.when(ok, prefixed_child_errors(get(d, name), name)).otherwise(F.array(F.lit(msg)))
+        return F.when(ok, prefixed_child_errors(as_array(d[name]), name)).otherwise(F.array(F.lit(msg)))
 
     rules = F.concat(
         _errors((~date_ok, MSG_DAY_DATE),
-                (~is_bilingual(get(d, "dateLabel")), MSG_DAY_LABEL),
-                (~is_bilingual(get(d, "headline")), MSG_DAY_HEADLINE)),
+                (~is_bilingual(d["dateLabel"]), MSG_DAY_LABEL),
+                (~is_bilingual(d["headline"]), MSG_DAY_HEADLINE)),
         section("stories", stories_ok, MSG_DAY_STORIES),
-        section("injuries", is_array(get(d, "injuries")), MSG_DAY_INJURIES),
-        section("moves", is_array(get(d, "moves")), MSG_DAY_MOVES),
-        section("schedule", is_array(get(d, "schedule")), MSG_DAY_SCHEDULE),
+        section("injuries", is_array(d["injuries"]), MSG_DAY_INJURIES),
+        section("moves", is_array(d["moves"]), MSG_DAY_MOVES),
+        section("schedule", is_array(d["schedule"]), MSG_DAY_SCHEDULE),
     )
     return _guarded(d, MSG_DAY_NOT_OBJECT, rules)
 
 
+def day_errors(d: Column) -> Column:
+    """All errors of a day document, in the reference's order."""
+    return let(d, lambda x: _day_rules(J(x)))
+
+
 def missing_keys(v: Column, keys) -> Column:
     """Required keys absent from an object, in the given key order."""
-    return F.filter(F.array(*[F.when(~has_key(v, k), F.lit(k)) for k in keys]),
-                    lambda e: e.isNotNull())
+    return let(v, lambda x: F.filter(F.array(*[F.when(~has_key(J(x), k), F.lit(k)) for k in keys]),
+                                      lambda e: e.isNotNull()))

@@ -90,12 +90,12 @@ def replace_existing(index: DataFrame, new: DataFrame, key: str = "date"):
     return upsert(index, hits, key), missing
 
 
-def row_hash(cols: Sequence[str]) -> Column:
-    """Version token of a row's content."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256)
+def row_hash(cols: Sequence[Column]) -> Column:
+    """Version token of a row's content (SHA-256 of its fields as text)."""
+    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
 
 
-def versioned_upsert(index: DataFrame, updates: DataFrame, cols: Sequence[str],
+def versioned_upsert(index: DataFrame, updates: DataFrame, cols: Sequence[Column],
                      key: str = "date", base_col: str = "base_sha"):
     """Compare-and-set: an update carries the token of the row it was made from.
 

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pressroll.functions import dates as D
 from pressroll.operators import articles as A
 from pressroll.operators import index as I
+from pressroll.operators import validate as Vd
+from pressroll.operators.sequence import assemble_parts
+from pressroll.functions import documents as V
+from pressroll.functions import strings as S
 from pressroll.session import configure
 from pressroll.sources import tables as T
 
@@ -126,5 +130,320 @@ def index_entry(spark, d):
     return index_out(full_index(spark, d))
 
 
+# --- text functions -----------------------------------------------------------------
+
+def _stripped_pages(spark, d):
+    return T.read(spark, d, "pages").select("page_id", S.strip_html(F.col("html")).alias("text"))
+
+
+@query
+def strip_html(spark, d):
+    p = _stripped_pages(spark, d)
+    return p.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def truncate_text(spark, d):
+    p = T.read(spark, d, "pages").select("page_id", "html", S.strip_html(F.col("html")).alias("text"))
+    return p.select("page_id",
+                    S.truncate(F.col("text"), S.LIST_PAGE_BUDGET).alias("list_text"),
+                    S.truncate(F.col("text"), S.ARTICLE_BUDGET).alias("body_text"),
+                    S.truncate(F.col("html"), S.ERROR_EXCERPT).alias("excerpt"))
+
+
+def _bodies(spark, d):
+    return A.article_bodies(T.feed_pages(spark, d), T.read(spark, d, "pages"))
+
+
+@query
+def article_bodies(spark, d):
+    return _bodies(spark, d).select("ordinal", "date", "url", "text")
+
+
+@query
+def day_text(spark, d):
+    return A.day_text(_bodies(spark, d)).select("date", "part", "n_rows", "text")
+
+
+@query
+def organize_prompt(spark, d):
+    parts = A.day_text(_bodies(spark, d))
+    return parts.select("date", "part", S.organize_prompt(F.col("date"), F.col("text")).alias("prompt"))
+
+
+@query
+def extract_prompt(spark, d):
+    p = _stripped_pages(spark, d)
+    return p.select("page_id", S.extract_prompt(S.truncate(F.col("text"), S.LIST_PAGE_BUDGET)).alias("prompt"))
+
+
+@query
+def base64_roundtrip(spark, d):
+    docs = T.read(spark, d, "documents").select("doc_id", "text")
+    enc = docs.select("doc_id", "text", S.b64encode(F.col("text")).alias("b64"))
+    return enc.select("doc_id", "b64", (S.b64decode(F.col("b64")) == F.col("text")).alias("same"))
+
+
+@query
+def put_record(spark, d):
+    docs = T.read(spark, d, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    sha = F.when(i % 3 == 0, F.lit(None).cast("string")).when(i % 3 == 1, F.lit("")).otherwise(
+        F.sha1(F.col("text")))
+    body = S.put_record(F.col("text"), F.concat(F.lit("briefing "), i.cast("string")), sha)
+    return docs.select("doc_id", body.alias("body")).select(
+        "doc_id",
+        F.get_json_object("body", "$.message").alias("message"),
+        F.get_json_object("body", "$.content").alias("content"),
+        F.get_json_object("body", "$.sha").alias("sha"),
+        F.array_join(F.json_object_keys("body"), ",").alias("keys"))
+
+
+@query
+def parse_fenced_json(spark, d):
+    p = Vd.parse_days(T.raw_days(spark, d))
+    return p.select("doc_id", F.col("doc").isNotNull().alias("ok"),
+                    F.col("raw").startswith("```").alias("fenced"),
+                    F.col("parse_error").alias("error"))
+
+
+@query
+def concat_text_blocks(spark, d):
+    r = T.responses(spark, d)
+    text = r.where(F.col("type") == "text")
+    parts = assemble_parts(text, ["conv_id"], ["turn"], "text", "", 64)
+    empty = (r.select("conv_id").distinct().join(text.select("conv_id"), "conv_id", "left_anti")
+              .select("conv_id", F.lit(0).cast("long").alias("part"), F.lit("").alias("text"),
+                      F.lit(0).cast("long").alias("n_rows")))
+    return parts.select("conv_id", "part", "text", "n_rows").unionByName(empty)
+
+
+KST_FIX = [("오전 11시", "오전 10시 (정정: 기존 11시 안내 오류)"),
+           ("11am KST", "10am KST (corrected from an earlier 11am note)")]
+TEXT_FIX = [("ment ", "ment\u00a0"), ("the", "THE")]
+
+
+@query
+def literal_replace(spark, d):
+    docs = T.read(spark, d, "documents").select("doc_id", "text")
+    out = S.literal_replace(F.col("text"), KST_FIX + TEXT_FIX)
+    return docs.select("doc_id", out.alias("text"), (out != F.col("text")).alias("changed"))
+
+
+# --- document rules ---------------------------------------------------------------------
+
+def _parsed(spark, d):
+    return Vd.parse_days(T.raw_days(spark, d)).where(F.col("doc").isNotNull())
+
+
+@query
+def is_nonempty(spark, d):
+    p = _parsed(spark, d)
+    doc = V.J(F.col("doc"))
+    return p.select("doc_id",
+                    V.is_nonempty(doc["date"]).alias("date_ok"),
+                    V.is_nonempty(doc["headline"]["en"]).alias("headline_en_ok"),
+                    V.is_string(doc["headline"]).alias("headline_is_text"))
+
+
+@query
+def is_bilingual(spark, d):
+    p = _parsed(spark, d)
+    doc = V.J(F.col("doc"))
+    return p.select("doc_id",
+                    V.is_bilingual(doc["headline"]).alias("headline_ok"),
+                    V.is_bilingual(doc["dateLabel"]).alias("label_ok"))
+
+
+@query
+def is_bilingual_list(spark, d):
+    p = _parsed(spark, d)
+    first = V.J(F.col("doc"))["stories"].at(0)["facts"]
+    return p.select("doc_id", V.is_bilingual_list(first).alias("facts_ok"))
+
+
+@query
+def validate_days(spark, d):
+    v = Vd.with_errors(_parsed(spark, d))
+    return v.select("doc_id", F.size("errors").cast("long").alias("n_errors"),
+                    F.array_join("errors", " | ").alias("errors"))
+
+
+@query
+def validate_stories(spark, d):
+    r = Vd.story_reports(_parsed(spark, d))
+    return r.select("doc_id", F.col("story_pos").cast("long").alias("story_pos"),
+                    F.array_join("errors", " | ").alias("errors"))
+
+
+@query
+def validate_rows(spark, d):
+    r = Vd.row_reports(_parsed(spark, d))
+    return r.select("doc_id", "kind", F.col("pos").cast("long").alias("pos"),
+                    F.array_join("errors", " | ").alias("errors"))
+
+
+@query
+def valid_days(spark, d):
+    valid, quarantine = Vd.split_valid(Vd.with_errors(_parsed(spark, d)))
+    return valid.select("doc_id", F.variant_get("doc", "$.date", "string").alias("date"))
+
+
+# --- store integrity, upserts --------------------------------------------------------
+
+from pressroll.operators import integrity as G  # noqa: E402
+from pressroll.operators import repair as R  # noqa: E402
+
+
+def _store(spark, d):
+    return full_index(spark, d).select("date", "storyCount", "moveCount")
+
+
+def _index_json(spark, d):
+    return T.index_json(full_index(spark, d))
+
+
+@query
+def integrity_check(spark, d):
+    return G.check(_index_json(spark, d), _store(spark, d))
+
+
+@query
+def integrity_summary(spark, d):
+    ij = _index_json(spark, d)
+    return G.summary(G.check(ij, _store(spark, d)), ij).select("rule", F.col("n").cast("long").alias("n"))
+
+
+def _entries(spark, d):
+    return G.parse_index(_index_json(spark, d)).where("has_date")
+
+
+@query
+def index_detail_join(spark, d):
+    e = _entries(spark, d).select("date", F.col("storyCount").cast("long").alias("index_stories"))
+    s = _store(spark, d).select("date", F.col("storyCount").alias("day_stories"),
+                                F.col("moveCount").alias("day_moves"))
+    return G.index_detail_join(e, s)
+
+
+@query
+def orphan_days(spark, d):
+    return G.orphan_days(_store(spark, d).select("date"), _entries(spark, d))
+
+
+@query
+def dangling_index(spark, d):
+    return G.dangling_index(_entries(spark, d).select("date"), _store(spark, d))
+
+
+def _updates(spark, d):
+    return full_index(spark, d).where(F.substring("date", 9, 2) == "01")
+
+
+@query
+def index_upsert(spark, d):
+    return index_out(I.upsert(saved_index(spark, d), _updates(spark, d)))
+
+
+@query
+def index_insert_absent(spark, d):
+    return index_out(I.insert_absent(saved_index(spark, d), _updates(spark, d)))
+
+
+@query
+def index_replace(spark, d):
+    result, missing = I.replace_existing(saved_index(spark, d), _updates(spark, d))
+    return (index_out(result).withColumn("outcome", F.lit("index"))
+            .unionByName(index_out(missing).withColumn("outcome", F.lit("missing"))))
+
+
+def index_fields(df_or_none=None):
+    return [F.col("date"), F.col("dateLabel.ko"), F.col("dateLabel.en"), F.col("headline.ko"),
+            F.col("headline.en"), F.col("storyCount"), F.col("moveCount"), F.array_join("tags", ",")]
+
+
+@query
+def versioned_upsert(spark, d):
+    saved = saved_index(spark, d)
+    tokens = saved.select("date", I.row_hash(index_fields()).alias("_tok"))
+    e = T.epoch_day(F.col("date"))
+    upd = (_updates(spark, d).join(tokens, "date", "left")
+           .withColumn("base_sha", F.when(F.col("_tok").isNull(), F.lit(None).cast("string"))
+                                    .when(e % 2 == 0, F.col("_tok")).otherwise(F.lit("stale")))
+           .drop("_tok"))
+    result, accepted, rejected = I.versioned_upsert(saved, upd, index_fields())
+    return (index_out(result).withColumn("outcome", F.lit("index"))
+            .unionByName(index_out(rejected.drop("base_sha")).withColumn("outcome", F.lit("rejected"))))
+
+
+# --- archive queries -------------------------------------------------------------------
+
+def _story_keys(df):
+    return df.select("date", *[F.col(f"story_ord.{c}").alias(c)
+                               for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+
+@query
+def archive_by_tags(spark, d):
+    return I.by_tags(T.archive(spark, d), ["DE", "SRC3"]).select("doc_id", "date")
+
+
+@query
+def archive_by_all_tags(spark, d):
+    return I.by_tags(T.archive(spark, d), ["EN", "SRC1"], mode="all").select("doc_id", "date")
+
+
+@query
+def archive_search(spark, d):
+    return I.search(T.archive(spark, d), "Ment").select("doc_id", "date")
+
+
+@query
+def archive_by_month(spark, d):
+    return I.by_month(full_index(spark, d))
+
+
+@query
+def tag_vocabulary(spark, d):
+    return I.tag_vocabulary(T.stories(spark, d)).select("tag", F.col("n").cast("long").alias("n"))
+
+
+@query
+def stories_by_tag(spark, d):
+    return _story_keys(I.stories_by_tag(T.stories(spark, d), "FLAG_R"))
+
+
+@query
+def stories_by_tag_substring(spark, d):
+    return _story_keys(I.stories_by_tag(T.stories(spark, d), "FLAG", mode="substring"))
+
+
+@query
+def day_lookup(spark, d):
+    return _story_keys(I.day_lookup(T.stories(spark, d), "1997-05-28"))
+
+
+@query
+def linked_stories(spark, d):
+    return (I.linked(T.stories(spark, d)).groupBy("date")
+             .agg(F.count(F.lit(1)).cast("long").alias("n_linked")))
+
+
+@query
+def first_seen(spark, d):
+    f = I.first_seen_tags(T.stories(spark, d))
+    return f.select("date", "tag", F.col("first.story_ord.l_orderkey").alias("l_orderkey"),
+                    F.col("first.story_ord.l_linenumber").alias("l_linenumber"),
+                    F.col("first.story_ord.l_partkey").alias("l_partkey"),
+                    F.col("first.tag_pos").cast("long").alias("tag_pos"))
+
+
+@query
+def delete_stories(spark, d):
+    st = R.delete_matching(T.stories(spark, d), F.col("title.ko"), "부품 1")
+    mv = R.delete_matching(T.moves(spark, d), F.col("text.ko"), "주문 2")
+    return index_out(I.index_entries(st, mv, T.days(spark, d)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

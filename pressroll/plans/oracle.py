@@ -147,5 +147,409 @@ FROM days"""
 ORACLE["index_entry"] = with_(FULL) + "SELECT * FROM index"
 
 
+# --- text functions ------------------------------------------------------------------
+
+from pressroll.functions import documents as Dm  # noqa: E402
+from pressroll.functions import strings as St  # noqa: E402
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def nl_join(*parts: str) -> str:
+    return "concat_ws(chr(10), " + ", ".join(parts) + ")"
+
+
+def strip_sql(x: str) -> str:
+    r = f"regexp_replace({x}, '(?i)<script[\\s\\S]*?</script>', ' ', 'g')"
+    r = f"regexp_replace({r}, '(?i)<style[\\s\\S]*?</style>', ' ', 'g')"
+    r = f"regexp_replace({r}, '<!--[\\s\\S]*?-->', ' ', 'g')"
+    r = f"regexp_replace({r}, '[{WS}]+', ' ', 'g')"
+    return js_trim(r)
+
+
+SEP_SQL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+FEED = """feed AS (
+  SELECT page_id AS ordinal, 'Page ' || page_id AS title,
+         CASE WHEN page_id % 9 = 0 THEN url || '#gone' ELSE url END AS url,
+         '2026-08-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS date
+  FROM pages)"""
+BODIES = f"""bodies AS (
+  SELECT f.ordinal, f.date, f.url,
+         'URL: ' || f.url || chr(10) || f.title || chr(10) || chr(10) ||
+         coalesce(substring({strip_sql('p.html')}, 1, {St.ARTICLE_BUDGET}),
+                  {q(St.FETCH_FAILED_PREFIX)} || 'Failed to fetch ' || f.url || ' (404)]') AS text
+  FROM feed f LEFT JOIN pages p ON f.url = p.url)"""
+DAYTEXT = f"""daytext AS (
+  SELECT date, CAST(pos // 64 AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_rows,
+         string_agg(text, {SEP_SQL} ORDER BY ordinal) AS text
+  FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ordinal) - 1 AS pos FROM bodies)
+  GROUP BY date, pos // 64)"""
+
+ORACLE["strip_html"] = f"""SELECT page_id, {strip_sql('html')} AS text,
+  CAST(length({strip_sql('html')}) AS BIGINT) AS n_chars FROM pages"""
+
+ORACLE["truncate_text"] = f"""SELECT page_id, substring(t, 1, {St.LIST_PAGE_BUDGET}) AS list_text,
+  substring(t, 1, {St.ARTICLE_BUDGET}) AS body_text, substring(html, 1, {St.ERROR_EXCERPT}) AS excerpt
+FROM (SELECT page_id, html, {strip_sql('html')} AS t FROM pages)"""
+
+ORACLE["article_bodies"] = with_(FEED, BODIES) + "SELECT ordinal, date, url, text FROM bodies"
+
+ORACLE["day_text"] = with_(FEED, BODIES, DAYTEXT) + "SELECT date, part, n_rows, text FROM daytext"
+
+ORACLE["organize_prompt"] = with_(FEED, BODIES, DAYTEXT) + "SELECT date, part, " + nl_join(
+    q(St.ORGANIZE_PROMPT_HEAD),
+    q(St.ORGANIZE_PROMPT_DATE[0]) + " || date || " + q(St.ORGANIZE_PROMPT_DATE[1]),
+    *[q(x) for x in St.ORGANIZE_PROMPT_BODY], "text", q(St.ORGANIZE_PROMPT_END)) + " AS prompt FROM daytext"
+
+ORACLE["extract_prompt"] = "SELECT page_id, " + nl_join(
+    *[q(x) for x in St.EXTRACT_PROMPT_LINES], f"substring({strip_sql('html')}, 1, {St.LIST_PAGE_BUDGET})",
+    q(St.EXTRACT_PROMPT_END)) + " AS prompt FROM pages"
+
+ORACLE["base64_roundtrip"] = """SELECT doc_id, to_base64(encode(text)) AS b64,
+  decode(from_base64(to_base64(encode(text)))) = text AS same FROM documents"""
+
+ORACLE["put_record"] = """SELECT doc_id, 'briefing ' || doc_id AS message, to_base64(encode(text)) AS content,
+  CASE WHEN doc_id % 3 = 2 THEN sha1(text) END AS sha,
+  CASE WHEN doc_id % 3 = 2 THEN 'message,content,sha' ELSE 'message,content' END AS keys
+FROM documents"""
+
+
+def jstr(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+RAW_DAYS = f"""raw_days AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS raw
+  FROM (
+    SELECT doc_id, CASE WHEN doc_id % 37 = 10 THEN substring(b, 1, length(b) - 1) ELSE b END AS body
+    FROM (
+      SELECT doc_id, '{{' || concat_ws(',',
+        '"date":' || CASE WHEN doc_id % 19 = 6 THEN '"' || dt || '\\n"' ELSE '"' || dt || '"' END,
+        '"dateLabel":{{"ko":"' || dt || ' (현지)","en":"' || dt || '"}}',
+        '"headline":' || CASE WHEN doc_id % 13 = 4 THEN t ELSE '{{"ko":' || lg || ',"en":' || t || '}}' END,
+        '"stories":' || CASE WHEN doc_id % 23 = 7 THEN '[]' ELSE '[' ||
+            '{{' || CASE WHEN doc_id % 5 = 1 THEN '' ELSE '"icon":"📰",' END ||
+            '"status":"NEW","tags":[' || lg || ',' || src || '],"title":{{"ko":' || src || ',"en":' || src || '}}' ||
+            ',"facts":{{"ko":[' || lg || '],"en":' ||
+              CASE WHEN doc_id % 11 = 3 THEN '[' || lg || ',"extra"]' ELSE '[' || lg || ']' END ||
+            '}},"interp":{{"ko":"해설","en":' || t || '}},"url":' ||
+              CASE WHEN doc_id % 7 = 2 THEN 'null' WHEN doc_id % 29 = 8 THEN '12345' ELSE '"/d/' || doc_id || '"' END ||
+            '}}' || ',' ||
+            CASE WHEN doc_id % 43 = 12 THEN '"oops"' WHEN doc_id % 47 = 13 THEN '[]'
+                 ELSE '{{"icon":"🏈","status":"RUMOR","tags":["NOTE"],"title":{{"ko":"메모","en":"Note"}},"facts":{{"ko":["가"],"en":["a"]}},"interp":{{"ko":"나","en":"b"}}}}' END ||
+            ']' END,
+        CASE WHEN doc_id % 31 = 9 THEN NULL ELSE
+          '"injuries":[{{"player":{{"ko":"선수","en":"Player"}},"issue":{{"ko":"무릎","en":"Knee"}},"status":{{"ko":"주의","en":"Questionable"}},"watch":'
+          || CASE WHEN doc_id % 17 = 5 THEN '"yes"' ELSE 'true' END || '}}]' END,
+        '"moves":' || CASE WHEN doc_id % 3 = 1 THEN '[{{"date":' || CASE WHEN doc_id % 53 = 14 THEN '""' ELSE '"08-15"' END
+                              || ',"text":{{"ko":"이동","en":"Move"}}}}]' ELSE '[]' END,
+        '"schedule":[{{"date":{{"ko":"8월 15일\\n","en":"Aug 15\\n"}},"text":{{"ko":"경기","en":"Game"}}}}]'
+      ) || '}}' AS b
+      FROM (SELECT doc_id, {jstr('text')} AS t, {jstr('lang')} AS lg, {jstr('source')} AS src,
+                   '2026-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' ||
+                   lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS dt
+            FROM documents))))"""
+
+FENCE_SQL = St.FENCE_PATTERN
+PARSED_DAYS = f"""inner_days AS (
+  SELECT doc_id, raw, CASE WHEN regexp_matches({js_trim('raw')}, '{FENCE_SQL}')
+                          THEN {js_trim(f"regexp_extract({js_trim('raw')}, '{FENCE_SQL}', 1)")}
+                          ELSE {js_trim('raw')} END AS inner_text
+  FROM raw_days),
+docs AS (SELECT doc_id, CAST(inner_text AS JSON) AS doc FROM inner_days WHERE json_valid(inner_text))"""
+
+ORACLE["parse_fenced_json"] = with_(RAW_DAYS, PARSED_DAYS) + """
+SELECT doc_id, json_valid(inner_text) AS ok, starts_with(raw, '```') AS fenced,
+       CASE WHEN NOT json_valid(inner_text)
+            THEN 'parse_fenced_json: failed to parse JSON: ' || substring(inner_text, 1, 200) END AS error
+FROM inner_days"""
+
+
+# JSON rules -------------------------------------------------------------------------
+
+def j_nonempty(x: str, path: str = "$") -> str:
+    return (f"coalesce(json_type({x}, '{path}') = 'VARCHAR' AND "
+            f"regexp_matches(json_extract_string({x}, '{path}'), '[^{WS}]'), false)")
+
+
+def j_bi(x: str, path: str) -> str:
+    return f"({j_nonempty(x, path + '.ko')} AND {j_nonempty(x, path + '.en')})"
+
+
+def j_all_nonempty(x: str, path: str) -> str:
+    return f"coalesce(list_bool_and(list_transform(json_extract({x}, '{path}[*]'), lambda e: {j_nonempty('e')})), false)"
+
+
+def j_bilist(x: str, path: str) -> str:
+    ko, en = path + ".ko", path + ".en"
+    return (f"coalesce(json_type({x}, '{ko}') = 'ARRAY' AND json_type({x}, '{en}') = 'ARRAY' "
+            f"AND json_array_length({x}, '{ko}') > 0 AND json_array_length({x}, '{en}') > 0 "
+            f"AND json_array_length({x}, '{ko}') = json_array_length({x}, '{en}') "
+            f"AND {j_all_nonempty(x, ko)} AND {j_all_nonempty(x, en)}, false)")
+
+
+def j_objlike(x: str) -> str:
+    return f"coalesce(json_type({x}) IN ('OBJECT', 'ARRAY'), false)"
+
+
+def j_errors(x: str, not_obj: str, pairs) -> str:
+    items = ", ".join(f"CASE WHEN NOT ({bad}) THEN {q(msg)} END" for bad, msg in pairs)
+    return (f"(CASE WHEN NOT {j_objlike(x)} THEN [{q(not_obj)}] "
+            f"ELSE list_filter([{items}], lambda e: e IS NOT NULL) END)")
+
+
+def j_story(x: str) -> str:
+    tags_ok = (f"coalesce(json_type({x}, '$.tags') = 'ARRAY' AND json_array_length({x}, '$.tags') > 0 "
+               f"AND {j_all_nonempty(x, '$.tags')}, false)")
+    url_ok = f"(NOT coalesce(json_exists({x}, '$.url'), false) OR {j_nonempty(x, '$.url')})"
+    return j_errors(x, Dm.MSG_STORY_NOT_OBJECT, [
+        (j_nonempty(x, "$.icon"), Dm.MSG_STORY_ICON),
+        (j_nonempty(x, "$.status"), Dm.MSG_STORY_STATUS),
+        (tags_ok, Dm.MSG_STORY_TAGS),
+        (j_bi(x, "$.title"), Dm.MSG_STORY_TITLE),
+        (j_bilist(x, "$.facts"), Dm.MSG_STORY_FACTS),
+        (j_bi(x, "$.interp"), Dm.MSG_STORY_INTERP),
+        (url_ok, Dm.MSG_STORY_URL),
+    ])
+
+
+def j_injury(x: str) -> str:
+    watch_ok = (f"(NOT coalesce(json_exists({x}, '$.watch'), false) OR "
+                f"coalesce(json_type({x}, '$.watch') = 'BOOLEAN', false))")
+    return j_errors(x, Dm.MSG_INJURY_NOT_OBJECT, [
+        (j_bi(x, "$.player"), Dm.MSG_INJURY_PLAYER),
+        (j_bi(x, "$.issue"), Dm.MSG_INJURY_ISSUE),
+        (j_bi(x, "$.status"), Dm.MSG_INJURY_STATUS),
+        (watch_ok, Dm.MSG_INJURY_WATCH),
+    ])
+
+
+def j_move(x: str) -> str:
+    return j_errors(x, Dm.MSG_MOVE_NOT_OBJECT, [
+        (j_nonempty(x, "$.date"), Dm.MSG_MOVE_DATE),
+        (j_bi(x, "$.text"), Dm.MSG_MOVE_TEXT),
+    ])
+
+
+def j_sched(x: str) -> str:
+    return j_errors(x, Dm.MSG_SCHEDULE_NOT_OBJECT, [
+        (j_bi(x, "$.date"), Dm.MSG_SCHEDULE_DATE),
+        (j_bi(x, "$.text"), Dm.MSG_SCHEDULE_TEXT),
+    ])
+
+
+J_RULES = {"stories": j_story, "injuries": j_injury, "moves": j_move, "schedule": j_sched}
+
+
+def j_children(x: str, name: str) -> str:
+    rule = J_RULES[name]
+    return (f"flatten(list_transform(json_extract({x}, '$.{name}[*]'), lambda el, i: "
+            f"list_transform({rule('el')}, lambda m: '{name}[' || (i - 1) || ']: ' || m)))")
+
+
+def j_day(x: str) -> str:
+    date_ok = f"({j_nonempty(x, '$.date')} AND coalesce(regexp_matches(json_extract_string({x}, '$.date'), '{Dm.ISO_DATE_PATTERN}'), false))"
+    stories_ok = f"coalesce(json_type({x}, '$.stories') = 'ARRAY' AND json_array_length({x}, '$.stories') > 0, false)"
+
+    def section(name, ok, msg):
+        return f"(CASE WHEN {ok} THEN {j_children(x, name)} ELSE [{q(msg)}] END)"
+
+    def is_arr(name):
+        return f"coalesce(json_type({x}, '$.{name}') = 'ARRAY', false)"
+
+    head = ", ".join(f"CASE WHEN NOT ({bad}) THEN {q(msg)} END" for bad, msg in [
+        (date_ok, Dm.MSG_DAY_DATE), (j_bi(x, "$.dateLabel"), Dm.MSG_DAY_LABEL),
+        (j_bi(x, "$.headline"), Dm.MSG_DAY_HEADLINE)])
+    rules = (f"list_concat(list_filter([{head}], lambda e: e IS NOT NULL), "
+             f"{section('stories', stories_ok, Dm.MSG_DAY_STORIES)}, "
+             f"{section('injuries', is_arr('injuries'), Dm.MSG_DAY_INJURIES)}, "
+             f"{section('moves', is_arr('moves'), Dm.MSG_DAY_MOVES)}, "
+             f"{section('schedule', is_arr('schedule'), Dm.MSG_DAY_SCHEDULE)})")
+    return f"(CASE WHEN NOT {j_objlike(x)} THEN [{q(Dm.MSG_DAY_NOT_OBJECT)}] ELSE {rules} END)"
+
+
+DOCS = with_(RAW_DAYS, PARSED_DAYS)
+
+ORACLE["is_nonempty"] = DOCS + f"""SELECT doc_id, {j_nonempty('doc', '$.date')} AS date_ok,
+  {j_nonempty('doc', '$.headline.en')} AS headline_en_ok,
+  coalesce(json_type(doc, '$.headline') = 'VARCHAR', false) AS headline_is_text FROM docs"""
+
+ORACLE["is_bilingual"] = DOCS + f"""SELECT doc_id, {j_bi('doc', '$.headline')} AS headline_ok,
+  {j_bi('doc', '$.dateLabel')} AS label_ok FROM docs"""
+
+ORACLE["is_bilingual_list"] = DOCS + f"""SELECT doc_id, {j_bilist('doc', '$.stories[0].facts')} AS facts_ok FROM docs"""
+
+ORACLE["validate_days"] = DOCS + f"""SELECT doc_id, CAST(len(e) AS BIGINT) AS n_errors, array_to_string(e, ' | ') AS errors
+FROM (SELECT doc_id, {j_day('doc')} AS e FROM docs)"""
+
+ORACLE["validate_stories"] = DOCS + f"""SELECT doc_id, CAST(pos - 1 AS BIGINT) AS story_pos,
+  array_to_string({j_story('s')}, ' | ') AS errors
+FROM (SELECT doc_id, unnest(json_extract(doc, '$.stories[*]')) AS s,
+             unnest(generate_series(1, CAST(json_array_length(doc, '$.stories') AS BIGINT))) AS pos
+      FROM docs WHERE json_type(doc, '$.stories') = 'ARRAY')"""
+
+ORACLE["validate_rows"] = DOCS + " UNION ALL ".join(
+    f"""SELECT doc_id, '{kind}' AS kind, CAST(pos - 1 AS BIGINT) AS pos, array_to_string({J_RULES[kind]('r')}, ' | ') AS errors
+FROM (SELECT doc_id, unnest(json_extract(doc, '$.{kind}[*]')) AS r,
+             unnest(generate_series(1, CAST(json_array_length(doc, '$.{kind}') AS BIGINT))) AS pos
+      FROM docs WHERE json_type(doc, '$.{kind}') = 'ARRAY')
+""" for kind in ("injuries", "moves", "schedule"))
+
+ORACLE["valid_days"] = DOCS + f"""SELECT doc_id, json_extract_string(doc, '$.date') AS date
+FROM (SELECT doc_id, doc, {j_day('doc')} AS e FROM docs) WHERE len(e) = 0"""
+
+ORACLE["concat_text_blocks"] = """WITH t AS (
+  SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
+  FROM conversations WHERE role = 'assistant')
+SELECT conv_id, CAST(pos // 64 AS BIGINT) AS part, string_agg(text, '' ORDER BY turn) AS text,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM t GROUP BY conv_id, pos // 64
+UNION ALL
+SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT) FROM conversations
+WHERE conv_id NOT IN (SELECT conv_id FROM t)"""
+
+ORACLE["literal_replace"] = """SELECT doc_id, t AS text, t <> text AS changed FROM (
+  SELECT doc_id, text, replace(replace(replace(replace(text,
+    '오전 11시', '오전 10시 (정정: 기존 11시 안내 오류)'),
+    '11am KST', '10am KST (corrected from an earlier 11am note)'),
+    'ment ', 'ment' || chr(160)), 'the', 'THE') AS t
+  FROM documents)"""
+
+
+# --- integrity, upserts ------------------------------------------------------------
+
+def _entry_json(date_expr: str, story_expr: str, move_expr: str, with_headline: str) -> str:
+    return f"""'{{' || concat_ws(',',
+      '"date":' || CAST(to_json({date_expr}) AS VARCHAR),
+      '"dateLabel":' || CAST(json_object('ko', label_ko, 'en', label_en) AS VARCHAR),
+      CASE WHEN {with_headline} THEN '"headline":' || CAST(json_object('ko', headline_ko, 'en', headline_en) AS VARCHAR) END,
+      '"storyCount":' || {story_expr},
+      '"moveCount":' || {move_expr},
+      '"tags":' || CAST(to_json(string_split(tags, ',')) AS VARCHAR)) || '}}'"""
+
+
+EPOCH = "date_diff('day', DATE '1970-01-01', CAST(date AS DATE))"
+INDEX_JSON = f"""ix AS (SELECT *, {EPOCH} AS e FROM index),
+index_json AS (
+  SELECT date AS source_date, {_entry_json("CASE WHEN e % 19 = 0 THEN '' ELSE date END",
+                                           "CAST(storyCount + CASE WHEN e % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR)",
+                                           "CASE WHEN e % 13 = 0 THEN '\"' || moveCount || '\"' ELSE CAST(moveCount AS VARCHAR) END",
+                                           "e % 17 <> 0")} AS entry
+  FROM ix WHERE e % 7 <> 0
+  UNION ALL
+  SELECT date, {_entry_json("strftime(CAST(date AS DATE) + 36500, '%Y-%m-%d')", "CAST(storyCount AS VARCHAR)",
+                            "CAST(moveCount AS VARCHAR)", "TRUE")}
+  FROM ix WHERE e % 7 <> 0 AND e % 11 = 0),
+entries AS (
+  SELECT e, json_extract_string(e, '$.date') AS date,
+    coalesce(CASE json_type(e, '$.date') WHEN 'VARCHAR' THEN length(json_extract_string(e, '$.date')) > 0
+                  WHEN 'BOOLEAN' THEN CAST(json_extract(e, '$.date') AS BOOLEAN)
+                  WHEN 'NULL' THEN false WHEN 'OBJECT' THEN true WHEN 'ARRAY' THEN true
+                  ELSE TRY_CAST(json_extract_string(e, '$.date') AS DOUBLE) <> 0 END, false) AS has_date,
+    CASE WHEN json_type(e, '$.storyCount') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(e, '$.storyCount') AS DOUBLE) END AS storyCount,
+    CASE WHEN json_type(e, '$.moveCount') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(e, '$.moveCount') AS DOUBLE) END AS moveCount
+  FROM (SELECT CAST(entry AS JSON) AS e FROM index_json)),
+store AS (SELECT date, storyCount, moveCount FROM index),
+referenced AS (SELECT * FROM entries WHERE has_date),
+joined AS (SELECT r.*, s.storyCount AS s_story, s.moveCount AS s_move, s.date IS NOT NULL AS found
+           FROM referenced r LEFT JOIN store s ON r.date = s.date),
+findings AS (
+  {" UNION ALL ".join(f"SELECT 'missing_key' AS rule, date, '{k}' AS detail FROM entries WHERE NOT json_exists(e, '$.{k}')" for k in Dm.INDEX_KEYS)}
+  UNION ALL SELECT 'missing_detail', date, '' FROM joined WHERE NOT found
+  UNION ALL SELECT 'story_count', date, 'index ' || CAST(CAST(storyCount AS BIGINT) AS VARCHAR) || ' vs day ' || s_story
+            FROM joined WHERE found AND storyCount IS NOT NULL AND storyCount <> s_story
+  UNION ALL SELECT 'move_count', date, 'index ' || CAST(CAST(moveCount AS BIGINT) AS VARCHAR) || ' vs day ' || s_move
+            FROM joined WHERE found AND moveCount IS NOT NULL AND moveCount <> s_move
+  UNION ALL SELECT 'orphan', date, '' FROM store WHERE date NOT IN (SELECT date FROM referenced WHERE date IS NOT NULL))"""
+
+INTEG = with_(FULL, INDEX_JSON)
+
+ORACLE["integrity_check"] = INTEG + "SELECT rule, date, detail FROM findings"
+
+ORACLE["integrity_summary"] = INTEG + """
+SELECT rule, CAST(count(*) AS BIGINT) AS n FROM findings GROUP BY rule
+UNION ALL SELECT 'total', CAST(count(*) AS BIGINT) FROM findings
+UNION ALL SELECT 'briefings', CAST(count(*) AS BIGINT) FROM index_json"""
+
+ORACLE["index_detail_join"] = INTEG + """
+SELECT r.date, CAST(r.storyCount AS BIGINT) AS index_stories, s.storyCount AS day_stories, s.moveCount AS day_moves
+FROM referenced r LEFT JOIN store s ON r.date = s.date"""
+
+ORACLE["orphan_days"] = INTEG + "SELECT date FROM store WHERE date NOT IN (SELECT date FROM referenced WHERE date IS NOT NULL)"
+
+ORACLE["dangling_index"] = INTEG + "SELECT date FROM referenced WHERE date NOT IN (SELECT date FROM store)"
+
+UPD = with_(SAVED, FULL, "updates AS (SELECT * FROM index WHERE substring(date, 9, 2) = '01')")
+
+ORACLE["index_upsert"] = UPD + """
+SELECT * FROM index_saved WHERE date NOT IN (SELECT date FROM updates) UNION ALL SELECT * FROM updates"""
+
+ORACLE["index_insert_absent"] = UPD + """
+SELECT * FROM index_saved UNION ALL SELECT * FROM updates WHERE date NOT IN (SELECT date FROM index_saved)"""
+
+ORACLE["index_replace"] = UPD + """
+SELECT *, 'index' AS outcome FROM index_saved WHERE date NOT IN (SELECT date FROM updates)
+UNION ALL SELECT *, 'index' FROM updates WHERE date IN (SELECT date FROM index_saved)
+UNION ALL SELECT *, 'missing' FROM updates WHERE date NOT IN (SELECT date FROM index_saved)"""
+
+ROW_HASH = "sha256(concat_ws(chr(31), date, label_ko, label_en, headline_ko, headline_en, CAST(storyCount AS VARCHAR), CAST(moveCount AS VARCHAR), tags))"
+
+ORACLE["versioned_upsert"] = UPD + f""",
+tokens AS (SELECT date, {ROW_HASH} AS tok FROM index_saved),
+upd AS (SELECT u.*, CASE WHEN t.tok IS NULL THEN NULL WHEN date_diff('day', DATE '1970-01-01', CAST(u.date AS DATE)) % 2 = 0 THEN t.tok ELSE 'stale' END AS base_sha,
+               t.tok AS cur
+        FROM updates u LEFT JOIN tokens t ON u.date = t.date),
+judged AS (SELECT *, CASE WHEN cur IS NULL THEN (base_sha IS NULL OR base_sha = '') ELSE base_sha = cur END AS ok FROM upd)
+SELECT *, 'index' AS outcome FROM index_saved WHERE date NOT IN (SELECT date FROM judged WHERE ok)
+UNION ALL SELECT date, label_ko, label_en, headline_ko, headline_en, storyCount, moveCount, tags, 'index' FROM judged WHERE ok
+UNION ALL SELECT date, label_ko, label_en, headline_ko, headline_en, storyCount, moveCount, tags, 'rejected' FROM judged WHERE NOT ok"""
+
+# --- archive queries ---------------------------------------------------------------------
+
+ARCHIVE = """archive AS (
+  SELECT doc_id, strftime(DATE '2024-01-01' + CAST(doc_id % 1000 AS INTEGER), '%Y-%m-%d') AS date,
+         text AS headline, [upper(lang), upper(source)] AS tags FROM documents)"""
+
+ORACLE["archive_by_tags"] = with_(ARCHIVE) + "SELECT doc_id, date FROM archive WHERE list_has_any(tags, ['DE', 'SRC3'])"
+ORACLE["archive_by_all_tags"] = with_(ARCHIVE) + "SELECT doc_id, date FROM archive WHERE list_has_all(tags, ['EN', 'SRC1'])"
+ORACLE["archive_search"] = with_(ARCHIVE) + """SELECT doc_id, date FROM archive
+WHERE contains(lower(headline || ' ' || array_to_string(tags, ' ')), 'ment')"""
+
+ORACLE["archive_by_month"] = with_(FULL) + """SELECT substring(date, 1, 7) AS month, CAST(count(*) AS BIGINT) AS n_days,
+  CAST(sum(storyCount) AS BIGINT) AS n_stories, min(date) AS first_date, max(date) AS last_date FROM index GROUP BY 1"""
+
+STORY_TAGS = """story_tags AS (
+  SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey, tag0, tag1, tag2, [tag0, tag1, tag2] AS tags FROM stories)"""
+
+ORACLE["tag_vocabulary"] = with_(FULL) + """SELECT tag, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT tag0 AS tag FROM stories UNION ALL SELECT tag1 FROM stories UNION ALL SELECT tag2 FROM stories) GROUP BY tag"""
+
+ORACLE["stories_by_tag"] = with_(FULL, STORY_TAGS) + """SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey
+FROM story_tags WHERE list_contains(tags, 'FLAG_R')"""
+
+ORACLE["stories_by_tag_substring"] = with_(FULL, STORY_TAGS) + """SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey
+FROM story_tags WHERE contains(array_to_string(tags, ','), 'FLAG')"""
+
+ORACLE["day_lookup"] = with_(FULL) + """SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey
+FROM stories WHERE date = '1997-05-28'"""
+
+ORACLE["linked_stories"] = with_(FULL) + f"""SELECT date, CAST(count(*) AS BIGINT) AS n_linked FROM stories
+WHERE (l_orderkey + l_linenumber + l_partkey) % 8 <> 0 AND (l_orderkey + l_linenumber + l_partkey) % 4 = 0
+GROUP BY date"""
+
+ORACLE["first_seen"] = with_(FULL) + """SELECT date, tag, l_orderkey, l_linenumber, l_partkey, CAST(tp AS BIGINT) AS tag_pos
+FROM tagpos"""
+
+DEL = day_store("", None).replace(
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE TRUE",
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT contains('부품 ' || l_partkey, '부품 1')").replace(
+    "WHERE o_orderstatus = 'F' AND TRUE", "WHERE o_orderstatus = 'F' AND NOT contains('주문 ' || o_orderkey || ' 완료', '주문 2')")
+ORACLE["delete_stories"] = with_(DEL) + "SELECT * FROM index"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

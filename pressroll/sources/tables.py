@@ -315,3 +315,41 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "assistant", F.lit("text")).otherwise(F.lit("tool_use")).alias("type"),
         "text",
     )
+
+
+# --- saved index as stored JSON rows (with planned defects) --------------------
+
+def epoch_day(date: Column) -> Column:
+    return F.datediff(F.to_date(date), F.to_date(F.lit("1970-01-01")))
+
+
+def index_json(entries: DataFrame) -> DataFrame:
+    """The index as stored JSON text, one row per entry, from derived entries.
+
+    Keyed by the day number e of the date: e%7==0 rows are missing (orphan
+    days), e%5==0 story counts are off by one, e%13==0 move counts are text,
+    e%17==0 rows lack ``headline``, e%19==0 rows have an empty date, and e%11==0
+    rows get a twin dated 100 years later (no such day).
+    """
+    e = epoch_day(F.col("date"))
+    date = F.when(e % 19 == 0, F.lit("")).otherwise(F.col("date"))
+    story = (F.col("storyCount") + F.when(e % 5 == 0, 1).otherwise(0)).cast("string")
+    move = F.when(e % 13 == 0, json_str(F.col("moveCount").cast("string"))).otherwise(
+        F.col("moveCount").cast("string"))
+    entry = _obj(
+        ("date", json_str(date)),
+        ("dateLabel", F.to_json("dateLabel")),
+        ("headline", F.when(e % 17 != 0, F.to_json("headline"))),
+        ("storyCount", story),
+        ("moveCount", move),
+        ("tags", F.to_json("tags")),
+    )
+    kept = entries.where(e % 7 != 0)
+    base = kept.select(F.col("date").alias("source_date"), entry.alias("entry"))
+    twin_date = F.date_format(F.date_add(F.to_date("date"), 36500), "yyyy-MM-dd")
+    twins = kept.where(e % 11 == 0).select(
+        F.col("date").alias("source_date"),
+        _obj(("date", json_str(twin_date)), ("dateLabel", F.to_json("dateLabel")),
+             ("headline", F.to_json("headline")), ("storyCount", F.col("storyCount").cast("string")),
+             ("moveCount", F.col("moveCount").cast("string")), ("tags", F.to_json("tags"))).alias("entry"))
+    return base.unionByName(twins)
