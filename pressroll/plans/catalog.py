@@ -445,5 +445,62 @@ def delete_stories(spark, d):
     return index_out(I.index_entries(st, mv, T.days(spark, d)))
 
 
+# --- schedule ------------------------------------------------------------------------
+
+from pressroll.operators import schedule as Sc  # noqa: E402
+
+
+@query
+def scan_games(spark, d):
+    g = T.games(spark, d)
+    return g.select("team", "pos", "phase", "week", "opponent", "home", "dateKST", "etLabel", "bcast",
+                    F.col("final.ko").alias("final_ko"), F.col("final.en").alias("final_en"),
+                    "rivalry", "bye", "tbd")
+
+
+@query
+def convert_kickoff(spark, d):
+    g = T.games(spark, d).where(F.col("dateKST").isNotNull())
+    return g.select("team", "pos", "dateKST")
+
+
+@query
+def format_wall_clock(spark, d):
+    g = T.games(spark, d).where(F.col("dateKST").isNotNull())
+    return g.select("team", "pos", D.format_wall_clock(F.col("dateKST"), "ko").alias("ko"),
+                    D.format_wall_clock(F.col("dateKST"), "en").alias("en"))
+
+
+@query
+def pick_language(spark, d):
+    g = T.games(spark, d).where(F.col("final").isNotNull())
+    return g.select("team", "pos", Sc.pick(F.col("final"), "ko").alias("ko"), Sc.pick(F.col("final"), "en").alias("en"))
+
+
+@query
+def schedule_team(spark, d):
+    return Sc.team_view(T.games(spark, d), "GB", "en")
+
+
+@query
+def schedule_team_ko(spark, d):
+    return Sc.team_view(T.games(spark, d), "MIN", "ko")
+
+
+@query
+def schedule_union(spark, d):
+    return Sc.union_view(T.games(spark, d), "en")
+
+
+@query
+def schedule_union_ko(spark, d):
+    return Sc.union_view(T.games(spark, d), "ko")
+
+
+@query
+def matchup_check(spark, d):
+    return Sc.matchup_check(T.games(spark, d), ("phase", "week", "dateKST", "pos"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

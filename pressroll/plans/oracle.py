@@ -551,5 +551,128 @@ DEL = day_store("", None).replace(
 ORACLE["delete_stories"] = with_(DEL) + "SELECT * FROM index"
 
 
+# --- schedule ---------------------------------------------------------------------------
+
+from pressroll.operators.schedule import HOME_SITES, LABELS  # noqa: E402
+
+GAMES = """g0 AS (
+  SELECT CASE WHEN o_custkey % 2 = 0 THEN 'GB' ELSE 'MIN' END AS team, o_orderkey AS pos,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'pre' ELSE 'reg' END AS phase,
+         CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 3 + 1 ELSE o_orderkey % 18 + 1 END AS INTEGER) AS week,
+         make_timestamp(year(o_orderdate), month(o_orderdate), day(o_orderdate), o_orderkey % 10 + 12,
+                        [0, 15, 25][o_orderkey % 3 + 1], 0) AS et,
+         o_orderkey, o_orderstatus, o_orderpriority, c_name
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+g1 AS (
+  SELECT *, (phase = 'reg' AND o_orderpriority = '5-LOW' AND o_orderkey % 5 = 0) AS is_bye FROM g0),
+g2 AS (
+  SELECT *, (phase = 'reg' AND NOT is_bye AND o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 5 = 1) AS is_tbd FROM g1),
+g3 AS (
+  SELECT *, (phase = 'reg' AND NOT is_bye AND NOT is_tbd AND o_orderpriority = '1-URGENT') AS is_riv,
+         NOT is_bye AND NOT is_tbd AS playable FROM g2),
+gbase AS (
+  SELECT team, pos, phase, week,
+         CASE WHEN NOT is_bye THEN c_name END AS opponent,
+         CASE WHEN NOT is_bye THEN o_orderstatus = 'O' END AS home,
+         CASE WHEN playable THEN strftime(timezone('Asia/Seoul', timezone('America/New_York', et)), '%Y-%m-%dT%H:%M:%S') || '+09:00' END AS dateKST,
+         CASE WHEN playable THEN strftime(et, '%-m/%-d (%a) %-I:%M %p') || ' ET' END AS etLabel,
+         CASE WHEN playable THEN CASE o_orderkey % 4 WHEN 0 THEN 'FOX' WHEN 1 THEN 'CBS' WHEN 2 THEN '' END END AS bcast,
+         CASE WHEN playable AND o_orderstatus = 'F' THEN '종료 ' || (o_orderkey % 40) || '-' || (o_orderkey % 31) END AS final_ko,
+         CASE WHEN playable AND o_orderstatus = 'F' THEN 'Final: ' || (o_orderkey % 40) || '-' || (o_orderkey % 31) END AS final_en,
+         CASE WHEN is_riv THEN true END AS rivalry, CASE WHEN is_bye THEN true END AS bye, CASE WHEN is_tbd THEN true END AS tbd
+  FROM g3),
+games AS (
+  SELECT * FROM gbase
+  UNION ALL
+  SELECT CASE WHEN team = 'GB' THEN 'MIN' ELSE 'GB' END, pos, phase, week, opponent, NOT home, dateKST, etLabel,
+         bcast, final_ko, final_en, rivalry, bye, tbd
+  FROM gbase WHERE rivalry)"""
+
+
+def wall_clock(x: str, lang: str) -> str:
+    dp, tp = f"split_part({x}, 'T', 1)", f"split_part({x}, 'T', 2)"
+    mo, da = f"CAST(split_part({dp}, '-', 2) AS INTEGER)", f"CAST(split_part({dp}, '-', 3) AS INTEGER)"
+    days = ["일", "월", "화", "수", "목", "금", "토"] if lang == "ko" else ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
+    dow = f"{sql_list(days)}[dayofweek(CAST({dp} AS DATE)) + 1]"
+    clock = f"split_part({tp}, ':', 1) || ':' || split_part({tp}, ':', 2)"
+    md = f"CAST({mo} AS VARCHAR) || '/' || CAST({da} AS VARCHAR)"
+    if lang == "ko":
+        return f"({md} || '(' || {dow} || ') ' || {clock})"
+    return f"({dow} || ' ' || {md} || ' ' || {clock})"
+
+
+def week_sql(lang: str, pre: bool) -> str:
+    u = LABELS[lang]
+    word = f"CASE WHEN phase = 'pre' THEN {q(u['week_pre'])} ELSE {q(u['week_reg'])} END" if pre else q(u["week_reg"])
+    return f"({word} || ' ' || CAST(week AS VARCHAR) || {q(u['week_suffix'])})"
+
+
+def game_cols(lang: str, team: str = "team") -> str:
+    u = LABELS[lang]
+    return f"""{team} AS team_label, 'game' AS kind, {week_sql(lang, True)} AS week_label,
+  CASE WHEN coalesce(tbd, false) THEN {q(u['tbd_date'])} ELSE {wall_clock('dateKST', lang)} END AS when_text,
+  CASE WHEN coalesce(tbd, false) THEN {q(u['tbd_note'])} ELSE etLabel END AS sub_text,
+  CASE WHEN coalesce(home, false) THEN 'vs' ELSE '@' END || ' ' || coalesce(opponent, '') AS matchup,
+  CASE WHEN coalesce(home, false) THEN {q(u['home'])} ELSE {q(u['away'])} END AS home_away,
+  CASE WHEN coalesce(bcast, '') <> '' THEN bcast WHEN final_{lang} IS NOT NULL THEN final_{lang} ELSE '' END AS right_text,
+  CASE WHEN coalesce(rivalry, false) THEN {q(u['rivalry'])} ELSE '' END AS tag_text"""
+
+
+def bye_cols(lang: str) -> str:
+    u = LABELS[lang]
+    return f"""team AS team_label, 'bye' AS kind, {week_sql(lang, False)} AS week_label, {q(u['bye'])} AS when_text,
+  '' AS sub_text, '' AS matchup, '' AS home_away, '' AS right_text, '' AS tag_text"""
+
+
+def rivalry_cols(lang: str) -> str:
+    u = LABELS[lang]
+    return f"""'' AS team_label, 'rivalry' AS kind, {week_sql(lang, False)} AS week_label,
+  {wall_clock('dateKST', lang)} AS when_text, etLabel AS sub_text,
+  CASE WHEN coalesce(home, false) THEN 'MIN @ GB' ELSE 'GB @ MIN' END AS matchup,
+  {q(u['home_site'][0])} || CASE WHEN coalesce(home, false) THEN {q(HOME_SITES['GB'])} ELSE {q(HOME_SITES['MIN'])} END
+    || {q(u['home_site'][1])} AS home_away,
+  coalesce(bcast, '') AS right_text, {q(u['rivalry'])} AS tag_text"""
+
+
+def team_sql(team: str, lang: str) -> str:
+    return with_(GAMES) + f"""
+SELECT CASE WHEN phase = 'pre' THEN 0 ELSE 1 END AS section, pos, {game_cols(lang)}
+FROM games WHERE team = '{team}' AND phase IN ('pre', 'reg') AND NOT coalesce(bye, false)
+UNION ALL
+SELECT 1, pos, {bye_cols(lang)} FROM games WHERE team = '{team}' AND phase = 'reg' AND coalesce(bye, false)"""
+
+
+def union_sql(lang: str) -> str:
+    rank = "CASE WHEN team = 'GB' THEN 1 ELSE 2 END"
+    return with_(GAMES) + f"""
+SELECT 0 AS section, dateKST AS date_key, {rank} AS kind_rank, pos, {game_cols(lang)} FROM games WHERE phase = 'pre'
+UNION ALL
+SELECT 1, dateKST, 0, pos, {rivalry_cols(lang)} FROM games
+  WHERE phase = 'reg' AND NOT coalesce(bye, false) AND coalesce(rivalry, false) AND team = 'GB'
+UNION ALL
+SELECT 1, dateKST, {rank}, pos, {game_cols(lang)} FROM games
+  WHERE phase = 'reg' AND NOT coalesce(bye, false) AND NOT coalesce(rivalry, false) AND NOT coalesce(tbd, false)
+UNION ALL
+SELECT 2, CAST(NULL AS VARCHAR), {rank}, pos, {game_cols(lang)} FROM games
+  WHERE phase = 'reg' AND NOT coalesce(bye, false) AND NOT coalesce(rivalry, false) AND coalesce(tbd, false)"""
+
+
+ORACLE["scan_games"] = with_(GAMES) + "SELECT * FROM games"
+ORACLE["convert_kickoff"] = with_(GAMES) + "SELECT team, pos, dateKST FROM games WHERE dateKST IS NOT NULL"
+ORACLE["format_wall_clock"] = with_(GAMES) + f"""SELECT team, pos, {wall_clock('dateKST', 'ko')} AS ko,
+  {wall_clock('dateKST', 'en')} AS en FROM games WHERE dateKST IS NOT NULL"""
+ORACLE["pick_language"] = with_(GAMES) + "SELECT team, pos, final_ko AS ko, final_en AS en FROM games WHERE final_en IS NOT NULL"
+ORACLE["schedule_team"] = team_sql("GB", "en")
+ORACLE["schedule_team_ko"] = team_sql("MIN", "ko")
+ORACLE["schedule_union"] = union_sql("en")
+ORACLE["schedule_union_ko"] = union_sql("ko")
+ORACLE["matchup_check"] = with_(GAMES) + """, a AS (SELECT phase, week, dateKST, pos, home AS home_a FROM games WHERE coalesce(rivalry, false) AND team = 'GB'),
+b AS (SELECT phase, week, dateKST, pos, home AS home_b FROM games WHERE coalesce(rivalry, false) AND team = 'MIN')
+SELECT coalesce(a.phase, b.phase) AS phase, coalesce(a.week, b.week) AS week, coalesce(a.dateKST, b.dateKST) AS dateKST,
+       coalesce(a.pos, b.pos) AS pos,
+       coalesce(a.pos IS NOT NULL AND b.pos IS NOT NULL AND home_a <> home_b, false) AS consistent
+FROM a FULL OUTER JOIN b ON a.phase = b.phase AND a.week = b.week AND a.dateKST = b.dateKST AND a.pos = b.pos"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

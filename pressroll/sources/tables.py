@@ -240,7 +240,8 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Season rows of two teams from orders (team by customer parity).
 
     A rivalry game (priority 1-URGENT, regular phase) is listed by both teams,
-    home flags opposite; byes and TBD games carry only their own fields.
+    home flags opposite; a bye row carries only phase, week and ``bye``; a TBD
+    row has no kickoff, broadcaster or result.
     """
     o = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
@@ -257,13 +258,17 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
                               (k % 10 + 12).cast("int"),
                               F.element_at(F.array(F.lit(0), F.lit(15), F.lit(25)), (k % 3 + 1).cast("int")),
                               F.lit(0))
-    home = F.col("o_orderstatus") == "O"
+    playable = ~bye & ~tbd
+    from pressroll.functions.dates import convert_kickoff
     base = g.select(
         team.alias("team"), k.alias("pos"), phase.alias("phase"), week.alias("week"),
-        F.col("c_name").alias("opponent"), home.alias("home"), et.alias("kickoff_et"),
-        F.when(k % 4 == 0, F.lit("FOX")).when(k % 4 == 1, F.lit("CBS"))
-         .when(k % 4 == 2, F.lit("")).alias("bcast"),
-        F.when(F.col("o_orderstatus") == "F",
+        F.when(~bye, F.col("c_name")).alias("opponent"),
+        F.when(~bye, F.col("o_orderstatus") == "O").alias("home"),
+        F.when(playable, convert_kickoff(et)).alias("dateKST"),
+        F.when(playable, F.concat(F.date_format(et, "M/d (EEE) h:mm a"), F.lit(" ET"))).alias("etLabel"),
+        F.when(playable, F.when(k % 4 == 0, F.lit("FOX")).when(k % 4 == 1, F.lit("CBS"))
+                          .when(k % 4 == 2, F.lit(""))).alias("bcast"),
+        F.when(playable & (F.col("o_orderstatus") == "F"),
                F.struct(F.concat(F.lit("종료 "), _s(k % 40), F.lit("-"), _s(k % 31)).alias("ko"),
                         F.concat(F.lit("Final: "), _s(k % 40), F.lit("-"), _s(k % 31)).alias("en"))).alias("final"),
         F.when(rivalry, F.lit(True)).alias("rivalry"),
