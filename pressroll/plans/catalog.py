@@ -502,5 +502,39 @@ def matchup_check(spark, d):
     return Sc.matchup_check(T.games(spark, d), ("phase", "week", "dateKST", "pos"))
 
 
+# --- interaction events ---------------------------------------------------------------
+
+from pressroll.operators import events as Ev  # noqa: E402
+
+# the driver's events are minutes apart; debounce gap and hold delay scale with them
+SEARCH_GAP = "30 minutes"
+HOLD_DELAY = "10 minutes"
+
+
+@query
+def event_usage(spark, d):
+    u = Ev.usage(T.interactions(spark, d))
+    return u.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "name",
+                    F.col("n_events").cast("long").alias("n_events"), F.col("n_users").cast("long").alias("n_users"))
+
+
+@query
+def event_contract(spark, d):
+    return Ev.contract_violations(T.interactions(spark, d))
+
+
+@query
+def debounce_search(spark, d):
+    ev = T.interactions(spark, d).where(F.col("name") == "archive_search")
+    out = Ev.debounce(ev, SEARCH_GAP)
+    return out.select("user", "seq", "chars", F.date_format("fire_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fire_ts"))
+
+
+@query
+def hold_detect(spark, d):
+    out = Ev.hold(T.interactions(spark, d), HOLD_DELAY)
+    return out.select("user", "seq", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -674,5 +674,55 @@ SELECT coalesce(a.phase, b.phase) AS phase, coalesce(a.week, b.week) AS week, co
 FROM a FULL OUTER JOIN b ON a.phase = b.phase AND a.week = b.week AND a.dateKST = b.dateKST AND a.pos = b.pos"""
 
 
+# --- interaction events -------------------------------------------------------------------
+
+from pressroll.operators.events import EVENT_CATALOGUE  # noqa: E402
+
+_NAME_MAP = "CASE event_type WHEN 'view' THEN 'nav_tab' WHEN 'click' THEN 'archive_search' " \
+            "WHEN 'signup' THEN 'lang_toggle' WHEN 'purchase' THEN 'schedule_team_tab' ELSE event_type END"
+INTERACTIONS = f"""ev0 AS (SELECT *, {_NAME_MAP} AS name FROM events),
+interactions AS (
+  SELECT CAST(user_id AS VARCHAR) AS "user", event_id AS seq, ts, name,
+    CASE WHEN event_id % 20 = 0 THEN NULL
+         WHEN event_id % 20 = 1 THEN 3
+         ELSE 1 END AS n_keys,
+    CASE name WHEN 'nav_tab' THEN 'page' WHEN 'archive_search' THEN 'chars' WHEN 'lang_toggle' THEN 'lang'
+              WHEN 'schedule_team_tab' THEN 'team' ELSE 'k' END AS data_key,
+    CAST(trunc(value) AS BIGINT) % 20 AS chars, event_id % 2 = 1 AS is_cancel
+  FROM ev0)"""
+
+ORACLE["event_usage"] = with_(INTERACTIONS) + """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, name,
+  CAST(count(*) AS BIGINT) AS n_events, CAST(count(DISTINCT "user") AS BIGINT) AS n_users
+FROM interactions GROUP BY 1, 2"""
+
+_ALLOWED = "CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_CATALOGUE.items()) + " END"
+ORACLE["event_contract"] = with_(INTERACTIONS) + f""", judged AS (
+  SELECT "user", seq, name, {_ALLOWED} AS allowed, n_keys, data_key FROM interactions)
+SELECT "user", seq, name, concat_ws(',',
+    CASE WHEN allowed IS NULL THEN 'unknown_name' END,
+    CASE WHEN allowed IS NOT NULL AND coalesce(n_keys, 0) > 0 AND (data_key <> allowed OR n_keys > 1) THEN 'unknown_key' END,
+    CASE WHEN coalesce(n_keys, 0) > 2 THEN 'too_many_keys' END) AS reasons
+FROM judged
+WHERE allowed IS NULL OR (coalesce(n_keys, 0) > 0 AND (data_key <> allowed OR n_keys > 1)) OR coalesce(n_keys, 0) > 2"""
+
+ORACLE["debounce_search"] = with_(INTERACTIONS) + """, s AS (
+  SELECT "user", seq, ts, chars,
+         lead(ts) OVER (PARTITION BY "user" ORDER BY ts, seq) AS next_ts
+  FROM interactions WHERE name = 'archive_search')
+SELECT "user", seq, chars, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS fire_ts
+FROM s WHERE chars > 0 AND (next_ts IS NULL OR next_ts >= ts + INTERVAL 30 MINUTE)"""
+
+ORACLE["hold_detect"] = with_(INTERACTIONS) + """, s AS (
+  SELECT "user", seq, ts, is_cancel,
+         lead(ts) OVER w AS next_ts,
+         first_value(CASE WHEN is_cancel THEN seq END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nc_seq,
+         first_value(CASE WHEN is_cancel THEN ts END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nc_ts
+  FROM interactions WINDOW w AS (PARTITION BY "user" ORDER BY ts, seq)),
+fired AS (SELECT * FROM s WHERE NOT is_cancel AND (next_ts IS NULL OR next_ts >= ts + INTERVAL 10 MINUTE))
+SELECT "user", seq, 'start' AS kind, strftime(ts + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS at FROM fired
+UNION ALL
+SELECT DISTINCT "user", nc_seq, 'end', strftime(nc_ts, '%Y-%m-%d %H:%M:%S.%f') FROM fired WHERE nc_seq IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

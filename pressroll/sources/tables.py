@@ -306,7 +306,10 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts"),
         name.alias("name"),
         data.alias("data"),
-        F.col("value"),
+        # search box length after the input (0 = emptied box)
+        (F.col("value").cast("long") % 20).alias("chars"),
+        # press stream: even ids press, odd ids release
+        (eid % 2 == 1).alias("is_cancel"),
     )
 
 
