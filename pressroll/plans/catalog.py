@@ -536,5 +536,59 @@ def hold_detect(spark, d):
     return out.select("user", "seq", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
+# --- sources and sinks ------------------------------------------------------------------
+
+from pressroll.session import work_dir  # noqa: E402
+from pressroll.sources import files as Fs  # noqa: E402
+
+
+@query
+def scan_day_documents(spark, d):
+    """Raw day documents stored by date, scanned back, parsed and validated."""
+    root = work_dir(spark, "raw")
+    Fs.write_raw_days(T.raw_days(spark, d), root)
+    p = Vd.with_errors(Vd.parse_days(Fs.scan_raw_days(spark, root)))
+    return p.select("doc_id", "date", F.col("doc").isNotNull().alias("ok"),
+                    F.when(F.col("doc").isNotNull(), F.size("errors")).cast("long").alias("n_errors"))
+
+
+@query
+def write_days(spark, d):
+    """Day store written by date, then the first-of-month days rewritten after
+    an edit: only those partitions change."""
+    root = work_dir(spark, "stories")
+    Fs.write_days(T.stories(spark, d), root)
+    edited = R.delete_matching(T.stories(spark, d), F.col("title.ko"), "부품 1")
+    Fs.write_days(edited.where(F.substring("date", 9, 2) == "01"), root)
+    back = Fs.read_days(spark, root)
+    return back.groupBy("date").agg(F.count(F.lit(1)).cast("long").alias("n_stories"))
+
+
+@query
+def list_day_files(spark, d):
+    root = work_dir(spark, "stories")
+    Fs.write_days(T.stories(spark, d).select("date", "story_ord"), root)
+    return Fs.list_day_files(spark, root)
+
+
+@query
+def index_roundtrip(spark, d):
+    """Index written as JSON lines (newest first) and scanned back."""
+    root = work_dir(spark, "index")
+    Fs.write_index(full_index(spark, d), root)
+    return index_out(Fs.scan_index(spark, root))
+
+
+@query
+def scan_season(spark, d):
+    """Games written as season documents (bounded chunks) and read back."""
+    root = work_dir(spark, "season")
+    docs = Fs.season_documents(T.games(spark, d))
+    Fs.write_season(docs, root)
+    g = Fs.scan_season(spark, root, schema=docs.schema)
+    return g.select("team", "season", F.col("i").cast("long").alias("i"), "phase", "week", "opponent", "home",
+                    "dateKST", "bcast", F.col("final.en").alias("final_en"), "rivalry", "bye", "tbd")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -724,5 +724,24 @@ UNION ALL
 SELECT DISTINCT "user", nc_seq, 'end', strftime(nc_ts, '%Y-%m-%d %H:%M:%S.%f') FROM fired WHERE nc_seq IS NOT NULL"""
 
 
+# --- sources and sinks ------------------------------------------------------------------
+
+ORACLE["scan_day_documents"] = with_(RAW_DAYS, PARSED_DAYS) + f""", v AS (SELECT doc_id, {j_day('doc')} AS e FROM docs)
+SELECT i.doc_id, '2026-' || lpad(CAST(i.doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(i.doc_id % 28 + 1 AS VARCHAR), 2, '0') AS date,
+       json_valid(i.inner_text) AS ok, CAST(len(v.e) AS BIGINT) AS n_errors
+FROM inner_days i LEFT JOIN v ON v.doc_id = i.doc_id"""
+
+ORACLE["write_days"] = with_(FULL) + """SELECT date, CAST(count(*) AS BIGINT) AS n_stories FROM stories
+WHERE substring(date, 9, 2) <> '01' OR NOT contains('부품 ' || l_partkey, '부품 1') GROUP BY date"""
+
+ORACLE["list_day_files"] = with_(FULL) + "SELECT DISTINCT date FROM stories"
+
+ORACLE["index_roundtrip"] = with_(FULL) + "SELECT * FROM index"
+
+ORACLE["scan_season"] = with_(GAMES) + """SELECT team, pos // 64 AS season,
+  CAST(row_number() OVER (PARTITION BY team, pos // 64 ORDER BY pos) - 1 AS BIGINT) AS i,
+  phase, week, opponent, home, dateKST, bcast, final_en, rivalry, bye, tbd FROM games"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

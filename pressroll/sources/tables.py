@@ -145,6 +145,7 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Page "), _s(pid)).alias("title"),
         F.when(pid % 9 == 0, F.concat(F.col("url"), F.lit("#gone"))).otherwise(F.col("url")).alias("url"),
         F.concat(F.lit("2026-08-"), F.lpad(_s(pid % 28 + 1), 2, "0")).alias("date"),
+        F.concat(F.lit("Aug "), _s(pid % 28 + 1), F.lit(", 2026")).alias("publishedRaw"),
     )
 
 
@@ -214,8 +215,10 @@ def raw_day_json(doc_id: Column, text: Column, lang: Column, source: Column) ->
 
 def raw_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    i = F.col("doc_id")
     return d.select(
         "doc_id",
+        F.concat(F.lit("2026-"), F.lpad(_s(i % 12 + 1), 2, "0"), F.lit("-"), F.lpad(_s(i % 28 + 1), 2, "0")).alias("date"),
         raw_day_json(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source")).alias("raw"),
     )
 
