@@ -590,5 +590,34 @@ def scan_season(spark, d):
                     "dateKST", "bcast", F.col("final.en").alias("final_en"), "rivalry", "bye", "tbd")
 
 
+# --- model step and ingest job -----------------------------------------------------------
+
+from pressroll.operators.model import apply_model as _apply_model, organize_stub  # noqa: E402
+from pressroll.plans.ingest import ingest as _ingest  # noqa: E402
+
+
+@query
+def apply_model(spark, d):
+    """Organise prompts of the pages feed through the (stub) model."""
+    parts = A.day_text(_bodies(spark, d))
+    prompts = parts.select("date", "part", S.organize_prompt(F.col("date"), F.col("text")).alias("prompt"))
+    out = _apply_model(prompts, "prompt", organize_stub).checkpoint(eager=True)
+    return out.select("date", "part", F.length("response").cast("long").alias("response_chars"), "model_error")
+
+
+def _run_ingest(spark, d):
+    return _ingest(T.feed_pages(spark, d), T.read(spark, d, "pages"), saved_index(spark, d), organize_stub)
+
+
+@query
+def run_report(spark, d):
+    return _run_ingest(spark, d).report
+
+
+@query
+def ingest_index(spark, d):
+    return index_out(_run_ingest(spark, d).index)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

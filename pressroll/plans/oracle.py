@@ -743,5 +743,26 @@ ORACLE["scan_season"] = with_(GAMES) + """SELECT team, pos // 64 AS season,
   phase, week, opponent, home, dateKST, bcast, final_en, rivalry, bye, tbd FROM games"""
 
 
+# --- ingest job (stub model: one story per article; a failed fetch fails its day) -----------
+
+ORACLE["run_report"] = with_(FEED) + """SELECT date,
+  CASE WHEN sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) = 0 THEN 'added' ELSE 'error' END AS outcome,
+  CAST(sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_errors,
+  (SELECT CAST(count(*) AS BIGINT) FROM feed) AS checked_articles
+FROM feed GROUP BY date"""
+
+ORACLE["ingest_index"] = with_(SAVED, FEED) + """, good AS (
+  SELECT date FROM feed GROUP BY date HAVING sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) = 0),
+new AS (
+  SELECT f.date, f.date || ' (현지)' AS label_ko, f.date AS label_en,
+         f.date || ' 소식' AS headline_ko, 'News of ' || f.date AS headline_en,
+         CAST(count(*) AS BIGINT) AS storyCount, CAST(0 AS BIGINT) AS moveCount,
+         CASE WHEN bool_or(NOT starts_with(f.url, 'http')) AND bool_or(starts_with(f.url, 'http'))
+              THEN 'NEWS,' || CASE WHEN arg_min(starts_with(f.url, 'http'), f.ordinal) THEN 'WEB,LOCAL' ELSE 'LOCAL,WEB' END
+              WHEN bool_or(starts_with(f.url, 'http')) THEN 'NEWS,WEB' ELSE 'NEWS,LOCAL' END AS tags
+  FROM feed f JOIN good g ON f.date = g.date GROUP BY f.date)
+SELECT * FROM index_saved WHERE date NOT IN (SELECT date FROM new) UNION ALL SELECT * FROM new"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
