@@ -619,5 +619,69 @@ def ingest_index(spark, d):
     return index_out(_run_ingest(spark, d).index)
 
 
+# --- streaming forms --------------------------------------------------------------------
+
+from pressroll.streaming import events as Se  # noqa: E402
+from pressroll.streaming import ingest as Si  # noqa: E402
+
+
+def _run_to_table(stream_df, out_dir, ckpt, mode):
+    def write(batch, epoch_id):
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out_dir)
+
+    q = (stream_df.writeStream.outputMode(mode).foreachBatch(write)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _event_stream(spark, d):
+    """The events table replayed as a stream (file source) and adapted."""
+    src = work_dir(spark, "events-src")
+    T.read(spark, d, "events").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).parquet(src)
+    return T.interactions_from(stream)
+
+
+@query
+def stream_ingest(spark, d):
+    """The flagship as a stream: article files -> foreachBatch upserts of
+    versioned index folders; the last version is the result."""
+    src, root, ckpt = work_dir(spark, "articles-src"), work_dir(spark, "index"), work_dir(spark, "ckpt")
+    T.articles(spark, d).write.parquet(src)
+    Si.seed_index(saved_index(spark, d), root)
+    q = Si.start(spark, src, spark.read.parquet(src).schema, root, ckpt)
+    q.awaitTermination()
+    return index_out(Si.read_index_version(spark, root))
+
+
+@query
+def stream_debounce(spark, d):
+    out, ckpt = work_dir(spark, "debounce"), work_dir(spark, "ckpt")
+    ev = _event_stream(spark, d).where(F.col("name") == "archive_search")
+    _run_to_table(Se.debounce_stream(ev, SEARCH_GAP), out, ckpt, "complete")
+    return spark.read.parquet(out).select(
+        "user", "seq", "chars", F.date_format("fire_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fire_ts"))
+
+
+@query
+def stream_usage(spark, d):
+    out, ckpt = work_dir(spark, "usage"), work_dir(spark, "ckpt")
+    _run_to_table(Se.usage_stream(_event_stream(spark, d)), out, ckpt, "complete")
+    return spark.read.parquet(out).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "name",
+        F.col("n_events").cast("long").alias("n_events"))
+
+
+@query
+def stream_hold(spark, d):
+    """Hold detection as a stateful stream; holds still armed when the input
+    ends are not emitted (their timer never passes the watermark)."""
+    out, ckpt = work_dir(spark, "hold"), work_dir(spark, "ckpt")
+    _run_to_table(Se.hold_stream(_event_stream(spark, d), HOLD_DELAY), out, ckpt, "append")
+    return spark.read.parquet(out).select(
+        "user", "seq", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -764,5 +764,13 @@ new AS (
 SELECT * FROM index_saved WHERE date NOT IN (SELECT date FROM new) UNION ALL SELECT * FROM new"""
 
 
+# --- streaming forms (same results as the batch forms) --------------------------------
+
+ORACLE["stream_ingest"] = ORACLE["incremental_index"]
+ORACLE["stream_debounce"] = ORACLE["debounce_search"]
+ORACLE["stream_usage"] = with_(INTERACTIONS) + """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, name,
+  CAST(count(*) AS BIGINT) AS n_events FROM interactions GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

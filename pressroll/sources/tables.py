@@ -292,7 +292,12 @@ EVENT_NAMES = {"view": "nav_tab", "click": "archive_search", "signup": "lang_tog
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return interactions_from(read(spark, sf_dir, "events"))
+
+
+def interactions_from(events: DataFrame) -> DataFrame:
+    """Interaction rows from ``events`` rows (batch or streaming)."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     name = F.coalesce(F.try_element_at(F.create_map(*[x for kv in EVENT_NAMES.items() for x in map(F.lit, kv)]),
                                        F.col("event_type")), F.col("event_type"))
     k = F.get_json_object("props", "$.k")
@@ -306,7 +311,8 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         _s("user_id").alias("user"),
         eid.alias("seq"),
-        F.col("ts"),
+        # stored without zone; read as UTC instants (event time needs TIMESTAMP)
+        F.col("ts").cast("timestamp").alias("ts"),
         name.alias("name"),
         data.alias("data"),
         # search box length after the input (0 = emptied box)
