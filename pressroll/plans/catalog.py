@@ -555,7 +555,8 @@ def scan_day_documents(spark, d):
 @query
 def write_days(spark, d):
     """Day store written by date, then the first-of-month days rewritten after
-    an edit: only those partitions change."""
+    an edit: only those partitions change. A day the edit leaves without any
+    story is not rewritten (an empty day is invalid), so it keeps its rows."""
     root = work_dir(spark, "stories")
     Fs.write_days(T.stories(spark, d), root)
     edited = R.delete_matching(T.stories(spark, d), F.col("title.ko"), "부품 1")

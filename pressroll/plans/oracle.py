@@ -731,8 +731,10 @@ SELECT i.doc_id, '2026-' || lpad(CAST(i.doc_id % 12 + 1 AS VARCHAR), 2, '0') ||
        json_valid(i.inner_text) AS ok, CAST(len(v.e) AS BIGINT) AS n_errors
 FROM inner_days i LEFT JOIN v ON v.doc_id = i.doc_id"""
 
-ORACLE["write_days"] = with_(FULL) + """SELECT date, CAST(count(*) AS BIGINT) AS n_stories FROM stories
-WHERE substring(date, 9, 2) <> '01' OR NOT contains('부품 ' || l_partkey, '부품 1') GROUP BY date"""
+ORACLE["write_days"] = with_(FULL) + """SELECT date,
+  CAST(CASE WHEN substring(date, 9, 2) = '01' AND sum(keep) > 0 THEN sum(keep) ELSE count(*) END AS BIGINT) AS n_stories
+FROM (SELECT date, CASE WHEN contains('부품 ' || l_partkey, '부품 1') THEN 0 ELSE 1 END AS keep FROM stories)
+GROUP BY date"""
 
 ORACLE["list_day_files"] = with_(FULL) + "SELECT DISTINCT date FROM stories"
 

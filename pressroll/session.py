@@ -17,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # A JSON object with a repeated key keeps the last value (as JSON.parse does).
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Partition folders ``date=YYYY-MM-DD`` keep the string type of the column.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # Runtime re-planning: broadcast a join side only once its shuffle output
     # is measured small, split skewed shuffle partitions, merge tiny ones.
     "spark.sql.adaptive.enabled": "true",
