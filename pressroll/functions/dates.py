@@ -50,19 +50,27 @@ def _month_map() -> Column:
     return F.create_map(*pairs)
 
 
+def _let(value: Column, fn) -> Column:
+    return F.transform(F.array(value), fn)[0]
+
+
+_MARK = "\u0001"
+
+
 def parse_us_date(raw: Column) -> Column:
     """``August 15, 2026`` / ``Aug. 15 2026`` -> ``2026-08-15``; NULL if no match.
 
-    No calendar check: ``Feb 31, 2026`` gives ``2026-02-31``.
+    No calendar check: ``Feb 31, 2026`` gives ``2026-02-31``. One regex pass
+    per value: a match is rewritten to marked parts, which are then split.
     """
-    t = js_trim(raw.cast("string"))
-    month = F.try_element_at(_month_map(), F.lower(F.regexp_extract(t, US_DATE_PATTERN, 1)))
-    day = F.lpad(F.regexp_extract(t, US_DATE_PATTERN, 2), 2, "0")
-    year = F.regexp_extract(t, US_DATE_PATTERN, 3)
-    return F.when(
-        t.rlike(US_DATE_PATTERN) & month.isNotNull(),
-        F.concat(year, F.lit("-"), month, F.lit("-"), day),
-    )
+    def from_trimmed(t):
+        def from_parts(r):
+            p = F.split(r, _MARK)
+            month = F.try_element_at(_month_map(), F.lower(p[2]))
+            ok = (r != t) & month.isNotNull()
+            return F.when(ok, F.concat(p[1], F.lit("-"), month, F.lit("-"), F.lpad(p[3], 2, "0")))
+        return _let(F.regexp_replace(t, US_DATE_PATTERN, _MARK + "$3" + _MARK + "$1" + _MARK + "$2"), from_parts)
+    return _let(js_trim(raw.cast("string")), from_trimmed)
 
 
 def newer_than(date: Column, baseline: Column) -> Column:

@@ -27,9 +27,14 @@ FETCH_FAILED_PREFIX = "[Could not fetch full article body: "
 # ----------------------------------------------------------------------------
 
 
+# The same set as single characters (for trim, which only looks at the ends).
+WS_CHARS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def js_trim(c: Column) -> Column:
-    """Strip leading and trailing Unicode white space."""
-    return F.regexp_replace(c, r"^[" + WS + r"]+|[" + WS + r"]+\z", "")
+    """Strip leading and trailing Unicode white space (only the ends are read)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -77,26 +82,37 @@ def put_record(content: Column, message: Column, sha: Column) -> Column:
 FENCE_PATTERN = r"^```(?:json)?[" + WS + r"]*([\s\S]*?)[" + WS + r"]*```\z"
 
 
+def _let(value: Column, fn) -> Column:
+    return F.transform(F.array(value), fn)[0]
+
+
 def unfence(text: Column) -> Column:
-    """Trimmed text, or the trimmed inside of one ``` / ```json fence around all of it."""
-    t = js_trim(text)
-    return F.when(t.rlike(FENCE_PATTERN), js_trim(F.regexp_extract(t, FENCE_PATTERN, 1))).otherwise(t)
+    """Trimmed text, or the trimmed inside of one ``` / ```json fence around all
+    of it (the fence pattern above, decided from the two ends and cut by
+    position instead of a scan of the whole text)."""
+    def cut(t):
+        fenced = t.startswith("```") & t.endswith("```") & (F.length(t) >= 6)
+        body = F.substring(t, F.lit(4), F.length(t) - 6)
+        body = F.when(body.startswith("json"), F.substring(body, F.lit(5), F.length(body))).otherwise(body)
+        return F.when(fenced, js_trim(body)).otherwise(t)
+    return _let(js_trim(text), cut)
 
 
 def parse_fenced_json(text: Column) -> Column:
     """struct(value variant, error string): exactly one of them is set.
 
     The error carries the first 200 characters of the text that failed; the
-    wording of the engine's own parse message is not reproduced.
+    wording of the engine's own parse message is not reproduced. The text is
+    unfenced and parsed once per row.
     """
-    inner = unfence(text)
-    value = F.try_parse_json(inner)
-    error = (
-        F.when(text.isNull(), F.lit("parse_fenced_json: expected a string, got object"))
-        .when(value.isNull(), F.concat(F.lit("parse_fenced_json: failed to parse JSON: "),
-                                       truncate(inner, ERROR_EXCERPT)))
-    )
-    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+    def build(inner):
+        def with_value(v):
+            error = (F.when(text.isNull(), F.lit("parse_fenced_json: expected a string, got object"))
+                      .when(v.isNull(), F.concat(F.lit("parse_fenced_json: failed to parse JSON: "),
+                                                 truncate(inner, ERROR_EXCERPT))))
+            return F.struct(F.when(error.isNull(), v).alias("value"), error.alias("error"))
+        return _let(F.try_parse_json(inner), with_value)
+    return _let(unfence(text), build)
 
 
 EXTRACT_PROMPT_LINES = (

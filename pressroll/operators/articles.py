@@ -40,7 +40,11 @@ def incremental(articles: DataFrame, index: DataFrame) -> DataFrame:
     """
     mark = high_water_mark(index).scalar()
     dated = with_date(articles)
-    return dated.where(F.col("date").isNotNull() & newer_than(F.col("date"), mark))
+    # the filter is pushed below the parse: each branch reads the parsed date
+    # once, and only one branch runs per row
+    d = F.col("date")
+    keep = F.coalesce(F.when(mark.isNull() | (mark == F.lit("")), d.isNotNull()).otherwise(d > mark), F.lit(False))
+    return dated.where(keep)
 
 
 def group_by_date(dated: DataFrame, order: str = "ordinal") -> DataFrame:

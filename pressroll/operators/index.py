@@ -57,8 +57,7 @@ def flat_entries(grouped: DataFrame) -> DataFrame:
     headline = title of the first article.
     """
     tag_firsts = (grouped.groupBy("date", F.col("title").alias("tag"))
-                         .agg(F.min(F.struct(F.col("ordinal").alias("story_ord"),
-                                             F.lit(0).alias("tag_pos"))).alias("first")))
+                         .agg(F.min("ordinal").alias("first")))
     per_date = grouped.groupBy("date").agg(
         F.count(F.lit(1)).cast("long").alias("storyCount"),
         F.min_by("title", "ordinal").alias("_head"))

@@ -3,7 +3,8 @@
 A window ``partitionBy(key)`` sends every row of a key to one task; with one
 key holding a third of all rows that task is the job. Here rows are first
 range-partitioned on ``(key, order)`` (a hot key is cut across many
-partitions), the partition id is frozen by a reliable checkpoint, the work is
+partitions), the partition id is frozen by writing the rows once to the
+shared folder (so every later use sees the same ids), the work is
 done per ``(partition, key)`` chunk (bounded by the partition size), and the
 chunks of one key are stitched together through a per-chunk summary table
 (at most one row per partition for any key).
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroll.session import checkpoint_dir
+from pressroll.session import checkpoint_dir, materialize
 
 PID = "_pid"
 
@@ -32,9 +33,7 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) for c in list(keys) + list(order)]
-    return (df.repartitionByRange(n, *cols)
-              .withColumn(PID, F.spark_partition_id())
-              .checkpoint(eager=True))
+    return materialize(df.repartitionByRange(n, *cols).withColumn(PID, F.spark_partition_id()), "ranged")
 
 
 def position_in_group(df: DataFrame, keys, order, pos_col: str = "pos",

@@ -20,7 +20,7 @@ from pressroll.operators import validate as Vd
 from pressroll.operators.sequence import assemble_parts
 from pressroll.functions import documents as V
 from pressroll.functions import strings as S
-from pressroll.session import configure
+from pressroll.session import configure, materialize
 from pressroll.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,12 +52,16 @@ def index_out(df: DataFrame) -> DataFrame:
 
 
 def saved_index(spark, d) -> DataFrame:
+    """The archive's stored index (derived from the day store once, then read
+    as a table written to the shared folder)."""
     t = T.SAVED_THROUGH
-    return I.index_entries(T.stories(spark, d, t), T.moves(spark, d, t), T.days(spark, d, t))
+    return materialize(I.index_entries(T.stories(spark, d, t), T.moves(spark, d, t), T.days(spark, d, t)),
+                       "saved-index")
 
 
 def full_index(spark, d) -> DataFrame:
-    return I.index_entries(T.stories(spark, d), T.moves(spark, d), T.days(spark, d))
+    """Index of every day of the store, stored once as a table."""
+    return materialize(I.index_entries(T.stories(spark, d), T.moves(spark, d), T.days(spark, d)), "index")
 
 
 # --- flagship ---------------------------------------------------------------------
@@ -602,7 +606,7 @@ def apply_model(spark, d):
     """Organise prompts of the pages feed through the (stub) model."""
     parts = A.day_text(_bodies(spark, d))
     prompts = parts.select("date", "part", S.organize_prompt(F.col("date"), F.col("text")).alias("prompt"))
-    out = _apply_model(prompts, "prompt", organize_stub).checkpoint(eager=True)
+    out = materialize(_apply_model(prompts, "prompt", organize_stub), "model-out")
     return out.select("date", "part", F.length("response").cast("long").alias("response_chars"), "model_error")
 
 

@@ -1,6 +1,6 @@
 """The ingest job: new articles -> organised, validated day documents ->
 day store and index upsert -> run report. One lazy plan except for the
-model output, which is checkpointed once.
+model output, which is written once to the shared folder.
 
     feed ─ parse date ─ newer than the index mark ─┐
     pages ─ strip, cut ─────────────── left join ──┴─ day text parts ─ prompt
@@ -25,6 +25,7 @@ from pressroll.functions.strings import organize_prompt, parse_fenced_json
 from pressroll.operators import articles as A
 from pressroll.operators import index as I
 from pressroll.operators.model import ModelFactory, apply_model
+from pressroll.session import materialize
 
 
 @dataclass
@@ -32,7 +33,7 @@ class IngestResult:
     index: DataFrame      # upserted index
     stories: DataFrame    # story rows of the added days
     report: DataFrame     # one row per new date
-    responses: DataFrame  # checkpointed model output
+    responses: DataFrame  # stored model output
 
 
 def _or_empty(v: V.J) -> "F.Column":
@@ -49,7 +50,8 @@ def ingest(feed: DataFrame, pages: DataFrame, index: DataFrame, model_factory: M
     checked = fresh.agg(F.count(F.lit(1)).alias("n")).scalar()
     parts = A.day_text(A.article_bodies(fresh, pages), rows_per_part)
     prompts = parts.select("date", "part", organize_prompt(F.col("date"), F.col("text")).alias("prompt"))
-    responses = apply_model(prompts, "prompt", model_factory).checkpoint(eager=True)
+    # the model runs once per prompt: its output is written before any use
+    responses = materialize(apply_model(prompts, "prompt", model_factory), "model-out")
 
     parsed = responses.withColumn("_p", parse_fenced_json(F.col("response")))
     o = V.J(F.col("_p.value"))

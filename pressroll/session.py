@@ -71,6 +71,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/pressroll/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as a parquet table in the shared folder and read it
+    back: cuts lineage (a lost executor re-reads the table instead of
+    recomputing it), computes the plan exactly once, and gives later scans
+    column pruning and filter pushdown."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 

@@ -170,32 +170,28 @@ def _lit(s: str) -> Column:
     return F.lit(json.dumps(s, ensure_ascii=False))
 
 
+def _let(value: Column, fn) -> Column:
+    return F.transform(F.array(value), fn)[0]
+
+
 def raw_day_json(doc_id: Column, text: Column, lang: Column, source: Column) -> Column:
     """The day document JSON for one ``documents`` row (defects keyed by doc_id)."""
     i = doc_id
-    t, lg, src = json_str(text), json_str(lang), json_str(source)
+    lg, src = json_str(lang), json_str(source)
     date = F.concat(F.lit("2026-"), F.lpad(_s(i % 12 + 1), 2, "0"), F.lit("-"), F.lpad(_s(i % 28 + 1), 2, "0"))
     date_j = F.when(i % 19 == 6, F.concat(F.lit('"'), date, F.lit('\\n"'))).otherwise(
         F.concat(F.lit('"'), date, F.lit('"')))
     label = _bi(F.concat(F.lit('"'), date, F.lit(' (현지)"')), F.concat(F.lit('"'), date, F.lit('"')))
-    headline = F.when(i % 13 == 4, t).otherwise(_bi(lg, t))
     facts_en = F.when(i % 11 == 3, F.concat(F.lit("["), lg, F.lit(',"extra"]'))).otherwise(
         F.concat(F.lit("["), lg, F.lit("]")))
     url = (F.when(i % 7 == 2, F.lit("null"))
             .when(i % 29 == 8, F.lit("12345"))
             .otherwise(F.concat(F.lit('"/d/'), _s(i), F.lit('"'))))
-    story1 = F.concat(
-        F.lit("{"),
-        F.when(i % 5 == 1, F.lit("")).otherwise(F.lit('"icon":"📰",')),
-        F.lit('"status":"NEW","tags":['), lg, F.lit(","), src, F.lit('],"title":'), _bi(src, src),
-        F.lit(',"facts":{"ko":['), lg, F.lit('],"en":'), facts_en, F.lit('},"interp":'),
-        _bi(_lit("해설"), t), F.lit(',"url":'), url, F.lit("}"))
     story2 = (F.when(i % 43 == 12, F.lit('"oops"'))
                .when(i % 47 == 13, F.lit("[]"))
                .otherwise(F.lit('{"icon":"🏈","status":"RUMOR","tags":["NOTE"],'
                                 '"title":{"ko":"메모","en":"Note"},"facts":{"ko":["가"],"en":["a"]},'
                                 '"interp":{"ko":"나","en":"b"}}')))
-    stories_j = F.when(i % 23 == 7, F.lit("[]")).otherwise(F.concat(F.lit("["), story1, F.lit(","), story2, F.lit("]")))
     watch = F.when(i % 17 == 5, F.lit('"yes"')).otherwise(F.lit("true"))
     injuries_j = F.concat(
         F.lit('[{"player":{"ko":"선수","en":"Player"},"issue":{"ko":"무릎","en":"Knee"},'
@@ -204,13 +200,28 @@ def raw_day_json(doc_id: Column, text: Column, lang: Column, source: Column) ->
     moves_j = F.when(i % 3 == 1, F.concat(F.lit('[{"date":'), move_date,
                                           F.lit(',"text":{"ko":"이동","en":"Move"}}]'))).otherwise(F.lit("[]"))
     schedule_j = F.lit('[{"date":{"ko":"8월 15일\\n","en":"Aug 15\\n"},"text":{"ko":"경기","en":"Game"}}]')
-    body = _obj(
-        ("date", date_j), ("dateLabel", label), ("headline", headline), ("stories", stories_j),
-        ("injuries", F.when(i % 31 == 9, F.lit(None).cast("string")).otherwise(injuries_j)),
-        ("moves", moves_j), ("schedule", schedule_j),
-    )
-    truncated = F.when(i % 37 == 10, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
-    return F.when(i % 3 == 0, F.concat(F.lit("```json\n"), truncated, F.lit("\n```"))).otherwise(truncated)
+
+    def with_text(t):
+        headline = F.when(i % 13 == 4, t).otherwise(_bi(lg, t))
+        story1 = F.concat(
+            F.lit("{"),
+            F.when(i % 5 == 1, F.lit("")).otherwise(F.lit('"icon":"📰",')),
+            F.lit('"status":"NEW","tags":['), lg, F.lit(","), src, F.lit('],"title":'), _bi(src, src),
+            F.lit(',"facts":{"ko":['), lg, F.lit('],"en":'), facts_en, F.lit('},"interp":'),
+            _bi(_lit("해설"), t), F.lit(',"url":'), url, F.lit("}"))
+        stories_j = F.when(i % 23 == 7, F.lit("[]")).otherwise(
+            F.concat(F.lit("["), story1, F.lit(","), story2, F.lit("]")))
+        return _obj(
+            ("date", date_j), ("dateLabel", label), ("headline", headline), ("stories", stories_j),
+            ("injuries", F.when(i % 31 == 9, F.lit(None).cast("string")).otherwise(injuries_j)),
+            ("moves", moves_j), ("schedule", schedule_j),
+        )
+
+    def finish(body):
+        truncated = F.when(i % 37 == 10, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+        return F.when(i % 3 == 0, F.concat(F.lit("```json\n"), truncated, F.lit("\n```"))).otherwise(truncated)
+
+    return _let(_let(json_str(text), with_text), finish)
 
 
 def raw_days(spark: SparkSession, sf_dir: str) -> DataFrame:
