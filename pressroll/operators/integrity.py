@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pressroll.functions import documents as V
 
-RULES = ("missing_key", "missing_detail", "story_count", "move_count", "orphan")
+RULES = ("missing_key", "missing_detail", "story_count", "move_count", "orphan",
+         "detail_parse", "detail_missing_key", "detail_date")
 
 
 def truthy(j: V.J) -> Column:
@@ -90,3 +91,21 @@ def orphan_days(store: DataFrame, index: DataFrame) -> DataFrame:
 def dangling_index(index: DataFrame, store: DataFrame) -> DataFrame:
     """Index rows without a day."""
     return index.join(store.select("date"), "date", "left_anti")
+
+
+def detail_checks(parsed_days: DataFrame, file_date: str = "date") -> DataFrame:
+    """Rules on the stored day documents themselves: the document does not
+    parse, lacks one of the seven day keys, or names another date than the
+    file it is stored under (``file_date``, the partition value). A document
+    holding JSON null passes silently, as it did before."""
+    d = V.J(F.col("doc"))
+    parse = parsed_days.where(F.col("doc").isNull()).select(
+        F.lit("detail_parse").alias("rule"), F.col(file_date).alias("date"), F.lit("").alias("detail"))
+    present = parsed_days.where(F.col("doc").isNotNull() & (V.vtype(d) != "VOID"))
+    missing = present.select(F.lit("detail_missing_key").alias("rule"), F.col(file_date).alias("date"),
+                             F.explode(V.missing_keys(F.col("doc"), V.DAY_KEYS)).alias("detail"))
+    doc_date = d["date"]
+    differs = truthy(doc_date) & F.coalesce(doc_date.text() != F.col(file_date), F.lit(True))
+    date_rule = present.where(differs).select(F.lit("detail_date").alias("rule"), F.col(file_date).alias("date"),
+                                              F.lit("").alias("detail"))
+    return parse.unionByName(missing).unionByName(date_rule)

@@ -688,5 +688,13 @@ def stream_hold(spark, d):
         "user", "seq", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
+@query
+def detail_checks(spark, d):
+    """Stored day documents checked against the file (date partition) they sit in."""
+    root = work_dir(spark, "raw")
+    Fs.write_raw_days(T.raw_days(spark, d), root)
+    return G.detail_checks(Vd.parse_days(Fs.scan_raw_days(spark, root)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

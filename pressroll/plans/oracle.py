@@ -774,5 +774,17 @@ ORACLE["stream_usage"] = with_(INTERACTIONS) + """SELECT strftime(date_trunc('da
   CAST(count(*) AS BIGINT) AS n_events FROM interactions GROUP BY 1, 2"""
 
 
+ORACLE["detail_checks"] = with_(RAW_DAYS, PARSED_DAYS) + """, files AS (
+  SELECT i.doc_id, '2026-' || lpad(CAST(i.doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(i.doc_id % 28 + 1 AS VARCHAR), 2, '0') AS fdate,
+         CASE WHEN json_valid(i.inner_text) THEN CAST(i.inner_text AS JSON) END AS doc
+  FROM inner_days i)
+SELECT 'detail_parse' AS rule, fdate AS date, '' AS detail FROM files WHERE doc IS NULL
+""" + "".join(f"""UNION ALL SELECT 'detail_missing_key', fdate, '{k}' FROM files
+  WHERE doc IS NOT NULL AND json_type(doc) <> 'NULL' AND NOT json_exists(doc, '$.{k}')
+""" for k in Dm.DAY_KEYS) + """UNION ALL SELECT 'detail_date', fdate, '' FROM files
+  WHERE doc IS NOT NULL AND json_type(doc) <> 'NULL' AND json_type(doc, '$.date') = 'VARCHAR'
+    AND length(json_extract_string(doc, '$.date')) > 0 AND json_extract_string(doc, '$.date') <> fdate"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
