@@ -30,6 +30,14 @@ INDEX_SCHEMA = T.StructType([
 ])
 
 
+def _by_date(df: DataFrame, date_col: str) -> DataFrame:
+    """Rows grouped by date for a partitioned write, a hot date spread over
+    several tasks (range on date, then a row hash): each date folder gets few
+    files, and no single task writes a day holding a large share of rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, F.col(date_col), F.xxhash64(*[F.col(c) for c in df.columns]))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -42,7 +50,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def write_raw_days(raw: DataFrame, root: str, date_col: str = "date") -> None:
     """Store raw day documents partitioned by date; only the dates present in
     ``raw`` are replaced."""
-    (raw.repartition(date_col).write.mode("overwrite")
+    (_by_date(raw, date_col).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(date_col).parquet(root))
 
@@ -74,7 +82,7 @@ def list_day_files(spark: SparkSession, root: str, date_col: str = "date") -> Da
 def write_days(rows: DataFrame, root: str, date_col: str = "date") -> None:
     """Write flat day rows; every date present is replaced as a whole, the
     other dates stay (dynamic partition overwrite)."""
-    (rows.repartition(date_col).write.mode("overwrite")
+    (_by_date(rows, date_col).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy(date_col).parquet(root))
 
