@@ -64,8 +64,8 @@ def scan_raw_days(spark: SparkSession, root: str) -> DataFrame:
 def scan_json_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per ``*.json`` file of a flat folder (sub-folders are not
     visited): (file, stem, text). The index file is left out."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-               .option("recursiveFileLookup", False).text(folder))
+    df = (spark.read.option("pathGlobFilter", "*.json")
+               .option("recursiveFileLookup", False).text(folder, wholetext=True))
     name = F.col("_metadata.file_name")
     return (df.select(name.alias("file"), F.regexp_replace(name, r"\.json$", "").alias("stem"),
                       F.col("value").alias("text"))

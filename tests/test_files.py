@@ -54,3 +54,25 @@ def test_index_round_trip_and_order(spark):
     Fs.write_index(idx, root)
     back = Fs.scan_index(spark, root)
     assert sorted(r["date"] for r in back.collect()) == ["2026-08-15", "2026-08-17"]
+
+
+def test_json_file_folder_through_validation(spark):
+    """The site's own layout: a flat folder of <date>.json files, validated."""
+    import json
+
+    from pressroll.operators import validate as Vd
+    from tests_support_days import GOOD_DAY
+
+    root = local_path(work_dir(spark, "site"))
+    os.makedirs(root)
+    with open(os.path.join(root, "2026-08-15.json"), "w") as f:
+        json.dump(GOOD_DAY, f, ensure_ascii=False, indent=2)
+    bad = dict(GOOD_DAY, headline="only text")
+    with open(os.path.join(root, "2026-08-16.json"), "w") as f:
+        json.dump(bad, f, ensure_ascii=False)
+    with open(os.path.join(root, "2026-08-17.json"), "w") as f:
+        f.write("{ truncated")
+    files = Fs.scan_json_files(spark, root)
+    checked = Vd.with_errors(Vd.parse_days(files, "text"))
+    got = {r["stem"]: (r["doc"] is not None, None if r["doc"] is None else len(r["errors"])) for r in checked.collect()}
+    assert got == {"2026-08-15": (True, 0), "2026-08-16": (True, 1), "2026-08-17": (False, None)}

@@ -64,3 +64,11 @@ def test_assemble_parts_bounded_and_whole(spark):
     joined = ",".join(hot["text"])
     want = ",".join(str(s) for s in pdf[pdf.key == "hot"].sort_values(["t", "seq"])["seq"])
     assert joined == want
+
+
+def test_multi_column_keys_and_payload(spark):
+    rows = [("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 2, 12, 3), ("b", 1, 5, 4), ("a", 1, 13, 5)]
+    df = spark.createDataFrame(rows, "k1 string, k2 int, t int, v int")
+    out = next_match(df, ["k1", "k2"], ["t"], payload=["v"], num_partitions=3).select(
+        "v", F.col("next.v").alias("nv")).collect()
+    assert sorted((r["v"], r["nv"]) for r in out) == [(1, 2), (2, 5), (3, None), (4, None), (5, None)]
