@@ -142,3 +142,12 @@ def matchup_check(games: DataFrame, keys=("phase", "week", "dateKST")) -> DataFr
     j = a.join(b, keys, "full")
     ok = F.coalesce(F.col("in_a") & F.col("in_b") & (F.col("home_a") != F.col("home_b")), F.lit(False))
     return j.select(*keys, ok.alias("consistent"))
+
+
+UNION_ORDER = ("section", "date_key", "kind_rank", "pos")
+
+
+def ordered_union(games: DataFrame, lang: str = "en") -> DataFrame:
+    """The merged view with its display position ``row_no`` (0-based)."""
+    from pressroll.operators.sequence import global_rank
+    return global_rank(union_view(games, lang), list(UNION_ORDER))

@@ -99,3 +99,11 @@ def assemble_parts(df: DataFrame, keys, order, text: str, sep: str,
                         F.transform(F.array_sort(F.collect_list(F.struct("_pos", text))),
                                     lambda x: x[text]), sep).alias(text),
                     F.count(F.lit(1)).alias("n_rows")))
+
+
+def global_rank(df: DataFrame, order, rank_col: str = "row_no",
+                num_partitions: int | None = None) -> DataFrame:
+    """0-based rank of every row in a total order (``order`` unique), computed
+    from range partitions and per-partition counts — no single-task window."""
+    keyed = df.withColumn("_all", F.lit(0))
+    return position_in_group(keyed, ["_all"], _names(order), rank_col, num_partitions).drop("_all")

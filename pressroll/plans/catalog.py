@@ -501,6 +501,12 @@ def schedule_union_ko(spark, d):
     return Sc.union_view(T.games(spark, d), "ko")
 
 
+@query
+def schedule_union_ordered(spark, d):
+    """Merged view with each row's display position (the sort and merge)."""
+    return Sc.ordered_union(T.games(spark, d), "en")
+
+
 @query
 def matchup_check(spark, d):
     return Sc.matchup_check(T.games(spark, d), ("phase", "week", "dateKST", "pos"))

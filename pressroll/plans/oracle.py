@@ -666,6 +666,7 @@ ORACLE["schedule_team"] = team_sql("GB", "en")
 ORACLE["schedule_team_ko"] = team_sql("MIN", "ko")
 ORACLE["schedule_union"] = union_sql("en")
 ORACLE["schedule_union_ko"] = union_sql("ko")
+ORACLE["schedule_union_ordered"] = "SELECT *, CAST(row_number() OVER (ORDER BY section, date_key NULLS FIRST, kind_rank, pos) - 1 AS BIGINT) AS row_no FROM (" + union_sql("en") + ")"
 ORACLE["matchup_check"] = with_(GAMES) + """, a AS (SELECT phase, week, dateKST, pos, home AS home_a FROM games WHERE coalesce(rivalry, false) AND team = 'GB'),
 b AS (SELECT phase, week, dateKST, pos, home AS home_b FROM games WHERE coalesce(rivalry, false) AND team = 'MIN')
 SELECT coalesce(a.phase, b.phase) AS phase, coalesce(a.week, b.week) AS week, coalesce(a.dateKST, b.dateKST) AS dateKST,
