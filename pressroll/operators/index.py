@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressroll.functions.strings import WS
 
@@ -25,6 +26,16 @@ def first_seen_tags(stories: DataFrame) -> DataFrame:
     """
     exploded = stories.select(
         "date", "story_ord", F.posexplode(F.coalesce("tags", F.array().cast("array<string>"))).alias("tag_pos", "tag"))
+    ord_type = exploded.schema["story_ord"].dataType
+    if isinstance(ord_type, T.StructType):
+        # A struct minimum aggregates by sorting. Narrow the rows first with a
+        # hash aggregate on the leading field: only rows carrying the smallest
+        # leading value of their (date, tag) (or a NULL one, which sorts
+        # first) can hold the minimum.
+        lead = F.col("story_ord")[ord_type.fields[0].name]
+        least = exploded.groupBy("date", "tag").agg(F.min(lead).alias("_least"))
+        exploded = (exploded.join(least, ["date", "tag"])
+                            .where(lead.isNull() | (lead == F.col("_least"))).drop("_least"))
     return (exploded.groupBy("date", "tag")
                     .agg(F.min(F.struct("story_ord", "tag_pos")).alias("first")))
 
