@@ -45,32 +45,32 @@ def week_label(lang: str, pre: Column | None = None) -> Column:
 
 
 def game_row(team: Column, lang: str) -> list[Column]:
-    """Display columns of an ordinary (or TBD) game row."""
+    """Display columns of an ordinary (or TBD) game row (in ``_DISPLAY`` order)."""
     u = LABELS[lang]
     tbd = _flag("tbd")
     return [
-        team.alias("team_label"),
-        F.lit("game").alias("kind"),
-        week_label(lang, F.col("phase") == "pre").alias("week_label"),
-        F.when(tbd, F.lit(u["tbd_date"])).otherwise(format_wall_clock(F.col("dateKST"), lang)).alias("when_text"),
-        F.when(tbd, F.lit(u["tbd_note"])).otherwise(F.col("etLabel")).alias("sub_text"),
+        team,
+        F.lit("game"),
+        week_label(lang, F.col("phase") == "pre"),
+        F.when(tbd, F.lit(u["tbd_date"])).otherwise(format_wall_clock(F.col("dateKST"), lang)),
+        F.when(tbd, F.lit(u["tbd_note"])).otherwise(F.col("etLabel")),
         F.concat(F.when(_flag("home"), F.lit("vs")).otherwise(F.lit("@")), F.lit(" "),
-                 F.coalesce(F.col("opponent"), F.lit(""))).alias("matchup"),
-        F.when(_flag("home"), F.lit(u["home"])).otherwise(F.lit(u["away"])).alias("home_away"),
+                 F.coalesce(F.col("opponent"), F.lit(""))),
+        F.when(_flag("home"), F.lit(u["home"])).otherwise(F.lit(u["away"])),
         F.when(F.coalesce(F.col("bcast"), F.lit("")) != "", F.col("bcast"))
          .when(F.col("final").isNotNull(), pick(F.col("final"), lang))
-         .otherwise(F.lit("")).alias("right_text"),
-        F.when(_flag("rivalry"), F.lit(u["rivalry"])).otherwise(F.lit("")).alias("tag_text"),
+         .otherwise(F.lit("")),
+        F.when(_flag("rivalry"), F.lit(u["rivalry"])).otherwise(F.lit("")),
     ]
 
 
 def bye_row(lang: str) -> list[Column]:
     u = LABELS[lang]
     return [
-        F.col("team").alias("team_label"), F.lit("bye").alias("kind"),
-        week_label(lang).alias("week_label"), F.lit(u["bye"]).alias("when_text"),
-        F.lit("").alias("sub_text"), F.lit("").alias("matchup"), F.lit("").alias("home_away"),
-        F.lit("").alias("right_text"), F.lit("").alias("tag_text"),
+        F.col("team"), F.lit("bye"),
+        week_label(lang), F.lit(u["bye"]),
+        F.lit(""), F.lit(""), F.lit(""),
+        F.lit(""), F.lit(""),
     ]
 
 
@@ -82,52 +82,54 @@ def rivalry_row(lang: str) -> list[Column]:
     away = F.when(_flag("home"), F.lit(second)).otherwise(F.lit(first))
     site = F.when(_flag("home"), F.lit(HOME_SITES[first])).otherwise(F.lit(HOME_SITES[second]))
     return [
-        F.lit("").alias("team_label"), F.lit("rivalry").alias("kind"),
-        week_label(lang).alias("week_label"),
-        format_wall_clock(F.col("dateKST"), lang).alias("when_text"),
-        F.col("etLabel").alias("sub_text"),
-        F.concat(away, F.lit(" @ "), home).alias("matchup"),
-        F.concat(F.lit(u["home_site"][0]), site, F.lit(u["home_site"][1])).alias("home_away"),
-        F.coalesce(F.col("bcast"), F.lit("")).alias("right_text"),
-        F.lit(u["rivalry"]).alias("tag_text"),
+        F.lit(""), F.lit("rivalry"),
+        week_label(lang),
+        format_wall_clock(F.col("dateKST"), lang),
+        F.col("etLabel"),
+        F.concat(away, F.lit(" @ "), home),
+        F.concat(F.lit(u["home_site"][0]), site, F.lit(u["home_site"][1])),
+        F.coalesce(F.col("bcast"), F.lit("")),
+        F.lit(u["rivalry"]),
     ]
 
 
+_DISPLAY = ["team_label", "kind", "week_label", "when_text", "sub_text", "matchup", "home_away",
+            "right_text", "tag_text"]
+
+
 def team_view(games: DataFrame, team: str, lang: str = "en") -> DataFrame:
     """One team's season: pre-season then regular season in list order; byes
-    stay as their own rows; rivalry games flagged."""
-    g = games.where((F.col("team") == team) & F.col("phase").isin("pre", "reg"))
+    stay as their own rows; rivalry games flagged. One pass over the games."""
+    g = games.where((F.col("team") == team) & F.col("phase").isin("pre", "reg")
+                    & ~(_flag("bye") & (F.col("phase") == "pre")))
     section = F.when(F.col("phase") == "pre", F.lit(0)).otherwise(F.lit(1))
-    games_part = g.where(~_flag("bye")).select(section.alias("section"), "pos", *game_row(F.col("team"), lang))
-    byes = g.where(_flag("bye") & (F.col("phase") == "reg")).select(F.lit(1).alias("section"), "pos", *bye_row(lang))
-    return games_part.unionByName(byes)
+    is_bye = _flag("bye")
+    game, bye = game_row(F.col("team"), lang), bye_row(lang)
+    cols = [F.when(is_bye, b).otherwise(c).alias(n) for n, c, b in zip(_DISPLAY, game, bye)]
+    return g.select(section.alias("section"), "pos", *cols)
 
 
 def union_view(games: DataFrame, lang: str = "en") -> DataFrame:
     """Both teams merged: pre-season by kickoff; regular season with rivalry
     games once (first team's copy), byes dropped, sorted by kickoff with ties
     in push order (rivalry, first team, second team, then list order); TBD
-    games last, first team first.
+    games last, first team first. One pass over the games.
 
     Sort keys: (section, date_key, kind_rank, pos).
     """
-    first, second = TEAMS
+    first, _ = TEAMS
+    pre = F.col("phase") == "pre"
+    reg = F.col("phase") == "reg"
+    rivalry = reg & _flag("rivalry")
+    keep = pre | (reg & ~_flag("bye") & (~_flag("rivalry") | (F.col("team") == first)))
     team_rank = F.when(F.col("team") == first, F.lit(1)).otherwise(F.lit(2))
-    pre = (games.where(F.col("phase") == "pre")
-                .select(F.lit(0).alias("section"), F.col("dateKST").alias("date_key"),
-                        team_rank.alias("kind_rank"), "pos", *game_row(F.col("team"), lang)))
-    reg = games.where((F.col("phase") == "reg") & ~_flag("bye"))
-    rivalry = (reg.where(_flag("rivalry") & (F.col("team") == first))
-                  .select(F.lit(1).alias("section"), F.col("dateKST").alias("date_key"),
-                          F.lit(0).alias("kind_rank"), "pos", *rivalry_row(lang)))
-    plain = reg.where(~_flag("rivalry"))
-    timed = (plain.where(~_flag("tbd"))
-                  .select(F.lit(1).alias("section"), F.col("dateKST").alias("date_key"),
-                          team_rank.alias("kind_rank"), "pos", *game_row(F.col("team"), lang)))
-    tbd = (plain.where(_flag("tbd"))
-                .select(F.lit(2).alias("section"), F.lit(None).cast("string").alias("date_key"),
-                        team_rank.alias("kind_rank"), "pos", *game_row(F.col("team"), lang)))
-    return pre.unionByName(rivalry).unionByName(timed).unionByName(tbd)
+    section = F.when(pre, F.lit(0)).when(_flag("tbd") & ~_flag("rivalry"), F.lit(2)).otherwise(F.lit(1))
+    date_key = F.when(section == 2, F.lit(None).cast("string")).otherwise(F.col("dateKST"))
+    kind_rank = F.when(rivalry, F.lit(0)).otherwise(team_rank)
+    game, riv = game_row(F.col("team"), lang), rivalry_row(lang)
+    cols = [F.when(rivalry, r).otherwise(c).alias(n) for n, c, r in zip(_DISPLAY, game, riv)]
+    return games.where(keep).select(section.alias("section"), date_key.alias("date_key"),
+                                    kind_rank.alias("kind_rank"), "pos", *cols)
 
 
 def matchup_check(games: DataFrame, keys=("phase", "week", "dateKST")) -> DataFrame:

@@ -289,10 +289,14 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bye, F.lit(True)).alias("bye"),
         F.when(tbd, F.lit(True)).alias("tbd"),
     )
-    mirror = (base.where(F.col("rivalry"))
-                  .withColumn("team", F.when(F.col("team") == "GB", F.lit("MIN")).otherwise(F.lit("GB")))
-                  .withColumn("home", ~F.col("home")))
-    return base.unionByName(mirror)
+    # a rivalry game is listed by both teams: one scan, the second copy made
+    # by exploding [own, other] and flipping team and home for the other
+    other = F.when(F.col("team") == "GB", F.lit("MIN")).otherwise(F.lit("GB"))
+    copies = F.when(F.coalesce(F.col("rivalry"), F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = base.select("*", F.explode(copies).alias("_copy"))
+    return (out.withColumn("team", F.when(F.col("_copy") == 1, other).otherwise(F.col("team")))
+               .withColumn("home", F.when(F.col("_copy") == 1, ~F.col("home")).otherwise(F.col("home")))
+               .drop("_copy"))
 
 
 # --- interaction events --------------------------------------------------------------
