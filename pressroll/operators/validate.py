@@ -39,13 +39,16 @@ def story_reports(parsed: DataFrame, doc_col: str = "doc", key: str = "doc_id")
 
 
 def row_reports(parsed: DataFrame, doc_col: str = "doc", key: str = "doc_id") -> DataFrame:
-    """One row per injury / move / schedule element: (key, kind, pos, errors)."""
-    parts = []
-    for kind in ("injuries", "moves", "schedule"):
-        arr = V.as_array(V.J(F.col(doc_col))[kind])
-        parts.append(parsed.select(key, F.lit(kind).alias("kind"), F.posexplode(arr).alias("pos", "row"))
-                           .select(key, "kind", "pos", V.ROW_RULES[kind](F.col("row")).alias("errors")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One row per injury / move / schedule element: (key, kind, pos, errors).
+
+    One pass: the three lists are exploded together, each element checked
+    with the rules of its kind."""
+    doc = V.J(F.col(doc_col))
+    kinds = ("injuries", "moves", "schedule")
+    lists = F.array(*[F.struct(F.lit(k).alias("kind"), V.as_array(doc[k]).alias("items")) for k in kinds])
+    per_kind = parsed.select(key, F.explode(lists).alias("l"))
+    rows = per_kind.select(key, F.col("l.kind").alias("kind"), F.posexplode("l.items").alias("pos", "row"))
+    errors = F.when(F.col("kind") == kinds[0], V.ROW_RULES[kinds[0]](F.col("row")))
+    for k in kinds[1:]:
+        errors = errors.when(F.col("kind") == k, V.ROW_RULES[k](F.col("row")))
+    return rows.select(key, "kind", "pos", errors.alias("errors"))
