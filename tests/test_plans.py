@@ -27,8 +27,14 @@ def test_no_cartesian_and_no_stray_python(spark, name):
 
 
 def test_saved_index_bound_reaches_parquet(spark):
-    p = plan(E.queries()["high_water_mark"](spark, SF_SMALL))
+    from pressroll.operators import index as I
+    from pressroll.sources import tables as T
+
+    t = T.SAVED_THROUGH
+    saved = I.index_entries(T.stories(spark, SF_SMALL, t), T.moves(spark, SF_SMALL, t), T.days(spark, SF_SMALL, t))
+    p = plan(saved)
     assert "PushedFilters: [IsNotNull(o_orderdate), LessThan(o_orderdate" in p
+    assert "ReadSchema: struct<l_orderkey:bigint" in p and "l_extendedprice" not in p
 
 
 def test_projection_pruned_at_scan(spark):
