@@ -59,12 +59,14 @@ def article_bodies(feed: DataFrame, pages: DataFrame) -> DataFrame:
     """Text per article: header, then the stripped body cut to 15000 characters,
     or a note when the page could not be fetched (no page with that link).
     """
-    p = pages.select(F.col("url").alias("_url"), truncate(strip_html(F.col("html")), ARTICLE_BUDGET).alias("_body"))
+    # join first: only pages some article points at are stripped
+    p = pages.select(F.col("url").alias("_url"), F.col("html").alias("_html"))
     j = feed.join(p, feed.url == p._url, "left")
+    body = truncate(strip_html(F.col("_html")), ARTICLE_BUDGET)
     header = F.concat(F.lit("URL: "), F.col("url"), F.lit("\n"), F.col("title"), F.lit("\n\n"))
     missing = F.concat(F.lit(FETCH_FAILED_PREFIX), F.lit("Failed to fetch "), F.col("url"), F.lit(" (404)]"))
     return j.select(*[c for c in feed.columns],
-                    F.concat(header, F.coalesce(F.col("_body"), missing)).alias("text"))
+                    F.concat(header, F.when(F.col("_url").isNotNull(), body).otherwise(missing)).alias("text"))
 
 
 def day_text(bodies: DataFrame, rows_per_part: int = 64) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroll.operators.sequence import next_match
+from pressroll.operators.sequence import next_match, next_matches
 
 # --- fixed values (must equal the reference) ---------------------------------------
 # event name -> the one data key it may carry
@@ -72,8 +72,8 @@ def hold(presses: DataFrame, delay: str = HOLD_DELAY) -> DataFrame:
     ``start`` (at = press + delay) or ``end`` (at = the cancel).
     """
     p = presses.select("user", "ts", "seq", "is_cancel")
-    nx = next_match(p, ["user"], ["ts", "seq"], name="next_any")
-    nc = next_match(nx, ["user"], ["ts", "seq"], when=F.col("is_cancel"), name="next_cancel")
+    nc = next_matches(p, ["user"], ["ts", "seq"],
+                      conditions={"next_any": None, "next_cancel": F.col("is_cancel")})
     later = F.col("ts") + F.expr(f"INTERVAL {delay}")
     fired = nc.where(~F.col("is_cancel") & (F.col("next_any").isNull() | (F.col("next_any.ts") >= later)))
     starts = fired.select("user", "seq", F.lit("start").alias("kind"), later.alias("at"))

@@ -57,30 +57,50 @@ def position_in_group(df: DataFrame, keys, order, pos_col: str = "pos",
                  .drop(PID, "_lpos", "_off"))
 
 
-def next_match(df: DataFrame, keys, order, payload: Sequence[str] = (),
-               when: Column | None = None, name: str = "next",
-               num_partitions: int | None = None) -> DataFrame:
-    """Adds ``<name>`` = struct(order..., payload...) of the first later row of
-    the same key (strictly after in ``order``) for which ``when`` holds; NULL
-    when there is none.
+def next_matches(df: DataFrame, keys, order, payload: Sequence[str] = (),
+                 conditions: dict[str, Column | None] | None = None,
+                 num_partitions: int | None = None) -> DataFrame:
+    """For each named condition, adds ``<name>`` = struct(order..., payload...)
+    of the first later row of the same key (strictly after in ``order``) for
+    which the condition holds (``None`` = any row); NULL when there is none.
+
+    All conditions share one range partitioning and one window pass.
     """
     keys, order, payload = _names(keys), _names(order), list(payload)
-    marked = df.withColumn("_m", F.coalesce(when, F.lit(False)) if when is not None else F.lit(True))
+    conditions = conditions or {"next": None}
+    marks = {name: f"_m{i}" for i, name in enumerate(conditions)}
+    marked = df
+    for name, cond in conditions.items():
+        marked = marked.withColumn(marks[name], F.lit(True) if cond is None else F.coalesce(cond, F.lit(False)))
     r = ranged(marked, keys, order, num_partitions)
-    cand = F.when(F.col("_m"), F.struct(*[F.col(c) for c in order + payload]))
+    row = F.struct(*[F.col(c) for c in order + payload])
     # later rows, seen in reverse order: the latest match among "preceding" ones
     rev = (Window.partitionBy(PID, *keys)
                  .orderBy(*[F.col(c).desc() for c in order])
                  .rowsBetween(Window.unboundedPreceding, -1))
-    local = r.withColumn("_local", F.last(cand, ignorenulls=True).over(rev))
+    local = r
+    for name, m in marks.items():
+        local = local.withColumn(f"_local_{m}", F.last(F.when(F.col(m), row), ignorenulls=True).over(rev))
     later = (Window.partitionBy(*keys).orderBy(F.col(PID).desc())
                    .rowsBetween(Window.unboundedPreceding, -1))
-    chunks = (r.groupBy(PID, *keys).agg(F.min(cand).alias("_first"))
-               .withColumn("_later", F.last("_first", ignorenulls=True).over(later))
-               .select(PID, *keys, "_later"))
-    return (local.join(chunks, [PID, *keys])
-                 .withColumn(name, F.coalesce("_local", "_later"))
-                 .drop(PID, "_m", "_local", "_later"))
+    chunks = r.groupBy(PID, *keys).agg(*[F.min(F.when(F.col(m), row)).alias(f"_first_{m}") for m in marks.values()])
+    for m in marks.values():
+        chunks = chunks.withColumn(f"_later_{m}", F.last(f"_first_{m}", ignorenulls=True).over(later))
+    chunks = chunks.select(PID, *keys, *[f"_later_{m}" for m in marks.values()])
+    out = local.join(chunks, [PID, *keys])
+    for name, m in marks.items():
+        out = out.withColumn(name, F.coalesce(f"_local_{m}", f"_later_{m}"))
+    return out.drop(PID, *marks.values(), *[f"_local_{m}" for m in marks.values()],
+                    *[f"_later_{m}" for m in marks.values()])
+
+
+def next_match(df: DataFrame, keys, order, payload: Sequence[str] = (),
+               when: Column | None = None, name: str = "next",
+               num_partitions: int | None = None) -> DataFrame:
+    """Adds ``<name>`` = struct(order..., payload...) of the first later row of
+    the same key (strictly after in ``order``) for which ``when`` holds (any
+    row when ``when`` is None); NULL when there is none."""
+    return next_matches(df, keys, order, payload, {name: when}, num_partitions)
 
 
 def assemble_parts(df: DataFrame, keys, order, text: str, sep: str,
