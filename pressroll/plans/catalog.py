@@ -122,7 +122,7 @@ def date_label_plain(spark, d):
 @query
 def weekday_name(spark, d):
     days = T.days(spark, d)
-    return days.select("date", D.weekday_index(F.col("date")).alias("dow"),
+    return days.select("date", D.weekday_index(F.col("date")).cast("long").alias("dow"),
                        D.weekday_name(F.col("date"), "en").alias("name_en"),
                        D.weekday_name(F.col("date"), "ko").alias("name_ko"))
 
