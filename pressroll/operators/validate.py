@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pressroll.functions import documents as V
 from pressroll.functions.strings import parse_fenced_json
+from pressroll.session import where_computed
 
 
 def parse_days(raw: DataFrame, text_col: str = "raw") -> DataFrame:
@@ -20,6 +21,17 @@ def parse_days(raw: DataFrame, text_col: str = "raw") -> DataFrame:
         "*", F.col("_p.value").alias("doc"), F.col("_p.error").alias("parse_error")).drop("_p")
 
 
+def parsed_only(raw: DataFrame, text_col: str = "raw") -> DataFrame:
+    """Documents that parse, with ``doc`` (parsed once per row)."""
+    p = parse_fenced_json(F.col(text_col))
+    return where_computed(raw, {"doc": p["value"]}, lambda s: s["doc"].isNotNull())
+
+
+def valid_only(parsed: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """Parsed documents without any error (rules evaluated once per row)."""
+    return where_computed(parsed, {"errors": V.day_errors(F.col(doc_col))}, lambda s: F.size(s["errors"]) == 0)
+
+
 def with_errors(parsed: DataFrame, doc_col: str = "doc") -> DataFrame:
     """Adds ``errors`` (array<string>, empty = valid) to parsed documents."""
     return parsed.withColumn("errors", V.day_errors(F.col(doc_col)))

@@ -237,7 +237,7 @@ def literal_replace(spark, d):
 # --- document rules ---------------------------------------------------------------------
 
 def _parsed(spark, d):
-    return Vd.parse_days(T.raw_days(spark, d)).where(F.col("doc").isNotNull())
+    return Vd.parsed_only(T.raw_days(spark, d))
 
 
 @query
@@ -289,7 +289,7 @@ def validate_rows(spark, d):
 
 @query
 def valid_days(spark, d):
-    valid, quarantine = Vd.split_valid(Vd.with_errors(_parsed(spark, d)))
+    valid = Vd.valid_only(_parsed(spark, d))
     return valid.select("doc_id", F.variant_get("doc", "$.date", "string").alias("date"))
 
 

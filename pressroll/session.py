@@ -81,6 +81,22 @@ def materialize(df, name: str):
     return df.sparkSession.read.parquet(path)
 
 
+def where_computed(df, computed: dict, keep):
+    """Add costly columns and keep the rows where ``keep(struct)`` holds, with
+    each column computed once per row.
+
+    A plain ``withColumn(...).where(...)`` lets the optimizer push the filter
+    below the projection, pasting the costly expression into the filter (it
+    then runs twice). Filtering inside a generator's input is a barrier:
+    ``explode(filter(array(struct(cols)), keep))`` yields the row or nothing.
+    """
+    from pyspark.sql import functions as F
+
+    packed = F.struct(*[c.alias(n) for n, c in computed.items()])
+    kept = F.explode(F.filter(F.array(packed), keep)).alias("_kept")
+    return df.select("*", kept).select(*df.columns, *[F.col(f"_kept.{n}").alias(n) for n in computed])
+
+
 def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 

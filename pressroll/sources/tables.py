@@ -152,8 +152,11 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- raw day documents (JSON text with planned defects) ----------------------
 
 def json_str(c: Column) -> Column:
-    """A JSON string literal for a text column."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":([\s\S]*)\}\z', 1)
+    """A JSON string literal for a text column: the value of ``{"v": c}``,
+    cut out by position (the wrapper is always ``{"v":`` ... ``}``)."""
+    def cut(w):
+        return F.substring(w, F.lit(6), F.length(w) - 6)
+    return F.transform(F.array(F.to_json(F.struct(c.alias("v")))), cut)[0]
 
 
 def _obj(*fields: tuple[str, Column | None]) -> Column:
