@@ -72,3 +72,14 @@ def test_multi_column_keys_and_payload(spark):
     out = next_match(df, ["k1", "k2"], ["t"], payload=["v"], num_partitions=3).select(
         "v", F.col("next.v").alias("nv")).collect()
     assert sorted((r["v"], r["nv"]) for r in out) == [(1, 2), (2, 5), (3, None), (4, None), (5, None)]
+
+
+def test_global_rank_matches_sorted_order(spark):
+    from pressroll.operators.sequence import global_rank
+
+    df, pdf = skewed(spark, n=1500)
+    got = global_rank(df, ["key", "t", "seq"], num_partitions=8).select("seq", "row_no").toPandas()
+    want = pdf.sort_values(["key", "t", "seq"]).reset_index(drop=True)
+    want = dict(zip(want["seq"], range(len(want))))
+    assert len(got) == len(want)
+    assert all(want[s] == r for s, r in zip(got["seq"], got["row_no"]))
