@@ -14,14 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroll.functions import dates as D
+from pressroll.functions import documents as V
+from pressroll.functions import strings as S
 from pressroll.operators import articles as A
+from pressroll.operators import events as Ev
 from pressroll.operators import index as I
+from pressroll.operators import integrity as G
+from pressroll.operators import repair as R
+from pressroll.operators import schedule as Sc
 from pressroll.operators import validate as Vd
+from pressroll.operators.model import apply_model as _apply_model
+from pressroll.operators.model import organize_stub
 from pressroll.operators.sequence import assemble_parts
-from pressroll.functions import documents as V
-from pressroll.functions import strings as S
-from pressroll.session import configure, materialize
+from pressroll.plans.ingest import ingest as _ingest
+from pressroll.session import configure, materialize, work_dir
+from pressroll.sources import files as Fs
 from pressroll.sources import tables as T
+from pressroll.streaming import events as Se
+from pressroll.streaming import ingest as Si
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -295,9 +305,6 @@ def valid_days(spark, d):
 
 # --- store integrity, upserts --------------------------------------------------------
 
-from pressroll.operators import integrity as G  # noqa: E402
-from pressroll.operators import repair as R  # noqa: E402
-
 
 def _store(spark, d):
     return full_index(spark, d).select("date", "storyCount", "moveCount")
@@ -361,7 +368,7 @@ def index_replace(spark, d):
             .unionByName(index_out(missing).withColumn("outcome", F.lit("missing"))))
 
 
-def index_fields(df_or_none=None):
+def index_fields():
     return [F.col("date"), F.col("dateLabel.ko"), F.col("dateLabel.en"), F.col("headline.ko"),
             F.col("headline.en"), F.col("storyCount"), F.col("moveCount"), F.array_join("tags", ",")]
 
@@ -451,8 +458,6 @@ def delete_stories(spark, d):
 
 # --- schedule ------------------------------------------------------------------------
 
-from pressroll.operators import schedule as Sc  # noqa: E402
-
 
 @query
 def scan_games(spark, d):
@@ -514,7 +519,6 @@ def matchup_check(spark, d):
 
 # --- interaction events ---------------------------------------------------------------
 
-from pressroll.operators import events as Ev  # noqa: E402
 
 # the driver's events are minutes apart; debounce gap and hold delay scale with them
 SEARCH_GAP = "30 minutes"
@@ -548,9 +552,6 @@ def hold_detect(spark, d):
 
 # --- sources and sinks ------------------------------------------------------------------
 
-from pressroll.session import work_dir  # noqa: E402
-from pressroll.sources import files as Fs  # noqa: E402
-
 
 @query
 def scan_day_documents(spark, d):
@@ -603,9 +604,6 @@ def scan_season(spark, d):
 
 # --- model step and ingest job -----------------------------------------------------------
 
-from pressroll.operators.model import apply_model as _apply_model, organize_stub  # noqa: E402
-from pressroll.plans.ingest import ingest as _ingest  # noqa: E402
-
 
 @query
 def apply_model(spark, d):
@@ -632,9 +630,6 @@ def ingest_index(spark, d):
 
 # --- streaming forms --------------------------------------------------------------------
 
-from pressroll.streaming import events as Se  # noqa: E402
-from pressroll.streaming import ingest as Si  # noqa: E402
-
 
 def _run_to_table(stream_df, out_dir, ckpt, mode):
     def write(batch, epoch_id):
