@@ -10,6 +10,10 @@ from __future__ import annotations
 
 from pressroll.functions.dates import MONTH_ABBR, MONTH_NUMBERS
 from pressroll.functions.strings import WS
+from pressroll.functions import documents as Dm
+from pressroll.functions import strings as St
+from pressroll.operators.events import EVENT_CATALOGUE
+from pressroll.operators.schedule import HOME_SITES, LABELS
 from pressroll.sources.tables import FULL_MONTHS, SAVED_THROUGH
 
 ORACLE: dict[str, str] = {}
@@ -149,9 +153,6 @@ ORACLE["index_entry"] = with_(FULL) + "SELECT * FROM index"
 
 # --- text functions ------------------------------------------------------------------
 
-from pressroll.functions import documents as Dm  # noqa: E402
-from pressroll.functions import strings as St  # noqa: E402
-
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -553,7 +554,6 @@ ORACLE["delete_stories"] = with_(DEL) + "SELECT * FROM index"
 
 # --- schedule ---------------------------------------------------------------------------
 
-from pressroll.operators.schedule import HOME_SITES, LABELS  # noqa: E402
 
 GAMES = """g0 AS (
   SELECT CASE WHEN o_custkey % 2 = 0 THEN 'GB' ELSE 'MIN' END AS team, o_orderkey AS pos,
@@ -677,7 +677,6 @@ FROM a FULL OUTER JOIN b ON a.phase = b.phase AND a.week = b.week AND a.dateKST
 
 # --- interaction events -------------------------------------------------------------------
 
-from pressroll.operators.events import EVENT_CATALOGUE  # noqa: E402
 
 _NAME_MAP = "CASE event_type WHEN 'view' THEN 'nav_tab' WHEN 'click' THEN 'archive_search' " \
             "WHEN 'signup' THEN 'lang_toggle' WHEN 'purchase' THEN 'schedule_team_tab' ELSE event_type END"
