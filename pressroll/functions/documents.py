@@ -252,6 +252,20 @@ def day_errors(d: Column) -> Column:
     return let(d, lambda x: _day_rules(J(x)))
 
 
+_BUILT: dict = {}
+
+
+def day_errors_of(name: str) -> Column:
+    """``day_errors(col(name))``, built once per Spark context (the rule tree
+    has thousands of nodes; building it through the Python bridge is slow)."""
+    from pyspark import SparkContext
+
+    key = (name, id(SparkContext._active_spark_context))
+    if key not in _BUILT:
+        _BUILT[key] = day_errors(F.col(name))
+    return _BUILT[key]
+
+
 def missing_keys(v: Column, keys) -> Column:
     """Required keys absent from an object, in the given key order."""
     return let(v, lambda x: F.filter(F.array(*[F.when(~has_key(J(x), k), F.lit(k)) for k in keys]),

@@ -29,12 +29,12 @@ def parsed_only(raw: DataFrame, text_col: str = "raw") -> DataFrame:
 
 def valid_only(parsed: DataFrame, doc_col: str = "doc") -> DataFrame:
     """Parsed documents without any error (rules evaluated once per row)."""
-    return where_computed(parsed, {"errors": V.day_errors(F.col(doc_col))}, lambda s: F.size(s["errors"]) == 0)
+    return where_computed(parsed, {"errors": V.day_errors_of(doc_col)}, lambda s: F.size(s["errors"]) == 0)
 
 
 def with_errors(parsed: DataFrame, doc_col: str = "doc") -> DataFrame:
     """Adds ``errors`` (array<string>, empty = valid) to parsed documents."""
-    return parsed.withColumn("errors", V.day_errors(F.col(doc_col)))
+    return parsed.withColumn("errors", V.day_errors_of(doc_col))
 
 
 def split_valid(validated: DataFrame):
