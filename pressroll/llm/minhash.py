@@ -35,8 +35,10 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 48, 6
 BATCH = 48
+#: Documents of a bucket that are compared with one another at a time.
+BLOCK = 256
 #: Chance at which the posterior lets a pair of the threshold's similarity go.
-MISS = 1e-7
+MISS = 1e-5
 
 _A = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(7001, 7001 + BANDS * ROWS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -113,8 +115,13 @@ def least_matches(n: int, percent: int, miss: float) -> int:
     return n
 
 
+def _steps(percent: int, miss: float) -> list[tuple[int, int]]:
+    """After so many compared values a candidate needs so many equal ones."""
+    return [(n, least_matches(n, percent, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+
 def _prune(percent: int, miss: float):
-    steps = [(n, least_matches(n, percent, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+    steps = _steps(percent, miss)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,20 +139,64 @@ def _prune(percent: int, miss: float):
 def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            left = _set_list(batch.column("ta"))
-            right = _set_list(batch.column("tb"))
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                if len(x) and len(y):
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    keep[i] = 100 * shared >= percent * (len(both) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            pairs = zip(_set_list(batch.column("ta")), _set_list(batch.column("tb")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([_similar(x, y, percent) for x, y in pairs], pa.bool_()))
 
     return confirm
 
 
+def _across(percent: int, miss: float):
+    """Links between components in a pair of blocks of a bucket (a block with
+    itself where i = j); pairs that found links have joined are passed over."""
+    steps = _steps(percent, miss)
+
+    def across(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids = group["id"].to_pylist()
+        sets = _set_list(group["text"])
+        names = {c: c for c in group["component"].to_pylist()}
+
+        def root(c):
+            while names[c] != c:
+                names[c] = c = names[names[c]]
+            return c
+
+        signatures = _matrix(group["signature"].combine_chunks())
+        component = group["component"].to_pylist()
+        size = np.array([len(x) for x in sets])
+        block = group["own"].to_numpy()
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        left = np.flatnonzero(block == i)
+        found = []
+        for x in left:
+            y = np.flatnonzero(block == j)
+            if i == j:
+                y = y[y > x]
+            y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent]
+            equal = np.zeros(len(y), np.int64)
+            for n, least in steps:
+                part = slice(n - BATCH, n)
+                equal += (signatures[y, part] == signatures[x, part]).sum(axis=1)
+                y, equal = y[equal >= least], equal[equal >= least]
+            for k in y:
+                if root(component[x]) != root(component[k]) and _similar(sets[x], sets[k], percent):
+                    names[root(component[x])] = root(component[k])
+                    found.append((max(ids[x], ids[k]), min(ids[x], ids[k])))
+        kind = group.schema.field("id").type
+        return pa.table({"a": pa.array([a for a, _ in found], kind), "b": pa.array([b for _, b in found], kind)})
+
+    return across
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def _set_list(column: pa.Array) -> list[np.ndarray]:
     out = []
     for _, _, data, offsets in text_chunks(column):
@@ -190,17 +241,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
     links = _links(stars, first, own, percent, miss)
 
-    # Buckets that still hold several components: every pair across them.
+    # Buckets that still hold several components: all of it in blocks.
     part = connected_components(links)
-    placed = rows.select("bucket", "id", "n", "centre").join(part, "id", "left").withColumn(
+    placed = rows.select("bucket", "id").distinct().join(part, "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                         F.count("*").alias("size")).where("x < y and size > 2").select("bucket")
-    rest = materialize(placed.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "centre", "component"), "open")
-    left = rest.where("id > centre").select("bucket", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
-    right = rest.where("id > centre").select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = left.join(right, "bucket").where("a > b and ca <> cb").where(near).select("a", "b").distinct()
-    more = _links(across, first, own, percent, miss)
+                                         F.count("*").alias("size")).where("x < y and size > 2")
+    blocks = open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")
+    pairs = (placed.join(blocks, "bucket").withColumn("own", mine)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    full = pairs.join(first.select("id", "signature"), "id").join(own, "id")
+    kind = f"a {id_type}, b {id_type}"
+    more = materialize(full.select("bucket", "i", "j", "id", "component", "own", "signature", "text").groupBy("bucket", "i", "j")
+                       .applyInArrow(_across(percent, miss), kind).distinct(), "links")
 
     copies = member.where("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b"))
     part = connected_components(links.union(more).union(copies))
