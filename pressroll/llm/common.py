@@ -79,10 +79,10 @@ class Words:
     ``data``, its text's number ``doc`` and 64-bit ``hash``; ``first`` has the
     first word of each text and one closing entry."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, between: np.ndarray) -> None:
         self.data, self.offsets = data, offsets
         n = len(data)
-        space = (data == 32) | ((data >= 9) & (data <= 13))
+        space = between[data]
         inside = ~space
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= space[:-1]
@@ -93,17 +93,29 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        sums = prefix_sums(data, lower)
-        length = (self.end - self.start).astype(U64)
-        raw = (sums[self.end] - sums[self.start]) * powers(INVERSE, n + 1)[self.start]
-        self.hash = mix(raw + length * U64(0xD6E8FEB86659FD93))
+        self._sums, self._scale = prefix_sums(data, lower), powers(INVERSE, n + 1)
+        self.hash = self._hash(self.end)
+
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        length = (end - self.start).astype(U64)
+        raw = (self._sums[end] - self._sums[self.start]) * self._scale[self.start]
+        return mix(raw + length * U64(0xD6E8FEB86659FD93))
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word (fewer if it has fewer)."""
+        return self._hash(np.minimum(self.end, self.start + size))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    return Words(data, offsets, lower)
+#: Bytes between words: the space and the control characters 9 to 13.
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = SPACE) -> Words:
+    return Words(data, offsets, lower, between)
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

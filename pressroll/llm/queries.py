@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressroll.llm import minhash, quality
+from pressroll.llm import contamination, minhash, mixing, packed_ids, quality, toxicity
 from pressroll.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,26 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.token_ids(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency(table(spark, sf_dir, "documents")).drop("removed_lines")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_dedup, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_minhash_dedup, op3_toxicity, op6_decontamination, op8_source_mix, op9_token_ids, op10_quality_rules)}
 SQL: dict[str, str] = {}
