@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pressroll.llm import contamination, minhash, mixing, packed_ids, quality, toxicity
+from pressroll.llm import chat, contamination, html_tree, minhash, mixing, packed_ids, quality, toxicity, urls
 from pressroll.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +17,29 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages")).drop("words")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract_text(table(spark, sf_dir, "pages"))
+
+
+#: The conversation the contract adds: its texts look like control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn(
+        "text", F.lit(CONTROL_TEXT))
+    return chat.digests(chat.format_conversations(turns.unionByName(own)))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_minhash_dedup, op3_toxicity, op6_decontamination, op8_source_mix, op9_token_ids, op10_quality_rules)}
+    op1_minhash_dedup, op2_url_filter, op3_toxicity, op4_html_text, op5_chat_format, op6_decontamination, op8_source_mix, op9_token_ids, op10_quality_rules)}
 SQL: dict[str, str] = {}
