@@ -26,6 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pressroll.llm.common import identified, materialize, mix, shingle_hashes, text_chunks, words_of
@@ -263,3 +264,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of which one stays per group, with all their columns: the
+    smallest id of a component, and of rows that repeat it the first by text."""
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    first = F.row_number().over(W.partitionBy(id_col).orderBy(text_col))
+    one = known.withColumn("_row", first).where("_row = 1").select(*docs.columns)
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroll.llm import chat, contamination, html_tree, minhash, mixing, packed_ids, quality, toxicity, urls
+from pressroll.llm import chat, contamination, html_tree, minhash, mixing, packed_ids, quality, repeats, toxicity, urls
 from pressroll.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -57,5 +61,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_minhash_dedup, op2_url_filter, op3_toxicity, op4_html_text, op5_chat_format, op6_decontamination, op8_source_mix, op9_token_ids, op10_quality_rules)}
+    op1_minhash_dedup, op2_url_filter, op3_toxicity, op4_html_text, op5_chat_format, op6_decontamination, op7_repeated_strings, op8_source_mix, op9_token_ids, op10_quality_rules)}
 SQL: dict[str, str] = {}

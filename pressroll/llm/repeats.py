@@ -2,13 +2,13 @@
 
 Removed is every byte covered by a string of ``LENGTH`` (50) bytes that also
 starts in a document with a smaller id. Strings (windows) are sorted into
-buckets as in suffix sorting by bucket-pointer refinement: a bucket identifier
-of 16 bytes at a position is refined with the identifier 16 bytes on to one of
-32 bytes, and that with the identifier 18 bytes on to one of all 50; identifiers
-made once are reused at every later step. A bucket that cannot hold a repeat is
-not refined further. To spare most positions:
+buckets as in suffix sorting by bucket-pointer refinement: the bucket identifier of a
+string at a position is refined with the identifier at a later offset to one of
+the longer string, from 1 to 2, 4, 8, 16, 25 and 50 bytes, each step reusing the
+identifiers of the one before. A bucket that cannot hold a repeat is not refined
+further. To spare most positions:
 
-1. Initial q-gram buckets. Of the 35 q-grams (q = 16) in a window only the one
+1. Initial q-gram buckets. Of the 26 q-grams (q = 25) in a window only the one
    with the smallest identifier, its anchor, stands for it, so equal windows
    have equal anchors. Neighbouring windows share an anchor; such a run is one
    row, refined at once by the identifiers of its first and last window (which
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from pressroll.llm.common import U64, identified, join_ids, materialize, mix, rolling, text_chunks
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 25
 GRAMS = LENGTH - GRAM + 1
 #: Classes of one anchor that a task sends to its bucket.
 CLASSES = 64
@@ -51,9 +51,12 @@ CLASSES = 64
 CHUNK, BUCKETS = 4 << 20, 16
 
 SPAN = "doc long, mark int, start long, n int, anchor long, open boolean"
-#: A row: anchor, class, document, mark of its text, first window and number of windows.
-FIELDS = ("anchor", "unit", "doc", "mark", "start", "n")
-WIDTH = {"anchor": 5, "unit": 7, "doc": 8, "mark": 1, "start": 5, "n": 4}
+#: A row: anchor, class, document, mark of its text, first window, number of
+#: windows, and a byte for what stands left and right of the anchor (0: nothing).
+FIELDS = ("anchor", "unit", "doc", "mark", "start", "n", "left", "right")
+WIDTH = {"anchor": 5, "unit": 7, "doc": 8, "mark": 1, "start": 5, "n": 4, "left": 1, "right": 1}
+#: A window holds so many bytes on one side of its anchor at least.
+SIDE = (LENGTH - GRAM + 1) // 2
 Rows = dict[str, np.ndarray]
 
 
@@ -141,18 +144,29 @@ def _joined(rows: Rows) -> Rows:
     return out
 
 
+def _several(rows: Rows, side: str, least: np.ndarray) -> np.ndarray:
+    """Whether classes of another smallest document have the same anchor and side."""
+    order = np.lexsort((rows[side], rows["anchor"]))
+    key = rows["anchor"][order] * 256 + rows[side][order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    low, high = np.minimum.reduceat(least[order], first), np.maximum.reduceat(least[order], first)
+    out = np.zeros(len(key), bool)
+    out[order] = (low < high)[np.cumsum(new) - 1]
+    return out & (rows[side] > 0)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Settle one bucket after the other of a partition sorted by bucket."""
     held: list[bytes] = []
     current = None
 
     def settle() -> Iterator[pa.RecordBatch]:
-        rows, anchor, _, least = _classes(_unpack(held))
+        rows, _, _, least = _classes(_unpack(held))
         if len(least):
             again = rows["doc"] > least
-            first = np.flatnonzero(anchor)
-            low, high = np.minimum.reduceat(least, first), np.maximum.reduceat(least, first)
-            several = (low < high)[np.cumsum(anchor) - 1]
+            several = _several(rows, "left", least) | _several(rows, "right", least)
             yield from _spans(_take(rows, np.flatnonzero(again)), False)
             yield from _spans(_take(rows, np.flatnonzero(several & ~again)), True)
 
@@ -168,15 +182,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle()
 
 
-def _identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket identifiers of 16 and of 32 bytes at each position."""
-    short = rolling(data, GRAM)
-    return short, join_ids(short[:-GRAM], short[GRAM:]) if len(short) > GRAM else short[:0]
-
-
-def _window(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Identifier of the 50 bytes at ``at``: 32 bytes there and 18 bytes on."""
-    return join_ids(wide[at], wide[at + (LENGTH - 2 * GRAM)])
+def _window(short: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bucket identifier of the 50 bytes at ``at``, from that of the 25 bytes
+    there refined by that of the 25 bytes after them."""
+    return join_ids(short[at], short[at + (LENGTH - GRAM)])
 
 
 def _least(values: np.ndarray, size: int) -> np.ndarray:
@@ -194,7 +203,9 @@ def _runs(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, marks: np.nda
     counts = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
     if not counts.sum():
         return {name: np.zeros(0, np.int64) for name in FIELDS}
-    short, wide = _identifiers(data)
+    eight = rolling(data, 8)
+    sixteen = join_ids(eight[:-8], eight[8:])
+    short = join_ids(sixteen[: 16 - GRAM], sixteen[GRAM - 16 :])
     # Order of the q-grams: 38 bits of the identifier, then the place (so a run is at most 64 MB).
     places = np.arange(len(short), dtype=U64)
     anchors = _least((mix(short) >> U64(26) << U64(26)) | places, GRAMS) & U64((1 << 26) - 1)
@@ -206,8 +217,15 @@ def _runs(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, marks: np.nda
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     start, end = at[first], at[last]
-    unit = mix(join_ids(_window(wide, start), _window(wide, end)) + (end - start).astype(U64))
-    return {"anchor": (mix(short[mine[first]] + U64(3)) >> U64(24)).astype(np.int64), "unit": (unit >> U64(8)).astype(np.int64),
+    unit = mix(join_ids(_window(short, start), _window(short, end)) + (end - start).astype(U64))
+    middle = mine[first]
+    side = lambda p: join_ids(eight[p], eight[p + (SIDE - 8)]) % U64(255) + U64(1)
+    left, right = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    has = start <= middle - SIDE
+    left[has] = side(middle[has] - SIDE)
+    has = end > middle - SIDE
+    right[has] = side(middle[has] + GRAM)
+    return {"left": left, "right": right, "anchor": (mix(short[middle] + U64(3)) >> U64(24)).astype(np.int64), "unit": (unit >> U64(8)).astype(np.int64),
             "doc": docs[text[first]], "mark": marks[text[first]], "start": start - offsets[text[first]], "n": end - start + 1}
 
 
@@ -229,7 +247,7 @@ def _find_windows(buckets: int):
             docs, marks = batch.column("doc").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
             runs = batch.column("runs")
             for lo, hi, data, offsets in text_chunks(batch.column("text"), CHUNK):
-                _, wide = _identifiers(data)
+                short = rolling(data, GRAM)
                 part = runs.slice(lo, hi - lo)
                 flat, sizes = part.flatten(), np.diff(part.offsets.to_numpy())
                 row = np.repeat(np.arange(hi - lo), sizes)
@@ -237,9 +255,10 @@ def _find_windows(buckets: int):
                 start = np.repeat(flat.field("start").to_numpy(), n)
                 start = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
                 row, anchor = np.repeat(row, n), np.repeat(flat.field("anchor").to_numpy(), n)
-                unit = (mix(_window(wide, start + offsets[row])) >> U64(8)).astype(np.int64)
+                unit = (mix(_window(short, start + offsets[row])) >> U64(8)).astype(np.int64)
                 yield from _send({"anchor": anchor, "unit": unit, "doc": docs[lo:hi][row], "mark": marks[lo:hi][row], "start": start,
-                                  "n": np.ones(len(row), np.int64)}, buckets, False)
+                                  "n": np.ones(len(row), np.int64), "left": np.zeros(len(row), np.int64),
+                                  "right": np.zeros(len(row), np.int64)}, buckets, False)
 
     return find
 

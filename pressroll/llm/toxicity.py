@@ -131,40 +131,66 @@ def _drawn(id_col: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                   max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, ``held_out``, ``score``, ``predicted``."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray | None, float]:
+    """Weights and intercept; without positives or unlabelled rows no weights and the prior."""
     rows = identified(docs, id_col, text_col).toDF("id", "text")
     marks = identified(labels, id_col, label_col).toDF("id", "label").where(
         F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
     n_labels, n_toxic = marks.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
     trainable = rows.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     n_rows = trainable.select("id").count()
-    weights, intercept = None, 0.0
     prior = n_toxic / n_labels if n_labels else 0.0
-    if n_toxic and n_rows and 0 < prior < 1:
+    if n_rows and 0 < prior < 1:
+        # At most about max_positive ids, so the broadcast is bounded.
         toxic = marks.where("label = 1").where(_drawn(F.col("id"), min(1, max_positive / n_toxic))).select("id").distinct()
         picked = (trainable.where(_drawn(F.col("id"), min(1, max_unlabelled / n_rows))).select(F.lit(0).alias("positive"), "text")
                   .union(trainable.join(F.broadcast(toxic), "id", "left_semi").select(F.lit(1).alias("positive"), "text")))
         sample = picked.mapInArrow(_sample_rows, "positive int, features array<int>").toArrow()
-        of = lambda kind: [r.values.to_numpy() for r in sample["features"].filter(
-            pa.compute.equal(sample["positive"], kind))]
-        positive = sorted(of(1), key=lambda x: x.tobytes())
-        unlabelled = sorted(of(0), key=lambda x: x.tobytes())
+        of = lambda kind: sorted((r.values.to_numpy() for r in sample["features"].filter(
+            pa.compute.equal(sample["positive"], kind))), key=lambda x: x.tobytes())
+        positive, unlabelled = of(1), of(0)
         if positive and unlabelled:
-            weights, intercept = train(positive, unlabelled, prior)
+            return train(positive, unlabelled, prior)
+    return None, prior
+
+
+def _scores(column: pa.Array, weights: np.ndarray | None, intercept: float) -> np.ndarray:
     if weights is None:
-        scored = rows.select("id", F.lit(float(prior)).alias("score"))
-    else:
-        model = spark.sparkContext.broadcast(weights)
+        return np.full(len(column), intercept)
+    parts = [np.zeros(0)]
+    for _, _, data, offsets in text_chunks(column):
+        f = np.clip(_sums(weights, *_features(data, offsets)) + intercept, -30, 30)
+        parts.append(1 / (1 + np.exp(-f)))
+    return np.concatenate(parts)
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                    f = np.clip(_sums(model.value, *_features(data, offsets)) + intercept, -30, 30)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-f)))], ["id", "score"])
 
-        scored = rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   threshold: float = THRESHOLD, **options) -> DataFrame:
+    """One row per document: id, ``held_out``, ``score``, ``predicted``."""
+    weights, intercept = fit(docs, labels, id_col, text_col, **options)
+    rows = identified(docs, id_col, text_col).toDF("id", "text")
+    model = docs.sparkSession.sparkContext.broadcast(weights)  # 2**20 numbers whatever the input
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _scores(batch.column("text"), model.value, intercept)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)], ["id", "score"])
+
+    scored = rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The documents that score below ``threshold``, with all their columns."""
+    weights, intercept = fit(docs, labels, id_col, text_col, **options)
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(place), model.value, intercept) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
