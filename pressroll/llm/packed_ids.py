@@ -14,7 +14,7 @@ so that all blocks are encoded and decoded side by side with numpy. An id of
 2**60 or more is a word with selector 0, its value stands in the escapes, in order.
 
 The file format is Parquet with one row per segment (``shard``, ``segment``,
-ids and lengths of its documents, ``payload``); shards and segments are in
+ids ``before`` it in the shard, ids and lengths of its documents, ``payload``); shards and segments are in
 ascending order of document ids, null ids last, ties by text.
 """
 
@@ -233,7 +233,7 @@ SPLIT = re.compile(r"(?= \S)")
 def _packer(tokenizer: str, end_id: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, end_id)
-        shard, number = TaskContext.get().partitionId(), 0
+        shard, number, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def segment() -> pa.RecordBatch:
@@ -242,9 +242,9 @@ def _packer(tokenizer: str, end_id: int):
             payload = encode_ids(np.concatenate([i for _, _, i in held]))
             edges = pa.array([0, len(docs)], pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([number]), pa.array([int(lengths.sum())]), pa.ListArray.from_arrays(edges, docs),
+                [pa.array([shard], pa.int32()), pa.array([number]), pa.array([before]), pa.array([int(lengths.sum())]), pa.ListArray.from_arrays(edges, docs),
                  pa.ListArray.from_arrays(edges, pa.array(lengths, pa.int64())), pa.array([payload], pa.binary())],
-                ["shard", "segment", "n_ids", "doc_ids", "lengths", "payload"])
+                ["shard", "segment", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -266,6 +266,7 @@ def _packer(tokenizer: str, end_id: int):
                     done = stop
                     if sum(len(i) for _, _, i in held) >= SEGMENT_IDS:
                         yield segment()
+                        before += sum(len(i) for _, _, i in held)
                         held, number = [], number + 1
                 row = end
         if held:
@@ -283,7 +284,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = rows.schema["id"].dataType.simpleString()
     ordered = rows.repartitionByRange(shards, F.col("id").asc_nulls_last()).sortWithinPartitions(
         F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    ordered.mapInArrow(_packer(tokenizer, end_id), f"shard int, segment long, n_ids long, doc_ids array<{kind}>, "
+    ordered.mapInArrow(_packer(tokenizer, end_id), f"shard int, segment long, before long, n_ids long, doc_ids array<{kind}>, "
                        "lengths array<long>, payload binary").write.option("compression", "zstd").parquet(path)
 
 
@@ -304,14 +305,12 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFram
     """One row per written document: id, ``start`` (ids before it), ``n_tokens``,
     ``ids_crc32`` (of its ids as little-endian 32-bit integers)."""
     segments = spark.read.parquet(path)
-    sizes = segments.select("shard", "segment", "n_ids")
-    # One row per shard, then one per segment of a shard; no document rows.
-    totals = sizes.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
-    before = totals.select("shard", (F.sum("ids").over(W.orderBy("shard")) - F.col("ids")).alias("shard_start"))
-    inside = F.sum("n_ids").over(W.partitionBy("shard").orderBy("segment")) - F.col("n_ids")
-    starts = sizes.join(before, "shard").select("shard", "segment", (F.col("shard_start") + inside).alias("start"))
+    # One row per shard, that is per task that wrote: broadcast, so the payloads stay where they are.
+    totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
+    starts = totals.select("shard", (F.sum("ids").over(W.orderBy("shard")) - F.col("ids")).alias("shard_start"))
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    placed = segments.join(starts, ["shard", "segment"]).select("start", "doc_ids", "lengths", "payload")
+    placed = segments.join(F.broadcast(starts), "shard").select(
+        (F.col("shard_start") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
     return placed.mapInArrow(_reader, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pressroll.llm import chat, contamination, html_tree, minhash, mixing, packed_ids, quality, repeats, toxicity, urls
 from pressroll.llm.common import table
+from pressroll.llm.sql import SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,4 +63,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_minhash_dedup, op2_url_filter, op3_toxicity, op4_html_text, op5_chat_format, op6_decontamination, op7_repeated_strings, op8_source_mix, op9_token_ids, op10_quality_rules)}
-SQL: dict[str, str] = {}
+
