@@ -85,5 +85,6 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 def without_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    hit = find_contained(docs, items, id_col, **options).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("_hit")), "left_anti")
+    hit = find_contained(docs, items, id_col, **options).select(F.col(id_col).alias("hit")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("id"))
+    return packed.join(hit, F.col("id").eqNullSafe(F.col("hit")), "left_anti").select("doc.*")

@@ -269,8 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents of which one stays per group, with all their columns: the
     smallest id of a component, and of rows that repeat it the first by text."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    first = F.row_number().over(W.partitionBy(id_col).orderBy(text_col))
-    one = known.withColumn("_row", first).where("_row = 1").select(*docs.columns)
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("id")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("id"))
+    first = F.row_number().over(W.partitionBy("id").orderBy(f"doc.{text_col}"))
+    one = packed.where("id is not null").join(kept, "id", "left_semi").withColumn("row", first).where("row = 1")
+    return one.select("doc.*").unionByName(docs.where(docs[id_col].isNull()))

@@ -159,11 +159,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
 def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents, each as often as the mix takes it, with all their columns."""
     units = copies(docs, id_col, source_col, text_col, **options).select(
-        F.col("source").alias("_s"), F.col("id").alias("_i"), F.col("size").alias("_z"), F.col("n").alias("_n"), F.col("total").alias("_total"))
-    same = docs[source_col].cast("string").eqNullSafe(F.col("_s")) & docs[id_col].eqNullSafe(F.col("_i")) & (
-        word_count(docs[text_col]) == F.col("_z"))
-    joined = docs.join(units, same)
-    k = F.when(F.col("_n") == 1, F.lit(1)).otherwise(F.row_number().over(W.partitionBy("_s", "_i", "_z").orderBy(F.lit(0))))
-    number = F.floor(F.col("_total") / F.col("_n")) + (F.col("_k") <= F.col("_total") % F.col("_n")).cast("long")
-    return joined.withColumn("_k", k).withColumn("_copies", number).where("_copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+        F.col("source").alias("s"), F.col("id").alias("i"), F.col("size").alias("z"), "n", "total")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"),
+                         word_count(docs[text_col]).alias("size"))
+    joined = packed.join(units, F.col("source").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("z")))
+    # Rows with the same source, id and size share the unit's copies.
+    single = joined.where("n = 1").withColumn("k", F.lit(1))
+    shared = joined.where("n > 1").withColumn("k", F.row_number().over(W.partitionBy("s", "i", "z").orderBy(f"doc.{text_col}")))
+    number = F.floor(F.col("total") / F.col("n")) + (F.col("k") <= F.col("total") % F.col("n")).cast("long")
+    return single.unionByName(shared).withColumn("copies", number).where("copies > 0").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

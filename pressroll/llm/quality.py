@@ -147,11 +147,9 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sou
 
 def without_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept documents, their text without the removed lines. Ids must be unique."""
-    marks = verdicts.where("kept").select(F.col(id_col).alias("_id"), "removed_lines")
-    lines = F.split(F.col(text_col), "\n")
-    index = F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1)
-    left = F.filter(F.arrays_zip(lines.alias("line"), index.alias("at")),
-                    lambda x: ~F.array_contains(F.col("removed_lines"), x["at"]))
-    text = F.when(F.size("removed_lines") == 0, F.col(text_col)).otherwise(
-        F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
-    return docs.join(marks, docs[id_col] == F.col("_id")).withColumn(text_col, text).select(*docs.columns)
+    marks = verdicts.where("kept").select(F.col(id_col).alias("id"), "removed_lines")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("id"), F.split(docs[text_col], "\n").alias("lines"))
+    joined = packed.join(marks, "id")
+    left = F.filter("lines", lambda x, i: ~F.array_contains(F.col("removed_lines"), i.cast("long")))
+    text = F.when(F.size("removed_lines") == 0, F.col(f"doc.{text_col}")).otherwise(F.array_join(left, "\n"))
+    return joined.select(F.col("doc").withField(text_col, text).alias("doc")).select("doc.*")
