@@ -60,7 +60,7 @@ def test_run_matches_stage_by_stage(spark):
 
 def awkward_tables(spark, folder, empty):
     docs = messy.documents(spark)
-    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (3, None), (10, 0)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(0, 1), (None, 1), (3, None), *[(k, 0) for k in range(1, 40)]], "doc_id long, toxic int")
     items = spark.createDataFrame([(0, " ".join(messy.words(3, 120)[5:40])), (1, None)], "item_id long, text string")
     for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
         (df.where("false") if empty else df).write.parquet(f"{folder}/{name}.parquet")
