@@ -47,8 +47,9 @@ LENGTH, GRAM = 50, 25
 GRAMS = LENGTH - GRAM + 1
 #: Classes of one anchor that a task sends to its bucket.
 CLASSES = 64
-#: Bytes of text whose repeats a task settles at a time, and buckets per partition.
-CHUNK, BUCKETS = 4 << 20, 16
+#: Bytes of text hashed at a time, rows whose repeats a task settles at a time,
+#: and buckets per partition.
+CHUNK, ROWS, BUCKETS = 1 << 20, 1 << 18, 16
 
 SPAN = "doc long, mark int, start long, n int, anchor long, open boolean"
 #: A row: anchor, class, document, mark of its text, first window, number of
@@ -229,20 +230,32 @@ def _runs(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, marks: np.nda
             "doc": docs[text[first]], "mark": marks[text[first]], "start": start - offsets[text[first]], "n": end - start + 1}
 
 
+def _sent(parts: Iterator[Rows], buckets: int, refine: bool) -> Iterator[pa.RecordBatch]:
+    """Send rows as soon as there are ``ROWS`` of them, and the rest."""
+    held: list[Rows] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(p["doc"]) for p in held) >= ROWS:
+            yield from _send({name: np.concatenate([p[name] for p in held]) for name in FIELDS}, buckets, refine)
+            held = []
+    if held:
+        yield from _send({name: np.concatenate([p[name] for p in held]) for name in FIELDS}, buckets, refine)
+
+
 def _find_runs(buckets: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for batch in batches:
             docs, marks = batch.column("doc").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
             for lo, hi, data, offsets in text_chunks(batch.column("text"), CHUNK):
-                yield from _send(_runs(data, offsets, docs[lo:hi], marks[lo:hi]), buckets, True)
+                yield _runs(data, offsets, docs[lo:hi], marks[lo:hi])
 
-    return find
+    return lambda batches: _sent(runs(batches), buckets, True)
 
 
 def _find_windows(buckets: int):
     """Single windows of the runs that are still open."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for batch in batches:
             docs, marks = batch.column("doc").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
             runs = batch.column("runs")
@@ -256,11 +269,11 @@ def _find_windows(buckets: int):
                 start = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
                 row, anchor = np.repeat(row, n), np.repeat(flat.field("anchor").to_numpy(), n)
                 unit = (mix(_window(short, start + offsets[row])) >> U64(8)).astype(np.int64)
-                yield from _send({"anchor": anchor, "unit": unit, "doc": docs[lo:hi][row], "mark": marks[lo:hi][row], "start": start,
-                                  "n": np.ones(len(row), np.int64), "left": np.zeros(len(row), np.int64),
-                                  "right": np.zeros(len(row), np.int64)}, buckets, False)
+                none = np.zeros(len(row), np.int64)
+                yield {"anchor": anchor, "unit": unit, "doc": docs[lo:hi][row], "mark": marks[lo:hi][row], "start": start,
+                       "n": none + 1, "left": none, "right": none}
 
-    return find
+    return lambda batches: _sent(windows(batches), buckets, False)
 
 
 def _settled(sent: DataFrame, partitions: int) -> DataFrame:
