@@ -82,14 +82,14 @@ def newer_than(date: Column, baseline: Column) -> Column:
 
 def _parts(iso: Column):
     p = F.split(iso, "-")
-    return p[0].try_cast("int"), p[1].try_cast("int"), p[2].try_cast("int")
+    return F.get(p, 0).try_cast("int"), F.get(p, 1).try_cast("int"), F.get(p, 2).try_cast("int")
 
 
 def date_label(iso: Column) -> Column:
     """Library style: ``{ko: "2026-01-05 (현지)", en: "Jan 5, 2026 (local)"}``."""
     y, mo, d = _parts(iso)
     en = F.concat(
-        F.try_element_at(F.array(*[F.lit(m) for m in MONTH_ABBR]), mo),
+        F.get(F.array(*[F.lit(m) for m in MONTH_ABBR]), mo - 1),
         F.lit(" "), d.cast("string"), F.lit(", "), y.cast("string"), F.lit(LOCAL_EN),
     )
     return F.struct(F.concat(iso, F.lit(LOCAL_KO)).alias("ko"), en.alias("en"))
@@ -113,7 +113,7 @@ def weekday_index(iso: Column) -> Column:
 
 def weekday_name(iso: Column, lang: str = "en") -> Column:
     names = WEEKDAYS_KO if lang == "ko" else WEEKDAYS_EN
-    return F.try_element_at(F.array(*[F.lit(n) for n in names]), weekday_index(iso) + 1)
+    return F.get(F.array(*[F.lit(n) for n in names]), weekday_index(iso))
 
 
 def format_wall_clock(iso_ts: Column, lang: str = "en") -> Column:
@@ -121,11 +121,11 @@ def format_wall_clock(iso_ts: Column, lang: str = "en") -> Column:
 
     ko: ``9/14(월) 05:25``; en: ``Mon 9/14 05:25``.
     """
-    date_part = F.split(iso_ts, "T")[0]
-    time_part = F.split(iso_ts, "T")[1]
+    date_part = F.get(F.split(iso_ts, "T"), 0)
+    time_part = F.get(F.split(iso_ts, "T"), 1)
     _, mo, d = _parts(date_part)
-    hh = F.split(time_part, ":")[0]
-    mm = F.split(time_part, ":")[1]
+    hh = F.get(F.split(time_part, ":"), 0)
+    mm = F.get(F.split(time_part, ":"), 1)
     dow = weekday_name(date_part, lang)
     md = F.concat(mo.cast("string"), F.lit("/"), d.cast("string"))
     clock = F.concat(hh, F.lit(":"), mm)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroll.functions.dates import newer_than, parse_us_date
-from pressroll.functions.strings import (ARTICLE_BUDGET, DAY_SEPARATOR, FETCH_FAILED_PREFIX,
-                                         strip_html, truncate)
+from pressroll.functions.strings import DAY_SEPARATOR, FETCH_FAILED_PREFIX, strip_html, truncate
 from pressroll.operators.sequence import assemble_parts, position_in_group
 
 
@@ -51,18 +50,21 @@ def group_by_date(dated: DataFrame, order: str = "ordinal") -> DataFrame:
     """Row-per-article grouping: ``first_ordinal`` orders the groups (first
     seen first) and ``pos`` is the article's place inside its date.
     """
-    firsts = dated.groupBy("date").agg(F.min(order).alias("first_ordinal"))
-    return position_in_group(dated, ["date"], [order]).join(firsts, "date")
+    return position_in_group(dated, ["date"], [order], first_col="first_ordinal")
 
 
-def article_bodies(feed: DataFrame, pages: DataFrame) -> DataFrame:
-    """Text per article: header, then the stripped body cut to 15000 characters,
-    or a note when the page could not be fetched (no page with that link).
+def article_bodies(feed: DataFrame, pages: DataFrame, budget: int | None = None) -> DataFrame:
+    """Text per article: header, then the stripped body (cut to ``budget``
+    characters where one is given), or a note when the page could not be
+    fetched (no page with that link). Of pages stored twice under one url the
+    latest (``page_id``, else the greatest text) counts.
     """
+    latest = "page_id" if "page_id" in pages.columns else "html"
     # join first: only pages some article points at are stripped
-    p = pages.select(F.col("url").alias("_url"), F.col("html").alias("_html"))
+    p = pages.where(F.col("url").isNotNull()).groupBy(F.col("url").alias("_url")).agg(F.max_by("html", latest).alias("_html"))
     j = feed.join(p, feed.url == p._url, "left")
-    body = truncate(strip_html(F.col("_html")), ARTICLE_BUDGET)
+    body = strip_html(F.col("_html"))
+    body = body if budget is None else truncate(body, budget)
     header = F.concat(F.lit("URL: "), F.col("url"), F.lit("\n"), F.col("title"), F.lit("\n\n"))
     missing = F.concat(F.lit(FETCH_FAILED_PREFIX), F.lit("Failed to fetch "), F.col("url"), F.lit(" (404)]"))
     return j.select(*[c for c in feed.columns],

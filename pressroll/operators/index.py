@@ -9,49 +9,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pressroll.functions.strings import WS
 
 INDEX_COLUMNS = ["date", "dateLabel", "headline", "storyCount", "moveCount", "tags"]
 
 
-def first_seen_tags(stories: DataFrame) -> DataFrame:
-    """(date, tag, first) with ``first`` the place the tag is first seen.
+def tag_lists(stories: DataFrame, order: str) -> DataFrame:
+    """(date, tags, n, first): one row per distinct tag list of a date, with how
+    many stories carry it and the smallest story order among them. A hash
+    aggregate with map-side combine; everything about tags is derived from it."""
+    return (stories.groupBy("date", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+                   .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")))
 
-    A tag's place is (story order, position in the story's tag list); the
-    result per date is bounded by the tag vocabulary, not by the row count.
-    """
-    exploded = stories.select(
-        "date", "story_ord", F.posexplode(F.coalesce("tags", F.array().cast("array<string>"))).alias("tag_pos", "tag"))
-    ord_type = exploded.schema["story_ord"].dataType
-    if isinstance(ord_type, T.StructType):
-        # A struct minimum aggregates by sorting. Narrow the rows first with a
-        # hash aggregate on the leading field: only rows carrying the smallest
-        # leading value of their (date, tag) (or a NULL one, which sorts
-        # first) can hold the minimum.
-        lead = F.col("story_ord")[ord_type.fields[0].name]
-        least = exploded.groupBy("date", "tag").agg(F.min(lead).alias("_least"))
-        exploded = (exploded.join(least, ["date", "tag"])
-                            .where(lead.isNull() | (lead == F.col("_least"))).drop("_least"))
+
+def first_seen_tags(lists: DataFrame) -> DataFrame:
+    """(date, tag, first) from :func:`tag_lists`: ``first`` is the place (story
+    order, position in the story's tag list) at which the tag is first seen."""
+    exploded = lists.select("date", "first", F.posexplode("tags").alias("tag_pos", "tag"))
     return (exploded.groupBy("date", "tag")
-                    .agg(F.min(F.struct("story_ord", "tag_pos")).alias("first")))
+                    .agg(F.min(F.struct(F.col("first").alias("order"), "tag_pos")).alias("first")))
 
 
 def ordered_tags(tag_firsts: DataFrame) -> DataFrame:
-    """(date, tags) with the distinct tags of a date in first-seen order."""
+    """(date, tags) with the distinct tags of a date in first-seen order (tags
+    first seen at one place, which needs a repeated story order, by name)."""
     return (tag_firsts.groupBy("date")
                       .agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "tag"))),
                                        lambda x: x["tag"]).alias("tags")))
 
 
-def index_entries(stories: DataFrame, moves: DataFrame, days: DataFrame) -> DataFrame:
+def index_entries(stories: DataFrame, moves: DataFrame, days: DataFrame, order: str = "ordinal") -> DataFrame:
     """One summary row per day: counts, label, headline, distinct tags in order."""
-    story_counts = stories.groupBy("date").agg(F.count(F.lit(1)).alias("storyCount"))
+    lists = tag_lists(stories, order)
+    story_counts = lists.groupBy("date").agg(F.sum("n").alias("storyCount"))
     move_counts = moves.groupBy("date").agg(F.count(F.lit(1)).alias("moveCount"))
-    tags = ordered_tags(first_seen_tags(stories))
+    tags = ordered_tags(first_seen_tags(lists))
     return (days.select("date", "dateLabel", "headline")
                 .join(story_counts, "date", "left")
                 .join(move_counts, "date", "left")
@@ -81,14 +76,20 @@ def flat_entries(grouped: DataFrame) -> DataFrame:
 
 # --- upserts ------------------------------------------------------------------
 
+def one_per_key(rows: DataFrame, key: str = "date") -> DataFrame:
+    """One row per key: of rows that repeat a key the greatest, column by column."""
+    kept = rows.groupBy(key).agg(F.max(F.struct(*rows.columns)).alias("_row"))
+    return kept.select("_row.*")
+
+
 def upsert(index: DataFrame, new: DataFrame, key: str = "date") -> DataFrame:
-    """Replace rows with the same key, add the others."""
-    return index.join(new.select(key), key, "left_anti").unionByName(new)
+    """Replace rows with the same key, add the others (``new`` once per key)."""
+    return index.join(new.select(key), key, "left_anti").unionByName(one_per_key(new, key))
 
 
 def insert_absent(index: DataFrame, new: DataFrame, key: str = "date") -> DataFrame:
-    """Add only rows whose key is not in the index yet."""
-    return index.unionByName(new.join(index.select(key), key, "left_anti"))
+    """Add only rows whose key is not in the index yet (``new`` once per key)."""
+    return index.unionByName(one_per_key(new, key).join(index.select(key), key, "left_anti"))
 
 
 def replace_existing(index: DataFrame, new: DataFrame, key: str = "date"):
@@ -101,23 +102,29 @@ def replace_existing(index: DataFrame, new: DataFrame, key: str = "date"):
 
 
 def row_hash(cols: Sequence[Column]) -> Column:
-    """Version token of a row's content (SHA-256 of its fields as text)."""
-    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
+    """Version token of a row's content (SHA-256 of its fields as JSON, so
+    neighbouring fields, lists and NULLs cannot be mistaken for each other)."""
+    fields = [c.alias(f"f{i}") for i, c in enumerate(cols)]
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
 def versioned_upsert(index: DataFrame, updates: DataFrame, cols: Sequence[Column],
-                     key: str = "date", base_col: str = "base_sha"):
+                     key: str = "date", base_col: str = "base_sha", priority: Sequence[Column] = ()):
     """Compare-and-set: an update carries the token of the row it was made from.
 
     Returns (result, accepted, rejected). New keys need a NULL/empty token;
-    an existing key needs the token of its current row.
+    an existing key needs the token of its current row. Of several updates of
+    one key that hold a valid token only the first by ``priority`` (then by
+    content) wins, as the write of the first makes the token stale.
     """
     current = index.select(key, row_hash(cols).alias("_cur"))
     j = updates.join(current, key, "left")
     base = F.col(base_col)
-    ok = F.when(F.col("_cur").isNull(), base.isNull() | (base == "")).otherwise(base == F.col("_cur"))
-    accepted = j.where(ok).drop("_cur")
-    rejected = j.where(~ok).drop("_cur")
+    ok = F.when(F.col("_cur").isNull(), base.isNull() | (base == "")).otherwise(F.coalesce(base == F.col("_cur"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(key, "_ok").orderBy(*priority, F.to_json(F.struct(*updates.columns))))
+    judged = j.withColumn("_ok", ok).withColumn("_ok", F.col("_ok") & (place == 1)).drop("_cur")
+    accepted = judged.where("_ok").drop("_ok")
+    rejected = judged.where("not _ok").drop("_ok")
     return upsert(index, accepted.drop(base_col), key), accepted, rejected
 
 

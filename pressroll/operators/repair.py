@@ -28,6 +28,17 @@ def delete_nested(items: Column, field_path: Sequence[str], literal: str) -> Col
     return F.filter(items, lambda x: ~F.contains(text_of(x), F.lit(literal)))
 
 
+def refuse_emptied(old: DataFrame, edited: DataFrame, key: str = "date") -> DataFrame:
+    """Index rows after an edit, with ``outcome``: a day the edit left without
+    stories is invalid and refused, its old row stays; the others are edited."""
+    names = [c for c in old.columns if c != key]
+    both = old.select(key, F.struct(*names).alias("_old")).join(edited.select(key, F.struct(*names).alias("_new")), key, "left")
+    ok = F.coalesce(F.col("_new.storyCount") > 0, F.lit(False))
+    row = F.when(ok, F.col("_new")).otherwise(F.col("_old")).alias("_row")
+    outcome = F.when(ok, F.lit("edited")).otherwise(F.lit("refused")).alias("outcome")
+    return both.select(key, row, outcome).select(key, "_row.*", "outcome")
+
+
 def replace_in_documents(docs: DataFrame, text_col: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Literal replacement over whole document texts plus a ``changed`` flag
     (untouched documents are reported as such, not rewritten)."""

@@ -37,8 +37,9 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def position_in_group(df: DataFrame, keys, order, pos_col: str = "pos",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Adds the 0-based dense position of each row within its key, in ``order``.
+                      num_partitions: int | None = None, first_col: str | None = None) -> DataFrame:
+    """Adds the 0-based dense position of each row within its key, in ``order``
+    (and, as ``first_col``, the smallest ``order`` value of the key).
 
     ``order`` must be unique within a key (it is the row's ordinal).
     """
@@ -49,9 +50,11 @@ def position_in_group(df: DataFrame, keys, order, pos_col: str = "pos",
         F.row_number().over(Window.partitionBy(PID, *keys).orderBy(*order)) - 1,
     )
     before = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (r.groupBy(PID, *keys).agg(F.count(F.lit(1)).alias("_n"))
-                .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                .drop("_n"))
+    chunks = r.groupBy(PID, *keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order[0]).alias("_min"))
+    offsets = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if first_col:
+        offsets = offsets.withColumn(first_col, F.min("_min").over(Window.partitionBy(*keys)))
+    offsets = offsets.drop("_n", "_min")
     return (local.join(offsets, [PID, *keys])
                  .withColumn(pos_col, (F.col("_off") + F.col("_lpos")).cast("long"))
                  .drop(PID, "_lpos", "_off"))
@@ -112,7 +115,9 @@ def assemble_parts(df: DataFrame, keys, order, text: str, sep: str,
     No part ever holds more than ``rows_per_part`` rows.
     """
     keys, order = _names(keys), _names(order)
-    pos = position_in_group(df.select(*keys, *order, text), keys, order, "_pos", num_partitions)
+    # positions need key and order only; the text is shuffled once, by part
+    narrow = position_in_group(df.select(*keys, *order), keys, order, "_pos", num_partitions)
+    pos = df.select(*keys, *order, text).join(narrow, [*keys, *order])
     return (pos.withColumn("part", F.floor(F.col("_pos") / rows_per_part).cast("long"))
                .groupBy(*keys, "part")
                .agg(F.array_join(

@@ -27,6 +27,20 @@ def parsed_only(raw: DataFrame, text_col: str = "raw") -> DataFrame:
     return where_computed(raw, {"doc": p["value"]}, lambda s: s["doc"].isNotNull())
 
 
+def all_days(raw: DataFrame, text_col: str = "raw") -> DataFrame:
+    """Every document: ``doc`` (NULL where the text does not parse) and
+    ``parse_error``, parsed once per row."""
+    p = parse_fenced_json(F.col(text_col))
+    return where_computed(raw, {"doc": p["value"], "parse_error": p["error"]}, lambda s: F.lit(True))
+
+
+def checked_days(days: DataFrame) -> DataFrame:
+    """Adds ``errors``: the parse error of a document that does not parse, else
+    the day rules it breaks (empty = valid), evaluated once per row."""
+    errors = F.when(F.col("doc").isNull(), F.array("parse_error")).otherwise(V.day_errors_of("doc"))
+    return where_computed(days, {"errors": errors}, lambda s: F.lit(True))
+
+
 def valid_only(parsed: DataFrame, doc_col: str = "doc") -> DataFrame:
     """Parsed documents without any error (rules evaluated once per row)."""
     return where_computed(parsed, {"errors": V.day_errors_of(doc_col)}, lambda s: F.size(s["errors"]) == 0)

@@ -25,7 +25,6 @@ from pressroll.operators import schedule as Sc
 from pressroll.operators import validate as Vd
 from pressroll.operators.model import apply_model as _apply_model
 from pressroll.operators.model import organize_stub
-from pressroll.operators.sequence import assemble_parts
 from pressroll.plans.ingest import ingest as _ingest
 from pressroll.session import configure, materialize, work_dir
 from pressroll.sources import files as Fs
@@ -54,8 +53,8 @@ def bi_cols(col: str, prefix: str | None = None):
     return [F.col(col)["ko"].alias(f"{p}_ko"), F.col(col)["en"].alias(f"{p}_en")]
 
 
-def index_out(df: DataFrame) -> DataFrame:
-    return df.select("date", *bi_cols("dateLabel", "label"), *bi_cols("headline"),
+def index_out(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, "date", *bi_cols("dateLabel", "label"), *bi_cols("headline"),
                      F.col("storyCount").cast("long").alias("storyCount"),
                      F.col("moveCount").cast("long").alias("moveCount"),
                      F.array_join("tags", ",").alias("tags"))
@@ -65,8 +64,7 @@ def saved_index(spark, d) -> DataFrame:
     """The archive's stored index (derived from the day store once, then read
     as a table written to the shared folder)."""
     t = T.SAVED_THROUGH
-    return materialize(I.index_entries(T.stories(spark, d, t), T.moves(spark, d, t), T.days(spark, d, t)),
-                       "saved-index")
+    return materialize(I.index_entries(T.stories(spark, d, t), T.moves(spark, d, t), T.days(spark, d, t)), "saved-index")
 
 
 def full_index(spark, d) -> DataFrame:
@@ -95,12 +93,12 @@ def parse_us_date(spark, d):
 
 @query
 def high_water_mark(spark, d):
-    return A.high_water_mark(saved_index(spark, d))
+    return A.high_water_mark(full_index(spark, d))
 
 
 @query
 def newer_than(spark, d):
-    a = A.with_date(T.articles(spark, d)).where(F.col("date").isNotNull())
+    a = A.with_date(T.articles(spark, d))
     return A.newer_flags(a, saved_index(spark, d)).select("ordinal", "date", "is_newer")
 
 
@@ -112,8 +110,8 @@ def incremental_articles(spark, d):
 
 @query
 def group_by_date(spark, d):
-    fresh = A.incremental(T.articles(spark, d), saved_index(spark, d))
-    return A.group_by_date(fresh.select("ordinal", "title", "date")).select(
+    dated = A.with_date(T.articles(spark, d)).where(F.col("date").isNotNull())
+    return A.group_by_date(dated.select("ordinal", "title", "date")).select(
         "date", "first_ordinal", "pos", "ordinal", "title")
 
 
@@ -188,7 +186,7 @@ def organize_prompt(spark, d):
 @query
 def extract_prompt(spark, d):
     p = _stripped_pages(spark, d)
-    return p.select("page_id", S.extract_prompt(S.truncate(F.col("text"), S.LIST_PAGE_BUDGET)).alias("prompt"))
+    return p.select("page_id", S.extract_prompt(F.col("text")).alias("prompt"))
 
 
 @query
@@ -223,24 +221,20 @@ def parse_fenced_json(spark, d):
 
 @query
 def concat_text_blocks(spark, d):
-    r = T.responses(spark, d)
-    text = r.where(F.col("type") == "text")
-    parts = assemble_parts(text, ["conv_id"], ["turn"], "text", "", 64)
-    empty = (r.select("conv_id").distinct().join(text.select("conv_id"), "conv_id", "left_anti")
-              .select("conv_id", F.lit(0).cast("long").alias("part"), F.lit("").alias("text"),
-                      F.lit(0).cast("long").alias("n_rows")))
-    return parts.select("conv_id", "part", "text", "n_rows").unionByName(empty)
+    """A response is one row with the array of its blocks, as the model returns it."""
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("turn", "type", "text"))),
+                         lambda b: F.struct(b["type"].alias("type"), b["text"].alias("text")))
+    answers = T.responses(spark, d).groupBy("conv_id").agg(blocks.alias("content"))
+    return answers.select("conv_id", S.concat_text_blocks(F.col("content")).alias("text"))
 
 
-KST_FIX = [("오전 11시", "오전 10시 (정정: 기존 11시 안내 오류)"),
-           ("11am KST", "10am KST (corrected from an earlier 11am note)")]
-TEXT_FIX = [("ment ", "ment\u00a0"), ("the", "THE")]
+TEXT_FIX = [("ment ", "ment\u00a0"), ("the", "THE"), ("ción", "cion"), (" und ", " & ")]
 
 
 @query
 def literal_replace(spark, d):
     docs = T.read(spark, d, "documents").select("doc_id", "text")
-    out = S.literal_replace(F.col("text"), KST_FIX + TEXT_FIX)
+    out = S.literal_replace(F.col("text"), TEXT_FIX)
     return docs.select("doc_id", out.alias("text"), (out != F.col("text")).alias("changed"))
 
 
@@ -250,9 +244,13 @@ def _parsed(spark, d):
     return Vd.parsed_only(T.raw_days(spark, d))
 
 
+def _all_days(spark, d):
+    return Vd.all_days(T.raw_days(spark, d))
+
+
 @query
 def is_nonempty(spark, d):
-    p = _parsed(spark, d)
+    p = _all_days(spark, d)
     doc = V.J(F.col("doc"))
     return p.select("doc_id",
                     V.is_nonempty(doc["date"]).alias("date_ok"),
@@ -262,7 +260,7 @@ def is_nonempty(spark, d):
 
 @query
 def is_bilingual(spark, d):
-    p = _parsed(spark, d)
+    p = _all_days(spark, d)
     doc = V.J(F.col("doc"))
     return p.select("doc_id",
                     V.is_bilingual(doc["headline"]).alias("headline_ok"),
@@ -271,16 +269,26 @@ def is_bilingual(spark, d):
 
 @query
 def is_bilingual_list(spark, d):
-    p = _parsed(spark, d)
+    p = _all_days(spark, d)
     first = V.J(F.col("doc"))["stories"].at(0)["facts"]
     return p.select("doc_id", V.is_bilingual_list(first).alias("facts_ok"))
 
 
 @query
 def validate_days(spark, d):
-    v = Vd.with_errors(_parsed(spark, d))
-    return v.select("doc_id", F.size("errors").cast("long").alias("n_errors"),
-                    F.array_join("errors", " | ").alias("errors"))
+    return _day_report(Vd.checked_days(_all_days(spark, d)))
+
+
+def _day_report(checked):
+    return checked.select("doc_id", F.size("errors").cast("long").alias("n_errors"),
+                          F.array_join("errors", " | ").alias("errors"))
+
+
+@query
+def quarantine_days(spark, d):
+    """Days held back: those that do not parse or break a rule, with the errors."""
+    _, held = Vd.split_valid(Vd.checked_days(_all_days(spark, d)))
+    return _day_report(held)
 
 
 @query
@@ -306,64 +314,69 @@ def valid_days(spark, d):
 # --- store integrity, upserts --------------------------------------------------------
 
 
-def _store(spark, d):
-    return full_index(spark, d).select("date", "storyCount", "moveCount")
-
-
-def _index_json(spark, d):
-    return T.index_json(full_index(spark, d))
+def _store_and_index(spark, d):
+    """The day-store summary and the stored index JSON, from one derivation."""
+    full = full_index(spark, d)
+    return full.select("date", "storyCount", "moveCount"), T.index_json(full)
 
 
 @query
 def integrity_check(spark, d):
-    return G.check(_index_json(spark, d), _store(spark, d))
+    store, stored = _store_and_index(spark, d)
+    return G.check(stored, store)
 
 
 @query
 def integrity_summary(spark, d):
-    ij = _index_json(spark, d)
-    return G.summary(G.check(ij, _store(spark, d)), ij).select("rule", F.col("n").cast("long").alias("n"))
-
-
-def _entries(spark, d):
-    return G.parse_index(_index_json(spark, d)).where("has_date")
+    store, stored = _store_and_index(spark, d)
+    return G.summary(G.check(stored, store), stored).select("rule", F.col("n").cast("long").alias("n"))
 
 
 @query
 def index_detail_join(spark, d):
-    e = _entries(spark, d).select("date", F.col("storyCount").cast("long").alias("index_stories"))
-    s = _store(spark, d).select("date", F.col("storyCount").alias("day_stories"),
-                                F.col("moveCount").alias("day_moves"))
+    store, stored = _store_and_index(spark, d)
+    e = G.parse_index(stored).where("has_date").select("date", F.col("storyCount").cast("long").alias("index_stories"))
+    s = store.select("date", F.col("storyCount").alias("day_stories"), F.col("moveCount").alias("day_moves"))
     return G.index_detail_join(e, s)
 
 
 @query
 def orphan_days(spark, d):
-    return G.orphan_days(_store(spark, d).select("date"), _entries(spark, d))
+    store, stored = _store_and_index(spark, d)
+    return G.orphan_days(store.select("date"), G.parse_index(stored).where("has_date"))
 
 
 @query
 def dangling_index(spark, d):
-    return G.dangling_index(_entries(spark, d).select("date"), _store(spark, d))
+    store, stored = _store_and_index(spark, d)
+    return G.dangling_index(G.parse_index(stored).where("has_date").select("date"), store)
+
+
+def _revised(index, mark: str = " (rev)"):
+    """Every index row with its headline marked, as an update carries it."""
+    h = F.col("headline")
+    return index.withColumn("headline", F.struct(F.concat(h["ko"], F.lit(mark)).alias("ko"), F.concat(h["en"], F.lit(mark)).alias("en")))
 
 
-def _updates(spark, d):
-    return full_index(spark, d).where(F.substring("date", 9, 2) == "01")
+def _saved_and_updates(spark, d):
+    """The archive saved up to a day, and an update of every day of the store."""
+    full = full_index(spark, d)
+    return full.where(F.col("date") <= T.SAVED_THROUGH), _revised(full)
 
 
 @query
 def index_upsert(spark, d):
-    return index_out(I.upsert(saved_index(spark, d), _updates(spark, d)))
+    return index_out(I.upsert(*_saved_and_updates(spark, d)))
 
 
 @query
 def index_insert_absent(spark, d):
-    return index_out(I.insert_absent(saved_index(spark, d), _updates(spark, d)))
+    return index_out(I.insert_absent(*_saved_and_updates(spark, d)))
 
 
 @query
 def index_replace(spark, d):
-    result, missing = I.replace_existing(saved_index(spark, d), _updates(spark, d))
+    result, missing = I.replace_existing(*_saved_and_updates(spark, d))
     return (index_out(result).withColumn("outcome", F.lit("index"))
             .unionByName(index_out(missing).withColumn("outcome", F.lit("missing"))))
 
@@ -375,14 +388,17 @@ def index_fields():
 
 @query
 def versioned_upsert(spark, d):
-    saved = saved_index(spark, d)
+    """Every day updated by one writer, every third by a second one as well:
+    one of two holders of a valid token wins, stale tokens are rejected."""
+    saved, first = _saved_and_updates(spark, d)
     tokens = saved.select("date", I.row_hash(index_fields()).alias("_tok"))
     e = T.epoch_day(F.col("date"))
-    upd = (_updates(spark, d).join(tokens, "date", "left")
+    second = _revised(full_index(spark, d), " (rev 2)").where(e % 3 == 0)
+    upd = (first.unionByName(second).join(tokens, "date", "left")
            .withColumn("base_sha", F.when(F.col("_tok").isNull(), F.lit(None).cast("string"))
                                     .when(e % 2 == 0, F.col("_tok")).otherwise(F.lit("stale")))
            .drop("_tok"))
-    result, accepted, rejected = I.versioned_upsert(saved, upd, index_fields())
+    result, accepted, rejected = I.versioned_upsert(saved, upd, index_fields(), priority=[F.col("headline.en")])
     return (index_out(result).withColumn("outcome", F.lit("index"))
             .unionByName(index_out(rejected.drop("base_sha")).withColumn("outcome", F.lit("rejected"))))
 
@@ -426,12 +442,14 @@ def stories_by_tag(spark, d):
 
 @query
 def stories_by_tag_substring(spark, d):
-    return _story_keys(I.stories_by_tag(T.stories(spark, d), "FLAG", mode="substring"))
+    return _story_keys(I.stories_by_tag(T.stories(spark, d), "K,FLAG_R", mode="substring"))
 
 
 @query
 def day_lookup(spark, d):
-    return _story_keys(I.day_lookup(T.stories(spark, d), "1997-05-28"))
+    """The date is bounded on the source column too, so it reaches the scan."""
+    day = "1997-05-28"
+    return _story_keys(I.day_lookup(T.stories(spark, d, day=day), day))
 
 
 @query
@@ -442,10 +460,9 @@ def linked_stories(spark, d):
 
 @query
 def first_seen(spark, d):
-    f = I.first_seen_tags(T.stories(spark, d))
-    return f.select("date", "tag", F.col("first.story_ord.l_orderkey").alias("l_orderkey"),
-                    F.col("first.story_ord.l_linenumber").alias("l_linenumber"),
-                    F.col("first.story_ord.l_partkey").alias("l_partkey"),
+    f = I.first_seen_tags(I.tag_lists(T.stories(spark, d), "ordinal"))
+    return f.select("date", "tag", F.floor(F.col("first.order") / 8).cast("long").alias("l_orderkey"),
+                    (F.col("first.order") % 8).cast("long").alias("l_linenumber"),
                     F.col("first.tag_pos").cast("long").alias("tag_pos"))
 
 
@@ -453,7 +470,9 @@ def first_seen(spark, d):
 def delete_stories(spark, d):
     st = R.delete_matching(T.stories(spark, d), F.col("title.ko"), "부품 1")
     mv = R.delete_matching(T.moves(spark, d), F.col("text.ko"), "주문 2")
-    return index_out(I.index_entries(st, mv, T.days(spark, d)))
+    edited = I.index_entries(st, mv, T.days(spark, d))
+    checked = R.refuse_emptied(full_index(spark, d), edited)
+    return index_out(checked, "outcome")
 
 
 # --- schedule ------------------------------------------------------------------------
@@ -469,20 +488,20 @@ def scan_games(spark, d):
 
 @query
 def convert_kickoff(spark, d):
-    g = T.games(spark, d).where(F.col("dateKST").isNotNull())
+    g = T.games(spark, d)
     return g.select("team", "pos", "dateKST")
 
 
 @query
 def format_wall_clock(spark, d):
-    g = T.games(spark, d).where(F.col("dateKST").isNotNull())
+    g = T.games(spark, d)
     return g.select("team", "pos", D.format_wall_clock(F.col("dateKST"), "ko").alias("ko"),
                     D.format_wall_clock(F.col("dateKST"), "en").alias("en"))
 
 
 @query
 def pick_language(spark, d):
-    g = T.games(spark, d).where(F.col("final").isNotNull())
+    g = T.games(spark, d)
     return g.select("team", "pos", Sc.pick(F.col("final"), "ko").alias("ko"), Sc.pick(F.col("final"), "en").alias("en"))
 
 
@@ -591,9 +610,17 @@ def index_roundtrip(spark, d):
     return index_out(Fs.scan_index(spark, root))
 
 
+@query
+def index_array_roundtrip(spark, d):
+    """Index written as JSON array files and scanned back."""
+    root = work_dir(spark, "index-array")
+    Fs.write_index_array(full_index(spark, d), root)
+    return index_out(Fs.scan_index_array(spark, root))
+
+
 @query
 def scan_season(spark, d):
-    """Games written as season documents (bounded chunks) and read back."""
+    """Games written as season documents (a season per customer) and read back."""
     root = work_dir(spark, "season")
     docs = Fs.season_documents(T.games(spark, d))
     Fs.write_season(docs, root)
@@ -610,12 +637,15 @@ def apply_model(spark, d):
     """Organise prompts of the pages feed through the (stub) model."""
     parts = A.day_text(_bodies(spark, d))
     prompts = parts.select("date", "part", S.organize_prompt(F.col("date"), F.col("text")).alias("prompt"))
-    out = materialize(_apply_model(prompts, "prompt", organize_stub), "model-out")
+    # the cost of a call has nothing to do with its bytes: one share of the prompts per task
+    spread = prompts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "date", "part")
+    out = materialize(_apply_model(spread, "prompt", organize_stub), "model-out")
     return out.select("date", "part", F.length("response").cast("long").alias("response_chars"), "model_error")
 
 
 def _run_ingest(spark, d):
-    return _ingest(T.feed_pages(spark, d), T.read(spark, d, "pages"), saved_index(spark, d), organize_stub)
+    return _ingest(T.feed_pages(spark, d), T.read(spark, d, "pages"), saved_index(spark, d), organize_stub,
+                   store=work_dir(spark, "days"))
 
 
 @query
@@ -623,6 +653,20 @@ def run_report(spark, d):
     return _run_ingest(spark, d).report
 
 
+@query
+def ingest_errors(spark, d):
+    """The messages of the report, one row each."""
+    return _run_ingest(spark, d).errors
+
+
+@query
+def ingest_days(spark, d):
+    """The stories of the added days as read back from the day store."""
+    s = _run_ingest(spark, d).stories
+    return s.select("date", "ordinal", "icon", "status", F.array_join("tags", ",").alias("tags"), F.col("title.en").alias("title_en"),
+                    F.array_join("facts.en", ",").alias("facts_en"), F.col("interp.ko").alias("interp_ko"), "url")
+
+
 @query
 def ingest_index(spark, d):
     return index_out(_run_ingest(spark, d).index)

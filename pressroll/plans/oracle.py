@@ -79,7 +79,7 @@ days{suffix} AS (
 tagpos{suffix} AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY date, tag
-                                 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, tp) AS rn
+                                 ORDER BY l_orderkey, l_linenumber, tp) AS rn
     FROM (SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, tag0 AS tag, 0 AS tp FROM stories{suffix}
           UNION ALL SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, tag1, 1 FROM stories{suffix}
           UNION ALL SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, tag2, 2 FROM stories{suffix}))
@@ -92,7 +92,7 @@ index{suffix} AS (
   FROM days{suffix} d
   LEFT JOIN (SELECT date, count(*) AS n FROM stories{suffix} GROUP BY 1) s ON s.date = d.date
   LEFT JOIN (SELECT date, count(*) AS n FROM moves{suffix} GROUP BY 1) m ON m.date = d.date
-  LEFT JOIN (SELECT date, string_agg(tag, ',' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, tp) AS tags
+  LEFT JOIN (SELECT date, string_agg(tag, ',' ORDER BY l_orderkey, l_linenumber, tp, tag) AS tags
              FROM tagpos{suffix} GROUP BY 1) t ON t.date = d.date)"""
 
 
@@ -120,19 +120,19 @@ UNION ALL SELECT * FROM flat"""
 
 ORACLE["parse_us_date"] = with_(ARTICLES, PARSED) + "SELECT ordinal, publishedRaw, date FROM parsed"
 
-ORACLE["high_water_mark"] = with_(SAVED, MARK) + "SELECT mark FROM mark"
+ORACLE["high_water_mark"] = with_(FULL) + "SELECT max(date) AS mark FROM index"
 
 ORACLE["newer_than"] = with_(ARTICLES, PARSED, SAVED, MARK) + """
 SELECT ordinal, date, (mark.mark IS NULL OR mark.mark = '' OR date > mark.mark) AS is_newer
-FROM parsed, mark WHERE date IS NOT NULL"""
+FROM parsed, mark"""
 
 ORACLE["incremental_articles"] = with_(ARTICLES, PARSED, SAVED, MARK, FRESH) + \
     "SELECT ordinal, title, url, date FROM fresh"
 
-ORACLE["group_by_date"] = with_(ARTICLES, PARSED, SAVED, MARK, FRESH) + """
+ORACLE["group_by_date"] = with_(ARTICLES, PARSED) + """
 SELECT date, min(ordinal) OVER (PARTITION BY date) AS first_ordinal,
        CAST(row_number() OVER (PARTITION BY date ORDER BY ordinal) - 1 AS BIGINT) AS pos, ordinal, title
-FROM fresh"""
+FROM parsed WHERE date IS NOT NULL"""
 
 DAYS_ONLY = f"""days AS (SELECT {iso('o_orderdate')} AS date, min(o_orderkey) AS first_key FROM orders GROUP BY 1)"""
 
@@ -181,9 +181,9 @@ FEED = """feed AS (
 BODIES = f"""bodies AS (
   SELECT f.ordinal, f.date, f.url,
          'URL: ' || f.url || chr(10) || f.title || chr(10) || chr(10) ||
-         coalesce(substring({strip_sql('p.html')}, 1, {St.ARTICLE_BUDGET}),
+         coalesce({strip_sql('p.html')},
                   {q(St.FETCH_FAILED_PREFIX)} || 'Failed to fetch ' || f.url || ' (404)]') AS text
-  FROM feed f LEFT JOIN pages p ON f.url = p.url)"""
+  FROM feed f LEFT JOIN (SELECT url, arg_max(html, page_id) AS html FROM pages GROUP BY url) p ON f.url = p.url)"""
 DAYTEXT = f"""daytext AS (
   SELECT date, CAST(pos // 64 AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_rows,
          string_agg(text, {SEP_SQL} ORDER BY ordinal) AS text
@@ -207,7 +207,7 @@ ORACLE["organize_prompt"] = with_(FEED, BODIES, DAYTEXT) + "SELECT date, part, "
     *[q(x) for x in St.ORGANIZE_PROMPT_BODY], "text", q(St.ORGANIZE_PROMPT_END)) + " AS prompt FROM daytext"
 
 ORACLE["extract_prompt"] = "SELECT page_id, " + nl_join(
-    *[q(x) for x in St.EXTRACT_PROMPT_LINES], f"substring({strip_sql('html')}, 1, {St.LIST_PAGE_BUDGET})",
+    *[q(x) for x in St.EXTRACT_PROMPT_LINES], strip_sql('html'),
     q(St.EXTRACT_PROMPT_END)) + " AS prompt FROM pages"
 
 ORACLE["base64_roundtrip"] = """SELECT doc_id, to_base64(encode(text)) AS b64,
@@ -375,17 +375,26 @@ def j_day(x: str) -> str:
 
 DOCS = with_(RAW_DAYS, PARSED_DAYS)
 
-ORACLE["is_nonempty"] = DOCS + f"""SELECT doc_id, {j_nonempty('doc', '$.date')} AS date_ok,
+ALL_DOCS = with_(RAW_DAYS, PARSED_DAYS) + """, all_docs AS (
+  SELECT doc_id, CASE WHEN json_valid(inner_text) THEN CAST(inner_text AS JSON) END AS doc,
+         'parse_fenced_json: failed to parse JSON: ' || substring(inner_text, 1, 200) AS parse_error FROM inner_days)
+"""
+CHECKED = ALL_DOCS + f""", checked AS (
+  SELECT doc_id, CASE WHEN doc IS NULL THEN [parse_error] ELSE {j_day('doc')} END AS e FROM all_docs)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_errors, array_to_string(e, ' | ') AS errors FROM checked"""
+
+ORACLE["is_nonempty"] = ALL_DOCS + f"""SELECT doc_id, {j_nonempty('doc', '$.date')} AS date_ok,
   {j_nonempty('doc', '$.headline.en')} AS headline_en_ok,
-  coalesce(json_type(doc, '$.headline') = 'VARCHAR', false) AS headline_is_text FROM docs"""
+  coalesce(json_type(doc, '$.headline') = 'VARCHAR', false) AS headline_is_text FROM all_docs"""
+
+ORACLE["is_bilingual"] = ALL_DOCS + f"""SELECT doc_id, {j_bi('doc', '$.headline')} AS headline_ok,
+  {j_bi('doc', '$.dateLabel')} AS label_ok FROM all_docs"""
 
-ORACLE["is_bilingual"] = DOCS + f"""SELECT doc_id, {j_bi('doc', '$.headline')} AS headline_ok,
-  {j_bi('doc', '$.dateLabel')} AS label_ok FROM docs"""
+ORACLE["is_bilingual_list"] = ALL_DOCS + f"""SELECT doc_id, {j_bilist('doc', '$.stories[0].facts')} AS facts_ok FROM all_docs"""
 
-ORACLE["is_bilingual_list"] = DOCS + f"""SELECT doc_id, {j_bilist('doc', '$.stories[0].facts')} AS facts_ok FROM docs"""
+ORACLE["validate_days"] = CHECKED
 
-ORACLE["validate_days"] = DOCS + f"""SELECT doc_id, CAST(len(e) AS BIGINT) AS n_errors, array_to_string(e, ' | ') AS errors
-FROM (SELECT doc_id, {j_day('doc')} AS e FROM docs)"""
+ORACLE["quarantine_days"] = CHECKED + " WHERE len(e) > 0"
 
 ORACLE["validate_stories"] = DOCS + f"""SELECT doc_id, CAST(pos - 1 AS BIGINT) AS story_pos,
   array_to_string({j_story('s')}, ' | ') AS errors
@@ -403,21 +412,12 @@ FROM (SELECT doc_id, unnest(json_extract(doc, '$.{kind}[*]')) AS r,
 ORACLE["valid_days"] = DOCS + f"""SELECT doc_id, json_extract_string(doc, '$.date') AS date
 FROM (SELECT doc_id, doc, {j_day('doc')} AS e FROM docs) WHERE len(e) = 0"""
 
-ORACLE["concat_text_blocks"] = """WITH t AS (
-  SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
-  FROM conversations WHERE role = 'assistant')
-SELECT conv_id, CAST(pos // 64 AS BIGINT) AS part, string_agg(text, '' ORDER BY turn) AS text,
-       CAST(count(*) AS BIGINT) AS n_rows
-FROM t GROUP BY conv_id, pos // 64
-UNION ALL
-SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT) FROM conversations
-WHERE conv_id NOT IN (SELECT conv_id FROM t)"""
+ORACLE["concat_text_blocks"] = """SELECT conv_id,
+  coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS text FROM conversations GROUP BY conv_id"""
 
 ORACLE["literal_replace"] = """SELECT doc_id, t AS text, t <> text AS changed FROM (
   SELECT doc_id, text, replace(replace(replace(replace(text,
-    '오전 11시', '오전 10시 (정정: 기존 11시 안내 오류)'),
-    '11am KST', '10am KST (corrected from an earlier 11am note)'),
-    'ment ', 'ment' || chr(160)), 'the', 'THE') AS t
+    'ment ', 'ment' || chr(160)), 'the', 'THE'), 'ción', 'cion'), ' und ', ' & ') AS t
   FROM documents)"""
 
 
@@ -484,7 +484,8 @@ ORACLE["orphan_days"] = INTEG + "SELECT date FROM store WHERE date NOT IN (SELEC
 
 ORACLE["dangling_index"] = INTEG + "SELECT date FROM referenced WHERE date NOT IN (SELECT date FROM store)"
 
-UPD = with_(SAVED, FULL, "updates AS (SELECT * FROM index WHERE substring(date, 9, 2) = '01')")
+UPD = with_(FULL, f"""index_saved AS (SELECT * FROM index WHERE date <= '{SAVED_THROUGH}'),
+updates AS (SELECT * REPLACE (headline_ko || ' (rev)' AS headline_ko, headline_en || ' (rev)' AS headline_en) FROM index)""")
 
 ORACLE["index_upsert"] = UPD + """
 SELECT * FROM index_saved WHERE date NOT IN (SELECT date FROM updates) UNION ALL SELECT * FROM updates"""
@@ -497,14 +498,17 @@ SELECT *, 'index' AS outcome FROM index_saved WHERE date NOT IN (SELECT date FRO
 UNION ALL SELECT *, 'index' FROM updates WHERE date IN (SELECT date FROM index_saved)
 UNION ALL SELECT *, 'missing' FROM updates WHERE date NOT IN (SELECT date FROM index_saved)"""
 
-ROW_HASH = "sha256(concat_ws(chr(31), date, label_ko, label_en, headline_ko, headline_en, CAST(storyCount AS VARCHAR), CAST(moveCount AS VARCHAR), tags))"
+ROW_HASH = "sha256(CAST(json_array(date, label_ko, label_en, headline_ko, headline_en, storyCount, moveCount, tags) AS VARCHAR))"
 
 ORACLE["versioned_upsert"] = UPD + f""",
 tokens AS (SELECT date, {ROW_HASH} AS tok FROM index_saved),
 upd AS (SELECT u.*, CASE WHEN t.tok IS NULL THEN NULL WHEN date_diff('day', DATE '1970-01-01', CAST(u.date AS DATE)) % 2 = 0 THEN t.tok ELSE 'stale' END AS base_sha,
                t.tok AS cur
-        FROM updates u LEFT JOIN tokens t ON u.date = t.date),
-judged AS (SELECT *, CASE WHEN cur IS NULL THEN (base_sha IS NULL OR base_sha = '') ELSE base_sha = cur END AS ok FROM upd)
+        FROM (SELECT * FROM updates UNION ALL
+              SELECT * REPLACE (headline_ko || ' (rev 2)' AS headline_ko, headline_en || ' (rev 2)' AS headline_en) FROM index
+              WHERE date_diff('day', DATE '1970-01-01', CAST(date AS DATE)) % 3 = 0) u LEFT JOIN tokens t ON u.date = t.date),
+valid AS (SELECT *, CASE WHEN cur IS NULL THEN (base_sha IS NULL OR base_sha = '') ELSE base_sha = cur END AS holds FROM upd),
+judged AS (SELECT *, holds AND row_number() OVER (PARTITION BY date, holds ORDER BY headline_en) = 1 AS ok FROM valid)
 SELECT *, 'index' AS outcome FROM index_saved WHERE date NOT IN (SELECT date FROM judged WHERE ok)
 UNION ALL SELECT date, label_ko, label_en, headline_ko, headline_en, storyCount, moveCount, tags, 'index' FROM judged WHERE ok
 UNION ALL SELECT date, label_ko, label_en, headline_ko, headline_en, storyCount, moveCount, tags, 'rejected' FROM judged WHERE NOT ok"""
@@ -533,7 +537,7 @@ ORACLE["stories_by_tag"] = with_(FULL, STORY_TAGS) + """SELECT date, l_orderkey,
 FROM story_tags WHERE list_contains(tags, 'FLAG_R')"""
 
 ORACLE["stories_by_tag_substring"] = with_(FULL, STORY_TAGS) + """SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey
-FROM story_tags WHERE contains(array_to_string(tags, ','), 'FLAG')"""
+FROM story_tags WHERE contains(array_to_string(tags, ','), 'K,FLAG_R')"""
 
 ORACLE["day_lookup"] = with_(FULL) + """SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey
 FROM stories WHERE date = '1997-05-28'"""
@@ -542,14 +546,20 @@ ORACLE["linked_stories"] = with_(FULL) + f"""SELECT date, CAST(count(*) AS BIGIN
 WHERE (l_orderkey + l_linenumber + l_partkey) % 8 <> 0 AND (l_orderkey + l_linenumber + l_partkey) % 4 = 0
 GROUP BY date"""
 
-ORACLE["first_seen"] = with_(FULL) + """SELECT date, tag, l_orderkey, l_linenumber, l_partkey, CAST(tp AS BIGINT) AS tag_pos
+ORACLE["first_seen"] = with_(FULL) + """SELECT date, tag, CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(tp AS BIGINT) AS tag_pos
 FROM tagpos"""
 
 DEL = day_store("", None).replace(
     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE TRUE",
     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT contains('부품 ' || l_partkey, '부품 1')").replace(
     "WHERE o_orderstatus = 'F' AND TRUE", "WHERE o_orderstatus = 'F' AND NOT contains('주문 ' || o_orderkey || ' 완료', '주문 2')")
-ORACLE["delete_stories"] = with_(DEL) + "SELECT * FROM index"
+ORACLE["delete_stories"] = with_(DEL, day_store("_old", None)) + """
+SELECT o.date, o.label_ko, o.label_en, o.headline_ko, o.headline_en,
+       CASE WHEN n.storyCount > 0 THEN n.storyCount ELSE o.storyCount END AS storyCount,
+       CASE WHEN n.storyCount > 0 THEN n.moveCount ELSE o.moveCount END AS moveCount,
+       CASE WHEN n.storyCount > 0 THEN n.tags ELSE o.tags END AS tags,
+       CASE WHEN n.storyCount > 0 THEN 'edited' ELSE 'refused' END AS outcome
+FROM index_old o LEFT JOIN index n ON n.date = o.date"""
 
 
 # --- schedule ---------------------------------------------------------------------------
@@ -561,7 +571,7 @@ GAMES = """g0 AS (
          CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 3 + 1 ELSE o_orderkey % 18 + 1 END AS INTEGER) AS week,
          make_timestamp(year(o_orderdate), month(o_orderdate), day(o_orderdate), o_orderkey % 10 + 12,
                         [0, 15, 25][o_orderkey % 3 + 1], 0) AS et,
-         o_orderkey, o_orderstatus, o_orderpriority, c_name
+         o_orderkey, o_custkey, o_orderstatus, o_orderpriority, c_name
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
 g1 AS (
   SELECT *, (phase = 'reg' AND o_orderpriority = '5-LOW' AND o_orderkey % 5 = 0) AS is_bye FROM g0),
@@ -579,13 +589,14 @@ gbase AS (
          CASE WHEN playable THEN CASE o_orderkey % 4 WHEN 0 THEN 'FOX' WHEN 1 THEN 'CBS' WHEN 2 THEN '' END END AS bcast,
          CASE WHEN playable AND o_orderstatus = 'F' THEN '종료 ' || (o_orderkey % 40) || '-' || (o_orderkey % 31) END AS final_ko,
          CASE WHEN playable AND o_orderstatus = 'F' THEN 'Final: ' || (o_orderkey % 40) || '-' || (o_orderkey % 31) END AS final_en,
-         CASE WHEN is_riv THEN true END AS rivalry, CASE WHEN is_bye THEN true END AS bye, CASE WHEN is_tbd THEN true END AS tbd
+         CASE WHEN is_riv THEN true END AS rivalry, CASE WHEN is_bye THEN true END AS bye, CASE WHEN is_tbd THEN true END AS tbd,
+         o_custkey AS season
   FROM g3),
 games AS (
   SELECT * FROM gbase
   UNION ALL
   SELECT CASE WHEN team = 'GB' THEN 'MIN' ELSE 'GB' END, pos, phase, week, opponent, NOT home, dateKST, etLabel,
-         bcast, final_ko, final_en, rivalry, bye, tbd
+         bcast, final_ko, final_en, rivalry, bye, tbd, season
   FROM gbase WHERE rivalry)"""
 
 
@@ -657,11 +668,11 @@ SELECT 2, CAST(NULL AS VARCHAR), {rank}, pos, {game_cols(lang)} FROM games
   WHERE phase = 'reg' AND NOT coalesce(bye, false) AND NOT coalesce(rivalry, false) AND coalesce(tbd, false)"""
 
 
-ORACLE["scan_games"] = with_(GAMES) + "SELECT * FROM games"
-ORACLE["convert_kickoff"] = with_(GAMES) + "SELECT team, pos, dateKST FROM games WHERE dateKST IS NOT NULL"
+ORACLE["scan_games"] = with_(GAMES) + "SELECT * EXCLUDE (season) FROM games"
+ORACLE["convert_kickoff"] = with_(GAMES) + "SELECT team, pos, dateKST FROM games"
 ORACLE["format_wall_clock"] = with_(GAMES) + f"""SELECT team, pos, {wall_clock('dateKST', 'ko')} AS ko,
-  {wall_clock('dateKST', 'en')} AS en FROM games WHERE dateKST IS NOT NULL"""
-ORACLE["pick_language"] = with_(GAMES) + "SELECT team, pos, final_ko AS ko, final_en AS en FROM games WHERE final_en IS NOT NULL"
+  {wall_clock('dateKST', 'en')} AS en FROM games"""
+ORACLE["pick_language"] = with_(GAMES) + "SELECT team, pos, final_ko AS ko, final_en AS en FROM games"
 ORACLE["schedule_team"] = team_sql("GB", "en")
 ORACLE["schedule_team_ko"] = team_sql("MIN", "ko")
 ORACLE["schedule_union"] = union_sql("en")
@@ -740,8 +751,10 @@ ORACLE["list_day_files"] = with_(FULL) + "SELECT DISTINCT date FROM stories"
 
 ORACLE["index_roundtrip"] = with_(FULL) + "SELECT * FROM index"
 
-ORACLE["scan_season"] = with_(GAMES) + """SELECT team, pos // 64 AS season,
-  CAST(row_number() OVER (PARTITION BY team, pos // 64 ORDER BY pos) - 1 AS BIGINT) AS i,
+ORACLE["index_array_roundtrip"] = ORACLE["index_roundtrip"]
+
+ORACLE["scan_season"] = with_(GAMES) + """SELECT team, season,
+  CAST(row_number() OVER (PARTITION BY team, season ORDER BY pos) - 1 AS BIGINT) AS i,
   phase, week, opponent, home, dateKST, bcast, final_en, rivalry, bye, tbd FROM games"""
 
 
@@ -753,6 +766,18 @@ ORACLE["run_report"] = with_(FEED) + """SELECT date,
   (SELECT CAST(count(*) AS BIGINT) FROM feed) AS checked_articles
 FROM feed GROUP BY date"""
 
+# positions count the articles of the date in list order, whatever the part size
+ORACLE["ingest_errors"] = with_(FEED) + f"""SELECT date, 'stories[' || pos || ']' AS place,
+  'stories[' || pos || ']: ' || {q(Dm.MSG_STORY_FACTS)} AS message
+FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ordinal) - 1 AS pos FROM feed) WHERE ordinal % 9 = 0"""
+
+ORACLE["ingest_days"] = with_(FEED, BODIES) + """, good AS (
+  SELECT date FROM feed GROUP BY date HAVING sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) = 0)
+SELECT b.date, CAST(row_number() OVER (PARTITION BY b.date ORDER BY ordinal) - 1 AS BIGINT) AS ordinal, '📰' AS icon, 'NEW' AS status,
+  CASE WHEN starts_with(url, 'http') THEN 'NEWS,WEB' ELSE 'NEWS,LOCAL' END AS tags, 'Article ' || url AS title_en,
+  'Body ' || length(text) AS facts_en, '요약' AS interp_ko, url
+FROM bodies b JOIN good ON good.date = b.date"""
+
 ORACLE["ingest_index"] = with_(SAVED, FEED) + """, good AS (
   SELECT date FROM feed GROUP BY date HAVING sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) = 0),
 new AS (

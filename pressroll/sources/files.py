@@ -110,8 +110,28 @@ def scan_index(spark: SparkSession, root: str, missing: str = "empty") -> DataFr
 
 
 def scan_index_array(spark: SparkSession, path: str) -> DataFrame:
-    """Index stored as one JSON array file (the site's own format)."""
-    return spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)
+    """Index stored as JSON array files (the site's own format): one row per
+    entry, in no order. A missing folder, a file that does not parse and a file
+    that is no array are errors, as they are for the checker."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
+    entries = F.try_variant_get("v", "$", "array<variant>")
+    fault = F.when(F.col("v").isNull(), F.lit(" does not parse")).otherwise(F.lit(" is not an array"))
+    checked = F.when(entries.isNull(), F.raise_error(F.concat(F.lit("index file "), F.col("file"), fault))
+                     .cast("array<variant>")).otherwise(entries)
+    kind = INDEX_SCHEMA.simpleString()
+    return files.select(F.explode(checked).alias("e")).select(F.variant_get("e", "$", kind).alias("r")).select("r.*")
+
+
+def write_index_array(index: DataFrame, root: str) -> None:
+    """The index as JSON array files, one array per month of dates, so that no
+    task holds the whole archive."""
+    row = F.struct(*[f.name for f in INDEX_SCHEMA.fields])
+    months = index.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    (months.select("month", F.to_json("rows", {"ignoreNullFields": "false"}).alias("value"))
+           .write.mode("overwrite").partitionBy("month").text(root))
 
 
 # --- season documents ------------------------------------------------------------------
@@ -120,10 +140,10 @@ GAME_FIELDS = ["phase", "week", "opponent", "home", "dateKST", "etLabel", "bcast
                "rivalry", "bye", "tbd"]
 
 
-def season_documents(games: DataFrame, teams=("GB", "MIN"), chunk: int = 64) -> DataFrame:
-    """Season documents ``{season, <team>: [games...], ...}`` holding at most
-    ``chunk`` consecutive list positions each (list order = ``pos``)."""
-    g = games.withColumn("season", F.floor(F.col("pos") / chunk).cast("long"))
+def season_documents(games: DataFrame, teams=("GB", "MIN")) -> DataFrame:
+    """Season documents ``{season, <team>: [games...], ...}``, one per value of
+    ``season`` (list order = ``pos``; a season's games bound the document)."""
+    g = games
     aggs = []
     for t in teams:
         rows = F.when(F.col("team") == t, F.struct("pos", *GAME_FIELDS))
@@ -136,11 +156,12 @@ def write_season(docs: DataFrame, root: str) -> None:
     docs.write.mode("overwrite").json(root)
 
 
-def scan_season(spark: SparkSession, root: str, teams=("GB", "MIN"), schema=None) -> DataFrame:
+def scan_season(spark: SparkSession, root: str, teams=("GB", "MIN"), schema=None, multi_line: bool = False) -> DataFrame:
     """Season documents -> one row per game: (team, season, i = place in the
-    team's list of that document, game fields)."""
+    team's list of that document, game fields). ``multi_line`` reads files that
+    hold one printed document each, as the site keeps them."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    docs = reader.json(root)
+    docs = reader.option("multiLine", multi_line).json(root)
     parts = []
     for t in teams:
         parts.append(docs.select("season", F.posexplode(t.lower()).alias("i", "g"))

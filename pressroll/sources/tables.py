@@ -77,11 +77,13 @@ def _orders_until(spark, sf_dir, through: str | None):
     return o
 
 
-def stories(spark: SparkSession, sf_dir: str, through: str | None = None) -> DataFrame:
+def stories(spark: SparkSession, sf_dir: str, through: str | None = None, day: str | None = None) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
         "l_linestatus", "l_shipdate")
     o = _orders_until(spark, sf_dir, through).select("o_orderkey", "o_orderdate")
+    if day is not None:
+        o = o.where((F.col("o_orderdate") >= F.to_date(F.lit(day))) & (F.col("o_orderdate") < F.date_add(F.to_date(F.lit(day)), 1)))
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     # (order, line) repeats in the driver table; the full tuple orders stories
     ordv = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
@@ -92,6 +94,7 @@ def stories(spark: SparkSession, sf_dir: str, through: str | None = None) -> Dat
     return j.select(
         iso_date(F.col("o_orderdate")).alias("date"),
         ordv.alias("story_ord"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ordinal"),
         F.when(F.col("l_returnflag") == "R", F.lit("↩️"))
          .when(F.col("l_returnflag") == "A", F.lit("✅")).otherwise(F.lit("📦")).alias("icon"),
         F.when(F.col("l_linestatus") == "O", F.lit("NEW")).otherwise(F.lit("CONFIRMED")).alias("status"),
@@ -291,6 +294,7 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(rivalry, F.lit(True)).alias("rivalry"),
         F.when(bye, F.lit(True)).alias("bye"),
         F.when(tbd, F.lit(True)).alias("tbd"),
+        F.col("o_custkey").alias("season"),
     )
     # a rivalry game is listed by both teams: one scan, the second copy made
     # by exploding [own, other] and flipping team and home for the other
