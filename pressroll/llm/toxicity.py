@@ -25,11 +25,11 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +131,25 @@ def _drawn(id_col: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
+def _train_task(prior: float):
+    """Weights of the sample's rows as (feature, weight), the intercept as feature -1."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: tuple[list[np.ndarray], list[np.ndarray]] = [], []
+        for batch in batches:
+            first, flat = batch.column("features").offsets.to_numpy(), batch.column("features").values.to_numpy()
+            for i, kind in enumerate(batch.column("positive").to_pylist()):
+                rows[kind].append(flat[first[i] : first[i + 1]])
+        if rows[0] and rows[1]:
+            unlabelled, positive = (sorted(r, key=lambda x: (len(x), zlib.crc32(x.tobytes()))) for r in rows)
+            weights, intercept = train(positive, unlabelled, prior)
+            used = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(weights[used], intercept).astype(np.float64))],
+                                             ["feature", "weight"])
+
+    return learn
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray | None, float]:
     """Weights and intercept; without positives or unlabelled rows no weights and the prior."""
@@ -146,12 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         toxic = marks.where("label = 1").where(_drawn(F.col("id"), min(1, max_positive / n_toxic))).select("id").distinct()
         picked = (trainable.where(_drawn(F.col("id"), min(1, max_unlabelled / n_rows))).select(F.lit(0).alias("positive"), "text")
                   .union(trainable.join(F.broadcast(toxic), "id", "left_semi").select(F.lit(1).alias("positive"), "text")))
-        sample = picked.mapInArrow(_sample_rows, "positive int, features array<int>").toArrow()
-        of = lambda kind: sorted((r.values.to_numpy() for r in sample["features"].filter(
-            pa.compute.equal(sample["positive"], kind))), key=lambda x: x.tobytes())
-        positive, unlabelled = of(1), of(0)
-        if positive and unlabelled:
-            return train(positive, unlabelled, prior)
+        # The bounded sample meets in one task, which returns the telling features' weights only.
+        sample = picked.mapInArrow(_sample_rows, "positive int, features array<int>").repartition(1)
+        learned = sample.mapInArrow(_train_task(prior), "feature int, weight double").toArrow()
+        if learned.num_rows:
+            features, values = learned["feature"].to_numpy(), learned["weight"].to_numpy()
+            weights = np.zeros(1 << BITS, np.float32)
+            weights[features[features >= 0]] = values[features >= 0]
+            return weights, float(values[features < 0][0])
     return None, prior
 
 
