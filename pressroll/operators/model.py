@@ -42,7 +42,7 @@ def apply_model(df: DataFrame, prompt_col: str, model_factory: ModelFactory,
 
 # --- deterministic stand-in used by tests and the registered jobs ------------------
 
-_DATE_LINE = re.compile(r"published on (\S+)\.")
+_DATE_LINE = re.compile(r"^Day: (\S+)$", re.M)
 _URL_LINE = re.compile(r"^URL: (.*)$", re.M)
 
 
@@ -54,9 +54,9 @@ def organize_stub() -> Callable[[str], str]:
     def call(prompt: str) -> str:
         m = _DATE_LINE.search(prompt)
         date = m.group(1) if m else ""
-        start = prompt.find("=== ARTICLES ===\n")
-        end = prompt.rfind("\n=== END ARTICLES ===")
-        body = prompt[start + len("=== ARTICLES ===\n"): end if end >= 0 else None]
+        start = prompt.find("<<< articles\n")
+        end = prompt.rfind("\n>>> articles")
+        body = prompt[start + len("<<< articles\n"): end if end >= 0 else None]
         stories = []
         for block in body.split("\n\n---\n\n"):
             u = _URL_LINE.search(block)

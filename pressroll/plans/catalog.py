@@ -675,22 +675,31 @@ def ingest_index(spark, d):
 # --- streaming forms --------------------------------------------------------------------
 
 
-def _run_to_table(stream_df, out_dir, ckpt, mode):
+def _run_to_table(stream_df, out_dir, ckpt):
+    """Append mode, a folder per epoch: a replayed batch overwrites its own."""
     def write(batch, epoch_id):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
 
-    q = (stream_df.writeStream.outputMode(mode).foreachBatch(write)
+    q = (stream_df.writeStream.outputMode("append").foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def _event_stream(spark, d):
-    """The events table replayed as a stream (file source) and adapted."""
-    src = work_dir(spark, "events-src")
-    T.read(spark, d, "events").write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).parquet(src)
-    return T.interactions_from(stream)
+    """The events table as a file stream, and a closing event ten days after its
+    last one (an empty search box, a cancel without a press)."""
+    events = T.read(spark, d, "events")
+    end = events.agg(F.max("ts").alias("ts"))
+    values = {"event_id": F.lit(1), "event_type": F.lit("click"), "value": F.lit(0), "ts": F.col("ts") + F.expr("INTERVAL 10 DAYS")}
+    closing = end.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+    root = work_dir(spark, "closing")
+    closing.write.parquet(root)
+    reader = spark.readStream.schema(events.schema)
+    if Fs.is_file(spark, f"{d.rstrip('/')}/events.parquet"):
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    else:
+        stream = reader.parquet(f"{d.rstrip('/')}/events.parquet")
+    return T.interactions_from(stream.union(spark.readStream.schema(events.schema).parquet(root)))
 
 
 @query
@@ -709,7 +718,7 @@ def stream_ingest(spark, d):
 def stream_debounce(spark, d):
     out, ckpt = work_dir(spark, "debounce"), work_dir(spark, "ckpt")
     ev = _event_stream(spark, d).where(F.col("name") == "archive_search")
-    _run_to_table(Se.debounce_stream(ev, SEARCH_GAP), out, ckpt, "complete")
+    _run_to_table(Se.debounce_stream(ev, SEARCH_GAP), out, ckpt)
     return spark.read.parquet(out).select(
         "user", "seq", "chars", F.date_format("fire_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fire_ts"))
 
@@ -717,18 +726,18 @@ def stream_debounce(spark, d):
 @query
 def stream_usage(spark, d):
     out, ckpt = work_dir(spark, "usage"), work_dir(spark, "ckpt")
-    _run_to_table(Se.usage_stream(_event_stream(spark, d)), out, ckpt, "complete")
+    _run_to_table(Se.usage_stream(_event_stream(spark, d)), out, ckpt)
     return spark.read.parquet(out).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "name",
-        F.col("n_events").cast("long").alias("n_events"))
+        F.col("n_events").cast("long").alias("n_events"), F.col("n_users").cast("long").alias("n_users"))
 
 
 @query
 def stream_hold(spark, d):
-    """Hold detection as a stateful stream; holds still armed when the input
-    ends are not emitted (their timer never passes the watermark)."""
+    """Hold detection as a stateful stream; the closing event lets the last
+    timers fire."""
     out, ckpt = work_dir(spark, "hold"), work_dir(spark, "ckpt")
-    _run_to_table(Se.hold_stream(_event_stream(spark, d), HOLD_DELAY), out, ckpt, "append")
+    _run_to_table(Se.hold_stream(_event_stream(spark, d), HOLD_DELAY), out, ckpt)
     return spark.read.parquet(out).select(
         "user", "seq", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 

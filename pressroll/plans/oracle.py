@@ -795,8 +795,8 @@ SELECT * FROM index_saved WHERE date NOT IN (SELECT date FROM new) UNION ALL SEL
 
 ORACLE["stream_ingest"] = ORACLE["incremental_index"]
 ORACLE["stream_debounce"] = ORACLE["debounce_search"]
-ORACLE["stream_usage"] = with_(INTERACTIONS) + """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, name,
-  CAST(count(*) AS BIGINT) AS n_events FROM interactions GROUP BY 1, 2"""
+ORACLE["stream_usage"] = ORACLE["event_usage"]
+ORACLE["stream_hold"] = ORACLE["hold_detect"]
 
 
 ORACLE["detail_checks"] = with_(RAW_DAYS, PARSED_DAYS) + """, files AS (

@@ -6,7 +6,6 @@ session they were given (the settings below are all runtime SQL confs).
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,6 +24,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    # Session windows of a key are merged inside each task before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -99,7 +100,3 @@ def where_computed(df, computed: dict, keep):
 
 def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
-
-
-def is_dir(path: str) -> bool:
-    return os.path.isdir(local_path(path))

@@ -38,11 +38,20 @@ def _by_date(df: DataFrame, date_col: str) -> DataFrame:
     return df.repartitionByRange(n, F.col(date_col), F.xxhash64(*[F.col(c) for c in df.columns]))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def _status(spark: SparkSession, path: str):
+    """File status of a path on whatever file system it names, or None."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    return fs.getFileStatus(p) if fs.exists(p) else None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _status(spark, path) is not None
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    status = _status(spark, path)
+    return status is not None and status.isFile()
 
 
 # --- raw day documents -------------------------------------------------------------

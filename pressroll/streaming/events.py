@@ -9,8 +9,9 @@
   (``applyInPandasWithState``), emitting ``start`` when a timer fires and
   ``end`` when an active hold is cancelled.
 
-Final windows / sessions / timers are emitted once the watermark passes
-them (append mode); ``complete`` mode is offered for bounded replays.
+Windows, sessions and timers are emitted once the watermark passes them (append
+mode), so state is dropped as time goes on. Where an input ends, a closing event
+well after its last one moves the watermark past everything before it.
 """
 
 from __future__ import annotations
@@ -33,10 +34,14 @@ def gap_micros(gap: str) -> int:
 
 
 def usage_stream(events: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    return (events.withWatermark("ts", watermark)
-                  .groupBy(F.window("ts", window).alias("w"), "name")
-                  .agg(F.count(F.lit(1)).alias("n_events"))
-                  .select(F.col("w.start").alias("window_start"), "name", "n_events"))
+    """Events and distinct users per window and name: counted per user first,
+    then per window, so the number of users is exact (append mode)."""
+    per_user = (events.withWatermark("ts", watermark)
+                      .groupBy(F.window("ts", window).alias("w"), "name", "user")
+                      .agg(F.count(F.lit(1)).alias("n")))
+    return (per_user.groupBy(F.window(F.window_time("w"), window).alias("w"), "name")
+                    .agg(F.sum("n").alias("n_events"), F.count("user").alias("n_users"))
+                    .select(F.col("w.start").alias("window_start"), "name", "n_events", "n_users"))
 
 
 def debounce_stream(inputs: DataFrame, gap: str, watermark: str = "1 hour",

@@ -1,16 +1,19 @@
 """Incremental ingest as a stream: new article files -> index versions.
 
-Each micro-batch reads the index version left by the previous batch (once,
-before its own write), keeps the articles newer than that index's mark, and
-writes the upserted index as the next version folder ``v=<epoch + 1>``.
-Replaying a batch after a failure reads the same previous version and
-rewrites the same folder, so the sink is idempotent. The mark is the
+The mark is fixed once per run: it is that of the index version the run starts
+from, so articles of one date may arrive in any number of triggers. Each
+micro-batch stores its articles newer than the mark in its own folder, derives
+the entries from all of the run's folders up to its own, and writes the
+upserted index as the next version folder ``v=<epoch + 1>``. Replaying a batch
+after a failure rewrites the same two folders, so the sink is idempotent; a run
+that was broken off is taken up by passing its ``base`` again. The mark is the
 late-data rule: an article for a date at or before the mark is dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressroll.operators import articles as A
@@ -51,17 +54,23 @@ def seed_index(index: DataFrame, root: str) -> None:
 
 
 def start(spark: SparkSession, source_dir: str, schema, index_root: str, checkpoint: str,
-          available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+          available_now: bool = True, max_files_per_trigger: int | None = None, base: int | None = None) -> StreamingQuery:
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     articles = reader.parquet(source_dir)
 
+    start_version = base if base is not None else max(_versions(spark, index_root), default=-1)
+    run_root = f"{index_root.rstrip('/')}/fresh/base={start_version + 1}"
+
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         s = batch.sparkSession
-        index = read_index_version(s, index_root, at_most=epoch_id)
+        index = read_index_version(s, index_root, at_most=start_version)
         fresh = A.incremental(batch, index)
-        Fs.write_index(I.upsert(index, I.flat_entries(fresh)), version_path(index_root, epoch_id + 1))
+        fresh.write.mode("overwrite").parquet(f"{run_root}/epoch={epoch_id}")
+        seen = s.read.schema(fresh.schema).option("basePath", run_root).parquet(run_root)
+        seen = seen.where(F.col("epoch").cast("long") <= epoch_id).select(*fresh.columns)
+        Fs.write_index(I.upsert(index, I.flat_entries(seen)), version_path(index_root, epoch_id + 1))
 
     w = articles.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

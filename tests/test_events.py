@@ -114,9 +114,8 @@ def test_usage_stream_equals_batch(spark):
     rows = [("u1", 1, at(0), "nav_tab", {"page": "a"}), ("u2", 2, at(1000), "nav_tab", None),
             ("u1", 3, at(86_400_000 + 5), "lang_toggle", {"lang": "ko"}), ("u1", 4, at(2000), "nav_tab", None)]
     df = spark.createDataFrame(rows, "user string, seq long, ts timestamp, name string, data map<string,string>")
-    batch = sorted((r["window_start"], r["name"], r["n_events"]) for r in Ev.usage(df).collect())
-    stream = sorted((r["window_start"], r["name"], r["n_events"])
-                    for r in run_stream(spark, df, lambda s: Se.usage_stream(s), "complete").collect())
-    assert stream == batch
-    users = {(r["name"], r["n_users"]) for r in Ev.usage(df).collect()}
-    assert ("nav_tab", 2) in users
+    got = lambda u: sorted((r["window_start"], r["name"], r["n_events"], r["n_users"]) for r in u.collect())
+    closing = spark.createDataFrame([(None, 9, at(20 * 86_400_000), "nav_tab", None)], df.schema)
+    stream = got(run_stream(spark, df.union(closing), lambda s: Se.usage_stream(s), "append"))
+    assert stream == got(Ev.usage(df))
+    assert ("nav_tab", 3, 2) in {r[1:] for r in stream}

@@ -76,3 +76,47 @@ def test_json_file_folder_through_validation(spark):
     checked = Vd.with_errors(Vd.parse_days(files, "text"))
     got = {r["stem"]: (r["doc"] is not None, None if r["doc"] is None else len(r["errors"])) for r in checked.collect()}
     assert got == {"2026-08-15": (True, 0), "2026-08-16": (True, 1), "2026-08-17": (False, None)}
+
+
+def write_text(root, name, text):
+    os.makedirs(root, exist_ok=True)
+    with open(os.path.join(root, name), "w") as f:
+        f.write(text)
+
+
+def test_index_array_forms(spark):
+    import json
+
+    import pytest
+
+    entry = {"date": "2031-05-06", "dateLabel": {"ko": "k", "en": "e"}, "headline": {"ko": "h", "en": "i"}, "storyCount": 2, "moveCount": 0, "tags": ["A"]}
+    root = local_path(work_dir(spark, "array"))
+    write_text(root, "index.json", json.dumps([entry, dict(entry, date="2031-05-07", tags=[])], indent=2))
+    assert sorted((r["date"], r["storyCount"], r["tags"]) for r in Fs.scan_index_array(spark, root).collect()) == [
+        ("2031-05-06", 2, ["A"]), ("2031-05-07", 2, [])]
+    with pytest.raises(FileNotFoundError):
+        Fs.scan_index_array(spark, root + "-none")
+    for name, text, message in (("broken", json.dumps([entry])[:-4], "does not parse"), ("object", json.dumps(entry), "is not an array")):
+        write_text(f"{root}-{name}", "index.json", text)
+        with pytest.raises(Exception, match=message):
+            Fs.scan_index_array(spark, f"{root}-{name}").collect()
+
+
+def test_printed_season_file(spark):
+    import json
+
+    game = {"phase": "reg", "week": 4, "opponent": "Owls", "home": True, "dateKST": "2031-10-06T09:20:00+09:00"}
+    root = local_path(work_dir(spark, "season"))
+    write_text(root, "2031.json", json.dumps({"season": 2031, "gb": [game, dict(game, week=5)], "min": [dict(game, home=False)]}, indent=2))
+    games = Fs.scan_season(spark, root, multi_line=True).collect()
+    assert sorted((r["team"], r["season"], r["i"], r["week"], r["home"]) for r in games) == [
+        ("GB", 2031, 0, 4, True), ("GB", 2031, 1, 5, True), ("MIN", 2031, 0, 4, False)]
+
+
+def test_index_file_is_ordered(spark):
+    root = work_dir(spark, "ordered")
+    rows = [(f"2031-05-{d:02d}", ("k", "e"), ("h", "h"), 1, 0, []) for d in (9, 3, 28, 17)]
+    Fs.write_index(spark.createDataFrame(rows, Fs.INDEX_SCHEMA), root)
+    parts = sorted(f for f in os.listdir(local_path(root)) if f.startswith("part"))
+    lines = [line for f in parts for line in open(os.path.join(local_path(root), f))]
+    assert [x[9:19] for x in lines] == ["2031-05-28", "2031-05-17", "2031-05-09", "2031-05-03"]

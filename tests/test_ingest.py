@@ -65,3 +65,49 @@ def test_ingest_job_on_small_feed(spark):
     assert report == {"2026-08-15": ("added", 0, 3), "2026-08-16": ("error", 1, 3)}
     new = {r["date"]: (r["storyCount"], r["tags"]) for r in res.index.collect()}
     assert new == {"2026-08-01": (1, ["X"]), "2026-08-15": (2, ["NEWS", "WEB"])}
+    errors = [(r["date"], r["message"]) for r in res.errors.collect()]
+    assert len(errors) == 1 and errors[0][0] == "2026-08-16" and errors[0][1].startswith("stories[0]: ")
+
+
+def test_part_size_does_not_matter(spark):
+    from pressroll.plans.ingest import ingest
+
+    def picky_model():
+        """Finds stories only in every third article; answers nothing else."""
+        import json
+        import re
+
+        def call(prompt):
+            urls = [u for u in re.findall(r"^URL: (.*)$", prompt, re.M) if int(u.rsplit("/", 1)[1]) % 3 == 0]
+            both = {"ko": "가", "en": "a"}
+            stories = [{"icon": "i", "status": "NEW", "tags": [f"T{int(u.rsplit('/', 1)[1]) % 7}"], "title": both,
+                        "facts": {"ko": ["가"], "en": ["a"] * (2 if u.endswith("/33") else 1)}, "interp": both, "url": u} for u in urls]
+            moves = [{"date": "05-06", "text": both}] if any(u.endswith("/3") for u in urls) else 0
+            return json.dumps({"headline": both, "stories": stories, "moves": moves, "injuries": None})
+        return call
+
+    rows = [(k, f"T{k}", f"https://x/{k}", "May 6, 2031" if k < 30 else "May 7, 2031") for k in range(1, 41)]
+    feed = spark.createDataFrame(rows, ART)
+    pages = feed.select("url", F.concat(F.lit("<p>"), "title").alias("html"))
+    index = spark.createDataFrame([], Fs.INDEX_SCHEMA)
+    seen = []
+    for size in (2, 7, 1000):
+        res = ingest(feed, pages, index, picky_model, rows_per_part=size, model_tasks=3, store=work_dir(spark, "days"))
+        assert len(res.responses.inputFiles()) > 1 or size == 1000
+        seen.append((sorted(map(str, res.index.collect())), sorted(map(str, res.report.collect())), sorted(map(str, res.errors.collect())),
+                     sorted(map(str, res.stories.collect())), sorted(map(str, res.rows["moves"].collect())), res.rows["injuries"].count()))
+    assert seen[0] == seen[1] == seen[2]
+    assert "added" in seen[0][1][0] and "error" in seen[0][1][1] and len(seen[0][3]) == 9 and len(seen[0][4]) == 1
+
+
+def test_stream_ingest_does_not_depend_on_the_trigger(spark):
+    src = work_dir(spark, "art")
+    for k in range(4):
+        write_batch(spark, [(k, f"T{k}", f"/{k}", "May 6, 2031"), (10 + k, f"U{k}", f"/{10 + k}", f"May {7 + k}, 2031")], src, f"b{k}")
+    schema = spark.createDataFrame([], ART).schema
+    found = []
+    for files in (None, 1):
+        root = work_dir(spark, "idx")
+        Si.start(spark, src, schema, root, work_dir(spark, "ck"), max_files_per_trigger=files).awaitTermination()
+        found.append(sorted(map(str, Si.read_index_version(spark, root).collect())))
+    assert found[0] == found[1] and len(found[0]) == 5

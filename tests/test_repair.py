@@ -6,22 +6,30 @@ from pressroll.operators import repair as R
 
 
 def test_delete_matching_treats_missing_text_as_empty(spark):
-    rows = spark.createDataFrame([(1, ("아든 워커 영입", "x")), (2, ("다른 소식", "y")), (3, None)],
+    rows = spark.createDataFrame([(1, ("모래 언덕 영입", "x")), (2, ("다른 소식", "y")), (3, None)],
                                  "k int, title struct<ko:string,en:string>")
-    kept = R.delete_matching(rows, F.col("title.ko"), "아든 워커")
+    kept = R.delete_matching(rows, F.col("title.ko"), "모래 언덕")
     assert sorted(r["k"] for r in kept.collect()) == [2, 3]
 
 
 def test_delete_nested_inside_a_day_row(spark):
     day = spark.createDataFrame(
-        [("2026-08-18", [(("아든 워커 방출", "Walker"),), (("러브 복귀", "Love"),), ((None, "no ko"),)])],
+        [("2031-05-06", [(("모래 언덕 방출", "Dune"),), (("등대 점등", "Lamp"),), ((None, "no ko"),)])],
         "date string, stories array<struct<title:struct<ko:string,en:string>>>")
-    out = day.select(R.delete_nested(F.col("stories"), ["title", "ko"], "아든 워커").alias("s")).first()["s"]
-    assert [x["title"]["en"] for x in out] == ["Love", "no ko"]
+    out = day.select(R.delete_nested(F.col("stories"), ["title", "ko"], "모래 언덕").alias("s")).first()["s"]
+    assert [x["title"]["en"] for x in out] == ["Lamp", "no ko"]
 
 
 def test_replace_in_documents_flags_changes(spark):
-    docs = spark.createDataFrame([(1, "경기는 오전 11시"), (2, "no match")], "id int, text string")
+    docs = spark.createDataFrame([(1, "경기는 정오 무렵"), (2, "no match")], "id int, text string")
     out = {r["id"]: (r["text"], r["changed"]) for r in
-           R.replace_in_documents(docs, "text", [("오전 11시", "오전 10시")]).collect()}
-    assert out == {1: ("경기는 오전 10시", True), 2: ("no match", False)}
+           R.replace_in_documents(docs, "text", [("정오 무렵", "오후 두시")]).collect()}
+    assert out == {1: ("경기는 오후 두시", True), 2: ("no match", False)}
+
+
+def test_days_emptied_by_an_edit_are_refused(spark):
+    ddl = "date string, storyCount long, tags array<string>"
+    old = spark.createDataFrame([("a", 3, ["X"]), ("b", 1, ["Y"]), ("c", 2, ["Z"])], ddl)
+    edited = spark.createDataFrame([("a", 2, ["X"]), ("b", 0, [])], ddl)
+    out = {r["date"]: (r["storyCount"], r["tags"], r["outcome"]) for r in R.refuse_emptied(old, edited).collect()}
+    assert out == {"a": (2, ["X"], "edited"), "b": (1, ["Y"], "refused"), "c": (2, ["Z"], "refused")}
