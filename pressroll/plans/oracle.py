@@ -175,7 +175,7 @@ SEP_SQL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 FEED = """feed AS (
   SELECT page_id AS ordinal, 'Page ' || page_id AS title,
-         CASE WHEN page_id % 9 = 0 THEN url || '#gone' ELSE url END AS url,
+         CASE WHEN page_id % 9 = 0 AND page_id % 28 % 4 = 0 THEN url || '#gone' ELSE url END AS url,
          '2026-08-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS date
   FROM pages)"""
 BODIES = f"""bodies AS (
@@ -761,25 +761,25 @@ ORACLE["scan_season"] = with_(GAMES) + """SELECT team, season,
 # --- ingest job (stub model: one story per article; a failed fetch fails its day) -----------
 
 ORACLE["run_report"] = with_(FEED) + """SELECT date,
-  CASE WHEN sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) = 0 THEN 'added' ELSE 'error' END AS outcome,
-  CAST(sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_errors,
+  CASE WHEN sum(CASE WHEN ordinal % 9 = 0 AND ordinal % 28 % 4 = 0 THEN 1 ELSE 0 END) = 0 THEN 'added' ELSE 'error' END AS outcome,
+  CAST(sum(CASE WHEN ordinal % 9 = 0 AND ordinal % 28 % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_errors,
   (SELECT CAST(count(*) AS BIGINT) FROM feed) AS checked_articles
 FROM feed GROUP BY date"""
 
 # positions count the articles of the date in list order, whatever the part size
 ORACLE["ingest_errors"] = with_(FEED) + f"""SELECT date, 'stories[' || pos || ']' AS place,
   'stories[' || pos || ']: ' || {q(Dm.MSG_STORY_FACTS)} AS message
-FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ordinal) - 1 AS pos FROM feed) WHERE ordinal % 9 = 0"""
+FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ordinal) - 1 AS pos FROM feed) WHERE ordinal % 9 = 0 AND ordinal % 28 % 4 = 0"""
 
 ORACLE["ingest_days"] = with_(FEED, BODIES) + """, good AS (
-  SELECT date FROM feed GROUP BY date HAVING sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) = 0)
+  SELECT date FROM feed GROUP BY date HAVING sum(CASE WHEN ordinal % 9 = 0 AND ordinal % 28 % 4 = 0 THEN 1 ELSE 0 END) = 0)
 SELECT b.date, CAST(row_number() OVER (PARTITION BY b.date ORDER BY ordinal) - 1 AS BIGINT) AS ordinal, '📰' AS icon, 'NEW' AS status,
   CASE WHEN starts_with(url, 'http') THEN 'NEWS,WEB' ELSE 'NEWS,LOCAL' END AS tags, 'Article ' || url AS title_en,
   'Body ' || length(text) AS facts_en, '요약' AS interp_ko, url
 FROM bodies b JOIN good ON good.date = b.date"""
 
 ORACLE["ingest_index"] = with_(SAVED, FEED) + """, good AS (
-  SELECT date FROM feed GROUP BY date HAVING sum(CASE WHEN ordinal % 9 = 0 THEN 1 ELSE 0 END) = 0),
+  SELECT date FROM feed GROUP BY date HAVING sum(CASE WHEN ordinal % 9 = 0 AND ordinal % 28 % 4 = 0 THEN 1 ELSE 0 END) = 0),
 new AS (
   SELECT f.date, f.date || ' (현지)' AS label_ko, f.date AS label_en,
          f.date || ' 소식' AS headline_ko, 'News of ' || f.date AS headline_en,

@@ -9,7 +9,7 @@ work grows with them); ``plans/oracle.py`` restates every mapping in SQL.
 | stories         | lineitem x orders    | one story per line item, date = order day |
 | moves           | orders (status F)    | one roster move per finished order     |
 | days            | orders               | one day header per order date          |
-| feed_pages      | pages                | article rows pointing at pages (every 9th link broken) |
+| feed_pages      | pages                | article rows pointing at pages (every 9th link of every fourth day broken) |
 | raw_days        | documents            | one JSON day document per document, with planned defects |
 | archive         | documents            | one archive entry per document         |
 | games           | orders x customer    | season schedule rows of two teams      |
@@ -140,13 +140,14 @@ def days(spark: SparkSession, sf_dir: str, through: str | None = None) -> DataFr
 # --- pages / feed --------------------------------------------------------------
 
 def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article rows whose links point at ``pages``; every 9th link is broken."""
+    """Article rows whose links point at ``pages``; every 9th link of every
+    fourth day is broken."""
     p = read(spark, sf_dir, "pages").select("page_id", "url")
     pid = F.col("page_id")
     return p.select(
         pid.alias("ordinal"),
         F.concat(F.lit("Page "), _s(pid)).alias("title"),
-        F.when(pid % 9 == 0, F.concat(F.col("url"), F.lit("#gone"))).otherwise(F.col("url")).alias("url"),
+        F.when((pid % 9 == 0) & (pid % 28 % 4 == 0), F.concat(F.col("url"), F.lit("#gone"))).otherwise(F.col("url")).alias("url"),
         F.concat(F.lit("2026-08-"), F.lpad(_s(pid % 28 + 1), 2, "0")).alias("date"),
         F.concat(F.lit("Aug "), _s(pid % 28 + 1), F.lit(", 2026")).alias("publishedRaw"),
     )
