@@ -8,12 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pressroll.session import checkpoint_dir, materialize
+from pressroll.session import materialize
 
-__all__ = ["checkpoint_dir", "materialize", "table", "identified", "text_chunks", "Words", "words_of",
-           "shingle_hashes", "mix", "powers", "INVERSE", "rolling"]
+__all__ = ["INVERSE", "ROLL", "SPACE", "U64", "WORD", "Words", "identified", "join_ids", "materialize", "mix", "powers",
+           "prefix_sums", "rolling", "shingle_hashes", "table", "text_chunks", "words_of"]
 
 #: Bytes of text a Python task hashes at a time (at least one whole text).
 CHUNK_BYTES = 2 << 20
@@ -183,7 +182,3 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         end = min(n, max(row + 1, end))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
-
-
-def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
