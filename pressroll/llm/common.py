@@ -15,7 +15,7 @@ __all__ = ["INVERSE", "ROLL", "SPACE", "U64", "WORD", "Words", "identified", "jo
            "prefix_sums", "rolling", "shingle_hashes", "table", "text_chunks", "words_of"]
 
 #: Bytes of text a Python task hashes at a time (at least one whole text).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 #: What separates words: the space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,7 +56,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """At least ``n`` powers of ``base`` modulo 2**64, from the zeroth on."""
     if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, CHUNK_BYTES // 4), base, U64)
+        steps = np.full(max(n, CHUNK_BYTES + 1), base, U64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps)
     return _powers[base]

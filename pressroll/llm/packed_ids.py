@@ -143,7 +143,7 @@ class Encoder:
 
     HEAD = " "
 
-    def __init__(self, path: str, end_id: int, limit: int = 1_500_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
