@@ -37,7 +37,7 @@ PERCENT = 75
 BANDS, ROWS = 48, 6
 BATCH = 48
 #: Documents of a bucket that are compared with one another at a time.
-BLOCK = 256
+BLOCK = 768
 #: Chance at which the posterior lets a pair of the threshold's similarity go.
 MISS = 1e-5
 
