@@ -45,7 +45,7 @@ from pressroll.llm.common import U64, identified, join_ids, materialize, mix, ro
 
 LENGTH, GRAM = 50, 25
 GRAMS = LENGTH - GRAM + 1
-#: Classes of one anchor that a task sends to its bucket.
+#: Most classes of one anchor that a task sends to its bucket; of more it sends a mark.
 CLASSES = 64
 #: Bytes of text hashed at a time, rows whose repeats a task settles at a time,
 #: and buckets per partition.
@@ -53,7 +53,7 @@ CHUNK, ROWS, BUCKETS = 1 << 20, 1 << 18, 16
 
 SPAN = "doc long, mark int, start long, n int, anchor long, open boolean"
 #: A row: anchor, class, document, mark of its text, first window, number of
-#: windows, and a byte for what stands left and right of the anchor (0: nothing).
+#: windows (0: a mark), and a byte for what stands left and right of the anchor (0: nothing).
 FIELDS = ("anchor", "unit", "doc", "mark", "start", "n", "left", "right")
 WIDTH = {"anchor": 5, "unit": 7, "doc": 8, "mark": 1, "start": 5, "n": 4, "left": 1, "right": 1}
 #: A window holds so many bytes on one side of its anchor at least.
@@ -112,19 +112,23 @@ def _send(rows: Rows, buckets: int, refine: bool) -> Iterator[pa.RecordBatch]:
     (repeats) or 2 (to be refined to windows)."""
     rows, anchor, unit, least = _classes(rows)
     again = rows["doc"] > least
-    many = np.zeros(len(again), bool)
+    many, marks = np.zeros(len(again), bool), np.zeros(0, np.int64)
     if refine and len(again):
-        number = np.cumsum(unit)
-        many = number - number[np.flatnonzero(anchor)][np.cumsum(anchor) - 1] >= CLASSES
+        first = np.flatnonzero(anchor)
+        over = np.add.reduceat(unit, first, dtype=np.int64) > CLASSES
+        many, marks = over[np.cumsum(anchor) - 1], first[over]
+    marked = _take(rows, marks) | {"n": np.zeros(len(marks), np.int64)}
     out: list[tuple[int, int, bytes]] = []
     for kind, which in ((1, again), (2, many & ~again)):
         if which.any():
             some = _take(rows, np.flatnonzero(which))
             some = _take(some, np.lexsort((some["start"], some["doc"])))
             out.append((int(some["doc"][0]) % buckets, kind, _pack(_joined(some) if kind == 1 else some)))
-    rows = _take(rows, np.flatnonzero(~again & ~many))
-    # The upper part of an anchor orders rows by bucket, too.
+    left = np.flatnonzero(~again & ~many)
+    rows = {name: np.concatenate([v[left], marked[name]]) for name, v in rows.items()}
     bucket = (rows["anchor"].astype(U64) * U64(buckets) >> U64(40)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = _take(rows, order), bucket[order]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.unique(bucket).tolist():
         out.append((b, 0, _pack({name: v[edges[b] : edges[b + 1]] for name, v in rows.items()})))
@@ -164,10 +168,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current = None
 
     def settle() -> Iterator[pa.RecordBatch]:
-        rows, _, _, least = _classes(_unpack(held))
+        rows = _unpack(held)
+        marked = np.unique(rows["anchor"][rows["n"] == 0])
+        rows, _, _, least = _classes(_take(rows, np.flatnonzero(rows["n"])))
         if len(least):
             again = rows["doc"] > least
-            several = _several(rows, "left", least) | _several(rows, "right", least)
+            several = _several(rows, "left", least) | _several(rows, "right", least) | np.isin(rows["anchor"], marked)
             yield from _spans(_take(rows, np.flatnonzero(again)), False)
             yield from _spans(_take(rows, np.flatnonzero(several & ~again)), True)
 

@@ -157,6 +157,22 @@ def test_repeats_of_periodic_and_crowded_texts(spark, monkeypatch):
     assert in_order(found) == in_order(brute_spans(texts))
 
 
+def test_repeats_of_a_phrase_with_too_many_classes(spark):
+    """One task has too many classes of a 30-byte phrase; the few of the other share 22 bytes beside it with one of them each."""
+    rng = np.random.default_rng(8)
+    own = lambda size: bytes(rng.integers(97, 123, size, dtype=np.uint8)).decode()
+    # A phrase that holds the anchor of most windows over it.
+    order = lambda text: repeats.mix(repeats.rolling(np.frombuffer(text.encode(), np.uint8), repeats.GRAM)).min()
+    phrase, n = min((own(30) for _ in range(1000)), key=order), 3 * repeats.CLASSES // 2
+    beside = [own(22) for _ in range(n)]
+    texts = [(k, own(40) + phrase + beside[k] + own(40)) for k in range(n)]
+    more = [(n + k, own(40) + phrase + beside[k] + own(40)) for k in range(0, n, 4)]
+    one, other = (spark.createDataFrame(t, "doc_id long, text string").coalesce(1) for t in (texts, more))
+    expected = brute_spans(texts + more)
+    assert sum(r["n_removed"] >= 52 for r in expected) == len(more)
+    assert in_order(rows(repeats.digests(repeats.repeated_spans(one.union(other))))) == in_order(expected)
+
+
 def test_repeats_of_nothing(docs):
     assert rows(repeats.digests(repeats.repeated_spans(messy.empty(docs)))) == []
 
