@@ -48,7 +48,7 @@ GRAMS = LENGTH - GRAM + 1
 #: Most classes of one anchor that a task sends to its bucket; of more it sends a mark.
 CLASSES = 64
 #: Bytes of text hashed at a time, rows whose repeats a task settles at a time,
-#: and buckets per partition.
+#: and buckets of runs per partition.
 CHUNK, ROWS, BUCKETS = 1 << 20, 1 << 18, 16
 
 SPAN = "doc long, mark int, start long, n int, anchor long, open boolean"
@@ -126,7 +126,9 @@ def _send(rows: Rows, buckets: int, refine: bool) -> Iterator[pa.RecordBatch]:
             out.append((int(some["doc"][0]) % buckets, kind, _pack(_joined(some) if kind == 1 else some)))
     left = np.flatnonzero(~again & ~many)
     rows = {name: np.concatenate([v[left], marked[name]]) for name, v in rows.items()}
-    bucket = (rows["anchor"].astype(U64) * U64(buckets) >> U64(40)).astype(np.int64)
+    # Equal windows share their own identifier, runs to be compared only the anchor.
+    key = rows["anchor"] if refine else rows["unit"] >> 16
+    bucket = (key.astype(U64) * U64(buckets) >> U64(40)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = _take(rows, order), bucket[order]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -162,13 +164,23 @@ def _several(rows: Rows, side: str, least: np.ndarray) -> np.ndarray:
     return out & (rows[side] > 0)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(blobs: list[bytes], key: str) -> Iterator[Rows]:
+    """A bucket's rows; of many rows, those of a part of the keys at a time."""
+    parts = 1 + sum(int(np.frombuffer(blob, np.int64, 1)[0]) for blob in blobs) // (4 * ROWS)
+    for part in range(parts):
+        if parts == 1:
+            yield _unpack(blobs)
+            continue
+        some = [_take(rows, np.flatnonzero(rows[key] % parts == part)) for rows in (_unpack([blob]) for blob in blobs)]
+        yield {name: np.concatenate([rows[name] for rows in some]) for name in FIELDS}
+
+
+def _meet(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """Settle one bucket after the other of a partition sorted by bucket."""
     held: list[bytes] = []
     current = None
 
-    def settle() -> Iterator[pa.RecordBatch]:
-        rows = _unpack(held)
+    def settle(rows: Rows) -> Iterator[pa.RecordBatch]:
         marked = np.unique(rows["anchor"][rows["n"] == 0])
         rows, _, _, least = _classes(_take(rows, np.flatnonzero(rows["n"])))
         if len(least):
@@ -183,10 +195,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _spans(_unpack([blob]), kind == 2)
                 continue
             if bucket != current:
-                yield from settle()
+                for rows in _parts(held, key):
+                    yield from settle(rows)
                 held, current = [], bucket
             held.append(blob)
-    yield from settle()
+    for rows in _parts(held, key):
+        yield from settle(rows)
 
 
 def _window(short: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -282,9 +296,9 @@ def _find_windows(buckets: int):
     return lambda batches: _sent(windows(batches), buckets, False)
 
 
-def _settled(sent: DataFrame, partitions: int) -> DataFrame:
+def _settled(sent: DataFrame, partitions: int, key: str) -> DataFrame:
     spread = sent.withColumn("part", F.col("bucket") % partitions).repartition(partitions, "part")
-    return spread.sortWithinPartitions("bucket").select("bucket", "kind", "rows").mapInArrow(_meet, SPAN)
+    return spread.sortWithinPartitions("bucket").select("bucket", "kind", "rows").mapInArrow(lambda batches: _meet(batches, key), SPAN)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,13 +312,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = partitions * BUCKETS
     sent = "bucket int, kind int, rows binary"
     known = texts.where("doc is not null")
-    spans = materialize(_settled(known.select("doc", "mark", "text").mapInArrow(_find_runs(buckets), sent), partitions), "runs")
+    spans = materialize(_settled(known.select("doc", "mark", "text").mapInArrow(_find_runs(buckets), sent), partitions, "anchor"), "runs")
 
     # One shuffle of the texts serves the open runs and the result.
     placed = texts.repartition(partitions, "doc", "mark")
     open_ = spans.where("open").groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("runs"))
     open_texts = placed.join(open_, ["doc", "mark"]).select("doc", "mark", "text", "runs")
-    windows = _settled(open_texts.mapInArrow(_find_windows(buckets), sent), partitions).where("not open")
+    # Few windows of every task go to each bucket, so there is one a partition.
+    windows = _settled(open_texts.mapInArrow(_find_windows(partitions), sent), partitions, "unit").where("not open")
     repeats = spans.where("not open").select("doc", "mark", "start", "n").union(windows.select("doc", "mark", "start", "n"))
     listed = repeats.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     both = placed.join(listed, ["doc", "mark"], "left")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pressroll.llm import chat, contamination, html_tree, minhash, mixing, packed_ids, quality, repeats, toxicity, urls
@@ -173,6 +174,31 @@ def test_repeats_of_a_phrase_with_too_many_classes(spark):
     assert in_order(rows(repeats.digests(repeats.repeated_spans(one.union(other))))) == in_order(expected)
 
 
+def test_windows_of_one_anchor_spread_over_buckets():
+    def sent(doc):
+        n = 2000
+        data = {name: np.zeros(n, np.int64) for name in repeats.FIELDS}
+        data |= {"anchor": data["anchor"] + 77, "unit": np.sort(repeats.mix(np.arange(n, dtype=np.uint64)) >> np.uint64(8)).astype(np.int64),
+                 "doc": data["doc"] + doc, "start": np.arange(n), "n": data["n"] + 1}
+        out = [zip(*(c.to_pylist() for c in b.columns), strict=True) for b in repeats._send(data, 32, False)]
+        return {b: repeats._unpack([blob]) for batch in out for b, kind, blob in batch}
+
+    one, two = sent(1), sent(2)
+    assert len(one) == 32 and max(len(r["doc"]) for r in one.values()) < 200
+    assert all((one[b]["unit"] == two[b]["unit"]).all() for b in one)
+
+
+def test_a_large_bucket_is_settled_in_parts(monkeypatch):
+    monkeypatch.setattr(repeats, "ROWS", 100)
+    none = np.zeros(1000, np.int64)
+    blobs = [repeats._pack({name: none for name in repeats.FIELDS} | {"anchor": none + 77, "unit": np.arange(1000) * 3, "doc": none + d, "n": none + 1}) for d in (1, 2)]
+    parts = list(repeats._parts(blobs, "unit"))
+    assert len(parts) == 6 and sum(len(p["doc"]) for p in parts) == 2000
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([0, 0]), pa.array(blobs)], ["bucket", "kind", "rows"])
+    found = [r for b in repeats._meet(iter([batch]), "unit") for r in b.to_pylist()]
+    assert len(found) == 1000 and all(r["doc"] == 2 and not r["open"] for r in found)
+
+
 def test_repeats_of_nothing(docs):
     assert rows(repeats.digests(repeats.repeated_spans(messy.empty(docs)))) == []
 
