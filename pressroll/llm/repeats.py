@@ -50,6 +50,8 @@ CLASSES = 64
 #: Bytes of text hashed at a time, rows whose repeats a task settles at a time,
 #: and buckets of runs per partition.
 CHUNK, ROWS, BUCKETS = 1 << 20, 1 << 18, 16
+#: Windows of a longer text whose runs are found at a time; places have 26 bits.
+PIECE = 1 << 24
 
 SPAN = "doc long, mark int, start long, n int, anchor long, open boolean"
 #: A row: anchor, class, document, mark of its text, first window, number of
@@ -227,7 +229,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, marks: np.nda
     eight = rolling(data, 8)
     sixteen = join_ids(eight[:-8], eight[8:])
     short = join_ids(sixteen[: 16 - GRAM], sixteen[GRAM - 16 :])
-    # Order of the q-grams: 38 bits of the identifier, then the place (so a run is at most 64 MB).
+    # Order of the q-grams: 38 bits of the identifier, then the place (a piece has fewer bytes).
     places = np.arange(len(short), dtype=U64)
     anchors = _least((mix(short) >> U64(26) << U64(26)) | places, GRAMS) & U64((1 << 26) - 1)
     text = np.repeat(np.arange(len(counts)), counts)
@@ -267,7 +269,14 @@ def _find_runs(buckets: int):
         for batch in batches:
             docs, marks = batch.column("doc").to_numpy(), batch.column("mark").to_numpy().astype(np.int64)
             for lo, hi, data, offsets in text_chunks(batch.column("text"), CHUNK):
-                yield _runs(data, offsets, docs[lo:hi], marks[lo:hi])
+                if len(data) <= PIECE:
+                    yield _runs(data, offsets, docs[lo:hi], marks[lo:hi])
+                    continue
+                # One long text: pieces that share no window; runs cut at their edges still share their windows' sides.
+                for at in range(0, len(data) - LENGTH + 1, PIECE):
+                    piece = data[at : at + PIECE + LENGTH - 1]
+                    part = _runs(piece, np.array([0, len(piece)]), docs[lo:hi], marks[lo:hi])
+                    yield part | {"start": part["start"] + at}
 
     return lambda batches: _sent(runs(batches), buckets, True)
 

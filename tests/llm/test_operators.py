@@ -199,6 +199,23 @@ def test_a_large_bucket_is_settled_in_parts(monkeypatch):
     assert len(found) == 1000 and all(r["doc"] == 2 and not r["open"] for r in found)
 
 
+def test_runs_of_a_text_longer_than_places_reach():
+    """The last bytes of a text over 64 MiB and the same bytes alone have the same anchors."""
+    def found(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([1], pa.int32()), pa.array([text], pa.large_binary())], ["doc", "mark", "text"])
+        out = [zip(*(c.to_pylist() for c in b.columns), strict=True) for b in repeats._find_runs(1)(iter([batch]))]
+        parts = [repeats._unpack([blob]) for batch in out for _, _, blob in batch]
+        return {name: np.concatenate([p[name] for p in parts]) for name in repeats.FIELDS}
+
+    before = (1 << 26) + 1000
+    text = np.random.default_rng(4).integers(0, 256, before + 3000, dtype=np.uint8).tobytes()
+    end = text[before:]
+    long_, short = found(text), found(end)
+    assert long_["n"].sum() == before + len(end) - 49
+    rows_ = lambda r, shift: {(a, u, s - shift, n) for a, u, s, n in zip(*(r[x].tolist() for x in ("anchor", "unit", "start", "n")), strict=True) if s - shift > 50}
+    assert rows_(long_, before) == rows_(short, 0)
+
+
 def test_repeats_of_nothing(docs):
     assert rows(repeats.digests(repeats.repeated_spans(messy.empty(docs)))) == []
 
