@@ -5,8 +5,10 @@ the longest rule that fits decides. Other urls are judged by a multinomial
 naive Bayes over tokens of host and path. Host labels are split at punctuation;
 concatenated names are cut into words by a Viterbi search over unigram
 probabilities. The unigram counts are those of all pieces of all urls of the
-table (counted in Spark) on top of the lexicon's; an unknown stretch costs
-more the longer it is, so names are cut only where known words explain them.
+table on top of the lexicon's, however many there are: each distinct name is cut
+once, by the counts of its own substrings, joined in Spark. A name of one url
+only is no evidence of itself. An unknown stretch costs more the longer it is,
+so names are cut only where known words explain them.
 The classifier is trained on a short labelled list of topic words (fixed values
 below); tokens it has not seen weigh nothing.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,8 +56,10 @@ www m blog example com net org html php en fr de es feed ref utm source index pa
 """
 #: What a lexicon word and the table's most frequent piece add to the counts; pseudo-count of naive Bayes; share of unwanted urls expected; word length tried.
 LEXICON_COUNT, TABLE_COUNT, SMOOTH, PRIOR, LONGEST = 50.0, 1e-4, 0.1, 0.1, 24
-#: Words seen in fewer urls than this do not enter the unigram model.
-LEAST_COUNT, VOCABULARY = 2, 200_000
+#: Spark's pattern of what ``PIECE`` finds, and of a piece's substrings that may be words.
+LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
+SUBSTRINGS = (f"flatten(transform(sequence(1, length(piece)), s -> transform(sequence(1, least({LONGEST}, length(piece) - s + 1)),"
+              " n -> substring(piece, s, n))))")
 
 
 def host_of(url: Column) -> Column:
@@ -82,8 +87,8 @@ PIECE = re.compile(r"[^\W\d_]+")
 class Segmenter:
     """Unigram Viterbi: the cut of a name with the highest probability."""
 
-    def __init__(self, counts: dict[str, float]) -> None:
-        self.total = sum(counts.values()) or 1.0
+    def __init__(self, counts: dict[str, float], total: float = 0.0) -> None:
+        self.total = total or sum(counts.values()) or 1.0
         self.cost = {w: -math.log(c / self.total) for w, c in counts.items()}
         self.seen: dict[str, list[str]] = {}
 
@@ -129,36 +134,63 @@ class NaiveBayes:
 
 
 def _pieces(urls: DataFrame) -> DataFrame:
-    """Distinct pieces of each url's host and path, counted over all urls."""
+    """Every piece of each url's host and path with its place."""
     text = F.lower(F.concat_ws(" ", "host", "path"))
-    piece = F.explode(F.array_distinct(F.filter(F.split(text, r"[^\p{L}]+"), lambda x: x != ""))).alias("piece")
-    return urls.select(piece).groupBy("piece").agg(F.count("*").alias("count"))
+    return urls.select("row", F.posexplode(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0))).alias("pos", "piece"))
+
+
+def _cuts(pieces: DataFrame, lexicon: Counter[str]) -> DataFrame:
+    """Each distinct piece and the words it is cut into."""
+    counts = materialize(pieces.groupBy("piece").agg(F.count_distinct("row").alias("count")), "pieces")
+    top = counts.agg(F.max("count")).first()[0] or 1
+    # Whole names are pieces too; damped counts keep them from outweighing the words inside them.
+    damped = lambda count: TABLE_COUNT * math.log1p(count) / math.log1p(top)
+    sizes = counts.where(F.length("piece") <= LONGEST).groupBy("count").agg(F.count("*").alias("n"))
+    unit = sizes.agg(F.sum(F.round(F.log1p("count") * F.col("n") * 2**20).cast("decimal(38,0)"))).first()[0] or 0
+    total = TABLE_COUNT * float(unit) / 2**20 / math.log1p(top) + LEXICON_COUNT * lexicon.total()
+
+    names = counts.select("piece", F.col("count").alias("own"))
+    parts = names.select("piece", "own", F.explode(F.array_distinct(F.expr(SUBSTRINGS))).alias("word"))
+    known = counts.select(F.col("piece").alias("word"), "count")
+    found = (parts.join(known, "word").where("word != piece or own > 1")
+             .groupBy("piece").agg(F.collect_list(F.struct("word", "count")).alias("known")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, known in zip(batch.column("piece").to_pylist(), batch.column("known").to_pylist(), strict=True):
+                mine = {w["word"]: damped(w["count"]) for w in known or ()}
+                listed: dict[str, float] = {}
+                for start in range(len(name)):
+                    for end in range(start + 1, min(len(name), start + LONGEST) + 1):
+                        if (word := name[start:end]) in lexicon:
+                            listed[word] = LEXICON_COUNT * lexicon[word]
+                out.append(Segmenter(mine | {w: mine.get(w, 0.0) + c for w, c in listed.items()}, total).words(name))
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(out, pa.list_(pa.string()))], ["piece", "cut"])
+
+    return names.select("piece").join(found, "piece", "left").mapInArrow(cut, "piece string, cut array<string>")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES) -> DataFrame:
     """One row per page: id, ``host``, ``path``, ``rule``, ``verdict``, ``words``, ``log_odds``."""
     rows = identified(pages, id_col, url_col).toDF("id", "url")
-    urls = materialize(rows.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "urls")
-    # The unigram model is bounded: the most frequent pieces of the table, ties by code point.
-    common = (_pieces(urls).where((F.col("count") >= LEAST_COUNT) & (F.length("piece") <= LONGEST))
-              .orderBy(F.desc("count"), "piece").limit(VOCABULARY).toArrow().to_pydict())
+    urls = materialize(rows.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+                                   F.monotonically_increasing_id().alias("row")), "urls")
     lexicon = (UNWANTED + NEUTRAL).split(), (WANTED + NEUTRAL).split()
-    top = max(common["count"], default=1)
-    # Whole names are pieces too; damped counts keep them from outweighing the words inside them.
-    counts = {w: TABLE_COUNT * math.log1p(c) / math.log1p(top) for w, c in zip(common["piece"], common["count"], strict=True)}
-    for word in (*lexicon[0], *lexicon[1]):
-        counts[word] = counts.get(word, 0.0) + LEXICON_COUNT
+    pieces = _pieces(urls)
+    cuts = _cuts(pieces, Counter(lexicon[0] + lexicon[1]))
+    words = pieces.join(cuts, "piece").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "cut"))).alias("cuts"))
+    cut_urls = urls.join(words.select("row", F.flatten("cuts.cut").alias("words")), "row", "left").select(
+        "id", "host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, model = Segmenter(counts), NaiveBayes(*lexicon)
+        model = NaiveBayes(*lexicon)
         for batch in batches:
-            tokens = [segmenter.tokens(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(tokens, pa.list_(pa.string())), pa.array([model.score(t) for t in tokens], pa.float64())],
-                ["id", "host", "path", "words", "log_odds"])
+            scores = [model.score(words) for words in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], ["id", "host", "path", "words", "log_odds"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    judged = urls.mapInArrow(judge, f"id {kind}, host string, path string, words array<string>, log_odds double")
+    judged = cut_urls.mapInArrow(judge, f"id {kind}, host string, path string, words array<string>, log_odds double")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"),

@@ -410,6 +410,15 @@ def test_url_rules_and_segments(spark):
     assert rows(urls.judge_urls(table.where("false"))) == []
 
 
+def test_every_counted_piece_is_known(spark):
+    """Cuts and verdicts like those of one dictionary of all pieces, with many pieces more frequent than the one that decides."""
+    filler = spark.range(3 * 201_000).selectExpr("id + 10 AS page_id", "concat('x://q', translate(lpad(cast(id % 201000 as string), 6, '0'), '0123456789', 'qzjxkvbfwy')) AS url")
+    given = spark.createDataFrame([(0, "http://freedom.org/"), (1, "http://freedom.org/"), (2, "http://freedomz.org/")], "page_id long, url string")
+    found = {r["page_id"]: r for r in rows(urls.judge_urls(filler.union(given)).where("page_id < 10"))}
+    assert [found[k]["words"] for k in (0, 1)] == [["freedom", "org"]] * 2
+    assert [found[k]["verdict"] for k in (0, 1)] == ["allow"] * 2
+
+
 def test_viterbi_is_the_best_cut():
     from itertools import product
 
