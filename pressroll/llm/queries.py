@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroll.llm import chat, contamination, html_tree, minhash, mixing, packed_ids, quality, repeats, toxicity, urls
+from pressroll.llm import (chat, contamination, html_tree, minhash, mixing, packed_ids, periodic, quality, repeats, resampling, toxicity,
+                           urls, warc_zip)
 from pressroll.llm.common import table
 from pressroll.llm.sql import SQL  # noqa: F401
 
@@ -61,6 +62,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency(table(spark, sf_dir, "documents")).drop("removed_lines")
 
 
+def op11_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_minhash_dedup, op2_url_filter, op3_toxicity, op4_html_text, op5_chat_format, op6_decontamination, op7_repeated_strings, op8_source_mix, op9_token_ids, op10_quality_rules)}
+    op1_minhash_dedup, op2_url_filter, op3_toxicity, op4_html_text, op5_chat_format, op6_decontamination, op7_repeated_strings, op8_source_mix, op9_token_ids, op10_quality_rules,
+    op11_warc_zip, op12_resampling, op13_periodic_runs)}
 

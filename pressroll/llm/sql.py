@@ -102,4 +102,89 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
 FROM docs JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
 """
 
-SQL = {"op7_repeated_strings": OP7, "op1_minhash_dedup": OP1, "op5_chat_format": OP5, "op6_decontamination": OP6, "op10_quality_rules": OP10}
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a text's bytes; the query joins ``crc_table``."""
+    code = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    step = "xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce([4294967295::BIGINT] || {code}, lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || list_transform(range(8), lambda k: 0::BIGINT),
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc_t)"""
+
+#: Base32 by the 160 bits of a SHA-1.
+OP11 = """
+WITH rows AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, min(page_id) AS m FROM rows GROUP BY h),
+bits AS (SELECT h, m, unhex(h)::BIT::VARCHAR AS b FROM first),
+digests AS (
+  SELECT h, m, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+    + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest FROM bits)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> m THEN m END AS refers_to
+FROM rows JOIN digests USING (h)
+"""
+
+OP12 = f"""
+WITH {_CRC_TABLE},
+docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce({_LOWER}, ''), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
+items AS (SELECT list_filter(string_split_regex(coalesce({_LOWER}, ''), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
+a AS (SELECT doc_id, unnest(words) AS w FROM docs), b AS (SELECT unnest(words) AS w FROM items),
+vocabulary AS (SELECT w, {_crc32("w")} % 10000 AS bucket FROM (SELECT w FROM a UNION SELECT w FROM b), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM a JOIN vocabulary USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN vocabulary USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+sums AS (SELECT doc_id, sum(gain) AS g FROM a JOIN vocabulary USING (w) JOIN gains USING (bucket) GROUP BY doc_id),
+weighed AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features,
+    CASE WHEN len(words) = 0 THEN 0 ELSE floor(g::DOUBLE / len(words)) END::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM docs LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+  count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
+#: Windows of nine words that come again q words later, as islands for each q:
+#: the run of that period spans an island, the window and the period.
+OP13 = f"""
+WITH {_CRC_TABLE},
+given AS (SELECT doc_id, {_words("text")} AS ws, {_crc32("doc_id::VARCHAR")} AS h FROM documents, crc_table),
+cut AS (SELECT doc_id, ws, h, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM given),
+planted AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN ws
+    ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) END AS ws
+  FROM cut),
+windows AS (SELECT doc_id, n, i, hash(list_slice(ws, i + 1, i + 9)) AS g FROM (SELECT doc_id, n, ws, unnest(range(0, n - 8)) AS i FROM planted)),
+pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k, i FROM pairs),
+stretch AS (SELECT doc_id, q AS period, min(i) AS start, max(i) - min(i) + 9 + q AS length FROM islands GROUP BY doc_id, q, k),
+long AS (SELECT * FROM stretch WHERE length >= 24 AND length >= 3 * period),
+runs AS (
+  SELECT * FROM long l WHERE NOT EXISTS (
+    SELECT 1 FROM long o WHERE o.doc_id = l.doc_id AND o.period < l.period AND o.start <= l.start AND o.start + o.length >= l.start + l.length)),
+digests AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256
+  FROM runs GROUP BY doc_id),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM runs),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(0, n)) AS i FROM planted WHERE doc_id IN (SELECT doc_id FROM runs)) w
+  ANTI JOIN dropped d ON d.doc_id = w.doc_id AND d.i = w.i GROUP BY w.doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256,
+  sha256(CASE WHEN n_runs IS NULL THEN array_to_string(ws, ' ') ELSE kept.text END) AS collapsed_sha256
+FROM planted p LEFT JOIN digests USING (doc_id) LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT * FROM ordered WHERE place = 1) best USING (doc_id)
+"""
+
+SQL = {"op7_repeated_strings": OP7, "op1_minhash_dedup": OP1, "op5_chat_format": OP5, "op6_decontamination": OP6, "op10_quality_rules": OP10,
+       "op11_warc_zip": OP11, "op12_resampling": OP12, "op13_periodic_runs": OP13}
