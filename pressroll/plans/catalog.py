@@ -26,6 +26,7 @@ from pressroll.operators import validate as Vd
 from pressroll.operators.model import apply_model as _apply_model
 from pressroll.operators.model import organize_stub
 from pressroll.plans.ingest import ingest as _ingest
+from pressroll.plans.replay import replay
 from pressroll.session import configure, materialize, work_dir
 from pressroll.sources import files as Fs
 from pressroll.sources import tables as T
@@ -629,6 +630,18 @@ def scan_season(spark, d):
                     "dateKST", "bcast", F.col("final.en").alias("final_en"), "rivalry", "bye", "tbd")
 
 
+@query
+def commit_log(spark, d):
+    """Daily totals after two writers' interleaved commits: no order is lost."""
+    return replay(T.read(spark, d, "orders"), work_dir(spark, "totals"))[0].rows()
+
+
+@query
+def commit_history(spark, d):
+    """The commits of the same replay: version, attempts, and whether it was moved up."""
+    return replay(T.read(spark, d, "orders"), work_dir(spark, "totals"))[1]
+
+
 # --- model step and ingest job -----------------------------------------------------------
 
 

@@ -811,5 +811,20 @@ SELECT 'detail_parse' AS rule, fdate AS date, '' AS detail FROM files WHERE doc
     AND length(json_extract_string(doc, '$.date')) > 0 AND json_extract_string(doc, '$.date') <> fdate"""
 
 
+# --- commits ------------------------------------------------------------------------
+
+ORACLE["commit_log"] = f"""SELECT {iso('o_orderdate')} AS date, count(*) AS n_orders,
+  sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS total_cents FROM orders GROUP BY 1"""
+
+ORACLE["commit_history"] = f"""WITH given AS (
+  SELECT {iso('o_orderdate')} AS date, CASE WHEN o_custkey % 2 = 1 THEN 'A' ELSE 'B' END AS writer, o_orderkey % 3 AS k,
+         month(o_orderdate) % 2 = 1 AS odd FROM orders),
+steps AS (SELECT date, writer, CASE WHEN k = 0 THEN 0 WHEN k = 1 AND odd = (writer = 'A') THEN 1 ELSE 2 END AS step FROM given)
+SELECT CAST(2 * step + CASE writer WHEN 'A' THEN 1 ELSE 2 END AS BIGINT) AS version, writer, CAST(step AS BIGINT) AS step,
+       CAST(CASE WHEN writer = 'B' AND step <> 1 THEN 2 ELSE 1 END AS BIGINT) AS attempts,
+       writer = 'B' AND step = 1 AS moved_up, count(DISTINCT date) AS n_dates
+FROM steps GROUP BY writer, step"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
