@@ -23,13 +23,14 @@ from pressroll.operators import integrity as G
 from pressroll.operators import repair as R
 from pressroll.operators import schedule as Sc
 from pressroll.operators import validate as Vd
+from pressroll.operators.model import answered, organize_stub
 from pressroll.operators.model import apply_model as _apply_model
-from pressroll.operators.model import organize_stub
 from pressroll.plans.ingest import ingest as _ingest
 from pressroll.plans.replay import replay
 from pressroll.session import configure, materialize, work_dir
 from pressroll.sources import files as Fs
 from pressroll.sources import tables as T
+from pressroll.streaming import days as Sd
 from pressroll.streaming import events as Se
 from pressroll.streaming import ingest as Si
 
@@ -645,17 +646,33 @@ def commit_history(spark, d):
 # --- model step and ingest job -----------------------------------------------------------
 
 
+def _prompts(spark, d):
+    parts = A.day_text(_bodies(spark, d))
+    return parts.select("date", "part", S.organize_prompt(F.col("date"), F.col("text")).alias("prompt"))
+
+
 @query
 def apply_model(spark, d):
     """Organise prompts of the pages feed through the (stub) model."""
-    parts = A.day_text(_bodies(spark, d))
-    prompts = parts.select("date", "part", S.organize_prompt(F.col("date"), F.col("text")).alias("prompt"))
     # the cost of a call has nothing to do with its bytes: one share of the prompts per task
-    spread = prompts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "date", "part")
+    spread = _prompts(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "date", "part")
     out = materialize(_apply_model(spread, "prompt", organize_stub), "model-out")
     return out.select("date", "part", F.length("response").cast("long").alias("response_chars"), "model_error")
 
 
+@query
+def model_resumed(spark, d):
+    """The same prompts in two runs over one store of answers: the first run has
+    the even days only, the second one asks what is still missing."""
+    store = work_dir(spark, "answers")
+    prompts = materialize(_prompts(spark, d), "prompts")
+    even = F.substring("date", 10, 1).cast("int") % 2 == 0
+    materialize(answered(prompts.where(even), "prompt", organize_stub, store), "model-first")
+    out = answered(prompts, "prompt", organize_stub, store)
+    return out.select("date", "part", F.length("response").cast("long").alias("response_chars"), "model_error",
+                      F.col("attempt").cast("long").alias("attempt"))
+
+
 def _run_ingest(spark, d):
     return _ingest(T.feed_pages(spark, d), T.read(spark, d, "pages"), saved_index(spark, d), organize_stub,
                    store=work_dir(spark, "days"))
@@ -672,12 +689,15 @@ def ingest_errors(spark, d):
     return _run_ingest(spark, d).errors
 
 
+def _story_columns(s):
+    return s.select("date", "ordinal", "icon", "status", F.array_join("tags", ",").alias("tags"), F.col("title.en").alias("title_en"),
+                    F.array_join("facts.en", ",").alias("facts_en"), F.col("interp.ko").alias("interp_ko"), "url")
+
+
 @query
 def ingest_days(spark, d):
     """The stories of the added days as read back from the day store."""
-    s = _run_ingest(spark, d).stories
-    return s.select("date", "ordinal", "icon", "status", F.array_join("tags", ",").alias("tags"), F.col("title.en").alias("title_en"),
-                    F.array_join("facts.en", ",").alias("facts_en"), F.col("interp.ko").alias("interp_ko"), "url")
+    return _story_columns(_run_ingest(spark, d).stories)
 
 
 @query
@@ -727,6 +747,34 @@ def stream_ingest(spark, d):
     return index_out(Si.read_index_version(spark, root))
 
 
+def _run_days_stream(spark, d) -> Sd.Folders:
+    """The pages feed as article files that arrive two at a time; dates close
+    when the feed does, since its articles come in no order of dates."""
+    folders, src = Sd.Folders(work_dir(spark, "feed")), work_dir(spark, "feed-src")
+    feed = T.feed_pages(spark, d).drop("date")
+    feed.repartition(6, "ordinal").write.parquet(src)
+    Sd.seed_index(saved_index(spark, d), folders)
+    reader = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2)
+    Sd.start_arrivals(reader.parquet(src), folders).awaitTermination()
+    Sd.close_feed(spark, folders)
+    schema = "ordinal long, title string, url string, publishedRaw string, date string"
+    Sd.start_closing(spark, T.read(spark, d, "pages"), folders, organize_stub, schema, lateness="31 days", max_files=1).awaitTermination()
+    return folders
+
+
+@query
+def stream_ingest_days(spark, d):
+    """The whole ingest as a stream: the stories in the day store at its end."""
+    folders = _run_days_stream(spark, d)
+    return _story_columns(Sd.stored_stories(spark, folders))
+
+
+@query
+def stream_ingest_index(spark, d):
+    """The index versions' last state after the same stream."""
+    return index_out(Sd.index_table(spark, _run_days_stream(spark, d)).rows())
+
+
 @query
 def stream_debounce(spark, d):
     out, ckpt = work_dir(spark, "debounce"), work_dir(spark, "ckpt")

@@ -29,7 +29,7 @@ from pressroll.functions.strings import organize_prompt, parse_fenced_json
 from pressroll.operators import articles as A
 from pressroll.operators import index as I
 from pressroll.operators.integrity import truthy
-from pressroll.operators.model import ModelFactory, apply_model
+from pressroll.operators.model import ModelFactory, answered, apply_model
 from pressroll.session import materialize, where_computed
 from pressroll.sources import files as Fs
 
@@ -106,10 +106,13 @@ def _errors(parts: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def ingest(feed: DataFrame, pages: DataFrame, index: DataFrame, model_factory: ModelFactory,
-           rows_per_part: int = 64, model_tasks: int | None = None, store: str | None = None) -> IngestResult:
+           rows_per_part: int = 64, model_tasks: int | None = None, store: str | None = None,
+           answers: str | None = None) -> IngestResult:
     """Run the job. ``model_tasks`` is the number of tasks that call the model
     (default: the shuffle partitions); with ``store`` the days are written there
-    by date, before the index is derived from what was written."""
+    by date, before the index is derived from what was written; with ``answers``
+    the model's answers are kept there by prompt, and a prompt answered before
+    is not called again."""
     spark = feed.sparkSession
     fresh = A.incremental(feed.drop("date"), index)
     checked = fresh.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -117,9 +120,12 @@ def ingest(feed: DataFrame, pages: DataFrame, index: DataFrame, model_factory: M
     prompts = parts.select("date", "part", organize_prompt(F.col("date"), F.col("text")).alias("prompt"))
     # calls cost the same whatever the prompt's size: spread them by number, not by bytes
     tasks = model_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers = apply_model(prompts.repartition(tasks, "date", "part"), "prompt", model_factory)
+    if answers is None:
+        said = apply_model(prompts.repartition(tasks, "date", "part"), "prompt", model_factory)
+    else:
+        said = answered(prompts, "prompt", model_factory, answers, tasks=tasks).drop("attempt")
     # the model runs once per prompt: its output is written before any use
-    responses = materialize(answers.drop("prompt"), "model-out")
+    responses = materialize(said.drop("prompt"), "model-out")
 
     merged, elements = _merged(responses)
     errors = _errors(merged, elements)

@@ -760,6 +760,20 @@ ORACLE["scan_season"] = with_(GAMES) + """SELECT team, season,
 
 # --- ingest job (stub model: one story per article; a failed fetch fails its day) -----------
 
+# the answer of the stub, spelled out: stories joined by ", " inside the day
+_URL_JSON = "substring(CAST(to_json(url) AS VARCHAR), 2, length(CAST(to_json(url) AS VARCHAR)) - 2)"
+_STORY = f"""'{{{{"icon": "📰", "status": "NEW", "tags": ["NEWS", "' || CASE WHEN starts_with(url, 'http') THEN 'WEB' ELSE 'LOCAL' END
+  || '"], "title": {{{{"ko": "기사 ' || {_URL_JSON} || '", "en": "Article ' || {_URL_JSON} || '"}}}}, "facts": {{{{"ko": ["본문 ' || length(text) || '"], "en": ['
+  || CASE WHEN contains(text, '[Could not fetch full article body:') THEN '' ELSE '"Body ' || length(text) || '"' END
+  || ']}}}}, "interp": {{{{"ko": "요약", "en": "Summary"}}}}, "url": "' || {_URL_JSON} || '"}}}}'""".replace("{{", "{").replace("}}", "}")
+_ANSWERS = with_(FEED, BODIES) + f"""SELECT date, CAST(pos // 64 AS BIGINT) AS part,
+  CAST(length('```json' || chr(10) || '{{"headline": {{"ko": "' || date || ' 소식", "en": "News of ' || date || '"}}, "stories": ['
+    || string_agg({_STORY}, ', ' ORDER BY ordinal) || '], "injuries": [], "moves": [], "schedule": []}}' || chr(10) || '```') AS BIGINT) AS response_chars,
+  CAST(NULL AS VARCHAR) AS model_error{{more}}
+FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ordinal) - 1 AS pos FROM bodies) GROUP BY date, pos // 64"""
+ORACLE["apply_model"] = _ANSWERS.replace("{more}", "")
+ORACLE["model_resumed"] = _ANSWERS.replace("{more}", ", CAST(1 AS BIGINT) AS attempt")
+
 ORACLE["run_report"] = with_(FEED) + """SELECT date,
   CASE WHEN sum(CASE WHEN ordinal % 9 = 0 AND ordinal % 28 % 4 = 0 THEN 1 ELSE 0 END) = 0 THEN 'added' ELSE 'error' END AS outcome,
   CAST(sum(CASE WHEN ordinal % 9 = 0 AND ordinal % 28 % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_errors,
@@ -794,6 +808,8 @@ SELECT * FROM index_saved WHERE date NOT IN (SELECT date FROM new) UNION ALL SEL
 # --- streaming forms (same results as the batch forms) --------------------------------
 
 ORACLE["stream_ingest"] = ORACLE["incremental_index"]
+ORACLE["stream_ingest_days"] = ORACLE["ingest_days"]
+ORACLE["stream_ingest_index"] = ORACLE["ingest_index"]
 ORACLE["stream_debounce"] = ORACLE["debounce_search"]
 ORACLE["stream_usage"] = ORACLE["event_usage"]
 ORACLE["stream_hold"] = ORACLE["hold_detect"]

@@ -49,6 +49,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return _status(spark, path) is not None
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, path)
+
+
 def is_file(spark: SparkSession, path: str) -> bool:
     status = _status(spark, path)
     return status is not None and status.isFile()
