@@ -32,6 +32,7 @@ from pressroll.sources import files as Fs
 from pressroll.sources import tables as T
 from pressroll.streaming import days as Sd
 from pressroll.streaming import events as Se
+from pressroll.streaming import holds as Sh
 from pressroll.streaming import ingest as Si
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -795,12 +796,13 @@ def stream_usage(spark, d):
 
 @query
 def stream_hold(spark, d):
-    """Hold detection as a stateful stream; the closing event lets the last
-    timers fire."""
-    out, ckpt = work_dir(spark, "hold"), work_dir(spark, "ckpt")
-    _run_to_table(Se.hold_stream(_event_stream(spark, d), HOLD_DELAY), out, ckpt)
-    return spark.read.parquet(out).select(
-        "user", "seq", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    """Hold detection as a stream over time slices, a user's slices spread over
+    the tasks; the closing event and slice let the last slices and timers pass."""
+    folder = work_dir(spark, "hold")
+    Sh.start_slices(_event_stream(spark, d), folder, HOLD_DELAY, width="6 hours").awaitTermination()
+    Sh.close_feed(spark, folder)
+    Sh.start_edges(spark, folder, HOLD_DELAY).awaitTermination()
+    return Sh.detected(spark, folder).select("user", "seq", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 @query

@@ -4,10 +4,9 @@
 * debounce: session windows whose gap is the debounce gap minus one
   microsecond (a session window merges an event arriving exactly ``gap``
   after the last one; the debounce timer has fired by then), keeping the
-  last input of each session when the box is not empty;
-* hold detection: a per-user state machine with event-time timers
-  (``applyInPandasWithState``), emitting ``start`` when a timer fires and
-  ``end`` when an active hold is cancelled.
+  last input of each session when the box is not empty.
+
+Hold detection is in ``holds``.
 
 Windows, sessions and timers are emitted once the watermark passes them (append
 mode), so state is dropped as time goes on. Where an input ends, a closing event
@@ -16,10 +15,8 @@ well after its last one moves the watermark past everything before it.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def _minus_one_micro(gap: str) -> str:
@@ -53,44 +50,3 @@ def debounce_stream(inputs: DataFrame, gap: str, watermark: str = "1 hour",
                   .where(F.col(f"last.{length_col}") > 0)
                   .select("user", F.col("last.seq").alias("seq"), F.col(f"last.{length_col}").alias(length_col),
                           (F.col("last.ts") + F.expr(f"INTERVAL {gap}")).alias("fire_ts")))
-
-
-HOLD_OUT = "user string, seq long, kind string, at timestamp"
-HOLD_STATE = "armed_ts timestamp, armed_seq long, active boolean"
-
-
-def hold_stream(presses: DataFrame, delay: str, watermark: str = "1 hour") -> DataFrame:
-    delay_td = pd.Timedelta(microseconds=gap_micros(delay))
-
-    def step(key, pdfs, state):
-        user = key[0]
-        out = []
-        if state.hasTimedOut:
-            armed_ts, armed_seq, active = state.get
-            out.append((user, armed_seq, "start", armed_ts + delay_td))
-            state.update((None, None, True))
-            yield pd.DataFrame(out, columns=["user", "seq", "kind", "at"])
-            return
-        armed_ts, armed_seq, active = state.get if state.exists else (None, None, False)
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
-        for ts, seq, is_cancel in zip(rows["ts"], rows["seq"], rows["is_cancel"]):
-            if armed_ts is not None and ts >= armed_ts + delay_td:
-                out.append((user, armed_seq, "start", armed_ts + delay_td))
-                armed_ts, armed_seq, active = None, None, True
-            if is_cancel:
-                armed_ts, armed_seq = None, None
-                if active:
-                    out.append((user, int(seq), "end", ts))
-                    active = False
-            else:
-                armed_ts, armed_seq = ts, int(seq)
-        state.update((armed_ts, armed_seq, bool(active)))
-        if armed_ts is not None:
-            state.setTimeoutTimestamp(int((armed_ts + delay_td).timestamp() * 1000))
-        yield pd.DataFrame(out, columns=["user", "seq", "kind", "at"])
-
-    return (presses.select("user", "seq", "ts", "is_cancel")
-                   .withWatermark("ts", watermark)
-                   .groupBy("user")
-                   .applyInPandasWithState(step, HOLD_OUT, HOLD_STATE, "append",
-                                           GroupStateTimeout.EventTimeTimeout))

@@ -1,6 +1,8 @@
 """Event contract, debounce and hold detection (batch and streaming forms)."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from pressroll.operators import events as Ev
 from pressroll.session import work_dir
 from pressroll.streaming import events as Se
+from pressroll.streaming import holds as Sh
 
 T0 = dt.datetime(2026, 8, 15, 12, 0, 0)
 
@@ -101,13 +104,53 @@ def test_debounce_stream_equals_batch(spark):
     assert stream == batch == [(1, 2), (3, 4)]
 
 
-def test_hold_stream_equals_batch_when_closed(spark):
+def hold_stream(spark, df, width, max_files=None):
+    """Both queries over one file per task of ``df`` and a closing event."""
+    src, folder = work_dir(spark, "t-src"), work_dir(spark, "t-hold")
+    closing = spark.createDataFrame([("closing", -1, at(10**10), True)], "user string, seq long, ts timestamp, is_cancel boolean")
+    df.unionByName(closing).write.parquet(src)
+    reader = spark.readStream.schema(df.schema)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader
+    Sh.start_slices(reader.parquet(src), folder, Ev.HOLD_DELAY, width, "1 day").awaitTermination()
+    Sh.close_feed(spark, folder)
+    Sh.start_edges(spark, folder, Ev.HOLD_DELAY).awaitTermination()
+    return Sh.detected(spark, folder)
+
+
+def full(df):
+    return sorted((r["user"], r["seq"], r["kind"], r["at"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("width", ["1 second", "1 minute"])
+def test_hold_stream_equals_batch_when_closed(spark, width):
     seq = [(0, False), (600, True), (700, True), (1000, False), (1200, False), (1300, True), (5000, False),
-           (60_000_000, True)]
+           (60_000, True), (60_400, False), (60_900, False), (200_000, False)]
     df = presses(spark, seq)
-    batch = holds(Ev.hold(df))
-    stream = holds(run_stream(spark, df, lambda s: Se.hold_stream(s, Ev.HOLD_DELAY, "1 second"), "append"))
-    assert stream == batch
+    batch = full(Ev.hold(df))
+    assert full(hold_stream(spark, df, width)) == batch and len(batch) == 7
+
+
+def test_hold_stream_of_a_hot_user(spark):
+    """Random events, half of them of one user: every slice boundary case comes up."""
+    rng = random.Random(3)
+    rows, ms = [], 0
+    for i in range(3000):
+        ms += rng.choice([0, 1, 100, 499, 500, 501, 900])
+        rows.append(("hot" if i % 2 else f"u{rng.randrange(5)}", i, at(ms), rng.random() < 0.4))
+    df = spark.createDataFrame(rows, "user string, seq long, ts timestamp, is_cancel boolean").repartition(3)
+    batch = full(Ev.hold(df))
+    assert full(hold_stream(spark, df, "2 seconds", max_files=1)) == batch and len(batch) > 500
+
+
+def test_slices_of_a_hot_user_are_spread(spark):
+    """The grouping of events is by user and slice, and what the fold gets of a
+    user is a row a slice."""
+    df = spark.range(5000).selectExpr("'hot' AS user", "id AS seq", "timestamp_millis(id * 300) AS ts", "id % 3 = 0 AS is_cancel")
+    slices = Sh.hold_slices(df, Ev.HOLD_DELAY, "1 minute")
+    assert slices.count() == 25
+    p = slices._jdf.queryExecution().executedPlan().toString()
+    keys = re.search(r"hashpartitioning\(([^)]*)\)", p)[1].split(", ")
+    assert sum("#" in k for k in keys) == 2 and any(k.startswith("user#") for k in keys)
 
 
 def test_usage_stream_equals_batch(spark):
