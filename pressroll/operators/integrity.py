@@ -109,3 +109,81 @@ def detail_checks(parsed_days: DataFrame, file_date: str = "date") -> DataFrame:
     date_rule = present.where(differs).select(F.lit("detail_date").alias("rule"), F.col(file_date).alias("date"),
                                               F.lit("").alias("detail"))
     return parse.unionByName(missing).unionByName(date_rule)
+
+
+# --- one report over index, documents and file names -------------------------------
+
+#: Rules in the order the checker tells them; (a), an index that cannot be read, stops the job.
+REPORT_RULES = {"missing_key": "b", "missing_detail": "c", "unreadable": "c", "detail_parse": "d", "detail_missing_key": "e",
+                "detail_date": "f", "story_count": "g", "move_count": "h", "orphan": "i"}
+
+
+def _entry_facts(entries: DataFrame) -> DataFrame:
+    """What the rules need of raw entries (``e``, a variant); equal entries are
+    one row with their number, so that a date listed often is a few rows."""
+    j = V.J(F.col("e"))
+
+    def number(name: str) -> Column:
+        return F.when(V.is_number(j[name]), F.variant_get("e", f"$.{name}", "double"))
+
+    facts = entries.select(
+        F.when(truthy(j["date"]), j["date"].text()).alias("date"), j["date"].text().alias("shown"),
+        V.missing_keys(F.col("e"), V.INDEX_KEYS).alias("entry_lacks"), number("storyCount").alias("storyCount"),
+        number("moveCount").alias("moveCount"))
+    return facts.groupBy(*facts.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _document_facts(files: DataFrame) -> DataFrame:
+    """What the rules need of documents (``stem``, ``text``, ``error``): a row per file, without the text."""
+    parsed = files.select("stem", "error", F.try_parse_json("text").alias("doc"))
+    d = V.J(F.col("doc"))
+
+    def length(name: str) -> Column:
+        return F.size(F.try_variant_get("doc", f"$.{name}", "array<variant>"))
+
+    judged = F.col("doc").isNotNull() & (V.vtype(d) != "VOID")  # JSON null passes, as it always did
+    return parsed.select(
+        "stem", "error", (F.col("error").isNull() & F.col("doc").isNull()).alias("unparsed"),
+        F.when(judged, V.missing_keys(F.col("doc"), V.DAY_KEYS)).alias("lacks"),
+        F.when(judged & truthy(d["date"]), F.when(V.is_string(d["date"]), d["date"].text()).otherwise(F.lit(""))).alias("inside"),
+        F.when(judged & V.is_array(d["stories"]), length("stories")).alias("n_stories"),
+        F.when(judged & V.is_array(d["moves"]), length("moves")).alias("n_moves"))
+
+
+def report(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """All faults of a store in one pass: raw index entries (``e``) joined in
+    full with the documents (``stem``, ``text``, ``error``).
+
+    Returns (rule, date, detail, n): ``n`` index entries (or the one file, for
+    orphans) have the fault. An entry without a date is judged by its keys
+    alone; a document no entry refers to is an orphan and not judged.
+    """
+    both = _entry_facts(entries).join(_document_facts(files), F.col("date") == F.col("stem"), "full")
+    is_entry, refers, there = F.col("n").isNotNull(), F.col("date").isNotNull(), F.col("stem").isNotNull()
+
+    def fault(rule: str, when: Column, detail: Column = F.lit("")) -> Column:
+        return F.when(F.coalesce(when, F.lit(False)), F.array(F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))))
+
+    def each(rule: str, when: Column, details: str) -> Column:
+        return F.when(F.coalesce(when, F.lit(False)),
+                      F.transform(details, lambda k: F.struct(F.lit(rule).alias("rule"), k.alias("detail"))))
+
+    def counts(mine: str, theirs: str) -> Column:
+        return F.concat(F.lit("index "), F.col(mine).cast("long").cast("string"), F.lit(" vs day "), F.col(theirs).cast("string"))
+
+    none = F.array().cast("array<struct<rule:string,detail:string>>")
+    joined = refers & there
+    faults = [
+        each("missing_key", is_entry, "entry_lacks"),
+        fault("missing_detail", refers & ~there),
+        fault("unreadable", joined & F.col("error").isNotNull()),
+        fault("detail_parse", joined & F.col("unparsed")),
+        each("detail_missing_key", joined & F.col("lacks").isNotNull(), "lacks"),
+        fault("detail_date", joined & (F.col("inside") != F.col("date")), F.col("inside")),
+        fault("story_count", joined & (F.col("storyCount") != F.col("n_stories")), counts("storyCount", "n_stories")),
+        fault("move_count", joined & (F.col("moveCount") != F.col("n_moves")), counts("moveCount", "n_moves")),
+        fault("orphan", ~is_entry),
+    ]
+    found = both.select(F.coalesce("shown", "stem").alias("date"), F.coalesce("n", F.lit(1)).alias("n"),
+                        F.explode(F.flatten(F.array(*[F.coalesce(f, none) for f in faults]))).alias("f"))
+    return found.groupBy("f.rule", "date", "f.detail").agg(F.sum("n").alias("n"))

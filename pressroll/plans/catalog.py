@@ -29,6 +29,7 @@ from pressroll.plans.ingest import ingest as _ingest
 from pressroll.plans.replay import replay
 from pressroll.session import configure, materialize, work_dir
 from pressroll.sources import files as Fs
+from pressroll.sources import json_store as Js
 from pressroll.sources import tables as T
 from pressroll.streaming import days as Sd
 from pressroll.streaming import events as Se
@@ -621,6 +622,37 @@ def index_array_roundtrip(spark, d):
     return index_out(Fs.scan_index_array(spark, root))
 
 
+def _json_store(spark, d) -> str:
+    """The flat folder of day files, its index in a folder beside them."""
+    root = work_dir(spark, "json-store")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Js.write(T.store_files(spark, d).repartition(n, "stem"), root)
+    Fs.write_entries_array(T.store_index(spark, d), f"{root}/index")
+    return root
+
+
+@query
+def scan_json_store(spark, d):
+    """Day files written one by one into a flat folder and scanned back."""
+    files = Js.scan(spark, _json_store(spark, d))
+    doc = F.try_parse_json("text")
+    return files.select("file", "stem", "size", doc.isNotNull().alias("parses"),
+                        F.try_variant_get(doc, "$.dateLabel.en", "string").alias("label_en"), "error")
+
+
+@query
+def list_json_store(spark, d):
+    """Names and sizes of the same folder, no file opened."""
+    return Js.listing(spark, _json_store(spark, d))
+
+
+@query
+def integrity_report(spark, d):
+    """One report of all faults of that folder and its index."""
+    root = _json_store(spark, d)
+    return G.report(Fs.scan_index_raw(spark, f"{root}/index"), Js.scan(spark, root))
+
+
 @query
 def scan_season(spark, d):
     """Games written as season documents (a season per customer) and read back."""

@@ -827,6 +827,42 @@ SELECT 'detail_parse' AS rule, fdate AS date, '' AS detail FROM files WHERE doc
     AND length(json_extract_string(doc, '$.date')) > 0 AND json_extract_string(doc, '$.date') <> fdate"""
 
 
+# --- flat store of JSON files: the faults follow from the keys -----------------------
+
+STORE = f"""dated AS (SELECT doc_id AS i, text, lang, strftime(DATE '1970-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') AS d,
+    strftime(DATE '1970-01-01' + CAST(doc_id + CASE WHEN doc_id % 19 = 6 THEN 1 ELSE 0 END AS INTEGER), '%Y-%m-%d') AS inside FROM documents),
+bodies AS (
+  SELECT *, '{{"date":"' || inside || '","dateLabel":{{"ko":"' || inside || '","en":"' || inside || '"}},"headline":{{"ko":' || {jstr('lang')}
+    || ',"en":' || {jstr('text')} || '}},"stories":' || CASE WHEN i % 23 = 7 THEN '"none"' ELSE '[' || left('{{}},{{}},{{}}', greatest(3 * (i % 4) - 1, 0)::INT) || ']' END
+    || CASE WHEN i % 31 = 9 THEN '' ELSE ',"injuries":[]' END || ',"moves":[' || left('0,0', greatest(2 * (i % 3) - 1, 0)::INT) || '],"schedule":[]}}' AS b
+  FROM dated),
+files AS (
+  SELECT *, CASE WHEN i % 53 = 17 THEN 'null' WHEN i % 37 = 10 THEN substring(b, 1, length(b) - 1) ELSE b END AS content
+  FROM bodies WHERE i % 41 <> 11)"""
+
+ORACLE["scan_json_store"] = with_(STORE) + """SELECT d || '.json' AS file, d AS stem, CAST(strlen(content) AS BIGINT) AS size,
+  i % 53 = 17 OR i % 37 <> 10 AS parses, CASE WHEN i % 53 <> 17 AND i % 37 <> 10 THEN inside END AS label_en, CAST(NULL AS VARCHAR) AS error FROM files"""
+
+ORACLE["list_json_store"] = with_(STORE) + "SELECT d || '.json' AS file, d AS stem, CAST(strlen(content) AS BIGINT) AS size FROM files"
+
+ORACLE["integrity_report"] = with_(STORE) + """, entries AS (
+  SELECT *, i % 61 <> 14 AND i % 47 <> 13 AS refers, CASE WHEN i % 61 = 14 THEN NULL WHEN i % 47 = 13 THEN '' ELSE d END AS shown,
+         CASE WHEN i % 71 = 15 THEN 2 ELSE 1 END AS n, i % 4 + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS story_count,
+         i % 3 + CASE WHEN i % 29 = 4 THEN 1 ELSE 0 END AS move_count FROM dated WHERE i % 43 <> 12),
+joined AS (SELECT *, i % 53 <> 17 AND i % 37 <> 10 AS judged FROM entries WHERE refers AND i % 41 <> 11),
+faults AS (
+  SELECT 'missing_key' AS rule, shown AS date, 'headline' AS detail, n FROM entries WHERE i % 17 = 3
+  UNION ALL SELECT 'missing_key', shown, 'date', n FROM entries WHERE i % 61 = 14
+  UNION ALL SELECT 'missing_detail', d, '', n FROM entries WHERE refers AND i % 41 = 11
+  UNION ALL SELECT 'detail_parse', d, '', n FROM joined WHERE i % 37 = 10 AND i % 53 <> 17
+  UNION ALL SELECT 'detail_missing_key', d, 'injuries', n FROM joined WHERE judged AND i % 31 = 9
+  UNION ALL SELECT 'detail_date', d, inside, n FROM joined WHERE judged AND i % 19 = 6
+  UNION ALL SELECT 'story_count', d, 'index ' || story_count || ' vs day ' || (i % 4), n FROM joined WHERE judged AND i % 23 <> 7 AND story_count <> i % 4
+  UNION ALL SELECT 'move_count', d, 'index ' || move_count || ' vs day ' || (i % 3), n FROM joined WHERE judged AND i % 13 <> 0 AND move_count <> i % 3
+  UNION ALL SELECT 'orphan', d, '', 1 FROM dated WHERE i % 41 <> 11 AND (i % 43 = 12 OR i % 61 = 14 OR i % 47 = 13))
+SELECT rule, date, detail, CAST(sum(n) AS BIGINT) AS n FROM faults GROUP BY ALL"""
+
+
 # --- commits ------------------------------------------------------------------------
 
 ORACLE["commit_log"] = f"""SELECT {iso('o_orderdate')} AS date, count(*) AS n_orders,

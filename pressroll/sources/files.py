@@ -126,16 +126,33 @@ def scan_index_array(spark: SparkSession, path: str) -> DataFrame:
     """Index stored as JSON array files (the site's own format): one row per
     entry, in no order. A missing folder, a file that does not parse and a file
     that is no array are errors, as they are for the checker."""
+    kind = INDEX_SCHEMA.simpleString()
+    return scan_index_raw(spark, path).select(F.variant_get("e", "$", kind).alias("r")).select("r.*")
+
+
+def scan_index_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of an index of JSON array files as they are (``e``, a variant). A
+    missing index, a file that does not parse and one that is no array stop the
+    job: without the index there is nothing to check."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
+    return files.select(F.explode(_checked_array()).alias("e"))
+
+
+def _checked_array():
     entries = F.try_variant_get("v", "$", "array<variant>")
     fault = F.when(F.col("v").isNull(), F.lit(" does not parse")).otherwise(F.lit(" is not an array"))
-    checked = F.when(entries.isNull(), F.raise_error(F.concat(F.lit("index file "), F.col("file"), fault))
-                     .cast("array<variant>")).otherwise(entries)
-    kind = INDEX_SCHEMA.simpleString()
-    return files.select(F.explode(checked).alias("e")).select(F.variant_get("e", "$", kind).alias("r")).select("r.*")
+    return F.when(entries.isNull(), F.raise_error(F.concat(F.lit("index file "), F.col("file"), fault))
+                  .cast("array<variant>")).otherwise(entries)
+
+
+def write_entries_array(entries: DataFrame, root: str, date_col: str = "date", entry_col: str = "entry") -> None:
+    """Index entries given as JSON text, as JSON array files, one per month."""
+    months = entries.groupBy(F.substring(date_col, 1, 7).alias("month")).agg(F.sort_array(F.collect_list(entry_col)).alias("rows"))
+    (months.select("month", F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias("value"))
+           .write.mode("overwrite").partitionBy("month").text(root))
 
 
 def write_index_array(index: DataFrame, root: str) -> None:

@@ -393,3 +393,49 @@ def index_json(entries: DataFrame) -> DataFrame:
              ("headline", F.to_json("headline")), ("storyCount", F.col("storyCount").cast("string")),
              ("moveCount", F.col("moveCount").cast("string")), ("tags", F.to_json("tags"))).alias("entry"))
     return base.unionByName(twins)
+
+
+# --- a flat store of JSON files with its index (with planned defects) ------------
+
+def _store_date(doc_id: Column) -> Column:
+    return F.date_format(F.date_add(F.to_date(F.lit("1970-01-01")), doc_id.cast("int")), "yyyy-MM-dd")
+
+
+def store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day files (``stem`` = date, ``content``), one per document.
+
+    Keyed by doc_id i: i%41==11 has no file, i%19==6 another date inside,
+    i%23==7 stories that are no list, i%31==9 no injuries, i%37==10 is cut off,
+    i%53==17 holds JSON null; i%4 stories and i%3 moves.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    i = F.col("doc_id")
+    date = json_str(F.when(i % 19 == 6, _store_date(i + 1)).otherwise(_store_date(i)))
+    stories = F.when(i % 23 == 7, F.lit('"none"')).otherwise(
+        F.concat(F.lit("["), F.substring(F.lit("{},{},{}"), F.lit(1), (3 * (i % 4) - 1).cast("int")), F.lit("]")))
+    moves = F.concat(F.lit("["), F.substring(F.lit("0,0"), F.lit(1), (2 * (i % 3) - 1).cast("int")), F.lit("]"))
+    body = _obj(("date", date), ("dateLabel", _bi(date, date)), ("headline", _bi(json_str(F.col("lang")), json_str(F.col("text")))),
+                ("stories", stories), ("injuries", F.when(i % 31 != 9, F.lit("[]"))), ("moves", moves), ("schedule", F.lit("[]")))
+    content = F.when(i % 53 == 17, F.lit("null")).otherwise(
+        _let(body, lambda b: F.when(i % 37 == 10, F.substring(b, F.lit(1), F.length(b) - 1)).otherwise(b)))
+    return d.where(i % 41 != 11).select("doc_id", _store_date(i).alias("stem"), content.alias("content"))
+
+
+def store_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index entries as JSON text (``date`` = their day's, for splitting).
+
+    i%43==12 has no entry, i%17==3 no headline, i%47==13 an empty date and
+    i%61==14 none, i%5==0 one story too many, i%29==4 one move too many, i%13==0
+    its moves as text; i%71==15 is listed twice.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    date = json_str(_store_date(i))
+    moves = (i % 3 + F.when(i % 29 == 4, 1).otherwise(0)).cast("string")
+    entry = _obj(("date", F.when(i % 61 != 14, F.when(i % 47 == 13, F.lit('""')).otherwise(date))), ("dateLabel", _bi(date, date)),
+                 ("headline", F.when(i % 17 != 3, _bi(date, date))), ("storyCount", (i % 4 + F.when(i % 5 == 0, 1).otherwise(0)).cast("string")),
+                 ("moveCount", F.when(i % 13 == 0, json_str(moves)).otherwise(moves)), ("tags", F.lit("[]")))
+    copies = F.when(i % 71 == 15, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    listed = d.where(i % 43 != 12).select(_store_date(i).alias("date"), entry.alias("entry"), copies.alias("copies"))
+    # exploded on its own: beside a generator the fields of a struct lose their names
+    return listed.select("date", "entry", F.explode("copies")).drop("col")
