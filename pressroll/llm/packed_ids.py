@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -127,35 +128,38 @@ def decode_ids(payload: bytes) -> np.ndarray:
     return out[:n]
 
 
-class _Known(dict):
-    def __missing__(self, key: str) -> int:
-        return -1
-
-
 class Encoder:
     """Ids of texts by a public byte-level tokenizer.
 
     A piece of the tokenizer's pattern starts at every space that is followed by
     anything but white space, so the stretches between such spaces can be
-    encoded apart from each other; ``limit`` of them are remembered. A stretch
-    is noted without its space; one that opens a text without a space is noted
-    behind ``HEAD`` (no other can begin with a space)."""
+    encoded apart from each other; ``limit`` of them are remembered. Arrow cuts
+    the texts at their spaces and numbers the distinct stretches of a batch, so
+    Python sees each of these once. A text with white space after a space is
+    cut by a pattern, and one that holds an added token of the tokenizer
+    (``<|endoftext|>``) goes through the library as a whole.
+
+    A stretch is noted without its space; one that opens a text without a space
+    is noted behind ``HEAD`` (no other can begin with a space), a whole text as
+    a tuple."""
 
     HEAD = " "
 
     def __init__(self, path: str, end_id: int, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # stretches hold none; joined ones shall not make one
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.end_id, self.limit = end_id, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Known()
-        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known: dict = {}
+        self.ids, self.n_ids = np.zeros(1 << 12, np.uint32), 0
+        self.first = np.zeros(1 << 10, np.int64)
 
     def _encode_each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and number of ids of each stretch (with its space)."""
@@ -176,40 +180,105 @@ class Encoder:
         if other:
             self._note(other, *self._encode_each([u[1:] if u[:1] == self.HEAD else " " + u for u in other]))
 
-    def _note(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.first) - 1
+    def _note(self, units: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
         self.known.update(zip(units, range(n, n + len(units)), strict=True))
-        self.first = np.concatenate([self.first, np.cumsum(lengths) + self.first[-1]])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each closed by the end id, and where each begins."""
-        units: list[str] = []
-        edge = [0]
+        self.ids = _room(self.ids, self.n_ids + len(ids))
+        self.first = _room(self.first, n + len(units) + 1)
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.first[n + 1 : n + len(units) + 1] = np.cumsum(lengths) + self.n_ids
+        self.n_ids += len(ids)
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        """Numbers of stretches, of those not known yet after they are learned."""
+        get = self.known.get
+        found = [get(u, -1) for u in units]
+        if -1 in found:
+            self._learn(list(dict.fromkeys(u for u, k in zip(units, found) if k < 0)))
+            found = [self.known[u] for u in units]
+        return np.array(found, np.int64)
+
+    def _cut_by_arrow(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of every stretch of texts that split at single spaces, and how many each has."""
+        pieces = pc.split_pattern(column, " ")
+        edges, coded = pieces.offsets.to_numpy(), pieces.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        edges = edges - edges[0]
+        heads = edges[:-1]
+        rest = np.ones(len(codes), bool)
+        rest[heads] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[codes[rest]] = True
+        number = np.full(len(used), -1, np.int64)
+        number[used] = self._numbers(coded.dictionary.filter(pa.array(used)).to_pylist())
+        found = number[codes]
+        opening = coded.dictionary.take(pa.array(codes[heads])).dictionary_encode()
+        names = opening.dictionary.to_pylist()
+        number = np.full(len(names), -1, np.int64)
+        full = [i for i, name in enumerate(names) if name]
+        number[full] = self._numbers([self.HEAD + names[i] for i in full])
+        found[heads] = number[opening.indices.to_numpy()]
+        there = found >= 0  # a text that starts with a space, or is empty, has no head
+        return found[there], np.diff(np.append(0, np.cumsum(there))[edges])
+
+    def _cut_by_pattern(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        units, count = [], []
         for text in texts:
-            if UNEVEN.search(text):
-                head, *rest = SPLIT.split(text)
-                rest = [x[1:] for x in rest]
-            else:
-                head, *rest = text.split(" ")
-            if head:
-                units.append(self.HEAD + head)
-            units += rest
-            edge.append(len(units))
+            head, *rest = SPLIT.split(text)
+            units += [self.HEAD + head] if head else []
+            units += [x[1:] for x in rest]
+            count.append(len(rest) + bool(head))
+        return self._numbers(units), np.array(count, np.int64)
+
+    def _take_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = [t for t in dict.fromkeys(texts) if (t,) not in self.known]
+        for t in new:
+            ids = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
+            self._note([(t,)], ids, np.array([len(ids)]))
+        return np.array([self.known[(t,)] for t in texts], np.int64), np.ones(len(texts), np.int64)
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each closed by the end id, and where each begins."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if len(self.known) > self.limit:
             self._clear()
-        found = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        missing = np.flatnonzero(found < 0).tolist()
-        if missing:
-            self._learn(list(dict.fromkeys([units[i] for i in missing])))
-            found[missing] = [self.known[units[i]] for i in missing]
-        length = self.first[found + 1] - self.first[found]
+        way = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False).astype(np.int8)
+        for token in self.added:
+            way[pc.match_substring(column, token).to_numpy(zero_copy_only=False)] = 2
+        found, count, text = [], np.zeros(len(column), np.int64), []
+        for k, cut in enumerate((self._cut_by_arrow, self._cut_by_pattern, self._take_whole)):
+            rows = np.flatnonzero(way == k)
+            if len(rows):
+                some = column if len(rows) == len(column) else column.take(pa.array(rows))
+                numbers, count[rows] = cut(some if k == 0 else some.to_pylist())
+                found.append(numbers)
+                text.append(rows)
+        units = np.concatenate(found) if found else np.zeros(0, np.int64)
+        if len(found) > 1:
+            owner = np.concatenate([np.repeat(rows, count[rows]) for rows in text])
+            units = units[np.argsort(owner, kind="stable")]
+        length = self.first[units + 1] - self.first[units]
         before = np.zeros(len(units) + 1, np.int64)
         np.cumsum(length, out=before[1:])
-        flat = self.ids[np.arange(before[-1]) + np.repeat(self.first[found] - before[:-1], length)]
-        ends = before[edge]
-        ids = np.insert(flat, ends[1:], np.uint32(self.end_id))
-        return ids, ends + np.arange(len(texts) + 1)
+        last = before[np.cumsum(count)]
+        # One id more for each text: what comes after it moves on by one.
+        source = np.arange(before[-1]) + np.repeat(self.first[units] - before[:-1], length)
+        ids = np.empty(before[-1] + len(count), np.uint32)
+        ends = last + np.arange(len(count))
+        inside = np.ones(len(ids), bool)
+        inside[ends] = False
+        ids[inside] = self.ids[source]
+        ids[ends] = self.end_id
+        return ids, np.append(0, ends + 1)
+
+
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    """The same values with room for ``size`` of them at least."""
+    if size <= len(held):
+        return held
+    grown = np.zeros(max(size, 2 * len(held)), held.dtype)
+    grown[: len(held)] = held
+    return grown
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -226,7 +295,8 @@ def _encoder(tokenizer: str, end_id: int) -> Encoder:
     return _encoders[tokenizer, end_id]
 
 
-UNEVEN = re.compile(r" (?:\s|$)")
+#: A space before white space or the end (of any kind the tokenizer's pattern may know).
+UNEVEN = r" ([\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|\z)"
 SPLIT = re.compile(r"(?= \S)")
 
 
@@ -247,14 +317,13 @@ def _packer(tokenizer: str, end_id: int):
                 ["shard", "segment", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
+            size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)))
             row = 0
             while row < len(texts):
-                end, size = row, 0
-                while end < len(texts) and (end == row or size < TEXT_BYTES):
-                    size += len(texts[end] or "")
-                    end += 1
-                ids, first = encoder.encode([t or "" for t in texts[row:end]])
+                end = max(row + 1, int(np.searchsorted(size, size[row] + TEXT_BYTES)))
+                end = min(end, len(texts))
+                ids, first = encoder.encode(texts.slice(row, end - row))
                 # Close a segment at the document that fills it.
                 done = row
                 while done < end:

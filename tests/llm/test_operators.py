@@ -235,9 +235,16 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_special_strings_get_the_ids_of_the_library(spark):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|> a  b", "<|endoftext", "a <|endoftext|>", "x <|endoftext|> y"]
+    found = sorted(rows(packed_ids.token_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))), key=lambda r: r["doc_id"])
+    assert found[0]["n_tokens"] == 5
+    for r, text in zip(found, texts):
+        ids = np.array([*tokenizer().encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
 def test_token_ids_match_the_tokenizer(docs, monkeypatch):
