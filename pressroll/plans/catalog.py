@@ -17,11 +17,14 @@ from pressroll.functions import dates as D
 from pressroll.functions import documents as V
 from pressroll.functions import strings as S
 from pressroll.operators import articles as A
+from pressroll.operators import bitmaps as Bm
 from pressroll.operators import events as Ev
 from pressroll.operators import index as I
 from pressroll.operators import integrity as G
+from pressroll.operators import postings as P
 from pressroll.operators import repair as R
 from pressroll.operators import schedule as Sc
+from pressroll.operators import sketches as Sk
 from pressroll.operators import validate as Vd
 from pressroll.operators.model import answered, organize_stub
 from pressroll.operators.model import apply_model as _apply_model
@@ -429,6 +432,56 @@ def archive_search(spark, d):
     return I.search(T.archive(spark, d), "Ment").select("doc_id", "date")
 
 
+SEARCHES = ("Ment", "EN", "ünd", "the ", "SRC1", "no such text", "ción", "e", "\n", "zzz")
+
+
+@query
+def archive_search_indexed(spark, d):
+    """Searches by postings of trigrams: keywords of any case, short, frequent, rare and absent."""
+    archive = T.archive(spark, d)
+    found = P.build(archive, P.haystack(), work_dir(spark, "postings"))
+    return found.search_each(archive, P.haystack(), SEARCHES).select("keyword", "doc_id", "date")
+
+
+def _selected(spark, d):
+    """Any and all of every pair of a language and a source tag that occur
+    together, of a language tag with itself and with an unknown tag."""
+    archive = T.archive(spark, d)
+    together = archive.select(F.col("tags")[0].alias("a"), F.col("tags")[1].alias("b")).distinct()
+    own = together.select("a", F.explode(F.array("a", F.lit("NONE"))).alias("b")).distinct()
+    named = together.unionByName(own)
+    modes = named.select("a", "b", F.explode(F.array(F.lit("any"), F.lit("all"))).alias("mode"))
+    selections = modes.select(F.concat_ws(" ", "mode", "a", "b").alias("selection"), "mode", F.array("a", "b").alias("tags"))
+    return Bm.select_each(Bm.tag_bitmaps(archive), selections)
+
+
+@query
+def archive_tags_bitmap(spark, d):
+    """All selections' entries in one pass over the bitmaps of their tags."""
+    return Bm.ids(_selected(spark, d))
+
+
+@query
+def archive_tag_counts(spark, d):
+    """How many entries each selection has, counted on the bitmaps."""
+    return Bm.counts(_selected(spark, d))
+
+
+@query
+def usage_sketches(spark, d):
+    """Users per week and month from stored daily sketches, beside the exact count."""
+    events = T.interactions(spark, d)
+    days = materialize(Sk.daily(events), "usage-sketches")
+    spans = {"week": F.date_trunc("week", F.col("day")), "month": F.date_trunc("month", F.col("day"))}
+    out = None
+    for kind, span in spans.items():
+        exact = events.groupBy(F.date_trunc(kind, F.to_date("ts")).alias("span"), "name").agg(F.count_distinct("user").alias("n_users"))
+        part = Sk.measured(Sk.merged(days, span), exact).select(
+            F.lit(kind).alias("kind"), F.date_format("span", "yyyy-MM-dd").alias("start"), "name", "n_events", "n_users", "in_bound")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def archive_by_month(spark, d):
     return I.by_month(full_index(spark, d))

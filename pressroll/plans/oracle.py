@@ -524,6 +524,19 @@ ORACLE["archive_by_all_tags"] = with_(ARCHIVE) + "SELECT doc_id, date FROM archi
 ORACLE["archive_search"] = with_(ARCHIVE) + """SELECT doc_id, date FROM archive
 WHERE contains(lower(headline || ' ' || array_to_string(tags, ' ')), 'ment')"""
 
+ORACLE["archive_search_indexed"] = with_(ARCHIVE) + """SELECT keyword, doc_id, date FROM archive,
+  (SELECT unnest(['Ment', 'EN', 'ünd', 'the ', 'SRC1', 'no such text', 'ción', 'e', chr(10), 'zzz']) AS keyword)
+WHERE trim(keyword, ' ' || chr(10)) = '' OR contains(lower(headline || ' ' || array_to_string(tags, ' ')), lower(keyword))"""
+
+SELECTED = with_(ARCHIVE) + """, pairs AS (
+  SELECT DISTINCT tags[1] AS a, tags[2] AS b FROM archive UNION SELECT tags[1], tags[1] FROM archive UNION SELECT tags[1], 'NONE' FROM archive),
+chosen AS (
+  SELECT 'any ' || a || ' ' || b AS selection, doc_id FROM pairs JOIN archive ON list_has_any(tags, [a, b])
+  UNION ALL SELECT 'all ' || a || ' ' || b, doc_id FROM pairs JOIN archive ON list_has_all(tags, [a, b]))
+"""
+ORACLE["archive_tags_bitmap"] = SELECTED + "SELECT selection, doc_id FROM chosen"
+ORACLE["archive_tag_counts"] = SELECTED + "SELECT selection, CAST(count(*) AS BIGINT) AS n FROM chosen GROUP BY selection"
+
 ORACLE["archive_by_month"] = with_(FULL) + """SELECT substring(date, 1, 7) AS month, CAST(count(*) AS BIGINT) AS n_days,
   CAST(sum(storyCount) AS BIGINT) AS n_stories, min(date) AS first_date, max(date) AS last_date FROM index GROUP BY 1"""
 
@@ -827,6 +840,12 @@ SELECT 'detail_parse' AS rule, fdate AS date, '' AS detail FROM files WHERE doc
     AND length(json_extract_string(doc, '$.date')) > 0 AND json_extract_string(doc, '$.date') <> fdate"""
 
 
+ORACLE["usage_sketches"] = with_(INTERACTIONS) + """, spans AS (
+  SELECT 'week' AS kind, date_trunc('week', ts) AS start, name, "user" FROM interactions UNION ALL SELECT 'month', date_trunc('month', ts), name, "user" FROM interactions)
+SELECT kind, strftime(start, '%Y-%m-%d') AS start, name, CAST(count(*) AS BIGINT) AS n_events, CAST(count(DISTINCT "user") AS BIGINT) AS n_users, TRUE AS in_bound
+FROM spans GROUP BY kind, start, name"""
+
+
 # --- flat store of JSON files: the faults follow from the keys -----------------------
 
 STORE = f"""dated AS (SELECT doc_id AS i, text, lang, strftime(DATE '1970-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') AS d,
