@@ -26,6 +26,7 @@ from pressroll.operators import repair as R
 from pressroll.operators import schedule as Sc
 from pressroll.operators import sketches as Sk
 from pressroll.operators import validate as Vd
+from pressroll.operators.maintain import Summaries
 from pressroll.operators.model import answered, organize_stub
 from pressroll.operators.model import apply_model as _apply_model
 from pressroll.plans.ingest import ingest as _ingest
@@ -487,6 +488,35 @@ def archive_by_month(spark, d):
     return I.by_month(full_index(spark, d))
 
 
+def _maintained(spark, d) -> Summaries:
+    """Summaries after three changes: the archive saved so far; the days after it;
+    the stories with FLAG_R taken out of every 15th and every 31st taken out whole."""
+    s = Summaries(spark, work_dir(spark, "summaries"))
+    s.create()
+    stories, moves, days = (materialize(t, "store") for t in (T.stories(spark, d), T.moves(spark, d), T.days(spark, d)))
+    later, dom = F.col("date") > T.SAVED_THROUGH, F.substring("date", 9, 2)
+    left = ~dom.isin("15", "31") | ((dom == "15") & ~F.array_contains("tags", "FLAG_R"))
+    for some, keep in ((~later, F.lit(True)), (later, F.lit(True)), (dom.isin("15", "31"), left)):
+        rows = [t.where(some) for t in (stories, moves, days)]
+        s.apply(rows[2].select("date"), rows[0].where(keep), *[t.where((dom != "31") | ~some if keep is left else F.lit(True)) for t in rows[1:]])
+    return s
+
+
+@query
+def maintained_index(spark, d):
+    """Index entries kept up to date change by change."""
+    return index_out(_maintained(spark, d).entries.rows())
+
+
+@query
+def maintained_summaries(spark, d):
+    """Month and tag summaries kept up to date by the same changes."""
+    s = _maintained(spark, d)
+    tags = s.tags.rows().select(F.lit("tag").alias("kind"), F.col("tag").alias("name"), F.lit(None).cast("long").alias("n_days"),
+                                F.col("n").alias("n_stories"), F.lit(None).cast("string").alias("first_date"), F.lit(None).cast("string").alias("last_date"))
+    return s.months.rows().select(F.lit("month").alias("kind"), F.col("month").alias("name"), "n_days", "n_stories", "first_date", "last_date").unionByName(tags)
+
+
 @query
 def tag_vocabulary(spark, d):
     return I.tag_vocabulary(T.stories(spark, d)).select("tag", F.col("n").cast("long").alias("n"))

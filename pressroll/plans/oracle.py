@@ -846,6 +846,21 @@ SELECT kind, strftime(start, '%Y-%m-%d') AS start, name, CAST(count(*) AS BIGINT
 FROM spans GROUP BY kind, start, name"""
 
 
+# --- maintained summaries: the store as the changes left it, derived at once ----------
+
+_EDITED = day_store("", None)
+_EDITED = _EDITED.replace("JOIN orders ON l_orderkey = o_orderkey WHERE TRUE",
+                          "JOIN orders ON l_orderkey = o_orderkey WHERE day(o_orderdate) <> 31 AND NOT (day(o_orderdate) = 15 AND l_returnflag = 'R')")
+_EDITED = _EDITED.replace("o_orderstatus = 'F' AND TRUE", "o_orderstatus = 'F' AND day(o_orderdate) <> 31")
+_EDITED = _EDITED.replace("FROM orders WHERE TRUE GROUP BY 1", "FROM orders WHERE day(o_orderdate) <> 31 GROUP BY 1")
+ORACLE["maintained_index"] = with_(_EDITED) + "SELECT * FROM index"
+ORACLE["maintained_summaries"] = with_(_EDITED) + """
+SELECT 'month' AS kind, substring(date, 1, 7) AS name, CAST(count(*) AS BIGINT) AS n_days, CAST(sum(storyCount) AS BIGINT) AS n_stories,
+       min(date) AS first_date, max(date) AS last_date FROM index GROUP BY 2
+UNION ALL SELECT 'tag', tag, NULL, CAST(count(*) AS BIGINT), NULL, NULL FROM (
+  SELECT tag0 AS tag FROM stories UNION ALL SELECT tag1 FROM stories UNION ALL SELECT tag2 FROM stories) GROUP BY tag"""
+
+
 # --- flat store of JSON files: the faults follow from the keys -----------------------
 
 STORE = f"""dated AS (SELECT doc_id AS i, text, lang, strftime(DATE '1970-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') AS d,
