@@ -20,6 +20,7 @@ ascending order of document ids, null ids last, ties by text.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -145,7 +146,7 @@ class Encoder:
 
     HEAD = " "
 
-    def __init__(self, path: str, end_id: int, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -168,16 +169,17 @@ class Encoder:
 
     def _learn(self, units: list[str]) -> None:
         plain = [u for u in units if u[:1] != self.HEAD and " " not in u]
-        other = [u for u in units if u[:1] == self.HEAD or " " in u]
         if plain:
             # Each holds one space, its first byte: a token that starts with a space begins the next.
-            ids = np.array(self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, np.uint32)
+            (joined,) = self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)
+            ids = np.array(joined.ids, np.uint32)
             begins = np.flatnonzero(self.spaced[ids])
             if len(begins) == len(plain):
                 self._note(plain, ids, np.diff(np.append(begins, len(ids))))
             else:
-                other = units
-        if other:
+                self._note(plain, *self._encode_each([" " + u for u in plain]))
+        if len(plain) < len(units):
+            other = [u for u in units if u[:1] == self.HEAD or " " in u]
             self._note(other, *self._encode_each([u[1:] if u[:1] == self.HEAD else " " + u for u in other]))
 
     def _note(self, units: list, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -191,12 +193,13 @@ class Encoder:
 
     def _numbers(self, units: list[str]) -> np.ndarray:
         """Numbers of stretches, of those not known yet after they are learned."""
-        get = self.known.get
-        found = [get(u, -1) for u in units]
-        if -1 in found:
-            self._learn(list(dict.fromkeys(u for u, k in zip(units, found) if k < 0)))
-            found = [self.known[u] for u in units]
-        return np.array(found, np.int64)
+        found = np.fromiter(map(self.known.get, units, itertools.repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = [units[i] for i in missing]
+            self._learn(list(dict.fromkeys(new)))
+            found[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return found
 
     def _cut_by_arrow(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of every stretch of texts that split at single spaces, and how many each has."""
@@ -210,10 +213,10 @@ class Encoder:
         used = np.zeros(len(coded.dictionary), bool)
         used[codes[rest]] = True
         number = np.full(len(used), -1, np.int64)
-        number[used] = self._numbers(coded.dictionary.filter(pa.array(used)).to_pylist())
+        number[used] = self._numbers(_strings(coded.dictionary.filter(pa.array(used))))
         found = number[codes]
         opening = coded.dictionary.take(pa.array(codes[heads])).dictionary_encode()
-        names = opening.dictionary.to_pylist()
+        names = _strings(opening.dictionary)
         number = np.full(len(names), -1, np.int64)
         full = [i for i, name in enumerate(names) if name]
         number[full] = self._numbers([self.HEAD + names[i] for i in full])
@@ -250,7 +253,7 @@ class Encoder:
             rows = np.flatnonzero(way == k)
             if len(rows):
                 some = column if len(rows) == len(column) else column.take(pa.array(rows))
-                numbers, count[rows] = cut(some if k == 0 else some.to_pylist())
+                numbers, count[rows] = cut(some if k == 0 else _strings(some))
                 found.append(numbers)
                 text.append(rows)
         units = np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -272,6 +275,10 @@ class Encoder:
         return ids, np.append(0, ends + 1)
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _room(held: np.ndarray, size: int) -> np.ndarray:
     """The same values with room for ``size`` of them at least."""
     if size <= len(held):
