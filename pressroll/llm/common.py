@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pressroll.session import materialize
 
-__all__ = ["INVERSE", "ROLL", "SPACE", "U64", "WORD", "Words", "identified", "join_ids", "materialize", "mix", "powers",
+__all__ = ["INVERSE", "ROLL", "SPACE", "U64", "WORD", "Words", "flag_repeats", "identified", "join_ids", "materialize", "mix", "powers",
            "prefix_sums", "rolling", "shingle_hashes", "table", "text_chunks", "words_of"]
 
 #: Bytes of text a Python task hashes at a time (at least one whole text).
@@ -31,6 +32,23 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[docs[c] for c in columns])
 
 
+#: Ids that repeat are broadcast up to this number (8 MB of integers).
+BROADCAST_IDS = 1 << 20
+
+
+def flag_repeats(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """Adds ``again``: whether another row has the same id (nulls have none).
+    The usual table has no such ids and is not joined at all; counted few are
+    broadcast, more are joined by Spark's own choice."""
+    seen = rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"))
+    twice = materialize(seen.where("n > 1").select(id_col, F.lit(True).alias("again")), "repeated-ids")
+    n = twice.count()
+    if not n:
+        return rows.withColumn("again", F.lit(False))
+    joined = rows.join(F.broadcast(twice) if n <= BROADCAST_IDS else twice, id_col, "left")
+    return joined.withColumn("again", F.coalesce("again", F.lit(False)))
+
+
 # ---------------------------------------------------------------- hashing
 
 U64 = np.uint64

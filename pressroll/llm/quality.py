@@ -8,8 +8,9 @@ remaining words are fewer than ``min_words`` or less than ``min_left`` of all is
 depleted and rejected.
 
 Edge cases: null or empty text has no words, fails the base rule and is
-rejected; a null host is a host of its own; rows that repeat an id each count
-and are each judged; an empty table gives an empty result; other columns are
+rejected; a null host is a host of its own; rows that repeat an id are one
+document where lines are counted and are each judged, rows without an id are
+documents of their own; an empty table gives an empty result; other columns are
 ignored. Hot lines cost little: each task counts its own lines before the
 shuffle, and the line table has one row per distinct line and document.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroll.llm.common import INVERSE, U64, Words, identified, materialize, mix, powers, prefix_sums, text_chunks, words_of
+from pressroll.llm.common import INVERSE, U64, Words, flag_repeats, identified, materialize, mix, powers, prefix_sums, text_chunks, words_of
 
 #: Lines in more documents of one host than this are boilerplate.
 MAX_DOCUMENTS = 10
@@ -129,11 +130,13 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sou
     lines = figures.select("row", F.xxhash64(F.col("host").isNull(), "host").alias("host"),
                            F.explode(F.arrays_zip("line", "line_words", "ordinal")).alias("l"))
     lines = lines.select("row", F.xxhash64("host", "l.line").alias("line"), "l.line_words", "l.ordinal")
-    # Distinct lines within a document, so that counting rows counts documents.
-    distinct = figures.select(F.xxhash64(F.col("host").isNull(), "host").alias("host"),
-                              F.explode(F.array_distinct("line")).alias("l"))
-    frequent = (distinct.select(F.xxhash64("host", "l").alias("line")).groupBy("line").agg(F.count("*").alias("documents"))
-                .where(F.col("documents") > max_documents).select("line"))
+    # Distinct lines within a row, so that counting rows counts documents; rows
+    # that repeat an id give each of their lines once.
+    distinct = flag_repeats(figures).select(F.xxhash64(F.col("host").isNull(), "host").alias("host"), "again", "id",
+                                            F.explode(F.array_distinct("line")).alias("l"))
+    distinct = distinct.select(F.xxhash64("host", "l").alias("line"), "again", "id")
+    seen = distinct.where("not again").select("line").unionAll(distinct.where("again").select("line", "id").distinct().select("line"))
+    frequent = seen.groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents).select("line")
     removed = (lines.join(frequent, "line", "left_semi").groupBy("row")
                .agg(F.sum("line_words").alias("removed_words"), F.sort_array(F.collect_list("ordinal")).alias("removed_lines")))
     out = figures.select("row", "id", *NUMBERS).join(removed, "row", "left").withColumns({

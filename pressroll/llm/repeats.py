@@ -27,7 +27,7 @@ window together.
 
 Edge cases: null or empty text has no bytes; texts under 50 bytes keep all; a
 null id is compared with nothing and keeps all; rows that repeat an id are not
-smaller than each other and each judged (a hash of the text tells them apart);
+smaller than each other and each judged (64 bits of the text tell them apart);
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroll.llm.common import U64, identified, join_ids, materialize, mix, rolling, text_chunks
+from pressroll.llm.common import U64, flag_repeats, identified, join_ids, materialize, mix, rolling, text_chunks
 
 LENGTH, GRAM = 50, 25
 GRAMS = LENGTH - GRAM + 1
@@ -53,35 +53,41 @@ CHUNK, ROWS, BUCKETS = 1 << 20, 1 << 18, 16
 #: Windows of a longer text whose runs are found at a time; places have 26 bits.
 PIECE = 1 << 24
 
-SPAN = "doc long, mark int, start long, n int, anchor long, open boolean"
-#: A row: anchor, class, document, mark of its text, first window, number of
+SPAN = "doc long, mark long, start long, n int, anchor long, open boolean"
+#: A row: anchor, class, document, mark of its text (0 where no other row has its id), first window, number of
 #: windows (0: a mark), and a byte for what stands left and right of the anchor (0: nothing).
 FIELDS = ("anchor", "unit", "doc", "mark", "start", "n", "left", "right")
-WIDTH = {"anchor": 5, "unit": 7, "doc": 8, "mark": 1, "start": 5, "n": 4, "left": 1, "right": 1}
+WIDTH = {"anchor": 5, "unit": 7, "doc": 8, "mark": 8, "start": 5, "n": 4, "left": 1, "right": 1}
 #: A window holds so many bytes on one side of its anchor at least.
 SIDE = (LENGTH - GRAM + 1) // 2
 Rows = dict[str, np.ndarray]
 
 
 def _pack(rows: Rows) -> bytes:
-    """Numbers as byte planes, which the shuffle's compression shrinks well."""
+    """Numbers as byte planes, which the shuffle's compression shrinks well; the
+    upper planes of a field that hold nothing are left out."""
     n = len(rows["doc"])
-    out = [np.array([n], np.int64).tobytes()]
+    head, out = [n], []
     for name in FIELDS:
         planes = np.ascontiguousarray(rows[name].astype(np.int64)).view(np.uint8).reshape(n, 8).T
-        out.append(np.ascontiguousarray(planes[: WIDTH[name]]).tobytes())
-    return b"".join(out)
+        used = WIDTH[name]
+        while used and not planes[used - 1].any():
+            used -= 1
+        head.append(used)
+        out.append(np.ascontiguousarray(planes[:used]).tobytes())
+    return np.array(head, np.int64).tobytes() + b"".join(out)
 
 
 def _unpack(blobs: list[bytes]) -> Rows:
     parts: dict[str, list[np.ndarray]] = {name: [np.zeros(0, np.int64)] for name in FIELDS}
     for blob in blobs:
-        n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
-        for name in FIELDS:
+        n, *used = np.frombuffer(blob, np.int64, 1 + len(FIELDS)).tolist()
+        at = 8 * (1 + len(FIELDS))
+        for name, width in zip(FIELDS, used, strict=True):
             planes = np.zeros((n, 8), np.uint8)
-            planes[:, : WIDTH[name]] = np.frombuffer(blob, np.uint8, n * WIDTH[name], at).reshape(WIDTH[name], n).T
+            planes[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
             parts[name].append(planes.view(np.int64).reshape(n))
-            at += n * WIDTH[name]
+            at += n * width
     return {name: np.concatenate(p) for name, p in parts.items()}
 
 
@@ -105,7 +111,7 @@ def _spans(rows: Rows, unsure: bool) -> Iterator[pa.RecordBatch]:
     n = len(rows["doc"])
     if n:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["doc"]), pa.array(rows["mark"].astype(np.int32)), pa.array(rows["start"]), pa.array(rows["n"].astype(np.int32)),
+            [pa.array(rows["doc"]), pa.array(rows["mark"]), pa.array(rows["start"]), pa.array(rows["n"].astype(np.int32)),
              pa.array(rows["anchor"]), pa.array(np.full(n, unsure))], ["doc", "mark", "start", "n", "anchor", "open"])
 
 
@@ -314,8 +320,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, ``text`` (as bytes) and ``spans``: the maximal
     runs of removed bytes as an array of (start, end)."""
     spark = docs.sparkSession
-    texts = identified(docs, id_col, text_col).toDF("id", "text").select(
-        F.col("id"), F.col("id").cast("long").alias("doc"), F.pmod(F.xxhash64("text"), F.lit(256)).cast("int").alias("mark"),
+    rows = flag_repeats(identified(docs, id_col, text_col).toDF("id", "text"))
+    texts = rows.select(
+        F.col("id"), F.col("id").cast("long").alias("doc"), F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("mark"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions * BUCKETS

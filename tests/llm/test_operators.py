@@ -92,9 +92,12 @@ def test_quality_figures_match_brute_force(docs):
     found = rows(quality.line_frequency(docs, max_documents=limit, min_words=5))
     norm = lambda line: " ".join(WORD.findall(line.translate({i: i + 32 for i in range(65, 91)})))
     source = [r["source"] for r in rows(docs)]
-    counts = Counter()
-    for s, (_, t) in zip(source, messy.texts(), strict=True):
-        counts.update({(s, norm(x)) for x in (t or "").split("\n") if WORD.search(x)})
+    holders = {}
+    for k, (s, (i, t)) in enumerate(zip(source, messy.texts(), strict=True)):
+        for x in (t or "").split("\n"):
+            if WORD.search(x):
+                holders.setdefault((s, norm(x)), set()).add(("row", k) if i is None else i)
+    counts = Counter({key: len(v) for key, v in holders.items()})
     expected = []
     for s, (i, t) in zip(source, messy.texts(), strict=True):
         t = t or ""
@@ -112,6 +115,14 @@ def test_quality_figures_match_brute_force(docs):
     assert in_order(found) == in_order(expected)
 
 
+def test_a_document_stored_often_counts_once(spark):
+    """Twelve rows of one id are one document; rows without an id are twelve."""
+    text = "\n".join(" ".join(messy.words(k, 18)) for k in range(10))
+    table = spark.createDataFrame([(1, text, "h")] * 12 + [(None, text, "other")] * 12, "doc_id long, text string, source string")
+    found = rows(quality.line_frequency(table))
+    assert {(r["doc_id"], r["kept"], r["removed_words"]) for r in found} == {(1, True, 0), (None, False, 180)} and len(found) == 24
+
+
 def test_lines_are_removed(spark):
     table = spark.createDataFrame([(k, f"{' '.join(messy.words(k, 80))}\nThe  Shared line\nend {k}", "h") for k in range(4)],
                                   "doc_id long, text string, source string")
@@ -149,6 +160,15 @@ def test_repeats_match_brute_force(docs):
     assert in_order(rows(repeats.digests(repeats.repeated_spans(docs)))) == in_order(brute_spans(messy.texts()))
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """A row keeps its text whatever another row of its id has to lose: 300 texts
+    under one id, so that few bits of a mark could not tell them apart."""
+    shared = " ".join(messy.words(70, 16))
+    texts = [(1, shared), (2, shared), (None, shared)] + [(2, " ".join(messy.words(700 + k, 18))) for k in range(300)]
+    found = rows(repeats.digests(repeats.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string"))))
+    assert in_order(found) == in_order(brute_spans(texts)) and sum(r["n_removed"] > 0 for r in found) == 1
+
+
 def test_repeats_of_periodic_and_crowded_texts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CLASSES", 2)
     passage = " ".join(messy.words(50, 30))
@@ -202,7 +222,7 @@ def test_a_large_bucket_is_settled_in_parts(monkeypatch):
 def test_runs_of_a_text_longer_than_places_reach():
     """The last bytes of a text over 64 MiB and the same bytes alone have the same anchors."""
     def found(text):
-        batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([1], pa.int32()), pa.array([text], pa.large_binary())], ["doc", "mark", "text"])
+        batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([1], pa.int64()), pa.array([text], pa.large_binary())], ["doc", "mark", "text"])
         out = [zip(*(c.to_pylist() for c in b.columns), strict=True) for b in repeats._find_runs(1)(iter([batch]))]
         parts = [repeats._unpack([blob]) for batch in out for _, _, blob in batch]
         return {name: np.concatenate([p[name] for p in parts]) for name in repeats.FIELDS}
