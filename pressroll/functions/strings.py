@@ -153,8 +153,12 @@ def extract_prompt(page_text: Column) -> Column:
 
 ORGANIZE_PROMPT_HEAD = "Input: texts of articles of one day. Output: their briefing as a bare JSON object."
 ORGANIZE_PROMPT_DATE = ("Day: ", "")
+# What the status of a story may be.
+STORY_STATUS = ("NEW", "UPDATE", "CONFIRMED", "RUMOR", "UPCOMING")
 ORGANIZE_PROMPT_BODY = (
     "Shape of the object: " + _shape(DAY_SHAPE),
+    "Compose each en text first; its ko text is a fluent translation of it with the same meaning.",
+    "A story has one of these as its status: " + ", ".join(STORY_STATUS) + ".",
     "The validator refuses blank texts, a story without tags, and fact lists of unequal length in ko and en.",
     "A list with nothing to report is []. The url of a story is that of its article's first line; "
     "watch may be left out.",

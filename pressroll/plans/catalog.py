@@ -246,6 +246,30 @@ def literal_replace(spark, d):
     return docs.select("doc_id", out.alias("text"), (out != F.col("text")).alias("changed"))
 
 
+DAY_FIX = (('"status":"NEW"', '"status":"UPDATE"'), ('"en":"en"', '"en":" "'), ("해설", "설명"))
+
+
+@query
+def replace_validated(spark, d):
+    """Literals replaced in raw day documents, each edited one judged again:
+    what the edit breaks (and what was broken before) is refused."""
+    out = R.replace_validated(T.raw_days(spark, d), "raw", DAY_FIX)
+    return out.select("doc_id", "outcome", F.size("errors").cast("long").alias("n_errors"), F.sha2("raw", 256).alias("raw_sha256"))
+
+
+@query
+def delete_nested(spark, d):
+    """Stories deleted inside whole day documents, and the index row of what is left."""
+    bi = "struct<ko:string,en:string>"
+    valid = Vd.valid_only(_parsed(spark, d))
+    days = valid.select("doc_id", F.try_variant_get("doc", "$.stories", f"array<struct<title:{bi},tags:array<string>>>").alias("stories"),
+                        F.try_variant_get("doc", "$.moves", f"array<struct<text:{bi}>>").alias("moves"))
+    out = R.delete_validated(days, {"stories": ["title", "ko"], "moves": ["text", "ko"]}, "메모")
+    tags = F.array_distinct(F.flatten(F.transform("stories", lambda s: s["tags"])))
+    return out.select("doc_id", "outcome", F.col("n_deleted").cast("long").alias("n_deleted"), F.size("stories").cast("long").alias("storyCount"),
+                      F.size("moves").cast("long").alias("moveCount"), F.array_join(tags, ",").alias("tags"))
+
+
 # --- document rules ---------------------------------------------------------------------
 
 def _parsed(spark, d):
@@ -539,6 +563,14 @@ def day_lookup(spark, d):
     return _story_keys(I.day_lookup(T.stories(spark, d, day=day), day))
 
 
+@query
+def day_lookup_store(spark, d):
+    """One date out of the date-partitioned store: only its folder is read."""
+    root = work_dir(spark, "stories")
+    Fs.write_days(T.stories(spark, d), root)
+    return _story_keys(I.day_lookup(Fs.read_days(spark, root), "1997-05-28"))
+
+
 @query
 def linked_stories(spark, d):
     return (I.linked(T.stories(spark, d)).groupBy("date")

@@ -421,6 +421,37 @@ ORACLE["literal_replace"] = """SELECT doc_id, t AS text, t <> text AS changed FR
   FROM documents)"""
 
 
+# an edited document is judged as a raw one of its own
+_FIXED = """replace(replace(replace(raw, '"status":"NEW"', '"status":"UPDATE"'), '"en":"en"', '"en":" "'), '해설', '설명')"""
+ORACLE["replace_validated"] = with_(RAW_DAYS.replace("raw_days AS (", "given AS (", 1), f"raw_days AS (SELECT doc_id, {_FIXED} AS raw FROM given)",
+                                    PARSED_DAYS) + """, all_docs AS (
+  SELECT i.doc_id, CASE WHEN json_valid(inner_text) THEN CAST(inner_text AS JSON) END AS doc, i.raw AS fixed, g.raw AS old
+  FROM inner_days i JOIN given g ON g.doc_id = i.doc_id),
+""" + f"""checked AS (SELECT *, CASE WHEN fixed = old THEN 0 WHEN doc IS NULL THEN 1 ELSE len({j_day('doc')}) END AS n FROM all_docs)
+SELECT doc_id, CASE WHEN fixed = old THEN 'unchanged' WHEN n = 0 THEN 'edited' ELSE 'refused' END AS outcome, CAST(n AS BIGINT) AS n_errors,
+  sha256(CASE WHEN n = 0 THEN fixed ELSE old END) AS raw_sha256 FROM checked"""
+
+ORACLE["delete_nested"] = DOCS + f""", valid AS (SELECT doc_id, doc FROM (SELECT doc_id, doc, {j_day('doc')} AS e FROM docs) WHERE len(e) = 0),
+stories AS (
+  SELECT doc_id, pos, contains(json_extract_string(s, '$.title.ko'), '메모') AS gone, CAST(json_extract(s, '$.tags') AS VARCHAR[]) AS tags
+  FROM (SELECT doc_id, unnest(json_extract(doc, '$.stories[*]')) AS s, generate_subscripts(json_extract(doc, '$.stories[*]'), 1) AS pos FROM valid)),
+moves AS (
+  SELECT doc_id, contains(json_extract_string(m, '$.text.ko'), '메모') AS gone
+  FROM (SELECT doc_id, unnest(json_extract(doc, '$.moves[*]')) AS m FROM valid)),
+counted AS (
+  SELECT v.doc_id, (SELECT count(*) FROM stories s WHERE s.doc_id = v.doc_id) AS n, (SELECT count(*) FROM stories s WHERE s.doc_id = v.doc_id AND gone) AS g,
+         (SELECT count(*) FROM moves m WHERE m.doc_id = v.doc_id) AS mn, (SELECT count(*) FROM moves m WHERE m.doc_id = v.doc_id AND gone) AS mg FROM valid v),
+judged AS (SELECT *, CASE WHEN g + mg = 0 THEN 'unchanged' WHEN g = n THEN 'refused' ELSE 'edited' END AS outcome FROM counted),
+tag_list AS (
+  SELECT doc_id, string_agg(tag, ',' ORDER BY pos, tp) AS tags FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, tag ORDER BY pos, tp) AS k FROM (
+      SELECT s.doc_id, pos, unnest(tags) AS tag, generate_subscripts(tags, 1) AS tp FROM stories s JOIN judged j ON j.doc_id = s.doc_id
+      WHERE NOT (gone AND outcome = 'edited'))) WHERE k = 1 GROUP BY doc_id)
+SELECT j.doc_id, outcome, CAST(g + mg AS BIGINT) AS n_deleted, CAST(CASE outcome WHEN 'edited' THEN n - g ELSE n END AS BIGINT) AS storyCount,
+  CAST(CASE outcome WHEN 'edited' THEN mn - mg ELSE mn END AS BIGINT) AS moveCount, coalesce(tags, '') AS tags
+FROM judged j LEFT JOIN tag_list t ON t.doc_id = j.doc_id"""
+
+
 # --- integrity, upserts ------------------------------------------------------------
 
 def _entry_json(date_expr: str, story_expr: str, move_expr: str, with_headline: str) -> str:
@@ -555,6 +586,8 @@ FROM story_tags WHERE contains(array_to_string(tags, ','), 'K,FLAG_R')"""
 ORACLE["day_lookup"] = with_(FULL) + """SELECT date, l_orderkey, l_linenumber, l_partkey, l_suppkey
 FROM stories WHERE date = '1997-05-28'"""
 
+ORACLE["day_lookup_store"] = ORACLE["day_lookup"]
+
 ORACLE["linked_stories"] = with_(FULL) + f"""SELECT date, CAST(count(*) AS BIGINT) AS n_linked FROM stories
 WHERE (l_orderkey + l_linenumber + l_partkey) % 8 <> 0 AND (l_orderkey + l_linenumber + l_partkey) % 4 = 0
 GROUP BY date"""

@@ -120,3 +120,15 @@ def test_index_file_is_ordered(spark):
     parts = sorted(f for f in os.listdir(local_path(root)) if f.startswith("part"))
     lines = [line for f in parts for line in open(os.path.join(local_path(root), f))]
     assert [x[9:19] for x in lines] == ["2031-05-28", "2031-05-17", "2031-05-09", "2031-05-03"]
+
+
+def test_a_date_is_one_folder(spark):
+    """Looking up a date reads its partition alone."""
+    from pressroll.operators import index as I
+
+    root = work_dir(spark, "stories")
+    Fs.write_days(spark.createDataFrame([(f"2026-01-{k:02d}", k) for k in range(1, 29)], "date string, k long"), root)
+    found = I.day_lookup(Fs.read_days(spark, root), "2026-01-07")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "DataFilters: []" in plan
+    assert [r["k"] for r in found.collect()] == [7]

@@ -6,11 +6,13 @@ from pressroll.plans import catalog
 
 from conftest import SF_SMALL
 
-PYTHON_OK = {"apply_model", "run_report", "ingest_index", "ingest_days", "ingest_errors", "stream_hold"}
+PYTHON_OK = {"apply_model", "model_resumed", "run_report", "ingest_index", "ingest_days", "ingest_errors", "stream_hold"}
 # these run their writes when built; their results are checked in test_queries
 SKIP_PLAN = {"stream_ingest", "stream_debounce", "stream_usage", "stream_hold", "scan_day_documents",
              "write_days", "list_day_files", "index_roundtrip", "scan_season", "apply_model", "run_report",
-             "ingest_index", "ingest_days", "ingest_errors", "index_array_roundtrip", "detail_checks"}
+             "ingest_index", "ingest_days", "ingest_errors", "index_array_roundtrip", "detail_checks",
+             "model_resumed", "stream_ingest_days", "stream_ingest_index", "commit_log", "commit_history", "maintained_index",
+             "maintained_summaries", "day_lookup_store"}
 
 
 def plan(df):

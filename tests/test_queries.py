@@ -19,9 +19,7 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, name, SF_SMALL, con)
-    assert r["status"] in ("match", "rows-only"), r
-    if r["status"] == "rows-only":
-        assert name == "apply_model"
+    assert r["status"] == "match", r
 
 
 def test_entry_smoke(spark):

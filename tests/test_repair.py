@@ -33,3 +33,32 @@ def test_days_emptied_by_an_edit_are_refused(spark):
     edited = spark.createDataFrame([("a", 2, ["X"]), ("b", 0, [])], ddl)
     out = {r["date"]: (r["storyCount"], r["tags"], r["outcome"]) for r in R.refuse_emptied(old, edited).collect()}
     assert out == {"a": (2, ["X"], "edited"), "b": (1, ["Y"], "refused"), "c": (2, ["Z"], "refused")}
+
+
+def _day(**more):
+    import json
+
+    bi = {"ko": "가", "en": "a"}
+    story = {"icon": "i", "status": "NEW", "tags": ["T"], "title": bi, "facts": {"ko": ["가"], "en": ["a"]}, "interp": bi}
+    return json.dumps({"date": "2026-01-01", "dateLabel": bi, "headline": bi, "stories": [story], "injuries": [], "moves": [], "schedule": []} | more,
+                      ensure_ascii=False)
+
+
+def test_an_edit_that_breaks_a_document_is_refused(spark):
+    """Fine, untouched, broken by the edit, broken before and touched, cut off by the edit."""
+    docs = {1: _day(headline={"ko": "old", "en": "x"}), 2: _day(), 3: _day(headline={"ko": "gone", "en": "x"}), 4: _day(stories=[], date="old"),
+            5: _day(headline={"ko": "quote", "en": "x"}), 6: None}
+    df = spark.createDataFrame(list(docs.items()), "id int, raw string")
+    out = {r["id"]: r for r in R.replace_validated(df, "raw", [("old", "new"), ("gone", " "), ("quote", '"')]).collect()}
+    assert {k: r["outcome"] for k, r in out.items()} == {1: "edited", 2: "unchanged", 3: "refused", 4: "refused", 5: "refused", 6: "unchanged"}
+    assert out[1]["raw"] == docs[1].replace("old", "new") and all(out[k]["raw"] == docs[k] for k in (2, 3, 4, 5, 6))
+    assert out[3]["errors"] and out[4]["errors"] and out[5]["errors"] and not out[1]["errors"]
+
+
+def test_nested_delete_refuses_an_empty_day(spark):
+    ddl = "date string, stories array<struct<title:struct<ko:string,en:string>>>, moves array<struct<text:struct<ko:string,en:string>>>"
+    x, y, none = (("모래", "x"),), (("등대", "y"),), ((None, "z"),)
+    days = spark.createDataFrame([("a", [x, y, none], [x]), ("b", [x, x], [x, y]), ("c", [y], []), ("d", [y], [x]), ("e", [], [x])], ddl)
+    out = {r["date"]: r for r in R.delete_validated(days, {"stories": ["title", "ko"], "moves": ["text", "ko"]}, "모래").collect()}
+    got = {k: (r["outcome"], r["n_deleted"], len(r["stories"]), len(r["moves"])) for k, r in out.items()}
+    assert got == {"a": ("edited", 2, 2, 0), "b": ("refused", 3, 2, 2), "c": ("unchanged", 0, 1, 0), "d": ("edited", 1, 1, 0), "e": ("refused", 1, 0, 1)}

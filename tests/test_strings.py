@@ -73,6 +73,12 @@ def test_concat_text_blocks(spark):
     assert [r[0] for r in df.select(S.concat_text_blocks(F.col("c"))).collect()] == ["hello world", "", ""]
 
 
+def test_day_prompt_asks_for_english_first_and_known_statuses(spark):
+    text = spark.range(1).select(S.organize_prompt(F.lit("2026-01-01"), F.lit("x")).alias("p")).first()["p"]
+    assert all(status in text for status in ("NEW", "UPDATE", "CONFIRMED", "RUMOR", "UPCOMING"))
+    assert "en text first" in text
+
+
 def test_prompts_carry_text_and_contract(spark):
     df = spark.createDataFrame([("2031-05-06", "URL: /a\nTitle\n\nBody")], "d string, t string")
     r = df.select(S.extract_prompt(F.col("t")).alias("e"), S.organize_prompt(F.col("d"), F.col("t")).alias("o")).first()
