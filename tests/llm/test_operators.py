@@ -433,7 +433,7 @@ def test_url_rules_and_segments(spark):
     found = {r["page_id"]: r for r in rows(urls.judge_urls(table))}
     for k, (_, host, path, rule, verdict) in enumerate(given):
         assert (found[k]["host"], found[k]["path"], found[k]["rule"], found[k]["verdict"]) == (host, path, rule, verdict), given[k]
-    assert found[6]["words"][:2] == ["free", "bets"]
+    assert found[6]["words"][:2] == ["free", "bets"] and found[7]["words"] == ["my", "casino", "win", "net"]
     assert rows(urls.judge_urls(table.where("false"))) == []
 
 
@@ -446,22 +446,97 @@ def test_every_counted_piece_is_known(spark):
     assert [found[k]["verdict"] for k in (0, 1)] == ["allow"] * 2
 
 
-def test_viterbi_is_the_best_cut():
+def all_cuts(name):
+    for bits in range(1 << max(0, len(name) - 1)):
+        parts, start = [], 0
+        for k in range(1, len(name)):
+            if bits >> (k - 1) & 1:
+                parts.append(name[start:k])
+                start = k
+        yield [*parts, name[start:]]
+
+
+def price(parts, cost):
+    return sum(cost.get(w, urls.Segmenter.unknown(len(w))) for w in parts) + urls.CUT * (len(parts) - 1)
+
+
+def test_viterbi_is_the_best_cut(monkeypatch):
     from itertools import product
 
-    counts = {"a": 5.0, "ab": 4.0, "abc": 1.0, "c": 3.0, "bc": 2.0, "cab": 2.0}
-    model = urls.Segmenter(counts)
-    price = lambda w: model.cost.get(w, model._unknown(len(w)))
-    for name in map("".join, product("abc", repeat=6)):
-        cuts = []
-        for bits in product([0, 1], repeat=5):
-            parts, start = [], 0
-            for k, b in enumerate(bits, 1):
-                if b:
-                    parts.append(name[start:k])
-                    start = k
-            cuts.append([*parts, name[start:]])
-        assert sum(map(price, model.words(name))) == pytest.approx(min(sum(map(price, c)) for c in cuts))
+    for cut, letter in ((7.0, 2.9), (0.5, 1.0), (0.0, 0.2)):
+        monkeypatch.setattr(urls, "CUT", cut)
+        monkeypatch.setattr(urls, "LETTER", letter)
+        model = urls.Segmenter({"a": 5.0, "ab": 4.0, "abc": 1.0, "c": 3.0, "bc": 2.0, "cab": 2.0}, 40.0)
+        for name in map("".join, product("abc", repeat=6)):
+            assert price(model.words(name), model.cost) == pytest.approx(min(price(c, model.cost) for c in all_cuts(name)))
+
+
+def test_cuts_and_verdicts_match_brute_force(spark):
+    """Words by trying every cut with the counts of the table, then naive Bayes by hand."""
+    import math
+
+    hosts = ["freebets.org", "free.org", "free.net", "bets.org", "essex.org", "middlesex.ac.uk", "alphabet.org", "mad.example.org", "freeadvice.org",
+             "mycasino.org", "rainbow.net", "bow.org", "rain.org", "cheapnews.org", "ad.org", "es.org", "sex.org", "m.org", "example.com", "a.example.com"]
+    paths = ["/", "/en/rain", "/es/bow", "/fr/free", "/en/bets/ad", "/news", "/es/junk/junk", "/junk"]
+    given = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "http://essex.org/essex"]
+    found = rows(urls.judge_urls(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")))
+    unwanted, wanted = set(urls.UNWANTED.split()), set(urls.WANTED.split())
+    lexicon = unwanted | wanted | set(urls.NEUTRAL.split())
+    parts = {r["page_id"]: re.findall(r"[a-z]+", f"{r['host']} {r['path']}".lower()) for r in found}
+    on = {}
+    for r in found:
+        for p in parts[r["page_id"]]:
+            on.setdefault(p, set()).add(r["host"])
+    total = sum(map(len, on.values())) + len(lexicon)
+    cut = {}
+    for p in on:
+        cost = {w: math.log(total / ((w in lexicon) + (len(on.get(w, ())) if w != p or len(on[p]) > 1 else 0)))
+                for w in {p[i:j] for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
+                if w in lexicon or w in on and (w != p or len(on[p]) > 1)}
+        cut[p] = (cost, min(price(c, cost) for c in all_cuts(p)))
+    seen = {"block": Counter(), "allow": Counter()}
+    own = {"com", "example", "en", "www", "net", "es", "fr"}
+    for r in found:
+        i = 0
+        for p in parts[r["page_id"]]:
+            words = []
+            while "".join(words) != p:
+                words.append(r["words"][i])
+                i += 1
+            assert price(words, cut[p][0]) == pytest.approx(cut[p][1]), (p, words)
+        if r["rule"]:
+            seen[r["verdict"]].update(w for w in r["words"] if w not in own)
+    sizes = {k: sum(v.values()) for k, v in seen.items()}
+    least = min(sizes.values())
+    assert least > 0
+
+    def odds(w):
+        side = lambda k, listed: least / sizes[k] * seen[k][w] + urls.LISTED * (w in listed) + urls.SMOOTH
+        return math.log(side("block", unwanted)) - math.log(side("allow", wanted))
+
+    for r in found:
+        score = math.log(urls.PRIOR / (1 - urls.PRIOR)) + sum(map(odds, r["words"]))
+        assert r["log_odds"] == pytest.approx(score, abs=1e-4) and (r["rule"] or r["verdict"] == ("block" if score > 0 else "allow"))
+
+
+def test_place_names_are_not_topics(spark):
+    hosts = ["essex.org", "middlesex.ac.uk", "alphabet.org", "mad.example.org", "freeadvice.org", "sussex.gov", "scunthorpe.org"]
+    table = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate(hosts)], "page_id long, url string")
+    found = {r["host"]: r for r in rows(urls.judge_urls(table))}
+    assert {h: r["verdict"] for h, r in found.items()} == dict.fromkeys(hosts, "allow")
+    assert all(h.split(".")[0] in found[h]["words"] for h in hosts)
+
+
+def test_a_very_long_url_ends(spark):
+    import time
+
+    rng = np.random.default_rng(1)
+    letters = bytes(rng.integers(97, 123, 1_000_000, dtype=np.uint8)).decode()
+    table = spark.createDataFrame([(0, f"http://x.org/{letters}"), (1, "http://casino.org/" + "ab" * 200_000), (2, "http://x.org/news")], "page_id long, url string")
+    start = time.time()
+    found = {r["page_id"]: r for r in rows(urls.judge_urls(table))}
+    assert "".join(found[0]["words"]) == "xorg" + letters and "".join(found[1]["words"]) == "casinoorg" + "ab" * 200_000
+    assert time.time() - start < 120
 
 
 # ----------------------------------------------------------------------- html
