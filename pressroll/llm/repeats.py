@@ -321,8 +321,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs of removed bytes as an array of (start, end)."""
     spark = docs.sparkSession
     rows = flag_repeats(identified(docs, id_col, text_col).toDF("id", "text"))
+    # Zero where the id is the row's own, but no constant: as one it would be
+    # optimised away on one side, and the texts shuffled twice.
+    doc = F.col("id").cast("long")
+    mark = F.coalesce(F.when(F.col("again"), F.xxhash64("text")), doc.bitwiseAND(F.lit(0)), F.lit(0))
     texts = rows.select(
-        F.col("id"), F.col("id").cast("long").alias("doc"), F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("mark"),
+        F.col("id"), doc.alias("doc"), mark.alias("mark"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions * BUCKETS
