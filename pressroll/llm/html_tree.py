@@ -1,9 +1,11 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Each element of a page is a variable, content or not. Its evidence is naive
-Bayes over the words of its class, id and role and whether most of a block is
-links; a potential that depends on its name joins it to its parent. (Lengths are
-no evidence: many short paragraphs would outvote the element that holds them.)
+Bayes over the words of its class, id and role, whether most of a block is
+links and, for an element that holds blocks of text, how many sentences these
+have together and how many of its blocks are mostly links; a potential that
+depends on its name joins it to its parent. (A single block's length is no
+evidence: many short paragraphs would outvote the element that holds them.)
 Sum-product messages, upward from the leaves and downward from the root, give
 the exact marginal of every element; text of elements whose marginal is one
 half or more is kept.
@@ -13,14 +15,20 @@ The parameters are counts over labelled pages, taken anew from
 * ``TEMPLATES`` below, short pages whose elements with ``data-main`` (and what
   they hold, up to ``data-not``) are labelled content;
 * at most about ``MAX_PAGES`` pages of the table that mark their article with
-  ``<article>`` or ``<main>``, drawn by a hash of the id; elements inside are
+  ``<article>`` or ``<main>`` (of at most ``MAX_PAGE_BYTES``), drawn by a hash of the id; elements inside are
   content unless an element of ``ASIDE`` holds them.
 
+Each page is learned twice, the second time without its names: no class, id or
+role, ``<article>`` and ``<main>`` as ``<div>``. So the shape of a page and its
+text decide where names say nothing.
+
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one line feed in page order. A ``<br>``
 is white space. Unclosed and crossed tags are read as browsers do in the common
 cases: a paragraph ends where a block begins, list items and cells end at the
-next, an end tag closes what is open inside its element, others are ignored.
+next, an end tag closes what is open inside its element, others are ignored. A
+quote that no attribute closes is part of a tag that ends at its first ``>``; a
+tag that never ends is no text.
 
 Edge cases: null or empty html has an empty text; a page without tags is one
 element; null and repeated ids are pages like others; an empty table gives an
@@ -29,6 +37,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import html
 import math
 import re
@@ -43,6 +52,8 @@ from pressroll.llm.common import identified
 
 #: Labelled pages of the table used for training, at most (in expectation).
 MAX_PAGES = 400
+#: Larger pages are not drawn, so that the sample is bounded in bytes too.
+MAX_PAGE_BYTES = 1 << 18
 #: Share of all counts that the templates carry.
 TEMPLATE_SHARE = 0.5
 
@@ -59,10 +70,17 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
          "option": {"select"}}
 ASIDE = set("nav aside footer header form head script style noscript button".split())
 
+# A quoted value is closed by a quote before white space, / or >; else the tag ends at the first >.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)"""
+    r"""((?:[^>"'=]|=(?!\s*["'])|=\s*"[^"]*"(?=[\s/>])|=\s*'[^']*'(?=[\s/>]))*(?=>)|[^>]*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-main|data-not)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019)\]]*(?:\s|$)")
+#: Words that count as a sentence where none is marked; numbers of sentences that tell.
+SENTENCE_WORDS, TELLING = 25, (1, 3, 8)
+#: Elements that hold a block of text; any other one that is not inline holds such blocks.
+LEAF = set("p li dt dd td th h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption summary address label legend".split())
 
 
 class Page:
@@ -150,20 +168,64 @@ class Page:
                 self._pop_to(k)
                 return
 
+    def _block_of(self, i: int) -> int:
+        """The element whose block the text of element i is part of."""
+        while self.tag[i] in INLINE:
+            i = self.parent[i]
+        return i
+
+    def without_names(self) -> Page:
+        """The same page with nothing that names its parts."""
+        bare = copy.copy(self)
+        bare.words = [()] * len(self.tag)
+        bare.tag = ["div" if t in ("article", "main") else t for t in self.tag]
+        return bare
+
     def features(self) -> list[list[tuple[str, object]]]:
         n = len(self.tag)
-        length, linked = [0] * n, [0] * n
+        length, linked, own, own_linked = [0] * n, [0] * n, [0] * n, [0] * n
+        sentences, words = [0] * n, [0] * n
+        in_link = [False] * n
+        for i in range(1, n):
+            in_link[i] = self.tag[i] == "a" or in_link[self.parent[i]]
         for element, text, _ in self.runs:
             length[element] += len(text)
+            block = self._block_of(element)
+            own[block] += len(text)
+            if in_link[element]:
+                own_linked[block] += len(text)
+            else:
+                sentences[block] += len(SENTENCE.findall(text))
+                words[block] += text.count(" ") + 1
         for i in range(n):
             if self.tag[i] == "a":
                 linked[i] = length[i]
         for i in range(n - 1, 0, -1):
             length[self.parent[i]] += length[i]
             linked[self.parent[i]] += length[i] if self.tag[i] == "a" else linked[i]
-        bare = [] if {"html", "body"} & set(self.tag) else [("fragment", 1)]
-        return [[*(("word", w) for w in set(self.words[i])), *([("links", 1)] if 2 * linked[i] > length[i] and self.tag[i] not in INLINE else []), *(bare if not i else [])]
-                for i in range(n)]
+        # What the blocks of an element say together.
+        said, blocks, link_blocks = [0] * n, [0] * n, [0] * n
+        for i in range(n):
+            if own[i]:
+                holder = i
+                while self.tag[holder] in LEAF or self.tag[holder] in INLINE or self.tag[holder] in ("ul", "ol", "dl", "table", "tbody", "tr"):
+                    holder = self.parent[holder]
+                said[holder] += max(sentences[i], words[i] // SENTENCE_WORDS)
+                blocks[holder] += 1
+                link_blocks[holder] += 2 * own_linked[i] > own[i]
+        out = []
+        for i in range(n):
+            found: list[tuple[str, object]] = [("word", w) for w in set(self.words[i])]
+            if 2 * linked[i] > length[i] and self.tag[i] not in INLINE:
+                found.append(("links", 1))
+            if blocks[i]:
+                found += [("said", k) for k in TELLING if said[i] >= k] or [("said", 0)]
+                if 2 * link_blocks[i] > blocks[i]:
+                    found.append(("menu", 1))
+            out.append(found)
+        if not {"html", "body"} & set(self.tag):
+            out[0].append(("fragment", 1))
+        return out
 
     def text(self, content: list[bool]) -> str:
         blocks: list[list[str]] = []
@@ -268,9 +330,13 @@ def train(pages: list[str]) -> TreeModel:
     own = [Page(t) for t in TEMPLATES]
     weight = max(1.0, elements * TEMPLATE_SHARE / (1 - TEMPLATE_SHARE) / sum(len(p.tag) for p in own))
     for page in own:
-        model.learn(page, template_labels(page), weight)
+        labels = template_labels(page)
+        model.learn(page, labels, weight)
+        model.learn(page.without_names(), labels, weight)
     for page in marked:
-        model.learn(page, article_labels(page), 1.0)
+        labels = article_labels(page)
+        model.learn(page, labels, 1.0)
+        model.learn(page.without_names(), labels, 1.0)
     return model.finish(weight)
 
 
@@ -283,7 +349,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                  max_pages: int = MAX_PAGES) -> DataFrame:
     """One row per page: id, url, ``text``, ``n_chars``."""
     rows = identified(pages, id_col, url_col, html_col).toDF("id", "url", "html")
-    marked = rows.where(F.col("html").rlike(r"(?i)<(article|main)\b"))
+    marked = rows.where(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.octet_length("html") <= MAX_PAGE_BYTES))
     n = marked.select("id").count()
     drawn = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 30)) < int(min(1.0, max_pages / max(1, n)) * (1 << 30))
     sample = sorted(r.html for r in marked.where(drawn).select("html").toLocalIterator())

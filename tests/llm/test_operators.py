@@ -589,6 +589,53 @@ def test_pages_of_the_table(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def _blocks_of(source):
+    import html
+
+    inner = re.search(r"<article>(.*)</article>", source, re.S).group(1)
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+    return [b for b in blocks if b]
+
+
+def test_held_out_pages_without_names(spark):
+    """Pages the model has not seen, their article a <div> of a random class as all else."""
+    import random
+
+    rng = random.Random(6)
+    pages = [r["html"] for r in rows(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id")) if r["html"]]
+    model = html_tree.train(pages[:120])
+    name = lambda: "".join(rng.choices("bcdfgqvxz", k=5))
+    hit = total = extra = 0
+    for page in pages[120:]:
+        bare = re.sub(r"<article>", lambda _: f'<div class="{name()}">', page.replace("</article>", "</div>"))
+        bare = re.sub(r'class="ad"', lambda _: f'class="{name()}"', bare)
+        got, expected = html_tree.main_text(bare, model).split("\n"), _blocks_of(page)
+        hit += sum(b in got for b in expected)
+        total += len(expected)
+        extra += sum(b not in expected for b in got if b)
+    assert hit >= 0.95 * total and extra <= 0.05 * total, (hit, total, extra)
+
+
+@pytest.mark.parametrize("name", ["q7", "zrx", ""])
+def test_article_of_an_unknown_name(model, name):
+    prose = [f"This is sentence number {k} of a text that goes on for some time, as texts do." for k in range(20)]
+    box = f"<div class='{name}'>" + "".join(f"<p>{a} {b}</p>" for a, b in zip(prose[::2], prose[1::2])) + "</div>"
+    menu = "<div class='zzq'><ul><li><a href=/a>Home</a></li><li><a href=/b>World news</a></li><li><a href=/c>Sport</a></li></ul></div>"
+    for page in (f"<html><body>{menu}{box}</body></html>", f"<html><body><nav><a href=x>Menu</a></nav>{box}<footer>Imprint</footer></body></html>"):
+        assert html_tree.main_text(page, model) == "\n".join(f"{a} {b}" for a, b in zip(prose[::2], prose[1::2]))
+
+
+@pytest.mark.parametrize("source, text", [
+    ('<article><p title="oops>Text one</p><p>two</p></article>', "Text one\ntwo"),
+    ('<article><p title="oops>Text one</p><p class="x">two "quoted" words</p></article>', 'Text one\ntwo "quoted" words'),
+    ("<article><p title='oops>It's one</p><p title='>'>two</p></article>", "It's one\ntwo"),
+    ('<article><p title="a > b" data-x=\'<p>\'>One sentence.</p><p>More text, <a href=x?a=b>link</a></p></article>', "One sentence.\nMore text, link"),
+    ('<article><p title = "x">one</p><p title="never closed', "one"),
+])
+def test_unclosed_quotes_leave_no_markup(model, source, text):
+    assert html_tree.main_text(source, model) == text
+
+
 def test_pages_awkward(spark):
     table = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "word " * 200_000, "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     found = rows(html_tree.extract_text(table))
