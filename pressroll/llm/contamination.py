@@ -1,26 +1,29 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-A test item of n distinct shingles (five lower-cased words; a shorter text is
-one shingle) lies in a document if the document holds 75 % of them. Items are
-partitioned by the power of two of their size; the MinHash sketch of an item is
-its ``bottom`` smallest shingle hashes, more for larger items: floor(n/4) + 1.
-A document lacks fewer than that many of the item's shingles if it contains it,
-so a containing document shares at least one sketch hash with the item: the
-search misses nothing. Of a document, whatever its length, only hashes up to
-the largest sketch hash of any partition are looked up. Candidates are then
-verified on the exact shingles.
+A test item of n distinct shingles (five lower-cased words in a row; an item of
+k < 5 words is one shingle of k) lies in a document if the document holds 75 %
+of them, anywhere. Items are partitioned by the power of two of their size; the
+MinHash sketch of an item is its ``bottom`` smallest shingle hashes, more for
+larger items: floor(n/4) + 1. A document lacks fewer than that many of the
+item's shingles if it contains it, so a containing document shares at least one
+sketch hash with the item: the search misses nothing. Each partition has a bound
+of its own, its largest sketch hash, and is searched on its own: a document's
+hash is looked up in the partitions whose bound it meets. The larger the items,
+the fewer of a document's hashes that is. Candidates are then verified on the
+exact shingles.
 
 DataFrame expressions only. The sketches join by equality, so Spark broadcasts
 them only while their measured size allows it.
 
-Edge cases: null or empty texts (on either side) match nothing; items with
-fewer than five words match only documents of just those words; rows that
+Edge cases: null or empty texts (on either side) match nothing; rows that
 repeat an id (or have none) are one document or item whose texts are pooled;
 empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +39,42 @@ def _words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def _shingles(texts: DataFrame) -> DataFrame:
-    """One row per shingle of ``texts(id, text)``: id, words of the text, place, hash."""
-    split = texts.select("id", _words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    placed = split.select("id", "words", F.explode(F.sequence(
-        F.lit(0), F.greatest(F.size("words") - SHINGLE_WORDS, F.lit(0)))).alias("at"))
-    parts = [F.get("words", F.col("at") + i) for i in range(SHINGLE_WORDS)]
-    return placed.select("id", "words", "at", F.xxhash64(*parts).alias("hash"))
+def _split(texts: DataFrame) -> DataFrame:
+    split = texts.select("id", _words(F.col("text")).alias("words"))
+    return split.where(F.size("words") > 0).withColumn("k", F.least(F.size("words"), F.lit(SHINGLE_WORDS)))
+
+
+def _hash(k: int) -> Column:
+    return F.xxhash64(*[F.get("words", F.col("at") + i) for i in range(k)])
+
+
+def _placed(split: DataFrame, k: Column) -> DataFrame:
+    """One row per shingle of k words of the texts that have so many: id, words, k, place."""
+    long = split.where(F.size("words") >= k)
+    return long.select("id", "words", k.alias("k"), F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("at"))
 
 
-def _exact(shingles: DataFrame) -> DataFrame:
-    text = F.array_join(F.slice("words", F.col("at") + 1, SHINGLE_WORDS), " ")
-    return shingles.select("id", text.alias("shingle"))
+def _item_shingles(items: DataFrame) -> DataFrame:
+    hashed = F.when(F.col("k") == SHINGLE_WORDS, _hash(SHINGLE_WORDS))
+    for k in range(1, SHINGLE_WORDS):
+        hashed = hashed.when(F.col("k") == k, _hash(k))
+    return _placed(_split(items), F.col("k")).withColumn("hash", hashed)
+
+
+def _exact(placed: DataFrame) -> DataFrame:
+    text = F.array_join(F.slice("words", F.col("at") + 1, F.col("k")), " ")
+    return placed.select("id", text.alias("shingle"))
 
 
 def _sketches(items: DataFrame) -> DataFrame:
-    hashes = _shingles(items).groupBy("id").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
+    hashes = _item_shingles(items).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("hash", "k"))).alias("hashes"))
     n = F.size("hashes")
     return hashes.select(F.floor(F.log2(n)).cast("int").alias("part"), F.col("id").alias("item"),
-                         F.explode(F.slice("hashes", 1, F.floor(n / 4).cast("int") + 1)).alias("hash"))
+                         F.explode(F.slice("hashes", 1, F.floor(n / 4).cast("int") + 1)).alias("s")).select("part", "item", "s.hash", "s.k")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
 
 
 def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -65,16 +85,28 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     docs = identified(docs, id_col, text_col).toDF("id", "text")
     items = identified(items, item_col, item_text_col).toDF("id", "text")
     sketches = materialize(_sketches(items), "sketches")
-    # One bound per size partition, at most 31 rows.
-    bound = sketches.groupBy("part").agg(F.max("hash").alias("hash")).agg(F.max("hash")).first()[0]
-    looked_up = _shingles(docs).where(F.col("hash") <= F.lit(bound)).select("id", "hash")
-    candidates = materialize(looked_up.join(sketches.select("item", "hash"), "hash").select("id", "item").distinct(), "candidates")
+    # A bound per size partition and shingle length: at most 31 rows and four for short items.
+    bounds: dict[int, list[tuple[int, int]]] = {}
+    for r in sketches.groupBy("k", "part").agg(F.max("hash").alias("bound")).collect():
+        bounds.setdefault(r["k"], []).append((r["part"], r["bound"]))
+    split = _split(docs).drop("k")
+    lengths = sorted(bounds) or [SHINGLE_WORDS]
+
+    def looked_up(k: int) -> DataFrame:
+        hashed = _placed(split, F.lit(k)).select("id", _hash(k).alias("hash"))
+        parts = F.array_compact(F.array(*[F.when(F.col("hash") <= F.lit(bound), F.lit(part)) for part, bound in bounds.get(k, [])]))
+        low = hashed.where(F.col("hash") <= F.lit(max((b for _, b in bounds.get(k, [])), default=None)))
+        return low.select("id", "hash", F.explode(parts.cast("array<int>")).alias("part"))
+
+    met = _union([looked_up(k) for k in lengths]).join(sketches.select("part", "item", "hash"), ["part", "hash"])
+    candidates = materialize(met.select("id", "item").distinct(), "candidates")
 
     wanted = candidates.select(F.col("id").alias("found")).distinct()
     texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["found"]), "left_semi")
-    own = _exact(_shingles(items)).distinct().withColumnsRenamed({"id": "own", "shingle": "text"})
+    own = _exact(_item_shingles(items)).distinct().withColumnsRenamed({"id": "own", "shingle": "text"})
     sizes = own.groupBy("own").agg(F.count("*").alias("n_item"))
-    of_docs = _exact(_shingles(texts)).distinct()
+    chosen = _split(texts).drop("k")
+    of_docs = _union([_exact(_placed(chosen, F.lit(k))) for k in lengths]).distinct()
     shared = (of_docs.join(own, of_docs["shingle"] == own["text"]).groupBy("id", "own").agg(F.count("*").alias("n_shared")))
     sized = shared.join(sizes.withColumnRenamed("own", "sized"), F.col("own").eqNullSafe(F.col("sized")))
     named = candidates.toDF("c_id", "c_item")

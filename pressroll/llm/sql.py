@@ -52,7 +52,11 @@ FROM sized GROUP BY conv_id
 OP6 = f"""
 WITH docs AS (SELECT doc_id AS id, {_words("lower(text)")} AS words FROM documents),
 items AS (SELECT item_id AS id, {_words("lower(text)")} AS words FROM benchmark),
-a AS ({_SHINGLES.format(split="docs")}), b AS ({_SHINGLES.format(split="items")}),
+lengths AS (SELECT DISTINCT least(len(words), 5) AS k FROM items WHERE len(words) > 0),
+a AS (
+  SELECT DISTINCT id, array_to_string(list_slice(words, i, i + k - 1), ' ') AS shingle
+  FROM (SELECT id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM docs JOIN lengths ON len(words) >= k)),
+b AS ({_SHINGLES.format(split="items")}),
 sizes AS (SELECT id, count(*) AS n FROM b GROUP BY id)
 SELECT a.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared, any_value(sizes.n)::BIGINT AS n_item
 FROM a JOIN b ON a.shingle = b.shingle JOIN sizes ON sizes.id = b.id
