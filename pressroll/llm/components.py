@@ -9,27 +9,34 @@ from pyspark.sql import functions as F
 from pressroll.llm.common import materialize
 
 
+def _with_least(both: DataFrame) -> DataFrame:
+    """``both(a, b)`` with ``m``, the smaller of a and its smallest b. Nodes of
+    more than a thousandth of the rows, a thousand at most, are broadcast, so
+    that the rows of a hub stay where they are."""
+    low = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+    total = low.agg(F.sum("n")).first()[0] or 0
+    low = low.select("a", F.least("a", "m").alias("m"), (F.col("n") * 1000 > total).alias("hot"))
+    hot, cool = low.where("hot").drop("hot"), low.where("not hot").drop("hot")
+    rest = both.join(F.broadcast(hot.select("a")), "a", "left_anti")
+    return both.join(F.broadcast(hot), "a").unionByName(rest.join(cool, "a"))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Join the larger (``large``) or smaller neighbours of each node to the
     smallest node of its neighbourhood."""
     if large:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(low, "a")
-    if large:
+        joined = _with_least(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            low.select("a", F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+        joined = _with_least(edges)
+        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
+    return materialize(moved.where("a <> b").distinct(), "edges")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``(id, component)``: for every node of a link the
     smallest node it is joined to (nodes without links are not returned).
-    Runs until no edge changes; each round is a written table."""
+    Runs until no edge changes; each step is a written table."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = materialize(edges, "edges")
     state = None
@@ -38,6 +45,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if found == state:
             break
         state = found
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        edges = _star(_star(edges, True), False)
     stars = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
     return stars.union(edges.select("b", F.col("b").alias("component")).distinct())

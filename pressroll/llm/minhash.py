@@ -46,15 +46,18 @@ _B = (mix(np.arange(7001, 7001 + BANDS * ROWS, dtype=np.uint64)) >> np.uint64(32
 
 
 def _signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """MinHash values (16 bits kept) of the non-empty runs of ``hashes`` that
-    begin at ``first``."""
+    """MinHash values of the non-empty runs of ``hashes`` that begin at
+    ``first``: 16 bits of each minimum, mixed, as the upper bits of a small
+    minimum (of a long text) say nothing."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(first), len(_A)), np.uint16)
     for k in range(len(_A)):
         v = short * _A[k]
         v ^= v >> np.uint32(15)
         v += _B[k]
-        out[:, k] = np.minimum.reduceat(v * np.uint32(0x2C1B3C6D), first) >> np.uint32(16)
+        least = np.minimum.reduceat(v * np.uint32(0x2C1B3C6D), first)
+        least ^= least >> np.uint32(15)
+        out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 

@@ -67,6 +67,39 @@ def test_open_buckets_are_compared_in_full(spark):
     assert sum(r["kept"] for r in found) == 1
 
 
+def test_components_of_a_hub_and_chains(spark):
+    """A hub of most links takes the broadcast way; chains and rings the other."""
+    from pressroll.llm import components
+
+    rng = np.random.default_rng(2)
+    links = [(0, k) for k in range(1, 1500)] + [(2000 + k, 2001 + k) for k in range(40)] + [(3000 + k, 3000 + (k + 1) % 7) for k in range(7)]
+    links += [(int(a), int(b)) for a, b in rng.integers(5000, 5400, (300, 2))]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = {r["id"]: r["component"] for r in rows(components.connected_components(spark.createDataFrame(links, "a long, b long")))}
+    assert found == {x: root(x) for x in list(parent)}
+    assert rows(components.connected_components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_signatures_of_long_texts_tell_them_apart():
+    """Of two unrelated sets of 200,000 shingles hardly a value agrees."""
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, 400_000, dtype=np.uint64)
+    one, other = minhash._signatures(hashes, np.array([0, 200_000]))
+    assert (one == other).sum() < 10 and len(np.unique(one)) > 250
+    half = np.concatenate([hashes[:200_000], hashes[:100_000], hashes[200_000:300_000]])
+    one, other = minhash._signatures(half, np.array([0, 200_000]))
+    assert 0.2 < (one == other).mean() < 0.47  # similarity 1/3
+
+
 def test_bayesian_bound():
     assert minhash.least_matches(48, 75, 1e-5) < 36 < 48
     assert minhash.least_matches(288, 75, 1e-5) < 216
@@ -374,7 +407,8 @@ def test_contained_items_match_brute_force(spark, docs):
     found = rows(contamination.find_contained(docs, table))
     pool = {}
     for i, t in messy.texts():
-        pool[i] = pool.get(i, set()) | shingles(t)
+        w = WORD.findall((t or "").lower())
+        pool[i] = pool.get(i, set()) | {tuple(w[p : p + k]) for k in range(1, 6) for p in range(len(w) - k + 1)}
     own = {}
     for i, t in items:
         own[i] = own.get(i, set()) | shingles(t)
@@ -387,6 +421,26 @@ def test_contained_items_match_brute_force(spark, docs):
     assert Counter(r["doc_id"] for r in rows(left)) == Counter(i for i, _ in messy.texts() if i not in hit)
 
 
+def test_short_items_inside_longer_documents(spark):
+    docs = spark.createDataFrame([(1, "we ask: what is the Capital of France today?"), (2, "capital of"), (3, "of france the capital"), (4, "capital of france")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "capital of France"), (2, "of"), (3, "is the capital of"), (4, "what is the capital of france")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in rows(contamination.find_contained(docs, items))}
+    assert found == {(1, 1), (4, 1), (1, 2), (2, 2), (3, 2), (4, 2), (1, 3), (1, 4)}
+
+
+def test_partitions_are_searched_on_their_own(spark):
+    """Items of many sizes: each document is found whatever the other partitions' bounds."""
+    sizes = [5, 6, 9, 15, 40, 200, 900]
+    texts = [" ".join(messy.words(300 + n, n)) for n in sizes]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{' '.join(messy.words(k, 50))} {t} {' '.join(messy.words(k + 50, 50))}") for k, t in enumerate(texts)], "doc_id long, text string")
+    found = rows(contamination.find_contained(docs, items))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(k, k) for k in range(len(sizes))]
+    bounds = [r["bound"] for r in contamination._sketches(items.toDF("id", "text")).groupBy("part").agg({"hash": "max"}).toDF("part", "bound").collect()]
+    assert len(set(bounds)) == len(sizes)
+
+
 def test_contamination_of_nothing(spark, docs):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert rows(contamination.find_contained(messy.empty(docs), items)) == []
