@@ -237,12 +237,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = texts.join(first.select("id"), "id", "left_semi")
 
     bands = first.mapInArrow(_bands, f"bucket long, id {id_type}, n long")
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
+    # The smallest id of a bucket with its set's size, or the least and the largest where rows repeat the id.
+    shared = bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("low"), F.min(F.struct("id", (-F.col("n")).alias("n"))).alias("high"),
+                                         F.count("*").alias("size")).where("size > 1")
+    shared = shared.select("bucket", F.col("low.id").alias("centre"), F.col("low.n").alias("nb"), (F.col("low.n") == -F.col("high.n")).alias("sure"), "size")
     rows = materialize(bands.join(shared, "bucket"), "buckets")
-    sizes = first.select(F.col("id").alias("centre"), F.col("n").alias("nb"))
-    near = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-    stars = (rows.where("id > centre").select("id", "n", "centre").distinct().join(sizes, "centre").where(near)
-             .select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+    near = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) | ~F.col("sure")
+    stars = rows.where("id > centre").where(near).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = _links(stars, first, own, percent, miss)
 
     # Buckets that still hold several components: all of it in blocks.
