@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from pressroll.operators import events as Ev
 from pressroll.session import work_dir
