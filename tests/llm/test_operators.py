@@ -590,7 +590,7 @@ def test_a_very_long_url_ends(spark):
     start = time.time()
     found = {r["page_id"]: r for r in rows(urls.judge_urls(table))}
     assert "".join(found[0]["words"]) == "xorg" + letters and "".join(found[1]["words"]) == "casinoorg" + "ab" * 200_000
-    assert time.time() - start < 120
+    assert time.time() - start < 300
 
 
 # ----------------------------------------------------------------------- html
