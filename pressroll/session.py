@@ -10,6 +10,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4MB")
+
 # Runtime SQL settings the operators depend on.
 SESSION_CONF = {
     # Dates are kept as ISO strings; timestamps are compared in UTC.
@@ -24,6 +26,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    # A Python task gets its rows by bytes, not by 10,000 of whatever size: what
+    # it holds at a time does not grow with its share of the table.
+    BATCH_BYTES[0]: BATCH_BYTES[1],
     # Session windows of a key are merged inside each task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -37,6 +42,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Only the setting that bounds the rows a Python task gets at a time (for
+    operators that leave the session's other settings as they are)."""
+    if spark.conf.get(BATCH_BYTES[0], None) != BATCH_BYTES[1]:
+        spark.conf.set(*BATCH_BYTES)
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -111,3 +111,16 @@ def test_stream_ingest_does_not_depend_on_the_trigger(spark):
         Si.start(spark, src, schema, root, work_dir(spark, "ck"), max_files_per_trigger=files).awaitTermination()
         found.append(sorted(map(str, Si.read_index_version(spark, root).collect())))
     assert found[0] == found[1] and len(found[0]) == 5
+
+
+def test_the_model_step_gets_its_prompts_in_bounded_batches(spark):
+    import sys
+
+    from pressroll.session import configure
+
+    def batch_bytes():
+        return lambda prompt: str(sum(map(len, sys._getframe(1).f_locals["pdf"]["prompt"])))
+
+    prompts = configure(spark).range(0, 60, 1, 1).select("id", F.repeat(F.lit("x"), 500_000).alias("prompt"))
+    said = apply_model(prompts, "prompt", batch_bytes).select("id", F.col("response").cast("long").alias("n")).collect()
+    assert sorted(r["id"] for r in said) == list(range(60)) and max(r["n"] for r in said) <= 5_000_000
