@@ -21,6 +21,7 @@ ascending order of document ids, null ids last, ties by text.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pressroll.llm.common import identified
-from pressroll.session import work_dir
+from pressroll.llm.common import identified, text_chunks
+from pressroll.session import bound_batches, work_dir
 
 BLOCK = 128
 #: Ids a segment holds at least before it is closed (whole documents only).
@@ -47,6 +48,19 @@ FIXED = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
 COUNTS = np.array([1] + [n for n, _ in FIXED], np.int64)
 U64 = np.uint64
 
+#: How a byte-level tokenizer writes a space, and every byte, as a character (UTF-32).
+SPACED = "\u0120"
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = np.zeros(256, "<u4")
+BYTE_CHARS[_shown] = _shown
+BYTE_CHARS[BYTE_CHARS == 0] = 256 + np.arange(256 - len(_shown))
+#: Kinds of bytes: above ASCII, space, ASCII letter, other visible ASCII, line feed, other ASCII.
+HIGH, BLANK, LETTER, MARK, LINE, CONTROL = range(6)
+BYTE_KIND = np.full(256, HIGH, np.uint8)
+BYTE_KIND[:128], BYTE_KIND[33:127], BYTE_KIND[10], BYTE_KIND[32] = CONTROL, MARK, LINE, BLANK
+BYTE_KIND[65:91] = BYTE_KIND[97:123] = LETTER
+WORD = "^ [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+
 
 def encode_ids(ids: np.ndarray) -> bytes:
     """The payload of one segment."""
@@ -88,14 +102,16 @@ def encode_ids(ids: np.ndarray) -> bytes:
         slot = np.concatenate([offset[b] + u for b, _, _, u in steps])
         place[slot] = np.concatenate([b * BLOCK + a for b, a, _, _ in steps])
         words[slot] = np.concatenate([s for _, _, s, _ in steps])
-    selectors = words.astype(np.int64)
-    ends = np.repeat(np.arange(blocks) * BLOCK + length, used)
+    selectors = words.astype(np.uint8)
+    apart = np.zeros((blocks, BLOCK + 60), U64)  # zeros after each block's ids
+    apart[:, :BLOCK] = padded[: blocks * BLOCK].reshape(blocks, BLOCK)
+    apart, source = apart.reshape(-1), place + place // BLOCK * 60
     for selector, (count, bits) in enumerate(FIXED, 1):
         some = np.flatnonzero(selectors == selector)
+        at, word = source[some], np.full(len(some), selector, U64)
         for j in range(count if len(some) else 0):
-            source = place[some] + j
-            value = np.where(source < ends[some], padded[source], U64(0))
-            words[some] |= value << U64(4 + bits * j)
+            word |= apart[at + j] << U64(4 + bits * j)
+        words[some] = word
     escapes = padded[place[selectors == 0]]
     head = np.array([MAGIC, n, len(words), len(escapes)], U64)
     return head.tobytes() + offset[:-1].astype(np.uint32).tobytes() + words.tobytes() + escapes.tobytes()
@@ -134,27 +150,33 @@ class Encoder:
 
     A piece of the tokenizer's pattern starts at every space that is followed by
     anything but white space, so the stretches between such spaces can be
-    encoded apart from each other; ``limit`` of them are remembered. Arrow cuts
-    the texts at their spaces and numbers the distinct stretches of a batch, so
-    Python sees each of these once. A text with white space after a space is
+    encoded apart from each other. The usual pattern (``ByteLevel``) also ends a
+    piece between a letter and an ASCII character that is none, and after a
+    single line feed before a letter: a word is one unit whatever mark follows
+    it. Units begin with their space. Their places are found in the bytes of a
+    batch, Arrow numbers the distinct ones, so Python sees each of these once;
+    ``limit`` of them are remembered. A text with white space after a space is
     cut by a pattern, and one that holds an added token of the tokenizer
-    (``<|endoftext|>``) goes through the library as a whole.
-
-    A stretch is noted without its space; one that opens a text without a space
-    is noted behind ``HEAD`` (no other can begin with a space), a whole text as
-    a tuple."""
-
-    HEAD = " "
+    (``<|endoftext|>``) goes through the library as a whole (noted as a tuple)."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 700_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, end_id: int, limit: int = 500_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.whole, self.tokenizer = path, None, Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.encode_special_tokens = True  # stretches hold none; joined ones shall not make one
         size = self.tokenizer.get_vocab_size()
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACED) for i in range(size)])
         self.end_id, self.limit = end_id, limit
+        parts = json.loads(self.tokenizer.to_str())
+        self.fine = parts["normalizer"] is None and parts["pre_tokenizer"] is not None and {
+            k: parts["pre_tokenizer"].get(k) for k in ("type", "add_prefix_space", "use_regex")} == {
+            "type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.letters = None
+        if self.fine:  # words of letters alone are pieces already: no pattern is needed
+            self.letters = Tokenizer.from_str(json.dumps(parts))
+            self.letters.encode_special_tokens = True
+            self.letters.pre_tokenizer = pre_tokenizers.Split(SPACED, "merged_with_next")
         self._clear()
 
     def _clear(self) -> None:
@@ -163,24 +185,32 @@ class Encoder:
         self.first = np.zeros(1 << 10, np.int64)
 
     def _encode_each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and number of ids of each stretch (with its space)."""
+        """Ids and number of ids of each unit."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
 
-    def _learn(self, units: list[str]) -> None:
-        plain = [u for u in units if u[:1] != self.HEAD and " " not in u]
-        if plain:
-            # Each holds one space, its first byte: a token that starts with a space begins the next.
-            (joined,) = self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)
-            ids = np.array(joined.ids, np.uint32)
-            begins = np.flatnonzero(self.spaced[ids])
-            if len(begins) == len(plain):
-                self._note(plain, ids, np.diff(np.append(begins, len(ids))))
-            else:
-                self._note(plain, *self._encode_each([" " + u for u in plain]))
-        if len(plain) < len(units):
-            other = [u for u in units if u[:1] == self.HEAD or " " in u]
-            self._note(other, *self._encode_each([u[1:] if u[:1] == self.HEAD else " " + u for u in other]))
+    def _learn(self, column: pa.Array) -> np.ndarray:
+        """Encode and note units that are not known yet; their numbers."""
+        plain = pc.match_substring_regex(column, WORD).to_numpy(zero_copy_only=False) if self.fine else np.zeros(len(column), bool)
+        spaced = pc.match_substring_regex(column, "^ [^ ]+$").to_numpy(zero_copy_only=False) & ~plain
+        number = np.empty(len(column), np.int64)
+        for which, tokenizer in ((plain, self.letters), (spaced, self.tokenizer), (~plain & ~spaced, None)):
+            units = _strings(column.filter(pa.array(which)))
+            if not units:
+                continue
+            number[which] = len(self.known) + np.arange(len(units))
+            if tokenizer is not None:
+                # Each holds one space, its first byte: a token that starts with a space begins the next.
+                text = "".join(units)
+                if tokenizer is self.letters:
+                    text = BYTE_CHARS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                begins = np.flatnonzero(self.spaced[ids])
+                if len(begins) == len(units):
+                    self._note(units, ids, np.diff(np.append(begins, len(ids))))
+                    continue
+            self._note(units, *self._encode_each(units))
+        return number
 
     def _note(self, units: list, ids: np.ndarray, lengths: np.ndarray) -> None:
         n = len(self.known)
@@ -191,51 +221,58 @@ class Encoder:
         self.first[n + 1 : n + len(units) + 1] = np.cumsum(lengths) + self.n_ids
         self.n_ids += len(ids)
 
-    def _numbers(self, units: list[str]) -> np.ndarray:
-        """Numbers of stretches, of those not known yet after they are learned."""
+    def _numbers(self, column: pa.Array) -> np.ndarray:
+        """Numbers of distinct units, of those not known yet after they are learned."""
+        units = _strings(column)
         found = np.fromiter(map(self.known.get, units, itertools.repeat(-1)), np.int64, len(units))
-        missing = np.flatnonzero(found < 0).tolist()
-        if missing:
-            new = [units[i] for i in missing]
-            self._learn(list(dict.fromkeys(new)))
-            found[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            found[missing] = self._learn(column.take(pa.array(missing)))
         return found
 
+    def _forget(self, used: np.ndarray) -> None:
+        """Keep only the units with these numbers."""
+        keep = np.zeros(len(self.known), bool)
+        keep[used] = True
+        units = list(itertools.compress(self.known, keep.tolist()))
+        first, length = self.first[:-1][: len(keep)][keep], np.diff(self.first[: len(keep) + 1])[keep]
+        before = np.cumsum(length) - length
+        ids = self.ids[np.arange(length.sum()) + np.repeat(first - before, length)]
+        self._clear()
+        self._note(units, ids, length)
+
     def _cut_by_arrow(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Number of every stretch of texts that split at single spaces, and how many each has."""
-        pieces = pc.split_pattern(column, " ")
-        edges, coded = pieces.offsets.to_numpy(), pieces.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
-        edges = edges - edges[0]
-        heads = edges[:-1]
-        rest = np.ones(len(codes), bool)
-        rest[heads] = False
-        used = np.zeros(len(coded.dictionary), bool)
-        used[codes[rest]] = True
-        number = np.full(len(used), -1, np.int64)
-        number[used] = self._numbers(_strings(coded.dictionary.filter(pa.array(used))))
-        found = number[codes]
-        opening = coded.dictionary.take(pa.array(codes[heads])).dictionary_encode()
-        names = _strings(opening.dictionary)
-        number = np.full(len(names), -1, np.int64)
-        full = [i for i, name in enumerate(names) if name]
-        number[full] = self._numbers([self.HEAD + names[i] for i in full])
-        found[heads] = number[opening.indices.to_numpy()]
-        there = found >= 0  # a text that starts with a space, or is empty, has no head
-        return found[there], np.diff(np.append(0, np.cumsum(there))[edges])
-
-    def _cut_by_pattern(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        units, count = [], []
-        for text in texts:
-            head, *rest = SPLIT.split(text)
-            units += [self.HEAD + head] if head else []
-            units += [x[1:] for x in rest]
-            count.append(len(rest) + bool(head))
-        return self._numbers(units), np.array(count, np.int64)
-
-    def _take_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        new = [t for t in dict.fromkeys(texts) if (t,) not in self.known]
-        for t in new:
+        """Number of every unit of texts that split at single spaces, and how many each has."""
+        ((_, _, data, offsets),) = text_chunks(column, 1 << 31) if len(column) else ((0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)),)
+        kind = BYTE_KIND[data]
+        cut = kind == BLANK
+        if self.fine and len(data) > 2:
+            letter = kind == LETTER
+            # A letter of two bytes: U+00C0 to U+00FF without the two signs among them.
+            after = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            ends = letter.copy()
+            ends[1:] |= after
+            cut[1:] |= ends[:-1] & (kind[1:] >= MARK)
+            cut[2:] |= ((kind[:-2] == LETTER) | (kind[:-2] == MARK)) & (kind[1:-1] == LINE) & letter[2:]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(cut)
+        places = np.append(start, len(data)).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(start), pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
+        number = self._numbers(units.dictionary)
+        return number[units.indices.to_numpy()], np.diff(np.searchsorted(start, offsets))
+
+    def _cut_by_pattern(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [[x for x in SPLIT.split(text) if x] for text in _strings(column)]
+        units = pa.array([x for p in pieces for x in p], pa.string()).dictionary_encode()
+        return self._numbers(units.dictionary)[units.indices.to_numpy()], np.array([len(p) for p in pieces], np.int64)
+
+    def _take_whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        texts = _strings(column)
+        for t in [t for t in dict.fromkeys(texts) if (t,) not in self.known]:
             ids = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
             self._note([(t,)], ids, np.array([len(ids)]))
         return np.array([self.known[(t,)] for t in texts], np.int64), np.ones(len(texts), np.int64)
@@ -243,8 +280,6 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), each closed by the end id, and where each begins."""
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        if len(self.known) > self.limit:
-            self._clear()
         way = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False).astype(np.int8)
         for token in self.added:
             way[pc.match_substring(column, token).to_numpy(zero_copy_only=False)] = 2
@@ -253,7 +288,7 @@ class Encoder:
             rows = np.flatnonzero(way == k)
             if len(rows):
                 some = column if len(rows) == len(column) else column.take(pa.array(rows))
-                numbers, count[rows] = cut(some if k == 0 else _strings(some))
+                numbers, count[rows] = cut(some)
                 found.append(numbers)
                 text.append(rows)
         units = np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -272,6 +307,8 @@ class Encoder:
         inside[ends] = False
         ids[inside] = self.ids[source]
         ids[ends] = self.end_id
+        if len(self.known) > self.limit:  # what this batch holds is likely in the next
+            self._forget(units)
         return ids, np.append(0, ends + 1)
 
 
@@ -355,6 +392,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
               tokenizer: str = "byte_bpe_50k.json", end_id: int = 2) -> None:
     """Encode every text (null: empty), close it with ``end_id`` and write the
     segments to ``path`` in ascending order of ids."""
+    bound_batches(docs.sparkSession)
     rows = identified(docs, id_col, text_col).toDF("id", "text")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["id"].dataType.simpleString()
