@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroll.session import materialize
+from pressroll.session import bound_batches, materialize
 
 __all__ = ["INVERSE", "ROLL", "SPACE", "U64", "WORD", "Words", "flag_repeats", "identified", "join_ids", "materialize", "mix", "powers",
            "prefix_sums", "rolling", "shingle_hashes", "table", "text_chunks", "words_of"]
@@ -23,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

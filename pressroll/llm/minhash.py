@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from pressroll.llm.common import identified, materialize, mix, shingle_hashes, text_chunks, words_of
 from pressroll.llm.components import connected_components
+from pressroll.session import bound_batches
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -223,6 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id
     reachable over links of ``percent`` similarity or more), ``kept``."""
+    bound_batches(docs.sparkSession)
     texts = identified(docs, id_col, text_col).toDF("id", "text")
     id_type = texts.schema["id"].dataType.simpleString()
     features = materialize(

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroll.llm.common import U64, flag_repeats, identified, join_ids, materialize, mix, rolling, text_chunks
+from pressroll.session import bound_batches
 
 LENGTH, GRAM = 50, 25
 GRAMS = LENGTH - GRAM + 1
@@ -49,7 +50,7 @@ GRAMS = LENGTH - GRAM + 1
 CLASSES = 64
 #: Bytes of text hashed at a time, rows whose repeats a task settles at a time,
 #: and buckets of runs per partition.
-CHUNK, ROWS, BUCKETS = 1 << 20, 1 << 18, 16
+CHUNK, ROWS, BUCKETS = 1 << 18, 1 << 18, 16
 #: Windows of a longer text whose runs are found at a time; places have 26 bits.
 PIECE = 1 << 24
 
@@ -95,6 +96,11 @@ def _take(rows: Rows, which: np.ndarray) -> Rows:
     return {name: v[which] for name, v in rows.items()}
 
 
+def _whole(held: list[Rows]) -> Rows:
+    """The rows as one, a field at a time: what was held is given up on the way."""
+    return {name: np.concatenate([rows.pop(name) for rows in held]) for name in FIELDS}
+
+
 def _classes(rows: Rows) -> tuple[Rows, np.ndarray, np.ndarray, np.ndarray]:
     """Rows sorted by anchor, class and document; whether a row starts an anchor
     or a class; the smallest document of each row's class."""
@@ -133,7 +139,7 @@ def _send(rows: Rows, buckets: int, refine: bool) -> Iterator[pa.RecordBatch]:
             some = _take(some, np.lexsort((some["start"], some["doc"])))
             out.append((int(some["doc"][0]) % buckets, kind, _pack(_joined(some) if kind == 1 else some)))
     left = np.flatnonzero(~again & ~many)
-    rows = {name: np.concatenate([v[left], marked[name]]) for name, v in rows.items()}
+    rows = {name: np.concatenate([rows.pop(name)[left], marked[name]]) for name in FIELDS}
     # Equal windows share their own identifier, runs to be compared only the anchor.
     key = rows["anchor"] if refine else rows["unit"] >> 16
     bucket = (key.astype(U64) * U64(buckets) >> U64(40)).astype(np.int64)
@@ -142,6 +148,7 @@ def _send(rows: Rows, buckets: int, refine: bool) -> Iterator[pa.RecordBatch]:
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.unique(bucket).tolist():
         out.append((b, 0, _pack({name: v[edges[b] : edges[b + 1]] for name, v in rows.items()})))
+    del rows, again, least, anchor, unit, many, marked, left, key, bucket, order  # the task goes on while these are sent
     if out:
         yield pa.RecordBatch.from_arrays(
             [pa.array([b for b, _, _ in out], pa.int32()), pa.array([k for _, k, _ in out], pa.int32()),
@@ -174,13 +181,12 @@ def _several(rows: Rows, side: str, least: np.ndarray) -> np.ndarray:
 
 def _parts(blobs: list[bytes], key: str) -> Iterator[Rows]:
     """A bucket's rows; of many rows, those of a part of the keys at a time."""
-    parts = 1 + sum(int(np.frombuffer(blob, np.int64, 1)[0]) for blob in blobs) // (4 * ROWS)
+    parts = 1 + sum(int(np.frombuffer(blob, np.int64, 1)[0]) for blob in blobs) // ROWS
     for part in range(parts):
         if parts == 1:
             yield _unpack(blobs)
             continue
-        some = [_take(rows, np.flatnonzero(rows[key] % parts == part)) for rows in (_unpack([blob]) for blob in blobs)]
-        yield {name: np.concatenate([rows[name] for rows in some]) for name in FIELDS}
+        yield _whole([_take(rows, np.flatnonzero(rows[key] % parts == part)) for rows in (_unpack([blob]) for blob in blobs)])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -264,10 +270,10 @@ def _sent(parts: Iterator[Rows], buckets: int, refine: bool) -> Iterator[pa.Reco
     for part in parts:
         held.append(part)
         if sum(len(p["doc"]) for p in held) >= ROWS:
-            yield from _send({name: np.concatenate([p[name] for p in held]) for name in FIELDS}, buckets, refine)
+            yield from _send(_whole(held), buckets, refine)
             held = []
     if held:
-        yield from _send({name: np.concatenate([p[name] for p in held]) for name in FIELDS}, buckets, refine)
+        yield from _send(_whole(held), buckets, refine)
 
 
 def _find_runs(buckets: int):
@@ -320,6 +326,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, ``text`` (as bytes) and ``spans``: the maximal
     runs of removed bytes as an array of (start, end)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = flag_repeats(identified(docs, id_col, text_col).toDF("id", "text"))
     # Zero where the id is the row's own, but no constant: as one it would be
     # optimised away on one side, and the texts shuffled twice.
